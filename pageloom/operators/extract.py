@@ -99,12 +99,13 @@ def _rows(parts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def discovered_hrefs(raw: DataFrame, *keep: str) -> DataFrame:
     """Every ``a[href]`` of the page as fetched, boilerplate included."""
-    return _hrefs(parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep]))), keep)
+    return hrefs(parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep]))), *keep)
 
 
-def _hrefs(parsed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return parsed.select(*dict.fromkeys(["url", *keep]), F.inline("hrefs")).select(
-        *dict.fromkeys(["url", *keep]), "raw", F.coalesce("url", "raw").alias("href")
+def hrefs(parsed: DataFrame, *keep: str) -> DataFrame:
+    ids = dict.fromkeys(["url", *keep])
+    return parsed.select(*ids, F.posexplode("hrefs").alias("pos", "item")).select(
+        *ids, "pos", "item.raw", F.coalesce("item.url", "item.raw").alias("href")
     )
 
 

@@ -188,10 +188,11 @@ def pending_batch(
 
 
 def status_latest(transitions: DataFrame) -> DataFrame:
-    """Current status per (job_id, url) of an append-only transition table."""
+    """Current state per (job_id, url) of an append-only transition table."""
     return transitions.groupBy("job_id", "url").agg(
         F.max_by("status", F.struct("ts", "seq")).alias("status"),
         F.max("ts").alias("updated_at"),
+        F.max("depth").alias("depth"),
     )
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom import schemas
 
@@ -16,10 +16,8 @@ BYTES_PER_MB = 1024 * 1024
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    """What a crawl is started with."""
+    """Settings of a crawl beyond its start urls and allowed domains."""
 
-    start_urls: Sequence[str]
-    allowed_domains: Sequence[str]
     max_depth: int = 10
     delay_between_requests: float = 1.0
     concurrent_requests: int = 16
@@ -30,25 +28,38 @@ class CrawlConfig:
     retry_attempts: int = 3
 
 
-def open_job(
-    spark: SparkSession, config: CrawlConfig, now: datetime, job_id: str, site: str
-) -> DataFrame:
-    """The one row that starts a job, in the shape of ``scraping_jobs``."""
-    values = asdict(config)
-    row = (
-        job_id,
-        f"{site}_scrape_{now:%Y%m%d_%H%M%S}",
-        "full_crawl",
-        now,
-        None,
-        "running",
-        tuple(values[name] for name in schemas.JOB_CONFIGURATION.names),
-        (0, 0, 0, 0, 0, 0.0),
-        (0, 0, 0, 0.0),
-        [],
-        [],
+def open_jobs(starts: DataFrame, config: CrawlConfig, now: datetime, site: str) -> DataFrame:
+    """New rows of ``scraping_jobs`` for ``starts(job_id, start_urls, allowed_domains)``."""
+    settings = asdict(config)
+
+    def zeros(struct: T.StructType) -> Column:
+        return F.struct(*[F.lit(0).cast(f.dataType).alias(f.name) for f in struct.fields])
+
+    def empty(name: str) -> Column:
+        return F.array().cast(schemas.SCRAPING_JOBS[name].dataType).alias(name)
+
+    started = F.lit(now).cast("timestamp")
+    return starts.select(
+        F.col("job_id").alias("_id"),
+        F.concat(
+            F.lit(f"{site}_scrape_"), F.date_format(started, "yyyyMMdd_HHmmss")
+        ).alias("job_name"),
+        F.lit("full_crawl").alias("job_type"),
+        started.alias("start_time"),
+        F.lit(None).cast("timestamp").alias("end_time"),
+        F.lit("running").alias("status"),
+        F.struct(
+            *[
+                (F.lit(settings[f.name]).cast(f.dataType) if f.name in settings else F.col(f.name))
+                .alias(f.name)
+                for f in schemas.JOB_CONFIGURATION.fields
+            ]
+        ).alias("configuration"),
+        zeros(schemas.JOB_STATISTICS).alias("statistics"),
+        zeros(schemas.JOB_PROGRESS).alias("progress"),
+        empty("errors"),
+        empty("notifications"),
     )
-    return spark.createDataFrame([row], schemas.SCRAPING_JOBS)
 
 
 def job_statistics(events: DataFrame) -> DataFrame:

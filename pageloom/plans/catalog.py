@@ -83,7 +83,7 @@ def list_pages(
     return paged(rows, order, limit, skip, MAX_PAGES)
 
 
-def page_by_id(pages: DataFrame, page_id: str) -> DataFrame:
+def page_by_id(pages: DataFrame, page_id: str | Column) -> DataFrame:
     return pages.where(F.col("_id") == page_id)
 
 
@@ -181,30 +181,25 @@ def content_statistics(pages: DataFrame) -> DataFrame:
 
 
 def structure_report(pages: DataFrame) -> DataFrame:
-    """Site totals and the groups below them, in one pass over the pages.
+    """Site totals and the groups below them, as rows of two levels.
 
-    Grouping sets give both levels from one scan; ``level`` tells them apart.
+    The totals are taken from the groups, so pages are read and shuffled once.
     """
-    rows = pages.select(
-        _section(), _subsection(), F.col("content.word_count").alias("words"), "quality_score"
+    groups = pages.groupBy(_section(), _subsection()).agg(
+        F.count("*").alias("page_count"),
+        F.coalesce(F.sum("content.word_count"), F.lit(0)).alias("words"),
+        F.sum("quality_score").alias("quality"),
+    )
+    site = groups.agg(
+        F.lit("site").alias("level"),
+        F.lit("").alias("section"),
+        F.lit("").alias("subsection"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("page_count", "words", "quality")],
     )
+    mean = F.coalesce(F.try_divide("quality", "page_count"), F.lit(0.0)).alias("avg_quality")
     return (
-        rows.groupingSets(
-            [[F.col("section"), F.col("subsection")], []], F.col("section"), F.col("subsection")
-        )
-        .agg(
-            F.grouping_id().alias("gid"),
-            *_measures(),
-            F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
-        )
-        .select(
-            F.when(F.col("gid") == 0, "group").otherwise("site").alias("level"),
-            "section",
-            "subsection",
-            "page_count",
-            "words",
-            F.coalesce("avg_quality", F.lit(0.0)).alias("avg_quality"),
-        )
+        site.unionByName(groups.withColumn("level", F.lit("group")))
+        .select("level", "section", "subsection", "page_count", "words", mean)
     )
 
 
