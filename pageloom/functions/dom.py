@@ -1,4 +1,10 @@
-"""Page parts as native expressions over the node array of a page."""
+"""Page parts as native expressions over the ``nodes`` array of a page.
+
+The expressions are SQL lambdas over one column, built as text: a page document
+has some hundred nested lambdas, and text reaches the JVM in one call. Fragments
+(names with ``_``) are SQL strings; lambda variables are named so that no fragment
+hides a variable of the lambda around it.
+"""
 
 from __future__ import annotations
 
@@ -6,289 +12,246 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.functions.text import WHITESPACE_RE, bind, strip
+from pageloom.functions.text import WHITESPACE
 
 # Fixed values.
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-BREADCRUMB_CLASSES = ("breadcrumb", "breadcrumbs")
 NEXT_WORDS = "(?i)next|continue|forward"
 PREVIOUS_WORDS = "(?i)previous|back|prev"
 MIN_PARAGRAPH_CHARS = 10
 
-NO_STRINGS = "array<string>"
+_NO_STRINGS = "cast(array() AS array<string>)"
 
 
-def tagged(nodes: Column, *tags: str) -> Column:
-    return F.filter(nodes, lambda n: n["tag"].isin(*tags))
+def _bind(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def inside(nodes: Column, element: Column) -> Column:
-    """Descendants of an element, in document order."""
-    return F.slice(nodes, element["pos"] + 2, element["last"] - element["pos"])
+def _strip(value: str) -> str:
+    return f"trim(BOTH '{WHITESPACE}' FROM {value})"
+
 
+def _tagged(nodes: str, *tags: str) -> str:
+    names = ", ".join(f"'{t}'" for t in tags)
+    return f"filter({nodes}, n -> n.tag IN ({names}))"
 
-def first(found: Column) -> Column:
-    return F.get(found, F.lit(0))
 
+def _first(array: str) -> str:
+    return f"get({array}, 0)"
 
-def attr(node: Column, name: str) -> Column:
-    return F.coalesce(node["attrs"][name], F.lit(""))
+
+def _inside(element: str) -> str:
+    """Descendants of an element, in document order."""
+    return f"slice(nodes, {element}.pos + 2, {element}.last - {element}.pos)"
 
 
-def has_attr(node: Column, name: str) -> Column:
-    return node["attrs"][name].isNotNull()
+def _attr(element: str, name: str) -> str:
+    return f"coalesce({element}.attrs['{name}'], '')"
 
 
-def classes(node: Column) -> Column:
-    return F.split(strip(attr(node, "class")), WHITESPACE_RE)
+def _classes(element: str) -> str:
+    return f"split({_strip(_attr(element, 'class'))}, '[{WHITESPACE}]+')"
 
 
-def _stripped_strings(nodes: Column) -> Column:
-    texts = F.transform(tagged(nodes, "#text"), lambda n: strip(n["text"]))
-    return F.filter(texts, lambda t: t != "")
+def _strings(nodes: str) -> str:
+    stripped = f"transform({_tagged(nodes, '#text')}, n -> {_strip('n.text')})"
+    return f"filter({stripped}, s -> s <> '')"
 
 
-def inner_text(nodes: Column, element: Column) -> Column:
+def _text(element: str) -> str:
     """Stripped strings of an element joined without a separator."""
-    return F.array_join(_stripped_strings(inside(nodes, element)), "")
+    return f"array_join({_strings(_inside(element))}, '')"
 
 
-def raw_text(nodes: Column) -> Column:
-    return F.array_join(F.transform(tagged(nodes, "#text"), lambda n: n["text"]), "")
+def _text_or_empty(element: str) -> str:
+    return f"CASE WHEN {element} IS NULL THEN '' ELSE {_text(element)} END"
 
 
-def clean_text(nodes: Column) -> Column:
-    return F.array_join(_stripped_strings(nodes), " ")
+def _raw(nodes: str) -> str:
+    return f"array_join(transform({_tagged(nodes, '#text')}, n -> n.text), '')"
 
 
-def only_string(nodes: Column, element: Column) -> Column:
+def _only_string(element: str) -> str:
     """The string of an element whose descendants form one chain ending in text."""
-    end = F.get(nodes, element["last"])
-    chain = end["depth"] - element["depth"] == element["last"] - element["pos"]
-    return F.when(chain & (end["pos"] > element["pos"]), end["text"])
+    end = f"get(nodes, {element}.last)"
+    chain = f"{end}.depth - {element}.depth = {element}.last - {element}.pos"
+    return f"CASE WHEN {element}.last > {element}.pos AND {chain} THEN {end}.text END"
 
 
-def title(nodes: Column) -> Column:
-    def text_of(found: Column) -> Column:
-        return F.when(
-            found.isNotNull(),
-            strip(F.coalesce(only_string(nodes, found), inner_text(nodes, found))),
-        ).otherwise("")
+def raw_text() -> Column:
+    return F.expr(_raw("nodes"))
 
-    return bind(first(tagged(nodes, "title")), text_of)
 
+def clean_text() -> Column:
+    return F.expr(f"array_join({_strings('nodes')}, ' ')")
 
-def headings(nodes: Column) -> Column:
-    return F.transform(
-        tagged(nodes, *HEADING_TAGS),
-        lambda h: F.struct(
-            h["tag"].alias("level"),
-            inner_text(nodes, h).alias("text"),
-            attr(h, "id").alias("id"),
-            F.when(attr(h, "id") != "", F.concat(F.lit("#"), attr(h, "id")))
-            .otherwise("")
-            .alias("anchor"),
-        ),
-    )
 
+def title() -> Column:
+    text = f"coalesce({_strip(_only_string('e'))}, {_text('e')})"
+    found = _first(_tagged("nodes", "title"))
+    return F.expr(_bind(found, "e", f"CASE WHEN e IS NULL THEN '' ELSE {text} END"))
 
-def paragraphs(nodes: Column) -> Column:
-    texts = F.transform(tagged(nodes, "p"), lambda p: inner_text(nodes, p))
-    return F.filter(texts, lambda t: F.length(t) > MIN_PARAGRAPH_CHARS)
 
+def headings() -> Column:
+    anchor = f"CASE WHEN {_attr('h', 'id')} = '' THEN '' ELSE concat('#', {_attr('h', 'id')}) END"
+    return F.expr(
+        f"""transform({_tagged('nodes', *HEADING_TAGS)}, h -> struct(
+            h.tag AS level, {_text('h')} AS text, {_attr('h', 'id')} AS id, {anchor} AS anchor))"""
+    )
 
-def code_blocks(nodes: Column) -> Column:
-    def language(block: Column) -> Column:
-        marked = F.filter(classes(block), lambda c: c.rlike("^lang(uage)?-"))
-        return F.coalesce(F.regexp_replace(first(marked), "^lang(uage)?-", ""), F.lit(""))
 
-    return F.transform(
-        tagged(nodes, "code", "pre"),
-        lambda block: F.struct(
-            language(block).alias("language"),
-            raw_text(inside(nodes, block)).alias("content"),
-            attr(block, "data-filename").alias("file_name"),
-        ),
-    )
+def paragraphs() -> Column:
+    texts = f"transform({_tagged('nodes', 'p')}, p -> {_text('p')})"
+    return F.expr(f"filter({texts}, t -> length(t) > {MIN_PARAGRAPH_CHARS})")
 
 
-def _caption(nodes: Column, img: Column) -> Column:
-    figure = F.try_element_at(
-        F.filter(
-            tagged(nodes, "figure"), lambda f: (f["pos"] < img["pos"]) & (f["last"] >= img["pos"])
-        ),
-        F.lit(-1),
-    )
-    figcaption = bind(figure, lambda f: first(tagged(inside(nodes, f), "figcaption")))
-    sibling = first(
-        F.filter(
-            tagged(nodes, "p", "div", "span"),
-            lambda n: (n["parent"] == img["parent"]) & (n["pos"] > img["pos"]),
-        )
-    )
-    return F.coalesce(
-        bind(figcaption, lambda c: F.when(c.isNotNull(), inner_text(nodes, c))),
-        bind(
-            sibling,
-            lambda s: F.when(F.array_contains(classes(s), "caption"), inner_text(nodes, s)),
-        ),
-        F.lit(""),
+def code_blocks() -> Column:
+    marked = _first(f"filter({_classes('b')}, c -> c RLIKE '^lang(uage)?-')")
+    return F.expr(
+        f"""transform({_tagged('nodes', 'code', 'pre')}, b -> struct(
+            coalesce(regexp_replace({marked}, '^lang(uage)?-', ''), '') AS language,
+            {_raw(_inside('b'))} AS content,
+            {_attr('b', 'data-filename')} AS file_name))"""
     )
 
 
-def images(nodes: Column) -> Column:
-    with_src = F.filter(tagged(nodes, "img"), lambda i: attr(i, "src") != "")
-    return F.transform(
-        with_src,
-        lambda i: F.struct(
-            F.coalesce(i["url"], attr(i, "src")).alias("src"),
-            attr(i, "alt").alias("alt"),
-            attr(i, "title").alias("title"),
-            _caption(nodes, i).alias("caption"),
-            F.lit("").alias("local_path"),
-        ),
+def _caption(img: str) -> str:
+    """Caption of the nearest figure around an image, else a caption right after it."""
+    around = f"f -> f.tag = 'figure' AND f.pos < {img}.pos AND f.last >= {img}.pos"
+    figure = f"try_element_at(filter(nodes, {around}), -1)"
+    figcaption = _bind(figure, "f", _first(_tagged(_inside("f"), "figcaption")))
+    beside = f"o.parent = {img}.parent AND o.pos > {img}.pos"
+    sibling = _first(f"filter({_tagged('nodes', 'p', 'div', 'span')}, o -> {beside})")
+    from_figure = _bind(figcaption, "c", f"CASE WHEN c IS NOT NULL THEN {_text('c')} END")
+    is_caption = f"array_contains({_classes('c')}, 'caption')"
+    from_sibling = _bind(sibling, "c", f"CASE WHEN {is_caption} THEN {_text('c')} END")
+    return f"coalesce({from_figure}, {from_sibling}, '')"
+
+
+def images() -> Column:
+    with_src = f"filter({_tagged('nodes', 'img')}, i -> {_attr('i', 'src')} <> '')"
+    return F.expr(
+        f"""transform({with_src}, i -> struct(
+            coalesce(i.url, {_attr('i', 'src')}) AS src,
+            {_attr('i', 'alt')} AS alt,
+            {_attr('i', 'title')} AS title,
+            {_caption('i')} AS caption,
+            '' AS local_path))"""
     )
 
 
-def links(nodes: Column, page_url: Column) -> Column:
-    found = F.transform(
-        F.filter(tagged(nodes, "a"), lambda a: has_attr(a, "href")),
-        lambda a: F.struct(
-            F.coalesce(a["url"], attr(a, "href")).alias("href"),
-            inner_text(nodes, a).alias("text"),
-            attr(a, "title").alias("title"),
-        ),
-    )
+def links(page_url: str = "url") -> Column:
+    with_href = f"filter({_tagged('nodes', 'a')}, a -> a.attrs['href'] IS NOT NULL)"
+    found = f"""transform({with_href}, a -> struct(
+        coalesce(a.url, a.attrs['href']) AS href, {_text('a')} AS text, {_attr('a', 'title')} AS title))"""
     return F.transform(
-        F.filter(found, lambda a: a["text"] != ""),
+        F.expr(f"filter({found}, a -> a.text <> '')"),
         lambda a: F.struct(
             a["href"].alias("href"),
             a["text"].alias("text"),
             a["title"].alias("title"),
-            urls.link_type(a["href"], page_url).alias("type"),
+            urls.link_type(a["href"], F.col(page_url)).alias("type"),
             F.lit("pending").alias("status"),
         ),
     )
 
 
-def tables(nodes: Column) -> Column:
-    def cells(row: Column) -> Column:
-        return F.transform(tagged(inside(nodes, row), "th", "td"), lambda c: inner_text(nodes, c))
-
-    def shape(table: Column) -> Column:
-        body = inside(nodes, table)
-
-        def with_head(head: Column, rows: Column) -> Column:
-            first_row = tagged(inside(nodes, first(rows)), "th", "td")
-            only_th = head.isNull() & F.forall(first_row, lambda c: c["tag"] == "th")
-            caption = first(tagged(body, "caption"))
-            data_rows = F.when(only_th, F.slice(rows, 2, F.size(rows))).otherwise(rows)
-            return F.struct(
-                F.when(head.isNotNull(), cells(head))
-                .when(only_th, cells(first(rows)))
-                .otherwise(F.array().cast(NO_STRINGS))
-                .alias("headers"),
-                F.filter(F.transform(data_rows, cells), lambda r: F.size(r) > 0).alias("rows"),
-                bind(
-                    caption, lambda c: F.when(c.isNotNull(), inner_text(nodes, c)).otherwise("")
-                ).alias("caption"),
-            )
-
-        return bind(
-            first(tagged(body, "thead")),
-            lambda head: bind(tagged(body, "tr"), lambda rows: with_head(head, rows)),
-        )
-
-    # A table without rows gives null rows, which the filter drops as well.
-    return F.filter(
-        F.transform(tagged(nodes, "table"), shape), lambda t: F.size(t["rows"]) > 0
+def tables() -> Column:
+    """Header, rows and caption of every table that has data.
+
+    Rows of a ``thead`` are headers and rows; a first row of ``th`` only is just
+    the header. A table without rows has null rows and is dropped by the filter.
+    """
+
+    def cells(row: str) -> str:
+        return f"transform({_tagged(_inside(row), 'th', 'td')}, d -> {_text('d')})"
+
+    top = _tagged(_inside("get(rows, 0)"), "th", "td")
+    only_th = f"(head IS NULL AND forall({top}, d -> d.tag = 'th'))"
+    data = f"CASE WHEN {only_th} THEN slice(rows, 2, size(rows)) ELSE rows END"
+    caption = _bind(_first(_tagged("body", "caption")), "c", _text_or_empty("c"))
+    shape = f"""struct(
+        CASE WHEN head IS NOT NULL THEN {cells('head')} WHEN {only_th} THEN {cells('get(rows, 0)')}
+             ELSE {_NO_STRINGS} END AS headers,
+        filter(transform({data}, r -> {cells('r')}), r -> size(r) > 0) AS rows,
+        {caption} AS caption)"""
+    shape = _bind(_tagged("body", "tr"), "rows", shape)
+    shape = _bind(_first(_tagged("body", "thead")), "head", shape)
+    shape = _bind(_inside("e"), "body", shape)
+    return F.expr(
+        f"filter(transform({_tagged('nodes', 'table')}, e -> {shape}), e -> size(e.rows) > 0)"
     )
 
 
-def lists(nodes: Column) -> Column:
-    found = F.transform(
-        tagged(nodes, "ul", "ol"),
-        lambda one: F.struct(
-            F.when(one["tag"] == "ol", "ordered").otherwise("unordered").alias("type"),
-            F.transform(
-                tagged(inside(nodes, one), "li"), lambda item: inner_text(nodes, item)
-            ).alias("items"),
-        ),
-    )
-    return F.filter(found, lambda one: F.size(one["items"]) > 0)
+def lists() -> Column:
+    items = f"transform({_tagged(_inside('l'), 'li')}, i -> {_text('i')})"
+    found = f"""transform({_tagged('nodes', 'ul', 'ol')}, l -> struct(
+        CASE l.tag WHEN 'ol' THEN 'ordered' ELSE 'unordered' END AS type, {items} AS items))"""
+    return F.expr(f"filter({found}, l -> size(l.items) > 0)")
 
 
-def breadcrumb(nodes: Column) -> Column:
-    def with_class(name: str) -> Column:
-        return first(
-            F.filter(
-                nodes,
-                lambda n: has_attr(n, "class") & F.array_contains(classes(n), name),
-            )
-        )
+def breadcrumb() -> Column:
+    """Labels of the first match of five selectors, tried in this order."""
 
-    trail = F.coalesce(
-        *[with_class(name) for name in BREADCRUMB_CLASSES],
-        first(F.filter(nodes, lambda n: attr(n, "aria-label") == "breadcrumb")),
-        with_class("nav-breadcrumb"),
-        first(F.filter(nodes, lambda n: attr(n, "id") == "breadcrumb")),
-    )
+    def with_class(name: str) -> str:
+        return _first(f"filter(nodes, b -> array_contains({_classes('b')}, '{name}'))")
 
-    def labels(element: Column) -> Column:
-        texts = F.transform(
-            tagged(inside(nodes, element), "a", "span"), lambda n: inner_text(nodes, n)
-        )
-        return F.coalesce(F.filter(texts, lambda t: t != ""), F.array().cast(NO_STRINGS))
+    def with_value(key: str) -> str:
+        return _first(f"filter(nodes, b -> b.attrs['{key}'] = 'breadcrumb')")
 
-    return bind(trail, labels)
+    trail = ", ".join(
+        (
+            with_class("breadcrumb"),
+            with_class("breadcrumbs"),
+            with_value("aria-label"),
+            with_class("nav-breadcrumb"),
+            with_value("id"),
+        )
+    )
+    labels = f"transform({_tagged(_inside('e'), 'a', 'span')}, a -> {_text('a')})"
+    kept = f"coalesce(filter({labels}, s -> s <> ''), {_NO_STRINGS})"
+    return F.expr(_bind(f"coalesce({trail})", "e", kept))
 
 
-def step_link(nodes: Column, words: str) -> Column:
+def step_link(words: str) -> Column:
     """Target of the first link whose only string matches ``words``."""
-    found = F.filter(tagged(nodes, "a"), lambda a: only_string(nodes, a).rlike(words))
-    return bind(
-        first(found),
-        lambda a: F.when(attr(a, "href") != "", F.coalesce(a["url"], attr(a, "href"))).otherwise(
-            ""
-        ),
-    )
+    found = f"filter({_tagged('nodes', 'a')}, a -> {_only_string('a')} RLIKE '{words}')"
+    target = f"CASE WHEN {_attr('a', 'href')} = '' THEN '' ELSE coalesce(a.url, a.attrs['href']) END"
+    return F.expr(_bind(_first(found), "a", target))
 
 
-def _meta(nodes: Column, key: str, value: str) -> Column:
-    return first(F.filter(tagged(nodes, "meta"), lambda m: m["attrs"][key] == value))
+def _meta(key: str, value: str) -> str:
+    return _first(f"filter({_tagged('nodes', 'meta')}, m -> m.attrs['{key}'] = '{value}')")
 
 
-def _meta_content(nodes: Column, key: str, value: str) -> Column:
-    return bind(_meta(nodes, key, value), lambda m: attr(m, "content"))
+def _content(key: str, value: str) -> str:
+    return _bind(_meta(key, value), "m", _attr("m", "content"))
 
 
-def seo(nodes: Column) -> Column:
-    keyword_meta = _meta(nodes, "name", "keywords")
-    canonical = first(
-        F.filter(
-            tagged(nodes, "link"), lambda n: F.array_contains(F.split(attr(n, "rel"), "\\s+"), "canonical")
-        )
-    )
-    return F.struct(
-        _meta_content(nodes, "name", "description").alias("meta_description"),
-        bind(
-            keyword_meta,
-            lambda m: F.when(
-                m.isNotNull(), F.transform(F.split(attr(m, "content"), ","), strip)
-            ).otherwise(F.array().cast(NO_STRINGS)),
-        ).alias("meta_keywords"),
-        _meta_content(nodes, "property", "og:title").alias("og_title"),
-        _meta_content(nodes, "property", "og:description").alias("og_description"),
-        _meta_content(nodes, "property", "og:image").alias("og_image"),
-        bind(canonical, lambda n: attr(n, "href")).alias("canonical_url"),
+def seo() -> Column:
+    keywords = f"transform(split({_attr('m', 'content')}, ','), k -> {_strip('k')})"
+    keywords = f"CASE WHEN m IS NULL THEN {_NO_STRINGS} ELSE {keywords} END"
+    is_canonical = f"array_contains(split({_attr('l', 'rel')}, '[{WHITESPACE}]+'), 'canonical')"
+    canonical = _first(f"filter({_tagged('nodes', 'link')}, l -> {is_canonical})")
+    return F.expr(
+        f"""struct(
+            {_content('name', 'description')} AS meta_description,
+            {_bind(_meta('name', 'keywords'), 'm', keywords)} AS meta_keywords,
+            {_content('property', 'og:title')} AS og_title,
+            {_content('property', 'og:description')} AS og_description,
+            {_content('property', 'og:image')} AS og_image,
+            {_bind(canonical, 'l', _attr('l', 'href'))} AS canonical_url)"""
     )
 
 
-def signals(nodes: Column) -> Column:
-    """Presence flags that score and accessibility need beyond the parts."""
-    return F.struct(
-        F.exists(nodes, lambda n: n["tag"] == "main").alias("has_main"),
-        F.exists(nodes, lambda n: n["tag"] == "title").alias("has_title"),
-        _meta(nodes, "name", "description").isNotNull().alias("has_description"),
-        F.forall(tagged(nodes, "img"), lambda i: attr(i, "alt") != "").alias("all_alt"),
-    )
+def has_element(tag: str) -> Column:
+    return F.expr(f"exists(nodes, n -> n.tag = '{tag}')")
+
+
+def has_description() -> Column:
+    return F.expr(f"{_meta('name', 'description')} IS NOT NULL")
+
+
+def all_images_have_alt() -> Column:
+    return F.expr(f"forall({_tagged('nodes', 'img')}, i -> {_attr('i', 'alt')} <> '')")

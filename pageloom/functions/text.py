@@ -65,14 +65,17 @@ def searchable_text(title: Column, text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case words of a text in order, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return _without_stop_words(F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), F.lit(0)))
 
 
 def index_terms(text: Column) -> Column:
     """Search terms: as ``terms``, but letters of any script, digits and ``_``."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TERM_RE), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return _without_stop_words(F.regexp_extract_all(F.lower(text), F.lit(TERM_RE), F.lit(0)))
+
+
+def _without_stop_words(words: Column) -> Column:
+    names = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return F.call_function("filter", words, F.expr(f"w -> w NOT IN ({names})"))
 
 
 def word_frequencies(words: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom import schemas
 from pageloom.functions import dom, text, urls
 from pageloom.operators.parse import parse_pages
 
@@ -46,37 +47,33 @@ def page_parts(raw: DataFrame, *keep: str, **parts: Column) -> DataFrame:
     )
 
 
-def nodes() -> Column:
-    return F.col("nodes")
-
-
 def headings(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.headings(nodes())), keep)
+    return _rows(page_parts(raw, *keep, item=dom.headings()), keep)
 
 
 def paragraphs(raw: DataFrame, *keep: str) -> DataFrame:
-    parts = page_parts(raw, *keep, item=dom.paragraphs(nodes()))
+    parts = page_parts(raw, *keep, item=dom.paragraphs())
     return parts.select(*dict.fromkeys(["url", *keep]), F.posexplode("item").alias("pos", "text"))
 
 
 def code_blocks(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.code_blocks(nodes())), keep)
+    return _rows(page_parts(raw, *keep, item=dom.code_blocks()), keep)
 
 
 def images(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.images(nodes())), keep)
+    return _rows(page_parts(raw, *keep, item=dom.images()), keep)
 
 
 def links(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.links(nodes(), F.col("url"))), keep)
+    return _rows(page_parts(raw, *keep, item=dom.links()), keep)
 
 
 def lists(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.lists(nodes())), keep)
+    return _rows(page_parts(raw, *keep, item=dom.lists()), keep)
 
 
 def tables(raw: DataFrame, *keep: str) -> DataFrame:
-    return _rows(page_parts(raw, *keep, item=dom.tables(nodes())), keep)
+    return _rows(page_parts(raw, *keep, item=dom.tables()), keep)
 
 
 def table_cells(raw: DataFrame, *keep: str) -> DataFrame:
@@ -109,11 +106,11 @@ def hrefs(parsed: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def navigation(url: Column, nodes: Column) -> Column:
+def navigation(url: Column) -> Column:
     return F.struct(
-        dom.breadcrumb(nodes).alias("breadcrumb"),
-        dom.step_link(nodes, dom.NEXT_WORDS).alias("next_page"),
-        dom.step_link(nodes, dom.PREVIOUS_WORDS).alias("prev_page"),
+        dom.breadcrumb().alias("breadcrumb"),
+        dom.step_link(dom.NEXT_WORDS).alias("next_page"),
+        dom.step_link(dom.PREVIOUS_WORDS).alias("prev_page"),
         urls.section(url).alias("section"),
         urls.subsection(url).alias("subsection"),
         urls.page_type(url).alias("page_type"),
@@ -121,63 +118,77 @@ def navigation(url: Column, nodes: Column) -> Column:
     )
 
 
-def quality_score(parts: Column, signals: Column) -> Column:
-    """Points for what a page has; the navigation bonus cannot be reached, because
-    navigation is dropped as boilerplate, so 95 is the top."""
-
-    def points(condition: Column, n: int) -> Column:
+def part_columns() -> dict[str, Column]:
+    """The page parts, one column each.
+
+    They stay separate columns until the document is put together: a column used
+    in several places is evaluated once, a struct read field by field is not.
+    """
+    return {
+        "headings": dom.headings(),
+        "paragraphs": dom.paragraphs(),
+        "code_blocks": dom.code_blocks(),
+        "images": dom.images(),
+        "links": dom.links(),
+        "tables": dom.tables(),
+        "lists": dom.lists(),
+        "has_main": dom.has_element("main"),
+        "has_title": dom.has_element("title"),
+        "has_description": dom.has_description(),
+        "all_alt": dom.all_images_have_alt(),
+        "readability": text.readability(dom.raw_text()),
+    }
+
+
+def quality_score() -> Column:
+    """Points for what a page has, from the part columns.
+
+    The navigation bonus cannot be reached, because navigation is dropped as
+    boilerplate, so 95 is the top.
+    """
+
+    def points(condition: Column | str, n: int) -> Column:
         return F.when(condition, n).otherwise(0)
 
     def some(name: str) -> Column:
-        return F.size(parts[name]) > 0
+        return F.size(name) > 0
 
-    with_alt = F.size(F.filter(parts["images"], lambda i: i["alt"] != ""))
-    words = text.word_count(F.array_join(parts["paragraphs"], " "))
+    with_alt = F.size(F.filter("images", lambda i: i["alt"] != ""))
+    body = text.bind(
+        text.word_count(F.array_join("paragraphs", " ")),
+        lambda words: F.when(words >= 300, 15).when(words >= 100, 10).otherwise(0),
+    )
     total = (
         points(some("headings"), 20)
-        + points(F.size(parts["paragraphs"]) >= 3, 15)
+        + points(F.size("paragraphs") >= 3, 15)
         + points(some("images"), 10)
         + F.least(F.lit(10), with_alt * 2)
         + points(some("links"), 10)
-        + F.when(words >= 300, 15).when(words >= 100, 10).otherwise(0)
-        + points(signals["has_main"], 5)
-        + points(signals["has_description"], 5)
-        + points(signals["has_title"], 5)
+        + body
+        + points(F.col("has_main"), 5)
+        + points(F.col("has_description"), 5)
+        + points(F.col("has_title"), 5)
     )
     return F.least(F.lit(100), total).cast("double")
 
 
-def accessibility(parts: Column, signals: Column, readability: Column) -> Column:
+def accessibility() -> Column:
     return F.struct(
-        signals["all_alt"].alias("has_alt_text"),
-        (F.size(parts["headings"]) > 0).alias("has_headings"),
+        F.col("all_alt").alias("has_alt_text"),
+        (F.size("headings") > 0).alias("has_headings"),
         F.lit("unknown").alias("color_contrast"),
-        readability.alias("readability_score"),
-    )
-
-
-def structured_data(nodes: Column, url: Column) -> Column:
-    return F.struct(
-        dom.headings(nodes).alias("headings"),
-        dom.paragraphs(nodes).alias("paragraphs"),
-        dom.code_blocks(nodes).alias("code_blocks"),
-        dom.images(nodes).alias("images"),
-        dom.links(nodes, url).alias("links"),
-        dom.tables(nodes).alias("tables"),
-        dom.lists(nodes).alias("lists"),
+        F.col("readability").alias("readability_score"),
     )
 
 
 def assemble(parsed: DataFrame) -> DataFrame:
     """Parsed responses to page documents (``schemas.PAGES``)."""
-    n, url = nodes(), F.col("url")
+    url = F.col("url")
     parts = parsed.select(
         "*",
-        dom.title(n).alias("title"),
-        dom.clean_text(n).alias("clean_text"),
-        structured_data(n, url).alias("parts"),
-        dom.signals(n).alias("signals"),
-        text.readability(dom.raw_text(n)).alias("readability"),
+        dom.title().alias("title"),
+        dom.clean_text().alias("clean_text"),
+        *[column.alias(name) for name, column in part_columns().items()],
     )
     words = text.word_count(F.col("clean_text"))
     headers = F.col("headers")
@@ -188,7 +199,7 @@ def assemble(parsed: DataFrame) -> DataFrame:
         F.struct(
             F.col("html").alias("raw_html"),
             "clean_text",
-            F.col("parts").alias("structured_data"),
+            F.struct(*schemas.STRUCTURED_DATA.names).alias("structured_data"),
             text.content_hash(F.col("clean_text")).alias("content_hash"),
             words.alias("word_count"),
             text.reading_time(words).alias("reading_time"),
@@ -209,8 +220,8 @@ def assemble(parsed: DataFrame) -> DataFrame:
             "html_lang",
             F.lit("utf-8").alias("charset"),
         ).alias("metadata"),
-        navigation(url, n).alias("navigation"),
-        dom.seo(n).alias("seo"),
+        navigation(url).alias("navigation"),
+        dom.seo().alias("seo"),
         F.struct(
             text.searchable_text(F.col("title"), F.col("clean_text")).alias("searchable_text"),
             text.keywords(F.col("clean_text")).alias("keywords"),
@@ -219,10 +230,8 @@ def assemble(parsed: DataFrame) -> DataFrame:
         ).alias("search_fields"),
         F.lit("processed").alias("status"),
         F.lit(1).alias("version"),
-        quality_score(F.col("parts"), F.col("signals")).alias("quality_score"),
-        accessibility(F.col("parts"), F.col("signals"), F.col("readability")).alias(
-            "accessibility"
-        ),
+        quality_score().alias("quality_score"),
+        accessibility().alias("accessibility"),
     )
 
 

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -64,19 +65,8 @@ PARSED = T.StructType(
     ]
 )
 
-_ARROW_NODE = pa.struct(
-    [
-        ("pos", pa.int32()),
-        ("last", pa.int32()),
-        ("parent", pa.int32()),
-        ("depth", pa.int32()),
-        ("tag", pa.string()),
-        ("attrs", pa.map_(pa.string(), pa.string())),
-        ("url", pa.string()),
-        ("text", pa.string()),
-    ]
-)
-_ARROW_HREF = pa.struct([("raw", pa.string()), ("url", pa.string())])
+_ATTRS = pa.map_(pa.string(), pa.string())
+_HREF = pa.list_(pa.struct([("raw", pa.string()), ("url", pa.string())]))
 _OUTPUT_ROWS = 200
 
 
@@ -88,38 +78,39 @@ def resolve(base: str, href: str) -> str | None:
 
 
 class NodeCollector(HTMLParser):
-    """Appends nodes while the tokenizer runs; no implied end tags."""
+    """Appends nodes, one list per field, while the tokenizer runs.
+
+    There are no implied end tags: an end tag closes everything up to the nearest
+    open element of its name, and is ignored when none is open.
+    """
 
     def __init__(self, page_url: str):
         super().__init__(convert_charrefs=False)
         self.page_url = page_url
-        self.nodes: list[dict] = []
+        self.last: list[int] = []
+        self.parent: list[int] = []
+        self.depth: list[int] = []
+        self.tag: list[str] = []
+        self.attrs: list[list] = []
+        self.url: list[str | None] = []
+        self.text: list[str | None] = []
         self.hrefs: list[dict] = []
         self.html_lang: str | None = None
         self.open: list[tuple[str, int]] = []  # (name, position or -1 when dropped)
         self.open_names: Counter = Counter()
+        self.dropping = self.hiding = self.preformatted = 0
         self.ended_void: Counter = Counter()
         self.pending: list[str] = []
 
-    def _any_open(self, names: frozenset) -> bool:
-        return any(self.open_names[n] for n in names)
-
     def _add(self, tag: str, attrs=(), url=None, text=None) -> int:
-        if self._any_open(BOILERPLATE) or tag in BOILERPLATE:
-            return -1
-        pos = len(self.nodes)
-        self.nodes.append(
-            {
-                "pos": pos,
-                "last": pos,
-                "parent": self.open[-1][1] if self.open else -1,
-                "depth": len(self.open),
-                "tag": tag,
-                "attrs": attrs,
-                "url": url,
-                "text": text,
-            }
-        )
+        pos = len(self.tag)
+        self.last.append(pos)
+        self.parent.append(self.open[-1][1] if self.open else -1)
+        self.depth.append(len(self.open))
+        self.tag.append(tag)
+        self.attrs.append(attrs)
+        self.url.append(url)
+        self.text.append(text)
         return pos
 
     def _end_text(self, tag: str = TEXT) -> None:
@@ -127,17 +118,26 @@ class NodeCollector(HTMLParser):
             return
         text = "".join(self.pending)
         self.pending.clear()
-        if not text.strip(" \t\n\r\x0b\x0c") and not self._any_open(PREFORMATTED):
+        if self.dropping:
+            return
+        if not self.preformatted and not text.strip(" \t\n\r\x0b\x0c"):
             text = "\n" if "\n" in text else " "
-        if tag == TEXT and self._any_open(HIDDEN_TEXT):
-            tag = HIDDEN
-        self._add(tag, text=text)
+        self._add(HIDDEN if tag == TEXT and self.hiding else tag, text=text)
+
+    def _count_open(self, tag: str, by: int) -> None:
+        self.open_names[tag] += by
+        if tag in BOILERPLATE:
+            self.dropping += by
+        if tag in HIDDEN_TEXT:
+            self.hiding += by
+        if tag in PREFORMATTED:
+            self.preformatted += by
 
     def _pop(self) -> str:
         name, pos = self.open.pop()
-        self.open_names[name] -= 1
+        self._count_open(name, -1)
         if pos >= 0:
-            self.nodes[pos]["last"] = len(self.nodes) - 1
+            self.last[pos] = len(self.tag) - 1
         return name
 
     def _start(self, tag: str, attrs: list) -> None:
@@ -151,10 +151,12 @@ class NodeCollector(HTMLParser):
             url = resolve(self.page_url, values["src"])
         elif tag == "html" and self.html_lang is None:
             self.html_lang = values.get("lang")
-        kept = [(k, v) for k, v in values.items() if k in KEPT_ATTRIBUTES]
-        pos = self._add(tag, kept, url)
+        pos = -1
+        if not self.dropping and tag not in BOILERPLATE:
+            kept = [(k, v) for k, v in values.items() if k in KEPT_ATTRIBUTES]
+            pos = self._add(tag, kept, url)
         self.open.append((tag, pos))
-        self.open_names[tag] += 1
+        self._count_open(tag, 1)
 
     def _end(self, tag: str) -> None:
         self._end_text()
@@ -218,33 +220,53 @@ class NodeCollector(HTMLParser):
             self._pop()
 
 
-def parse_page(url: str | None, html: str | None) -> tuple[list, list, str | None, str | None]:
+def collect_nodes(url: str | None, html: str | None) -> tuple[NodeCollector, str | None]:
+    """Nodes of one page, or an empty collector and why the page was rejected."""
     collector = NodeCollector(url or "")
     try:
         collector.feed(html or "")
         collector.finish()
     except (AssertionError, ValueError) as error:  # one bad page must not end the job
-        return [], [], None, f"{type(error).__name__}: {error}"
-    return collector.nodes, collector.hrefs, collector.html_lang, None
+        return NodeCollector(""), f"{type(error).__name__}: {error}"
+    return collector, None
+
+
+def _node_array(pages: list[NodeCollector]) -> pa.Array:
+    """The nodes of several pages as one Arrow list column, built field by field."""
+
+    def flat(field: str) -> list:
+        return list(chain.from_iterable(getattr(page, field) for page in pages))
+
+    sizes = [len(page.tag) for page in pages]
+    offsets = list(accumulate(sizes, initial=0))
+    fields = [
+        pa.array(chain.from_iterable(range(n) for n in sizes), pa.int32()),
+        pa.array(flat("last"), pa.int32()),
+        pa.array(flat("parent"), pa.int32()),
+        pa.array(flat("depth"), pa.int32()),
+        pa.array(flat("tag"), pa.string()),
+        pa.array(flat("attrs"), _ATTRS),
+        pa.array(flat("url"), pa.string()),
+        pa.array(flat("text"), pa.string()),
+    ]
+    nodes = pa.StructArray.from_arrays(fields, names=NODE.names)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, _OUTPUT_ROWS):
             batch = whole.slice(start, _OUTPUT_ROWS)
-            pages = [
-                parse_page(url, html)
-                for url, html in zip(
-                    batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True
-                )
-            ]
-            nodes, hrefs, langs, errors = zip(*pages, strict=True)
+            inputs = zip(
+                batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True
+            )
+            pages, errors = zip(*[collect_nodes(url, html) for url, html in inputs], strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
-                    pa.array(nodes, pa.list_(_ARROW_NODE)),
-                    pa.array(hrefs, pa.list_(_ARROW_HREF)),
-                    pa.array(langs, pa.string()),
+                    _node_array(pages),
+                    pa.array([page.hrefs for page in pages], _HREF),
+                    pa.array([page.html_lang for page in pages], pa.string()),
                     pa.array(errors, pa.string()),
                 ],
                 names=[*batch.schema.names, *PARSED.names],

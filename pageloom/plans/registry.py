@@ -24,7 +24,7 @@ from pageloom.operators import (
     validate,
 )
 from pageloom.plans import catalog, inputs, search
-from pageloom.session import shared_dir
+from pageloom.session import cut_lineage, shared_dir
 from pageloom.streaming import streams
 
 NOW = datetime(2024, 2, 1)
@@ -218,13 +218,13 @@ def page_digest(pages: DataFrame) -> DataFrame:
 def extract_rich_pages(spark, sf):
     """Clean text of generated pages that hold every kind of element."""
     return extract.page_parts(
-        inputs.rich_pages(spark, sf), "doc_id", clean=dom.clean_text(F.col("nodes"))
+        inputs.rich_pages(spark, sf), "doc_id", clean=dom.clean_text()
     ).select("doc_id", F.md5("clean").alias("content_hash"), text.word_count(F.col("clean")).alias("word_count"))
 
 
 @register
 def page_titles(spark, sf):
-    return extract.page_parts(inputs.pages_table(spark, sf), title=dom.title(F.col("nodes")))
+    return extract.page_parts(inputs.pages_table(spark, sf), title=dom.title())
 
 
 @register
@@ -279,7 +279,7 @@ def page_lists(spark, sf):
 @register
 def page_navigation(spark, sf):
     nav = extract.page_parts(
-        inputs.rich_pages(spark, sf), nav=extract.navigation(F.col("url"), F.col("nodes"))
+        inputs.rich_pages(spark, sf), nav=extract.navigation(F.col("url"))
     )
     return nav.select(
         "url",
@@ -295,30 +295,21 @@ def page_navigation(spark, sf):
 
 @register
 def page_seo(spark, sf):
-    seo = extract.page_parts(inputs.rich_pages(spark, sf), seo=dom.seo(F.col("nodes")))
+    seo = extract.page_parts(inputs.rich_pages(spark, sf), seo=dom.seo())
     return seo.select("url", "seo.*").withColumn(
         "meta_keywords", F.array_join("meta_keywords", "|")
     )
 
 
 def _scored(pages: DataFrame) -> DataFrame:
-    n = F.col("nodes")
-    return extract.page_parts(
-        pages,
-        parts=extract.structured_data(n, F.col("url")),
-        signals=dom.signals(n),
-        readability=text.readability(dom.raw_text(n)),
-    )
+    return extract.page_parts(pages, **extract.part_columns())
 
 
 @register
 def page_accessibility(spark, sf):
-    parts, signals = F.col("parts"), F.col("signals")
     return (
         _scored(inputs.rich_pages(spark, sf))
-        .select(
-            "url", extract.accessibility(parts, signals, F.col("readability")).alias("a")
-        )
+        .select("url", extract.accessibility().alias("a"))
         .select(
             "url",
             "a.has_alt_text",
@@ -332,7 +323,7 @@ def page_accessibility(spark, sf):
 @register
 def quality_score(spark, sf):
     return _scored(inputs.rich_pages(spark, sf)).select(
-        "url", extract.quality_score(F.col("parts"), F.col("signals")).alias("quality_score")
+        "url", extract.quality_score().alias("quality_score")
     )
 
 
@@ -410,12 +401,15 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     first_seen = hrefs.groupBy("job_id", "depth", "page_id", "url", "href").agg(
         F.min("pos").alias("pos")
     )
-    return first_seen.select(
-        "job_id",
-        F.col("href").alias("url"),
-        F.col("url").alias("parent_url"),
-        "depth",
-        (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
+    # Three branches read the links, so pages are parsed once and the links written.
+    return cut_lineage(
+        first_seen.select(
+            "job_id",
+            F.col("href").alias("url"),
+            F.col("url").alias("parent_url"),
+            "depth",
+            (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
+        )
     )
 
 
@@ -515,7 +509,7 @@ def error_log(spark, sf):
 
 @register
 def validate_links(spark, sf):
-    found = extract.links(inputs.rich_pages(spark, sf))
+    found = cut_lineage(extract.links(inputs.rich_pages(spark, sf)))
     return links.validate_links(found, inputs.link_checks(found)).select(
         "url", "pos", "href", "status"
     )
@@ -712,7 +706,7 @@ def _rollup(pages: DataFrame) -> DataFrame:
 @register
 def site_rollup(spark, sf):
     """The roll-up over the crawled pages, scored by the words of their titles."""
-    pages = extract.page_parts(inputs.pages_table(spark, sf), title=dom.title(F.col("nodes")))
+    pages = extract.page_parts(inputs.pages_table(spark, sf), title=dom.title())
     url = F.col("url")
     return _rollup(
         pages.select(

@@ -33,8 +33,11 @@ def search_terms(q: str) -> SearchTerms:
 
 
 def _whole_words(words: tuple[str, ...]) -> str:
+    """Any of the words, standing alone. The word is tried before what surrounds it,
+    which keeps the scan of a text cheap."""
     options = "|".join(re.escape(w) for w in words)
-    return f"(?<![\\p{{L}}\\p{{N}}_])(?:{options})(?![\\p{{L}}\\p{{N}}_])"
+    letter = "[\\p{L}\\p{N}_]"
+    return f"(?:{options})(?!{letter})(?<!{letter}(?:{options}))"
 
 
 def _fields() -> list[Column]:
@@ -63,7 +66,10 @@ def search_matches(
     lowered = [F.lower(f) for f in _fields()]
     any_of = F.lit(_whole_words(wanted.any_of))
     score = sum((F.regexp_count(f, any_of) for f in lowered), start=F.lit(0))
-    hits = pages.withColumn("score", score).where(F.col("score") > 0)
+    # The exploded array holds the score or nothing. A filter on a computed column
+    # would be pushed below it and scan every text twice.
+    hit = F.explode(F.filter(F.array(score), lambda s: s > 0))
+    hits = pages.select("*", hit.alias("score"))
     for phrase in wanted.phrases:
         hits = hits.where(
             F.contains(lowered[0], F.lit(phrase)) | F.contains(lowered[1], F.lit(phrase))
