@@ -33,18 +33,12 @@ def dedup_content(pages: DataFrame) -> DataFrame:
 def latest_per_url(batch: DataFrame) -> DataFrame:
     """One row per url of a batch: the newest, content hash as tie-break.
 
-    Exact repeats are combined on the map side first. The newest key per url is
-    then found on narrow rows, and the join back is on the key the wide rows are
-    already partitioned by, so those move once.
+    An aggregate combines copies of a url before the shuffle, and its result is
+    partitioned by url, as the joins that follow need it.
     """
-    order = F.struct(F.col("metadata.scraped_at").alias("at"), F.col(HASH).alias("hash"))
-    keyed = batch.withColumn("newest", order)
-    newest = keyed.groupBy("url").agg(F.max("newest").alias("newest"))
-    return (
-        keyed.dropDuplicates(["url", "newest"])
-        .join(newest, ["url", "newest"], "left_semi")
-        .drop("newest")
-    )
+    values = F.struct(*[c for c in batch.columns if c != "url"])
+    newest = F.max_by(values, F.struct("metadata.scraped_at", HASH))
+    return batch.groupBy("url").agg(newest.alias("row")).select("url", "row.*")
 
 
 def changed_pages(batch: DataFrame, current: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.joins import salted_join
+from pageloom.operators.joins import BROADCAST_ROWS, matching, salted_join
 from pageloom.session import cut_lineage
 
 DEFAULT_MAX_DEPTH = 10
@@ -145,26 +145,33 @@ def crawl_closure(
 ) -> DataFrame:
     """Nodes reachable from ``seeds(node)`` over ``edges(src, dst)``, with first depth.
 
-    One level per round: frontier joined to edges, reduced to distinct targets,
-    less what was reached before. Each level is checkpointed, so neither plan nor
-    recovery grows with depth. The frontier has unique nodes, so edges of a node
-    with very many links are salted, not gathered.
+    One level per round: edges that leave the frontier, reduced to distinct
+    targets, less what was reached before. Each level is checkpointed, so neither
+    plan nor recovery grows with depth. Levels are counted, and only a level of
+    limited size is broadcast; a larger frontier meets the edges in a salted join,
+    which splits the edges of a node that has very many.
     """
     level = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    levels, depth = [level], 0
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+    levels, depth, size = [level], 0, level.count()
+    total = size
+    while size and (max_depth is None or depth < max_depth):
         depth += 1
-        reached = reduce(DataFrame.unionAll, levels)
         sources = level.select(F.col("node").alias("src"))
         targets = (
-            salted_join(edges.select("src", "dst"), sources, ["src"], F.col("dst"), how="left_semi")
+            matching(edges.select("src", "dst"), sources, size, ["src"], "left_semi", F.col("dst"))
             .select(F.col("dst").alias("node"))
             .distinct()
         )
-        level = cut_lineage(
-            targets.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
+        reached = reduce(DataFrame.unionAll, levels).select("node")
+        new = (
+            targets.join(F.broadcast(reached), "node", "left_anti")
+            if total <= BROADCAST_ROWS
+            else targets.join(reached, "node", "left_anti")
         )
+        level = cut_lineage(new.withColumn("depth", F.lit(depth)))
         levels.append(level)
+        size = level.count()
+        total += size
     return reduce(DataFrame.unionAll, levels)
 
 

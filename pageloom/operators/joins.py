@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+# Most rows that are sent to every task; of keys up to 2 kB, that is 100 MB at worst.
+BROADCAST_ROWS = 50_000
 _SALT = "__salt"
 
 
@@ -27,3 +29,14 @@ def salted_join(
     salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = unique.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, _SALT], how).drop(_SALT)
+
+
+def matching(rows: DataFrame, keys: DataFrame, size: int, on: list[str], how: str, spread_by: Column) -> DataFrame:
+    """Semi or anti join with a table of unique keys of known ``size``.
+
+    A small table goes to every task and ``rows`` stay where they are; a larger one
+    is joined with salted keys.
+    """
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    return salted_join(rows, keys, on, spread_by, how=how)

@@ -35,10 +35,11 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift_raw_pages(pages_table(spark, sf_dir))
 
 
-def lift_raw_pages(pages: DataFrame) -> DataFrame:
+def lift_raw_pages(pages: DataFrame, *extra: str) -> DataFrame:
     """Page rows (page_id, url, html) as fetched responses, batch or streaming."""
     pid = F.col("page_id")
     return pages.select(
+        *extra,
         "url",
         "html",
         F.when(pid % 20 == 0, 404).when(pid % 20 == 1, 500).otherwise(200).alias("status_code"),

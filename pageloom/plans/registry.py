@@ -87,9 +87,9 @@ def route_responses(spark, sf):
 
 @register
 def upsert_pages(spark, sf):
-    return dedup.upsert_pages(
-        inputs.page_docs(spark, sf), inputs.page_docs_next(spark, sf)
-    ).select(
+    stored = inputs.page_docs(spark, sf).drop("search_fields")
+    crawled = inputs.page_docs_next(spark, sf).drop("search_fields")
+    return dedup.upsert_pages(stored, crawled).select(
         "url",
         "version",
         F.col("content.content_hash").alias("content_hash"),
@@ -394,9 +394,7 @@ def page_metadata(spark, sf):
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Links of pages above the depth limit, in page and link order."""
-    pages = inputs.raw_pages(spark, sf).join(
-        inputs.pages_table(spark, sf).select("url", "page_id"), "url"
-    )
+    pages = inputs.lift_raw_pages(inputs.pages_table(spark, sf), "page_id")
     hrefs = extract.discovered_hrefs(pages, "job_id", "depth", "page_id")
     first_seen = hrefs.groupBy("job_id", "depth", "page_id", "url", "href").agg(
         F.min("pos").alias("pos")
@@ -462,7 +460,7 @@ def seed_urls(spark, sf):
 @register
 def crawl_closure(spark, sf):
     seeds = spark.range(2).withColumnRenamed("id", "node")
-    return frontier.crawl_closure(inputs.edges(spark, sf), seeds)
+    return frontier.crawl_closure(cut_lineage(inputs.edges(spark, sf)), seeds)
 
 
 @register
