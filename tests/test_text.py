@@ -79,7 +79,7 @@ def test_documents(spark):
 
 
 def test_stop_words():
-    assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 92
+    assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 74
 
 
 def test_every_white_space_is_stripped(spark):
