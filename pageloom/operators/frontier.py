@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.joins import BROADCAST_ROWS, matching, salted_join
+from pageloom.operators.joins import BROADCAST_ROWS, hot_keys, hottest, lookup, salted_join
 from pageloom.session import cut_lineage
 
 DEFAULT_MAX_DEPTH = 10
@@ -22,42 +22,45 @@ def excluded(url: Column, patterns: Sequence[str]) -> Column:
     return urls.matches_any(url, patterns)
 
 
-def host_rules(rules: DataFrame, agent: str) -> DataFrame:
-    """One row per host: the rules that apply to ``agent``, in file order.
+def first_rules(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules that can decide for ``agent``: the first one per host and prefix.
 
-    A group that names the agent replaces the ``*`` group. Only the first rule of
-    a prefix can win, so repeated prefixes are reduced before the array is built;
-    what is left is bounded by the size limit of a robots file.
+    A group that names the agent replaces the ``*`` group of its host.
     """
     name = agent.split("/")[0].lower()
     token = F.lower(F.col("agent"))
     named = (token != "*") & F.contains(F.lit(name), token)
-    firsts = (
+    return (
         rules.where(named | (token == "*"))
         .groupBy("host", named.alias("named"), "path_prefix")
         .agg(F.min(F.struct("seq", "allow")).alias("rule"))
         .select("host", "named", "rule.seq", "path_prefix", "rule.allow")
     )
-    return (
-        firsts.groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("named", "seq", "path_prefix", "allow"))).alias("all"))
-        .select(
-            F.col("host").alias("netloc"),
-            F.when(
-                F.exists("all", lambda r: r["named"]), F.filter("all", lambda r: r["named"])
-            )
-            .otherwise(F.col("all"))
-            .alias("rules"),
-        )
+
+
+def host_rules(firsts: DataFrame) -> DataFrame:
+    """One row per host with its rules in file order.
+
+    Repeated prefixes are gone by now, so an array is bounded by what fits in one
+    robots file.
+    """
+    rule = F.struct("named", "seq", "path_prefix", "allow")
+    groups = firsts.groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("all"))
+    named = F.filter("all", lambda r: r["named"])
+    return groups.select(
+        F.col("host").alias("netloc"),
+        F.when(F.size(named) > 0, named).otherwise(F.col("all")).alias("rules"),
     )
 
 
 def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """Add ``robots_ok``: the first rule whose prefix fits decides, else allowed."""
+    firsts = first_rules(rules, agent)
     target = urls.after_netloc(F.col("url"))
-    joined = salted_join(
+    joined = lookup(
         rows.withColumn("netloc", urls.netloc(F.col("url"))),
-        host_rules(rules, agent),
+        host_rules(firsts),
+        firsts.count(),
         ["netloc"],
         F.col("url"),
     )
@@ -72,36 +75,71 @@ def followed(links: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
     return links.where(F.col("depth") < max_depth).withColumn("depth", F.col("depth") + 1)
 
 
-def enqueue_outcomes(
+QUEUE_KEY = ["job_id", "normalized_url"]
+
+
+def _checked(
+    candidates: DataFrame, robots: DataFrame | None, agent: str, excluded_patterns: Sequence[str]
+) -> DataFrame:
+    rows = candidates.withColumn("normalized_url", urls.normalize_url(F.col("url")))
+    rows = (
+        robots_allowed(rows, robots, agent)
+        if robots is not None
+        else rows.withColumn("robots_ok", F.lit(True))
+    )
+    return rows.withColumn("is_excluded", excluded(F.col("url"), excluded_patterns))
+
+
+def enqueue(
     candidates: DataFrame,
     known: DataFrame,
     robots: DataFrame | None = None,
     agent: str = "*",
     excluded_patterns: Sequence[str] = (),
 ) -> DataFrame:
-    """Decide every candidate (job_id, url, parent_url, depth, seq, …).
+    """The candidates (job_id, url, parent_url, depth, seq) that enter the queue.
 
-    Outcomes: ``duplicate`` (known, or after the row that was queued), ``robots``,
-    ``excluded``, ``queued``. ``seq`` is the order of arrival within a job.
-
-    The row that is queued per (job, normalized url) is found by an aggregate,
-    which combines on the map side, and only that one-row-per-key result meets the
-    queue; candidates then look up their key in a salted join. No step puts all
-    copies of one url into one task.
+    Per (job, normalized url) that is the first permitted one, by ``seq``, unless the
+    key is known. It is found by an aggregate, which combines on the map side, and
+    only the one-per-key result meets the queue: no url is hot in any step.
     """
-    keys = ["job_id", "normalized_url"]
-    rows = candidates.withColumn("normalized_url", urls.normalize_url(F.col("url")))
-    rows = (
-        robots_allowed(rows, robots, agent)
-        if robots is not None
-        else rows.withColumn("robots_ok", F.lit(True))
+    rows = _checked(candidates, robots, agent, excluded_patterns)
+    firsts = (
+        rows.where(F.col("robots_ok") & ~F.col("is_excluded"))
+        .groupBy(*QUEUE_KEY)
+        .agg(F.min(F.struct("seq", "url", "parent_url", "depth")).alias("first"))
+        .select(*QUEUE_KEY, "first.*")
     )
-    rows = rows.withColumn("is_excluded", excluded(F.col("url"), excluded_patterns))
+    return firsts.join(known.select(*QUEUE_KEY), QUEUE_KEY, "left_anti")
+
+
+def enqueue_outcomes(
+    candidates: DataFrame,
+    known: DataFrame,
+    robots: DataFrame | None = None,
+    agent: str = "*",
+    excluded_patterns: Sequence[str] = (),
+) -> DataFrame:
+    """What became of every candidate, for the job counters.
+
+    Outcomes: ``duplicate`` (known, or later than the row that was queued),
+    ``robots``, ``excluded``, ``queued``. Candidates are read twice, so they should
+    be a stored table. Keys with very many candidates are split in the join back.
+    """
+    rows = _checked(candidates, robots, agent, excluded_patterns)
     usable = F.col("robots_ok") & ~F.col("is_excluded")
-    per_key = rows.groupBy(*keys).agg(F.min(F.when(usable, F.col("seq"))).alias("queued_seq"))
-    marked = known.select(*keys).distinct().withColumn("is_known", F.lit(True))
-    per_key = per_key.join(marked, keys, "left")
-    decided = salted_join(rows, per_key, keys, F.col("seq"))
+    per_key = rows.groupBy(*QUEUE_KEY).agg(
+        F.min(F.when(usable, F.col("seq"))).alias("queued_seq"), F.count("*").alias("n")
+    )
+    marked = known.select(*QUEUE_KEY).distinct().withColumn("is_known", F.lit(True))
+    hot = hottest(per_key, QUEUE_KEY)
+    decided = salted_join(
+        rows,
+        per_key.drop("n").join(marked, QUEUE_KEY, "left"),
+        QUEUE_KEY,
+        hot,
+        F.col("seq"),
+    )
     return decided.withColumn(
         "outcome",
         F.when(F.col("is_known"), "duplicate")
@@ -113,10 +151,10 @@ def enqueue_outcomes(
 
 
 def queue_rows(
-    outcomes: DataFrame, now: datetime, priority: int = 2, method: str = "manual"
+    entering: DataFrame, now: datetime, priority: int = 2, method: str = "manual"
 ) -> DataFrame:
-    """The rows to append to ``url_queue``."""
-    return outcomes.where(F.col("outcome") == "queued").select(
+    """Candidates that enter the queue as rows of ``url_queue``."""
+    return entering.select(
         "url",
         "normalized_url",
         F.lit("pending").alias("status"),
@@ -151,14 +189,18 @@ def crawl_closure(
     limited size is broadcast; a larger frontier meets the edges in a salted join,
     which splits the edges of a node that has very many.
     """
+    links = edges.select("src", "dst")
+    hot = None
     level = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     levels, depth, size = [level], 0, level.count()
     total = size
     while size and (max_depth is None or depth < max_depth):
         depth += 1
+        if size > BROADCAST_ROWS and hot is None:
+            hot = cut_lineage(hot_keys(links, ["src"]))
         sources = level.select(F.col("node").alias("src"))
         targets = (
-            matching(edges.select("src", "dst"), sources, size, ["src"], "left_semi", F.col("dst"))
+            lookup(links, sources, size, ["src"], F.col("dst"), "left_semi", hot)
             .select(F.col("dst").alias("node"))
             .distinct()
         )

@@ -5,38 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-# Most rows that are sent to every task; of keys up to 2 kB, that is 100 MB at worst.
+# A key with more rows than this is spread over ``SALTS`` tasks.
+HOT_ROWS = 1_000_000
+SALTS = 256
+# Most rows of a table that is sent to every task. Keys are urls, hosts or ids of at
+# most 2 kB, so 100 MB is the worst case.
 BROADCAST_ROWS = 50_000
-_SALT = "__salt"
+
+_N, _HOT, _SALT = "__n", "__hot", "__salt"
+
+
+def hottest(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """The keys to split, from a table of keys and their row counts.
+
+    At most ``BROADCAST_ROWS`` of them, the largest ones: any further key holds less
+    than rows / ``BROADCAST_ROWS`` rows, which one task can take.
+    """
+    hot = counts.where(F.col(n) > HOT_ROWS)
+    return hot.orderBy(F.desc(n)).limit(BROADCAST_ROWS).select(*on)
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The keys of ``rows`` to split; the counts are combined on the map side."""
+    return hottest(rows.groupBy(*on).agg(F.count("*").alias(_N)), on, _N)
 
 
 def salted_join(
     rows: DataFrame,
     unique: DataFrame,
     on: list[str],
+    hot: DataFrame,
     spread_by: Column,
     how: str = "left",
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join many-per-key ``rows`` to a one-per-key table, ``salts`` tasks per key.
+    """Join many-per-key ``rows`` to a one-per-key table, splitting the ``hot`` keys.
 
-    The salt is a hash of row content, not a random number, so a task that is run
-    again after a lost executor sends its rows to the same place. AQE still turns
-    the join into a broadcast when ``unique`` turns out small, and splits further
-    what is still skewed.
+    Only rows of hot keys get a salt, and only hot keys are copied on the unique
+    side, so all others are joined as usual. The salt is a hash of row content, not
+    a random number: a task run again after a lost executor sends its rows to the
+    same place.
     """
-    salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = unique.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marks = F.broadcast(hot.select(*on).withColumn(_HOT, F.lit(True)))
+    salt = F.when(F.col(_HOT), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(0)
+    copy = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.join(marks, on, "left").withColumn(_SALT, salt.cast("int")).drop(_HOT)
+    copies = unique.join(marks, on, "left").withColumn(_SALT, F.explode(copy)).drop(_HOT)
     return salted.join(copies, [*on, _SALT], how).drop(_SALT)
 
 
-def matching(rows: DataFrame, keys: DataFrame, size: int, on: list[str], how: str, spread_by: Column) -> DataFrame:
-    """Semi or anti join with a table of unique keys of known ``size``.
+def lookup(
+    rows: DataFrame,
+    unique: DataFrame,
+    size: int,
+    on: list[str],
+    spread_by: Column,
+    how: str = "left",
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Join ``rows`` to a one-per-key table of known ``size``.
 
     A small table goes to every task and ``rows`` stay where they are; a larger one
-    is joined with salted keys.
+    is met in a salted join.
     """
     if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys), on, how)
-    return salted_join(rows, keys, on, spread_by, how=how)
+        return rows.join(F.broadcast(unique), on, how)
+    return salted_join(rows, unique, on, hot_keys(rows, on) if hot is None else hot, spread_by, how)

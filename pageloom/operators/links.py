@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.operators.joins import salted_join
+from pageloom.operators.joins import hottest, lookup, salted_join
 
 
 def follow_rules(hrefs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def allowed_links_by_table(hrefs: DataFrame, domains: DataFrame) -> DataFrame:
     """As ``allowed_links`` with a table of domains of any size."""
     names = domains.select(F.col("domain").alias("netloc")).distinct()
     rows = follow_rules(hrefs).withColumn("netloc", urls.netloc(F.col("href")))
-    return salted_join(rows, names, ["netloc"], F.col("href"), how="left_semi").drop("netloc")
+    joined = lookup(rows, names, names.count(), ["netloc"], F.col("href"), how="left_semi")
+    return joined.drop("netloc")
 
 
 def discover_links(hrefs: DataFrame, domains: Sequence[str], *keys: str) -> DataFrame:
@@ -41,11 +42,15 @@ def validate_links(links: DataFrame, checks: DataFrame) -> DataFrame:
     A check without a status failed to connect; a link without a check stays
     pending. Checks are reduced to one per link first (the best answer wins).
     """
-    latest = checks.groupBy("href").agg(
+    answers = checks.groupBy("href").agg(
         F.min(F.coalesce("status_code", F.lit(999))).alias("status_code")
     )
+    # One row per linked href with its number of links: both sides of the first join
+    # are unique, and the counts say which hrefs the second join has to split.
+    linked = links.groupBy("href").agg(F.count("*").alias("n")).join(answers, "href")
+    hot = hottest(linked, ["href"])
     return salted_join(
-        links.drop("status"), latest, ["href"], F.struct("url", "pos"), how="left"
+        links.drop("status"), linked.drop("n"), ["href"], hot, F.struct("url", "pos")
     ).withColumn(
         "status",
         F.when(F.col("status_code").isNull(), "pending")

@@ -411,20 +411,20 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _enqueued(spark: SparkSession, sf: str) -> DataFrame:
+def _queue_inputs(spark: SparkSession, sf: str) -> tuple:
+    """Links one level down, what the queue holds (links of the deepest pages), rules."""
     rows = _candidates(spark, sf)
     known = rows.where(F.col("depth") == 3).select(
         "job_id", urls.normalize_url(F.col("url")).alias("normalized_url")
     )
     rules = inputs.robots_rules(spark, sf, inputs.first_link_prefix())
-    return frontier.enqueue_outcomes(
-        frontier.followed(rows, max_depth=3), known, rules, AGENT, EXCLUDED
-    )
+    return frontier.followed(rows, max_depth=3), known, rules, AGENT, EXCLUDED
 
 
 @register
 def enqueue_links(spark, sf):
-    return frontier.queue_rows(_enqueued(spark, sf), NOW).select(
+    entering = frontier.enqueue(*_queue_inputs(spark, sf))
+    return frontier.queue_rows(entering, NOW).select(
         "url",
         "normalized_url",
         "status",
@@ -439,7 +439,8 @@ def enqueue_links(spark, sf):
 
 @register
 def enqueue_outcomes(spark, sf):
-    return _enqueued(spark, sf).groupBy("job_id", "outcome").agg(F.count("*").alias("urls"))
+    outcomes = frontier.enqueue_outcomes(*_queue_inputs(spark, sf))
+    return outcomes.groupBy("job_id", "outcome").agg(F.count("*").alias("urls"))
 
 
 @register
@@ -451,8 +452,8 @@ def seed_urls(spark, sf):
         F.col("event_id").alias("seq"),
     )
     none = inputs.url_queue(spark, sf).where(F.lit(False))
-    queued = frontier.enqueue_outcomes(frontier.seed_candidates(starts), none)
-    return frontier.queue_rows(queued, NOW, priority=1).select(
+    entering = frontier.enqueue(frontier.seed_candidates(starts), none)
+    return frontier.queue_rows(entering, NOW, priority=1).select(
         "job_id", "url", "normalized_url", "priority", "depth"
     )
 

@@ -36,37 +36,35 @@ def append_versions(pages: DataFrame, batch_id: int, log_path: str) -> None:
     pages. A batch that is replayed overwrites its own folder.
     """
     spark = pages.sparkSession
-    batch = latest_per_url(pages)
-    earlier = _log(spark, log_path, batch_id)
-    if earlier is not None:
-        heads = earlier.groupBy("url").agg(
-            F.max(
-                F.struct(
-                    "version",
-                    F.col("content.content_hash").alias("hash"),
-                    F.col("metadata.scraped_at").alias("first_seen"),
-                )
-            ).alias("head")
-        )
-        joined = batch.join(heads, "url", "left")
-        changed = joined.where(
-            F.col("head").isNull() | (F.col("head.hash") != F.col("content.content_hash"))
-        )
-        batch = changed.select(
-            *[
-                {
-                    "version": F.coalesce(F.col("head.version") + 1, F.col("version")),
-                    "metadata": F.col("metadata").withField(
-                        "scraped_at",
-                        F.coalesce("head.first_seen", "metadata.scraped_at"),
-                    ),
-                }
-                .get(name, F.col(name))
-                .alias(name)
-                for name in pages.columns
-            ]
-        )
-    batch.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+    # Persisted because two branches read it; parsing is the costly part of a batch.
+    batch = latest_per_url(pages).persist()
+    try:
+        earlier = _log(spark, log_path, batch_id)
+        new = batch if earlier is None else _changed(batch, earlier)
+        new.select(*pages.columns).write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def _changed(batch: DataFrame, log: DataFrame) -> DataFrame:
+    """Pages of a batch that differ from their newest version in the log."""
+    head = F.struct(
+        "version",
+        F.col("content.content_hash").alias("hash"),
+        F.col("metadata.scraped_at").alias("first_seen"),
+    )
+    heads = (
+        log.join(batch.select("url"), "url", "left_semi")
+        .groupBy("url")
+        .agg(F.max(head).alias("head"))
+    )
+    joined = batch.join(heads, "url", "left")
+    first_seen = F.coalesce("head.first_seen", "metadata.scraped_at")
+    return (
+        joined.where(F.col("head").isNull() | (F.col("head.hash") != F.col("content.content_hash")))
+        .withColumn("version", F.coalesce(F.col("head.version") + 1, F.col("version")))
+        .withColumn("metadata", F.col("metadata").withField("scraped_at", first_seen))
+    )
 
 
 def current_pages(spark: SparkSession, log_path: str) -> DataFrame:

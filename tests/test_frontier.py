@@ -66,7 +66,8 @@ def brute_force(candidates, known, banned):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_enqueue_against_brute_force(spark, hot):
+def test_enqueue_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     rng = random.Random(7)
     names = ["u%d" % i for i in range(20)] + ["U%d" % i for i in range(20)]
     candidates = [
@@ -80,12 +81,15 @@ def test_enqueue_against_brute_force(spark, hot):
         for seq in range(400)
     ]
     known = [("j0", "http://a.com/u3"), ("j1", "http://a.com/u4")]
-    outcomes = frontier.enqueue_outcomes(
+    given = (
         spark.createDataFrame(candidates, CANDIDATES),
         spark.createDataFrame(known, "job_id string, normalized_url string"),
-        excluded_patterns=("U[0-7]$", "u9"),
     )
+    patterns = ("U[0-7]$", "u9")
+    outcomes = frontier.enqueue_outcomes(*given, excluded_patterns=patterns)
     got = {r.seq: r.outcome for r in outcomes.collect()}
+    entering = frontier.enqueue(*given, excluded_patterns=patterns).collect()
+    assert {r.seq for r in entering} == {s for s, o in got.items() if o == "queued"}
     banned = [f"U{i}" for i in range(8)] + ["u9"]
     # U1 is also a prefix of U10..U19, which the anchored pattern does not exclude.
     expected = brute_force(
@@ -101,9 +105,10 @@ def test_enqueue_twice_adds_nothing(spark):
     rows = [("j", f"http://a.com/{i % 5}", None, 1, i) for i in range(12)]
     candidates = spark.createDataFrame(rows, CANDIDATES)
     none = spark.createDataFrame([], "job_id string, normalized_url string")
-    first = frontier.queue_rows(frontier.enqueue_outcomes(candidates, none), NOW)
+    first = frontier.queue_rows(frontier.enqueue(candidates, none), NOW)
     assert first.count() == 5
     assert first.schema.names == [n for n in schemas.URL_QUEUE.names]
+    assert frontier.enqueue(candidates, first).isEmpty()
     again = frontier.enqueue_outcomes(candidates, first)
     assert [r.outcome for r in again.select("outcome").distinct().collect()] == ["duplicate"]
 
@@ -129,6 +134,7 @@ def reach(edges, seeds, limit):
 @pytest.mark.parametrize("broadcast_rows", [0, 50_000])
 def test_closure_against_brute_force(spark, monkeypatch, limit, broadcast_rows):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
     monkeypatch.setattr(frontier, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(3)
     # Node 0 has a third of all links out, node 9 a third of all links in.
@@ -203,7 +209,9 @@ def test_allowed_domains_from_a_table(spark):
     assert sorted(by_table.collect()) == sorted(by_list.collect())
 
 
-def test_link_validation_keeps_order(spark):
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_link_validation_keeps_order(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     rows = [("p", i, f"h{i % 4}", "t", "", "internal", "pending") for i in range(8)]
     found = spark.createDataFrame(
         rows, "url string, pos int, href string, text string, title string, type string, status string"
@@ -216,9 +224,26 @@ def test_link_validation_keeps_order(spark):
     assert [x.status for x in done][:4] == ["valid", "broken", "broken", "pending"]
 
 
-def test_salted_join_equals_plain_join(spark):
-    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
-    unique = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    plain = rows.join(unique, "k", "left").select("k", "id", "v")
-    salted = joins.salted_join(rows, unique, ["k"], F.col("id")).select("k", "id", "v")
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "HOT_ROWS", 300)
+    rows = spark.range(1000).select(F.least(F.lit(4), F.col("id") % 9).alias("k"), "id")
+    unique = spark.createDataFrame([(0, "a"), (4, "b")], "k long, v string")
+    hot = joins.hot_keys(rows, ["k"])
+    assert [r.k for r in hot.collect()] == [4]
+    plain = rows.join(unique, "k", how)
+    salted = joins.salted_join(rows, unique, ["k"], hot, F.col("id"), how)
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 50_000])
+def test_robots_by_either_join(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    # With a limit of 0 no key is marked hot, and the join is an ordinary one.
+    rules = spark.createDataFrame(RULES, schemas.ROBOTS_RULES)
+    rows = spark.range(40).select(
+        F.concat(F.lit("http://a.com/"), F.when(F.col("id") % 2 == 0, "shut").otherwise("x"), "id").alias("url")
+    )
+    got = frontier.robots_allowed(rows, rules, "loom").collect()
+    assert all(r.robots_ok != ("shut" in r.url) for r in got) and len(got) == 40
