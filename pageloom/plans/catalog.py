@@ -142,29 +142,20 @@ def section_rollup(pages: DataFrame) -> DataFrame:
     groups = pages.groupBy(_section(), _subsection()).agg(
         F.count("*").alias("page_count"), F.sum("quality_score").alias("quality")
     )
+    # Every group feeds its section, and its own line when it has a name. The second
+    # aggregate runs on groups, so pages are read and shuffled once.
     named = F.col("subsection") != ""
-    sections = groups.groupBy("section").agg(
-        F.lit("section").alias("level"),
-        F.lit("").alias("subsection"),
-        F.sum("page_count").alias("page_count"),
-        F.sum("quality").alias("quality"),
-        F.count_if(named).alias("subsections"),
-    )
-    subsections = groups.where(named).select(
-        "section",
-        F.lit("subsection").alias("level"),
-        "subsection",
-        "page_count",
-        "quality",
-        F.lit(0).cast("long").alias("subsections"),
-    )
-    return sections.unionByName(subsections).select(
-        "level",
-        "section",
-        "subsection",
-        "page_count",
-        (F.col("quality") / F.col("page_count")).alias("avg_quality"),
-        "subsections",
+    section_line = F.struct(F.lit("section").alias("level"), F.lit("").alias("name"))
+    own_line = F.struct(F.lit("subsection").alias("level"), F.col("subsection").alias("name"))
+    lines = F.when(named, F.array(section_line, own_line)).otherwise(F.array(section_line))
+    return (
+        groups.select("section", "page_count", "quality", named.alias("named"), F.explode(lines).alias("line"))
+        .groupBy("line.level", "section", F.col("line.name").alias("subsection"))
+        .agg(
+            F.sum("page_count").alias("page_count"),
+            (F.sum("quality") / F.sum("page_count")).alias("avg_quality"),
+            F.count_if(F.col("named") & (F.col("line.level") == "section")).alias("subsections"),
+        )
     )
 
 

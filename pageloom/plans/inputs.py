@@ -138,12 +138,29 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as stored pages; title is the first line, score 60 x label + length."""
-    return _as_pages(labelled_documents(spark, sf_dir), text_added="")
+    docs = labelled_documents(spark, sf_dir)
+    return _as_pages(docs.withColumn("added", F.struct(F.lit("").alias("text"), F.lit("").alias("url"))))
+
+
+def page_docs_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next crawl: English and French pages changed, German ones the same,
+    Spanish ones not fetched again, and every English page has a new sibling."""
+
+    def added(text_added: str, url_added: str = "") -> Column:
+        return F.struct(F.lit(text_added).alias("text"), F.lit(url_added).alias("url"))
+
+    fetched = (
+        F.when(F.col("lang") == "en", F.array(added(" updated"), added("", "/new")))
+        .when(F.col("lang") == "fr", F.array(added(" updated")))
+        .when(F.col("lang") == "de", F.array(added("")))
+    )
+    docs = labelled_documents(spark, sf_dir)
+    return _as_pages(docs.withColumn("added", F.explode(fetched)), delay=5000)
 
 
-def _as_pages(docs: DataFrame, text_added: str, url_added: str = "", delay: int = 0) -> DataFrame:
+def _as_pages(docs: DataFrame, delay: int = 0) -> DataFrame:
     doc_id = F.col("doc_id")
-    url = F.concat(doc_url(F.col("lang"), F.col("source"), doc_id), F.lit(url_added))
+    url = F.concat(doc_url(F.col("lang"), F.col("source"), doc_id), F.col("added.url"))
     at = _minutes_after_epoch(doc_id % 1000 + delay)
     base = docs.select(
         "doc_id",
@@ -152,7 +169,7 @@ def _as_pages(docs: DataFrame, text_added: str, url_added: str = "", delay: int
         "n_chars",
         url.alias("url"),
         at.alias("at"),
-        F.concat("text", F.lit(text_added)).alias("clean_text"),
+        F.concat("text", F.col("added.text")).alias("clean_text"),
     )
     clean, words = F.col("clean_text"), text.word_count(F.col("clean_text"))
     return base.select(
@@ -186,18 +203,6 @@ def _as_pages(docs: DataFrame, text_added: str, url_added: str = "", delay: int
     )
 
 
-def page_docs_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next crawl: English and French pages changed, German ones the same,
-    Spanish ones not fetched again, and every English page has a new sibling."""
-    docs = labelled_documents(spark, sf_dir)
-    lang = F.col("lang")
-    return (
-        _as_pages(docs.where(lang.isin("en", "fr")), " updated", delay=5000)
-        .unionByName(_as_pages(docs.where(lang == "de"), "", delay=5000))
-        .unionByName(_as_pages(docs.where(lang == "en"), "", url_added="/new", delay=5000))
-    )
-
-
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events")
 
