@@ -430,7 +430,7 @@ ORACLES["validate_links"] = f"""WITH {RICH_LINKS}
 SELECT url, CAST(pos AS INTEGER) AS pos, href, CASE WHEN len(href) % 5 = 0 THEN 'pending' WHEN len(href) % 3 = 0 THEN 'broken'
   ELSE 'valid' END AS status FROM hrefs WHERE pos >= 0"""
 
-ORACLES["open_jobs"] = f"""
+ORACLES["open_job"] = f"""
 SELECT 'job-' || page_id AS _id, 'site_scrape_20240201_000000' AS job_name, 'full_crawl' AS job_type,
   '2024-02-01 00:00:00' AS start_time, 'running' AS status, url AS start_urls, {part('url', 2)} AS allowed_domains,
   10 AS max_depth, 3 AS retry_attempts, CAST(0 AS BIGINT) AS total_urls_discovered,

@@ -6,7 +6,7 @@ means rounded to six digits.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -54,10 +54,7 @@ def rounded(column: str | Column, name: str) -> Column:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one."""
-    root = shared_dir(spark)
-    if "://" in root:
-        return f"{root}/run-{datetime.now():%Y%m%d%H%M%S%f}"
-    return tempfile.mkdtemp(prefix="run-", dir=root)
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
 # Scans, sources, sinks
@@ -515,7 +512,7 @@ def validate_links(spark, sf):
 
 
 @register
-def open_jobs(spark, sf):
+def open_job(spark, sf):
     """A job for every crawled page's site, started at the page."""
     url = F.col("url")
     starts = inputs.pages_table(spark, sf).select(

@@ -31,8 +31,8 @@ def build_session(master: str | None = None, app: str = "pageloom", **conf: str)
     return builder.getOrCreate()
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+# Folders of local sessions that name none, by application.
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,14 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master, where driver and executors are one process, falls back
     to a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if not _is_local(spark):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="pageloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="pageloom-")
+    return _local_dirs[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
