@@ -144,7 +144,9 @@ def images() -> Column:
 def links(page_url: str = "url") -> Column:
     with_href = f"filter({_tagged('nodes', 'a')}, a -> a.attrs['href'] IS NOT NULL)"
     found = f"""transform({with_href}, a -> struct(
-        coalesce(a.url, a.attrs['href']) AS href, {_text('a')} AS text, {_attr('a', 'title')} AS title))"""
+        coalesce(a.url, a.attrs['href']) AS href,
+        {_text('a')} AS text,
+        {_attr('a', 'title')} AS title))"""
     return F.transform(
         F.expr(f"filter({found}, a -> a.text <> '')"),
         lambda a: F.struct(
@@ -217,7 +219,8 @@ def breadcrumb() -> Column:
 def step_link(words: str) -> Column:
     """Target of the first link whose only string matches ``words``."""
     found = f"filter({_tagged('nodes', 'a')}, a -> {_only_string('a')} RLIKE '{words}')"
-    target = f"CASE WHEN {_attr('a', 'href')} = '' THEN '' ELSE coalesce(a.url, a.attrs['href']) END"
+    resolved = "coalesce(a.url, a.attrs['href'])"
+    target = f"CASE WHEN {_attr('a', 'href')} = '' THEN '' ELSE {resolved} END"
     return F.expr(_bind(_first(found), "a", target))
 
 

@@ -26,8 +26,9 @@ def dedup_content(pages: DataFrame) -> DataFrame:
     The winner is chosen on narrow rows with map-side combine, so a hash with very
     many copies is no hot task; page rows then move once, on the unique url.
     """
-    kept = pages.groupBy(HASH).agg(F.min(F.struct("metadata.scraped_at", "url"))["url"].alias("url"))
-    return pages.join(kept.select("url"), "url", "left_semi")
+    first = F.min(F.struct("metadata.scraped_at", "url"))["url"]
+    kept = pages.groupBy(HASH).agg(first.alias("url")).select("url")
+    return pages.join(kept, "url", "left_semi")
 
 
 def latest_per_url(batch: DataFrame) -> DataFrame:
@@ -43,12 +44,9 @@ def latest_per_url(batch: DataFrame) -> DataFrame:
 
 def changed_pages(batch: DataFrame, current: DataFrame) -> DataFrame:
     """Pages of a batch whose (url, content) is not stored yet."""
-    stored = current.select("url", F.col(HASH).alias("stored_hash"))
-    return batch.join(
-        stored,
-        (batch["url"] == stored["url"]) & (batch["content"]["content_hash"] == stored["stored_hash"]),
-        "left_anti",
-    )
+    stored = current.select(F.col("url").alias("stored_url"), F.col(HASH).alias("stored_hash"))
+    same = (F.col("url") == F.col("stored_url")) & (F.col(HASH) == F.col("stored_hash"))
+    return batch.join(stored, same, "left_anti")
 
 
 def upsert_pages(current: DataFrame, batch: DataFrame) -> DataFrame:

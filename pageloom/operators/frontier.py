@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
+from pageloom.functions.times import instant
 from pageloom.operators.joins import BROADCAST_ROWS, hot_keys, hottest, lookup, salted_join
 from pageloom.session import cut_lineage
 
@@ -159,7 +160,7 @@ def queue_rows(
         "normalized_url",
         F.lit("pending").alias("status"),
         F.lit(priority).alias("priority"),
-        F.lit(now).cast("timestamp").alias("discovered_at"),
+        instant(now).alias("discovered_at"),
         F.col("parent_url").alias("first_seen_on"),
         F.lit(0).alias("attempts"),
         "job_id",
@@ -174,7 +175,11 @@ def queue_rows(
 def seed_candidates(starts: DataFrame) -> DataFrame:
     """Start urls (job_id, url, seq) as candidates at depth 0; queue at priority 1."""
     return starts.select(
-        "job_id", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"), "seq"
+        "job_id",
+        "url",
+        F.lit(None).cast("string").alias("parent_url"),
+        F.lit(0).alias("depth"),
+        "seq",
     )
 
 
@@ -227,7 +232,7 @@ def pending_batch(
     """
     due = queue.where(
         (F.col("status") == "pending")
-        & (F.col("next_retry").isNull() | (F.col("next_retry") <= F.lit(now).cast("timestamp")))
+        & (F.col("next_retry").isNull() | (F.col("next_retry") <= instant(now)))
     )
     order = ["priority", "discovered_at", "normalized_url"]
     if job_id is not None:
@@ -251,7 +256,7 @@ def retry_schedule(
     """Queue rows that failed: one more attempt, later each time, or given up."""
     tried = F.coalesce("attempts", F.lit(0)) + 1
     again = tried < retry_attempts
-    at = F.lit(now).cast("timestamp")
+    at = instant(now)
     return failures.select(
         *[c for c in failures.columns if c not in ("attempts", "status", "next_retry")],
         tried.alias("attempts"),

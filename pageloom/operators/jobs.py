@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom import schemas
+from pageloom.functions.times import instant
 
 BYTES_PER_MB = 1024 * 1024
 
@@ -38,7 +39,7 @@ def open_jobs(starts: DataFrame, config: CrawlConfig, now: datetime, site: str)
     def empty(name: str) -> Column:
         return F.array().cast(schemas.SCRAPING_JOBS[name].dataType).alias(name)
 
-    started = F.lit(now).cast("timestamp")
+    started = instant(now)
     return starts.select(
         F.col("job_id").alias("_id"),
         F.concat(

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.times import instant
+
 DEFAULT_DAYS = 30
 
 
@@ -16,7 +18,7 @@ def cutoff(now: datetime, days: int = DEFAULT_DAYS) -> datetime:
 
 def is_expired(limit: datetime) -> Column:
     """Finished queue rows found before the cutoff; null fields never expire."""
-    old = F.col("discovered_at") < F.lit(limit).cast("timestamp")
+    old = F.col("discovered_at") < instant(limit)
     return F.coalesce(old & F.col("status").isin("completed", "failed"), F.lit(False))
 
 
@@ -26,13 +28,13 @@ def retain_queue(queue: DataFrame, limit: datetime) -> DataFrame:
 
 def retain_errors(errors: DataFrame, limit: datetime) -> DataFrame:
     """Error rows that are kept."""
-    old = F.col("timestamp") < F.lit(limit).cast("timestamp")
+    old = F.col("timestamp") < instant(limit)
     return errors.where(~F.coalesce(old, F.lit(False)))
 
 
 def prune_job_errors(jobs: DataFrame, limit: datetime) -> DataFrame:
     """The same inside the ``errors`` array of job documents."""
-    at = F.lit(limit).cast("timestamp")
+    at = instant(limit)
     return jobs.withColumn(
         "errors", F.filter("errors", lambda e: ~F.coalesce(e["timestamp"] < at, F.lit(False)))
     )

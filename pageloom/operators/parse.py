@@ -78,7 +78,8 @@ def resolve(base: str, href: str) -> str | None:
 
 
 class NodeCollector(HTMLParser):
-    """Appends nodes, one list per field, while the tokenizer runs.
+    """Appends nodes while the tokenizer runs: ``nodes`` holds the fields known at the
+    start of a node, ``last`` the position of its last descendant.
 
     There are no implied end tags: an end tag closes everything up to the nearest
     open element of its name, and is ignored when none is open.
@@ -88,12 +89,7 @@ class NodeCollector(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.page_url = page_url
         self.last: list[int] = []
-        self.parent: list[int] = []
-        self.depth: list[int] = []
-        self.tag: list[str] = []
-        self.attrs: list[list] = []
-        self.url: list[str | None] = []
-        self.text: list[str | None] = []
+        self.nodes: list[tuple] = []  # (parent, depth, tag, attrs, url, text)
         self.hrefs: list[dict] = []
         self.html_lang: str | None = None
         self.open: list[tuple[str, int]] = []  # (name, position or -1 when dropped)
@@ -102,15 +98,14 @@ class NodeCollector(HTMLParser):
         self.ended_void: Counter = Counter()
         self.pending: list[str] = []
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     def _add(self, tag: str, attrs=(), url=None, text=None) -> int:
-        pos = len(self.tag)
+        pos = len(self.last)
+        parent = self.open[-1][1] if self.open else -1
         self.last.append(pos)
-        self.parent.append(self.open[-1][1] if self.open else -1)
-        self.depth.append(len(self.open))
-        self.tag.append(tag)
-        self.attrs.append(attrs)
-        self.url.append(url)
-        self.text.append(text)
+        self.nodes.append((parent, len(self.open), tag, attrs, url, text))
         return pos
 
     def _end_text(self, tag: str = TEXT) -> None:
@@ -137,12 +132,12 @@ class NodeCollector(HTMLParser):
         name, pos = self.open.pop()
         self._count_open(name, -1)
         if pos >= 0:
-            self.last[pos] = len(self.tag) - 1
+            self.last[pos] = len(self.last) - 1
         return name
 
     def _start(self, tag: str, attrs: list) -> None:
         self._end_text()
-        values = {k: v or "" for k, v in attrs}
+        values = {k: v or "" for k, v in attrs} if attrs else {}
         url = None
         if tag == "a" and "href" in values:
             url = resolve(self.page_url, values["href"])
@@ -233,24 +228,21 @@ def collect_nodes(url: str | None, html: str | None) -> tuple[NodeCollector, str
 
 def _node_array(pages: list[NodeCollector]) -> pa.Array:
     """The nodes of several pages as one Arrow list column, built field by field."""
-
-    def flat(field: str) -> list:
-        return list(chain.from_iterable(getattr(page, field) for page in pages))
-
-    sizes = [len(page.tag) for page in pages]
-    offsets = list(accumulate(sizes, initial=0))
+    sizes = [len(page.last) for page in pages]
+    nodes = list(chain.from_iterable(page.nodes for page in pages))
+    parent, depth, tag, attrs, url, text = zip(*nodes, strict=True) if nodes else [()] * 6
     fields = [
         pa.array(chain.from_iterable(range(n) for n in sizes), pa.int32()),
-        pa.array(flat("last"), pa.int32()),
-        pa.array(flat("parent"), pa.int32()),
-        pa.array(flat("depth"), pa.int32()),
-        pa.array(flat("tag"), pa.string()),
-        pa.array(flat("attrs"), _ATTRS),
-        pa.array(flat("url"), pa.string()),
-        pa.array(flat("text"), pa.string()),
+        pa.array(chain.from_iterable(page.last for page in pages), pa.int32()),
+        pa.array(parent, pa.int32()),
+        pa.array(depth, pa.int32()),
+        pa.array(tag, pa.string()),
+        pa.array(attrs, _ATTRS),
+        pa.array(url, pa.string()),
+        pa.array(text, pa.string()),
     ]
-    nodes = pa.StructArray.from_arrays(fields, names=NODE.names)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
+    offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=NODE.names))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

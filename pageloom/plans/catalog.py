@@ -149,7 +149,8 @@ def section_rollup(pages: DataFrame) -> DataFrame:
     own_line = F.struct(F.lit("subsection").alias("level"), F.col("subsection").alias("name"))
     lines = F.when(named, F.array(section_line, own_line)).otherwise(F.array(section_line))
     return (
-        groups.select("section", "page_count", "quality", named.alias("named"), F.explode(lines).alias("line"))
+        groups.withColumn("named", named)
+        .withColumn("line", F.explode(lines))
         .groupBy("line.level", "section", F.col("line.name").alias("subsection"))
         .agg(
             F.sum("page_count").alias("page_count"),

@@ -138,8 +138,8 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as stored pages; title is the first line, score 60 x label + length."""
-    docs = labelled_documents(spark, sf_dir)
-    return _as_pages(docs.withColumn("added", F.struct(F.lit("").alias("text"), F.lit("").alias("url"))))
+    nothing = F.struct(F.lit("").alias("text"), F.lit("").alias("url"))
+    return _as_pages(labelled_documents(spark, sf_dir).withColumn("added", nothing))
 
 
 def page_docs_next(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,9 +214,12 @@ def page_digest(pages: DataFrame) -> DataFrame:
 @register
 def extract_rich_pages(spark, sf):
     """Clean text of generated pages that hold every kind of element."""
-    return extract.page_parts(
-        inputs.rich_pages(spark, sf), "doc_id", clean=dom.clean_text()
-    ).select("doc_id", F.md5("clean").alias("content_hash"), text.word_count(F.col("clean")).alias("word_count"))
+    pages = extract.page_parts(inputs.rich_pages(spark, sf), "doc_id", clean=dom.clean_text())
+    return pages.select(
+        "doc_id",
+        F.md5("clean").alias("content_hash"),
+        text.word_count(F.col("clean")).alias("word_count"),
+    )
 
 
 @register
@@ -372,7 +375,11 @@ def page_metadata(spark, sf):
         "url",
         when_text("metadata.scraped_at"),
         "metadata.last_modified",
-        when_text("metadata.last_modified_at"),
+        # The header is in GMT whatever the time zone of the session.
+        F.date_format(
+            F.to_utc_timestamp("metadata.last_modified_at", F.current_timezone()),
+            "yyyy-MM-dd HH:mm:ss",
+        ).alias("last_modified_at"),
         "metadata.etag",
         "metadata.scraping_job_id",
         "metadata.page_depth",

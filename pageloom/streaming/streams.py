@@ -98,12 +98,9 @@ def append_new_urls(candidates: DataFrame, batch_id: int, queue_path: str) -> No
     """Exact dedup: the first candidate per key that no earlier batch holds."""
     keys = ["job_id", "normalized_url"]
     rows = candidates.withColumn("normalized_url", urls.normalize_url(F.col("url")))
-    values = [c for c in rows.columns if c not in keys]
-    new = (
-        rows.groupBy(*keys)
-        .agg(F.min(F.struct("discovered_at", *[c for c in values if c != "discovered_at"])).alias("r"))
-        .select(*keys, "r.*")
-    )
+    values = [c for c in rows.columns if c not in (*keys, "discovered_at")]
+    first = F.min(F.struct("discovered_at", *values)).alias("first")
+    new = rows.groupBy(*keys).agg(first).select(*keys, "first.*")
     earlier = _log(rows.sparkSession, queue_path, batch_id)
     if earlier is not None:
         new = new.join(earlier.select(*keys), keys, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.operators import extract
-from pageloom.operators.parse import collect_nodes, parse_pages
+from pageloom.operators.parse import NodeCollector, collect_nodes
 
 BASE = "http://a.com/docs/guide/x"
 AT = datetime(2024, 1, 1)
@@ -317,10 +317,19 @@ def test_metadata(pages):
 
 def test_bad_pages_do_not_end_the_job(raw, monkeypatch):
     good, error = collect_nodes("http://a.com", "<p>x")
-    assert error is None and good.tag == ["p", "#text"]
-    bad, error = collect_nodes("http://a.com", "<![bad")
-    assert bad.tag == [] or error is None
-    assert "parse_error" in parse_pages(raw).columns
+    assert error is None and [n[2] for n in good.nodes] == ["p", "#text"]
+
+    def reject(self, data):
+        raise AssertionError("unknown declaration")
+
+    monkeypatch.setattr(NodeCollector, "feed", reject)
+    bad, error = collect_nodes("http://a.com", "<p>x")
+    assert bad.nodes == [] and error == "AssertionError: unknown declaration"
+
+
+def test_rejected_pages_become_errors(raw):
+    assert extract.parse_failures(raw).columns == ["job_id", "url", "error_message", "fetched_at"]
+    assert extract.parse_failures(raw).isEmpty()
 
 
 def test_invalid_href_is_kept_as_written(spark):
