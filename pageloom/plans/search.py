@@ -33,11 +33,12 @@ def search_terms(q: str) -> SearchTerms:
 
 
 def _whole_words(words: tuple[str, ...]) -> str:
-    """Any of the words, standing alone. The word is tried before what surrounds it,
-    which keeps the scan of a text cheap."""
-    options = "|".join(re.escape(w) for w in words)
+    """Any of the words, standing alone. A word is tried before what surrounds it,
+    which keeps the scan of a text cheap; each word looks back over itself only, so
+    one may be the end of another."""
     letter = "[\\p{L}\\p{N}_]"
-    return f"(?:{options})(?!{letter})(?<!{letter}(?:{options}))"
+    options = "|".join(f"{re.escape(w)}(?<!{letter}{re.escape(w)})" for w in words)
+    return f"(?:{options})(?!{letter})"
 
 
 def _fields() -> list[Column]:

@@ -182,6 +182,7 @@ SITE = (
     ("http://a.com/docs/x", "deep cat cat", 3),
     ("http://a.com/docs/x/1", "a cat of the dog", 4),
     ("http://a.com/root", "named root cats", 5),
+    ("http://a.com/art", "part art apart art_ 1art arts part-art", 6),
 )
 
 
@@ -190,6 +191,7 @@ def test_rollup_agrees_with_totals(spark):
     rollup = {(r.level, r.section, r.subsection): r for r in catalog.section_rollup(stored).collect()}
     assert set(rollup) == {
         ("section", "root", ""), ("section", "docs", ""), ("subsection", "docs", "x"),
+        ("section", "art", ""),
     }
     docs = rollup["section", "docs", ""]
     assert (docs.page_count, docs.subsections) == (3, 1)
@@ -216,7 +218,7 @@ def test_listing(spark):
     stored = pages(spark, *SITE)
     rows = catalog.list_pages(stored, section="docs", limit=2, skip=1).collect()
     assert [r.url[-6:] for r in rows] == ["docs/x", "m/docs"]
-    assert catalog.list_pages(stored, section="", min_quality=0).count() == 5
+    assert catalog.list_pages(stored, section="", min_quality=0).count() == 6
     assert catalog.filter_pages(stored, subsection="x", min_quality=13).count() == 1
     for limit, skip in ((0, 0), (101, 0), (1, -1)):
         with pytest.raises(ValueError):
@@ -228,7 +230,7 @@ def test_listing(spark):
     ).columns == schemas.PAGES.names
 
 
-QUERIES = ["cat", "CAT", "cat dog", '"cat of"', "cat -dog", "the", "", '"a cat" -deep', "zebra", "root cats"]
+QUERIES = ["cat", "CAT", "cat dog", '"cat of"', "cat -dog", "the", "", '"a cat" -deep', "zebra", "root cats", "art part", "part art arts -cat", "index -art"]
 
 
 @pytest.mark.parametrize("q", QUERIES)
