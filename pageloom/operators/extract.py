@@ -26,14 +26,14 @@ def fetched_pages(raw: DataFrame) -> DataFrame:
     return route_responses(raw).where(F.col("outcome") == "page").drop("outcome")
 
 
-def parsed_ok(raw: DataFrame) -> DataFrame:
-    return parse_pages(raw).where(F.col("parse_error").isNull())
+def parsed_ok(raw: DataFrame, keep_html: bool = False) -> DataFrame:
+    return parse_pages(raw, keep_html).where(F.col("parse_error").isNull())
 
 
 def parse_failures(raw: DataFrame) -> DataFrame:
     """Pages the tokenizer rejected, in the shape the error log takes."""
     return (
-        parse_pages(fetched_pages(raw).select("url", "html", "job_id", "fetched_at"))
+        parse_pages(fetched_pages(raw).select("url", "html", "job_id", "fetched_at"), False)
         .where(F.col("parse_error").isNotNull())
         .select("job_id", "url", F.col("parse_error").alias("error_message"), "fetched_at")
     )
@@ -243,4 +243,4 @@ def parse_http_date(value: Column) -> Column:
 
 def extract_pages(raw: DataFrame) -> DataFrame:
     """Route, parse and assemble: no shuffle anywhere."""
-    return assemble(parsed_ok(fetched_pages(raw)))
+    return assemble(parsed_ok(fetched_pages(raw), keep_html=True))

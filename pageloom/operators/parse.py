@@ -245,7 +245,9 @@ def _node_array(pages: list[NodeCollector]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=NODE.names))
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse_batches(
+    batches: Iterator[pa.RecordBatch], keep: list[str]
+) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, _OUTPUT_ROWS):
             batch = whole.slice(start, _OUTPUT_ROWS)
@@ -255,20 +257,26 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             pages, errors = zip(*[collect_nodes(url, html) for url, html in inputs], strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    *[batch.column(name) for name in keep],
                     _node_array(pages),
                     pa.array([page.hrefs for page in pages], _HREF),
                     pa.array([page.html_lang for page in pages], pa.string()),
                     pa.array(errors, pa.string()),
                 ],
-                names=[*batch.schema.names, *PARSED.names],
+                names=[*keep, *PARSED.names],
             )
 
 
-def parse_pages(raw: DataFrame) -> DataFrame:
+def parse_pages(raw: DataFrame, keep_html: bool = True) -> DataFrame:
     """Add ``nodes``, ``hrefs``, ``html_lang`` and ``parse_error`` to fetched pages.
 
-    Filters do not pass through a Python step, so callers filter rows and pick
-    columns before this call.
+    Filters and column pruning do not pass through a Python step, so callers filter
+    rows and pick columns before this call, and say when the html is not needed back.
     """
-    return raw.mapInArrow(_parse_batches, T.StructType(raw.schema.fields + PARSED.fields))
+    fields = [f for f in raw.schema.fields if keep_html or f.name != "html"]
+    keep = [f.name for f in fields]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _parse_batches(batches, keep)
+
+    return raw.mapInArrow(parse, T.StructType(fields + PARSED.fields))
