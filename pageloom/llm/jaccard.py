@@ -10,10 +10,9 @@ Between classes, links (Jaccard similarity at or above a threshold) are searched
   whose classes are then in one component are closed: nothing in them can change the result.
 * The open trees get *nodes* of bounded size, cut by set size and hash. A node holds the OR of its token
   bitmaps, its range of sizes and its largest number of bit collisions. Node pairs of a tree are pruned
-  when they lie in one component or when their largest possible overlap is too small; the rest are
-  traversed level by level down to pairs of classes, which are verified on the whole sets.
-
-A tree with very many classes is thus many node pairs, each a group of its own.
+  when they lie in one component or when their largest possible overlap is too small. The classes below
+  the pairs that are left are compared by their own bitmaps, and what may still link is verified on the
+  whole sets. A tree with very many classes is thus many small groups of rows.
 """
 
 from __future__ import annotations
@@ -22,9 +21,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.graph import components
@@ -33,9 +31,8 @@ from pageloom.llm.textops import mix, ragged, slices, span_hashes, text_bytes, w
 
 # 64-bit words of a token bitmap.
 BITMAP = 16
-# Classes in a node of a tree, on average, and in a leaf.
-NODE = 256
-LEAF = 16
+# Classes in a node of a tree, on average.
+NODE = 64
 # A family of parts serves sets whose sizes differ by so many steps of the threshold.
 SPAN = 3
 # Parts beyond those that the differences of a linked pair can spoil; see part_keys.
@@ -192,100 +189,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def possible(size_a, size_b, shared, spare):
-    """Largest possible overlap: shared bits, and shingles that share a bit with others of their set."""
-    return np.minimum(np.minimum(size_a, size_b), shared + spare)
-
-
-def traverse(nodes: pd.DataFrame, other: pd.DataFrame, same: bool, percent: int) -> pd.DataFrame:
-    """Candidate pairs of two nodes' classes, by dual traversal of the trees below them."""
-
-    def tree(rows: pd.DataFrame) -> list[list[tuple]]:
-        rows = rows.sort_values(["comp", "n", "id"], kind="stable").reset_index(drop=True)
-        bits = np.array(rows["bits"].tolist(), dtype=np.int64).reshape(len(rows), BITMAP).view(np.uint64)
-        size, comp, ids = (rows[c].to_numpy() for c in ("n", "comp", "id"))
-        spare = size - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        low, high, levels = size, size, []
-        first = last = comp
-        while True:
-            levels.append((bits, low, high, spare, first, last))
-            if len(low) == 1:
-                return [ids, *levels[::-1]]
-            cut = np.arange(0, len(low), LEAF)
-            bits = np.bitwise_or.reduceat(bits, cut)
-            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            spare = np.maximum.reduceat(spare, cut)
-            first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
-
-    (ids_a, *tree_a), (ids_b, *tree_b) = tree(nodes), tree(other)
-    depth = max(len(tree_a), len(tree_b))
-    tree_a = [tree_a[0]] * (depth - len(tree_a)) + tree_a
-    tree_b = [tree_b[0]] * (depth - len(tree_b)) + tree_b
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for k, (a, b) in enumerate(zip(tree_a, tree_b, strict=True)):
-        kept = []
-        for c in range(0, len(x), 1 << 14):  # bounds the bitmaps in memory
-            i, j = x[c : c + (1 << 14)], y[c : c + (1 << 14)]
-            shared = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1).astype(np.int64)
-            most = possible(a[2][i], b[2][j], shared, np.minimum(a[3][i], b[3][j]))
-            open_ = (a[4][i] != a[5][i]) | (b[4][j] != b[5][j]) | (a[4][i] != b[4][j])
-            # 100 * common >= percent * (|a| + |b| - common), with the smallest sizes
-            fits = (100 + percent) * most >= percent * (a[1][i] + b[1][j])
-            kept.append((i[open_ & fits], j[open_ & fits]))
-        x, y = (np.concatenate(z) for z in zip(*kept, strict=True)) if kept else (x[:0], y[:0])
-        if k + 1 < depth and len(x):
-            na, nb = len(tree_a[k + 1][1]), len(tree_b[k + 1][1])
-            fa = 1 if na == len(a[1]) else LEAF
-            fb = 1 if nb == len(b[1]) else LEAF
-            x, y = np.repeat(x, fa * fb), np.repeat(y, fa * fb)
-            turn = np.tile(np.arange(fa * fb), len(x) // (fa * fb))
-            x, y = x * fa + turn // fb, y * fb + turn % fb
-            inside = (x < na) & (y < nb) & (~np.bool_(same) | (x <= y))
-            x, y = x[inside], y[inside]
-    a, b = ids_a[x], ids_b[y]
-    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return pairs[pairs.a != pairs.b].drop_duplicates()
-
-
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the open trees.
+    """Candidate pairs (a, b) of different components in the open trees, by dual traversal.
 
-    ``members``: key, id, n, bits, comp.
+    ``members``: key, main (a component of the tree), id, n, bits, comp. Nodes hold classes of like size and
+    keep the main component apart, so that most node pairs of a tree that is nearly closed are in one.
     """
     fine = F.floor(F.log(F.col("n").cast("double")) * 20)  # sizes of a node differ by 5 %
-    rows = members.select("key", "id", "n", "bits", "comp", fine.alias("fine"))
-    parts = rows.groupBy("key", "fine").agg(F.ceil(F.count("*") / NODE).alias("parts"))
-    node = F.struct("fine", F.pmod(F.xxhash64("id"), "parts")).alias("node")
-    rows = rows.join(parts, ["key", "fine"]).select("key", "id", "n", "bits", "comp", node)
+    main = F.col("comp") == F.col("main")
+    rows = members.select("key", "id", "n", "bits", "comp", F.struct(fine.alias("size"), main.alias("main")).alias("kind"))
+    parts = rows.groupBy("key", "kind").agg(F.ceil(F.count("*") / NODE).alias("parts"))
+    node = F.struct("kind", F.pmod(F.xxhash64("id"), "parts")).alias("node")
     spare = F.col("n") - sum(F.bit_count(F.col("bits")[k]) for k in range(BITMAP))
+    rows = rows.join(parts, ["key", "kind"]).select("key", "id", "n", "bits", "comp", node, spare.alias("spare"))
     nodes = rows.groupBy("key", "node").agg(
         F.min("n").alias("low"),
         F.max("n").alias("high"),
-        F.max(spare).alias("spare"),
+        F.max("spare").alias("spare"),
         F.min("comp").alias("first"),
         F.max("comp").alias("last"),
-        *(F.bit_or(F.col("bits")[k]).alias(f"w{k}") for k in range(BITMAP)),
+        F.array(*(F.bit_or(F.col("bits")[k]) for k in range(BITMAP))).alias("bits"),
     )
+
+    def fits(low: str, high: str) -> Column:
+        """Whether the largest possible overlap of a and b reaches the threshold.
+
+        Shingles in common set bits in common, except those that share a bit with others of their set.
+        """
+        shared = sum(F.bit_count(F.col("a.bits")[k].bitwiseAND(F.col("b.bits")[k])) for k in range(BITMAP))
+        most = F.least(f"a.{high}", f"b.{high}", shared + F.least("a.spare", "b.spare"))
+        return (100 + percent) * most >= percent * (F.col(f"a.{low}") + F.col(f"b.{low}"))
+
     a, b = nodes.alias("a"), nodes.alias("b")
-    shared = sum(F.bit_count(F.col(f"a.w{k}").bitwiseAND(F.col(f"b.w{k}"))) for k in range(BITMAP))
-    most = F.least("a.high", "b.high", shared + F.least("a.spare", "b.spare"))
     one = (F.col("a.first") == F.col("a.last")) & (F.col("b.first") == F.col("b.last"))
     pairs = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .where("a.node <= b.node")
-        .where(~(one & (F.col("a.first") == F.col("b.first"))))
-        .where((100 + percent) * most >= percent * (F.col("a.low") + F.col("b.low")))
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") <= F.col("b.node")))
+        .where(~(one & (F.col("a.first") == F.col("b.first"))) & fits("low", "high"))
         .select(F.col("a.key").alias("key"), F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
     )
-    left = pairs.join(rows.withColumnRenamed("node", "na"), ["key", "na"])
-    right = pairs.join(rows.withColumnRenamed("node", "nb"), ["key", "nb"])
-    right = right.toDF(*right.columns)  # columns of its own, apart from those of left
-
-    def visit(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        return traverse(one, two, key[1] == key[2], percent)
-
-    on = ["key", "na", "nb"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(visit, "a long, b long").distinct()
+    a = rows.alias("a")
+    b = rows.alias("b")
+    left = a.join(pairs.alias("p"), (F.col("a.key") == F.col("p.key")) & (F.col("a.node") == F.col("p.na")))
+    both = left.join(b, (F.col("p.key") == F.col("b.key")) & (F.col("p.nb") == F.col("b.node")))
+    found = both.where((F.col("a.comp") != F.col("b.comp")) & fits("n", "n"))
+    return _ordered(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
 
 
 def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
@@ -335,7 +282,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     # Third pass: what is still open goes through the trees.
     placed = _placed(members.select("key", "id"), found)
     span = placed.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two"))
-    open_ = scratch.save(placed.join(span.where("one <> two").select("key"), "key", "left_semi"), "open")
+    still = span.where("one <> two").select("key", F.col("one").alias("main"))
+    open_ = scratch.save(placed.join(still, "key"), "open")
     if not open_.isEmpty():
         shape = reps.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
         candidates = scratch.save(tree_pairs(open_.join(shape, "id"), percent), "candidates")
