@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, jaccard, linededup, mixing, toxicity
+from pageloom.llm import bpe, embeddings, fertility, htmltext, jaccard, kneser, linededup, mixing, toxicity, warc
 from pageloom.llm.storage import Scratch
 
 
@@ -42,10 +42,48 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "kneser")
+    return kneser.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), scratch)
+
+
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf, "pages"), Scratch(spark, "html"))
+
+
+def token_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return fertility.judge(table(spark, sf, "documents"), Scratch(spark, "fertility"), model)
+
+
+def warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """A revisit carries no payload; its length is what the metadata record says and its digest the header's."""
+    found = warc.captures(table(spark, sf, "pages"), Scratch(spark, "warc").path("archives"))
+    revisit = F.col("capture.kind") == "revisit"
+    size = F.when(revisit, F.col("metadata.fields")["payload-bytes"].cast("long")).otherwise(F.col("capture.n_bytes"))
+    sha = F.when(revisit, F.col("capture.payload_digest")).otherwise(F.col("capture.computed_digest"))
+    return found.select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        size.alias("payload_bytes"),
+        sha.alias("payload_digest"),
+        F.col("capture.kind").alias("record_type"),
+        F.substring_index("capture.refers_to", "page:", -1).cast("long").alias("refers_to"),
+    )
+
+
+def embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"), Scratch(spark, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard,
+    "op2_kneser_ney": kneser_ney,
+    "op3_html_text": html_text,
     "op4_toxicity": toxic_scores,
     "op5_line_dedup": line_dedup,
+    "op6_token_fertility": token_fertility,
     "op7_source_mix": source_mix,
+    "op8_warc_transactions": warc_transactions,
+    "op9_embedding_duplicates": embedding_duplicates,
     "op10_byte_bpe": byte_bpe,
 }
