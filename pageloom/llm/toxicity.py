@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.storage import Scratch
+from pageloom.llm.textops import mix, slices, span_hashes, text_bytes, windows, word_spans
 
 # Most labelled documents of either label that the model is fitted on.
 SAMPLE = 10_000
@@ -155,7 +156,30 @@ def sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> D
         picked = some if picked is None else picked.union(some)
     picked = scratch.save(picked, "picked")  # at most 2 * most rows of two numbers
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    return scratch.save(rows.select("text", F.col("toxic").cast("int")).repartition(24), "sample")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                one, two = least_shingles(*text_bytes(part.column("text")))
+                yield pa.record_batch([*part.columns, pa.array(one), pa.array(two)], names=["text", "toxic", "m1", "m2"])
+
+    # Copies and near copies count once: else the words of a copied text would look telling.
+    marked = rows.select("text", F.col("toxic").cast("int")).mapInArrow(mark, "text string, toxic int, m1 long, m2 long")
+    for m in ("m1", "m2"):
+        marked = marked.dropDuplicates(["toxic", m])
+    return scratch.save(marked.select("text", "toxic").repartition(24), "sample")
+
+
+def least_shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hashes, in two orders, of each text's runs of four words; texts without any differ."""
+    first, last, doc = word_spans(raw, offs)
+    value, at = windows(span_hashes(raw, first, last), doc, 4)
+    out = []
+    for salt in (1, 2):
+        least = mix(offs[:-1].astype(np.uint64) + np.uint64(salt)) | np.uint64(1 << 63)
+        np.minimum.at(least, doc[at], mix(value + np.uint64(salt)))
+        out.append(least.view(np.int64))
+    return out[0], out[1]
 
 
 def word_stems(rows: DataFrame, shortest: int = 3, longest: int = 9) -> DataFrame:
@@ -191,7 +215,7 @@ def tail(hits: int, n: int, p: float) -> float:
 def choose_stems(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Stems that toxic documents hold far more often than chance allows, with their log-odds.
 
-    Of stems that begin alike the shortest counts, made as long as it loses no document.
+    Of stems that begin alike the shortest counts, made longer as long as nine tenths of its toxic documents stay.
     """
     p = n_toxic / (n_toxic + n_clean)
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
@@ -210,11 +234,11 @@ def choose_stems(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
         longer = stem
         while True:
             more = [s for s in good if len(s) == len(longer) + 1 and s.startswith(longer)]
-            more = [s for s in more if sum(good[s]) >= 0.98 * sum(good[stem])]
+            more = [s for s in more if good[s][0] >= 0.9 * good[longer][0]]
             if not more:
                 break
             longer = more[0]
-        toxic, clean = good[stem]
+        toxic, clean = good[longer]
         odds = math.log((toxic + 0.5) / (clean + 0.5) * (n_clean + 1) / (n_toxic + 1))
         out[longer] = max(0.5, min(4.0, odds))
     return out
@@ -227,17 +251,25 @@ def fit(features: np.ndarray, toxic: np.ndarray, share: float) -> tuple[tuple[fl
     """
     x = np.hstack([features, np.ones((len(features), 1))])
     mean = np.array([*PRIOR, PRIOR_BIAS])
-    strength = np.array([1.0] * len(PRIOR) + [0.01])
+    strength = np.array([1.0] * len(PRIOR) + [0.1])
     own = toxic.mean()
     weight = np.where(toxic == 1, share / own, (1 - share) / (1 - own))
-    w = mean.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = np.clip(x @ w, -500, 500)
+        return float((weight * (np.logaddexp(0, z) - toxic * z)).sum() + 0.5 * (strength * (w - mean) ** 2).sum())
+
+    w, now = mean.copy(), loss(mean)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - toxic)) + strength * (w - mean)
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(strength)
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step, scale = np.linalg.solve(hess, grad), 1.0
+        while scale > 1e-6 and loss(w - scale * step) > now:  # a full step may pass the minimum by far
+            scale /= 2
+        w = w - scale * step
+        before, now = now, loss(w)
+        if before - now < 1e-9:
             break
     return tuple(float(v) for v in np.maximum(w[:-1], 0.0)), float(w[-1])
 
