@@ -215,18 +215,18 @@ def tail(hits: int, n: int, p: float) -> float:
 def choose_stems(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Stems that toxic documents hold far more often than chance allows, with their log-odds.
 
-    Of stems that begin alike the shortest counts, made longer as long as nine tenths of its toxic documents stay.
+    Of stems that begin alike the shortest counts, made longer while what the longer one leaves tells nothing.
     """
     p = n_toxic / (n_toxic + n_clean)
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     stems = counts.where("toxic >= 4").where(rate > 0.5 + 0.5 * p)
     total = counts.count()
     rows = stems.collect()  # bounded: each holds 4 of the sampled documents or more
-    good = {
-        r.stem: (r.toxic, r.clean)
-        for r in rows
-        if tail(r.toxic, r.toxic + r.clean, p) + math.log(max(total, 1)) < math.log(0.01)
-    }
+
+    def telling(toxic: int, clean: int) -> bool:
+        return toxic > 0 and tail(toxic, toxic + clean, p) + math.log(max(total, 1)) < math.log(0.01)
+
+    good = {r.stem: (r.toxic, r.clean) for r in rows if telling(r.toxic, r.clean)}
     out: dict[str, float] = {}
     for stem in sorted(good, key=lambda s: (len(s), s)):
         if any(stem[:n] in out for n in range(1, len(stem))):
@@ -234,10 +234,10 @@ def choose_stems(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
         longer = stem
         while True:
             more = [s for s in good if len(s) == len(longer) + 1 and s.startswith(longer)]
-            more = [s for s in more if good[s][0] >= 0.9 * good[longer][0]]
-            if not more:
+            (toxic, clean), top = good[longer], max(more, key=lambda s: good[s], default=None)
+            if top is None or telling(toxic - good[top][0], clean - good[top][1]):
                 break
-            longer = more[0]
+            longer = top
         toxic, clean = good[longer]
         odds = math.log((toxic + 0.5) / (clean + 0.5) * (n_clean + 1) / (n_toxic + 1))
         out[longer] = max(0.5, min(4.0, odds))
