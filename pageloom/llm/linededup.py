@@ -22,8 +22,7 @@ from pageloom.llm.storage import Scratch
 
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Buckets of a run and batches of a whole table; both are parameters of the operator.
-BUCKETS = 32
+# Batches of a whole table and runs of a level; both are parameters of the operator.
 BATCHES = 4
 FANOUT = 2
 
@@ -107,7 +106,7 @@ def dedup_lines(
     scratch: Scratch,
     least: int = 10,
     batches: int = BATCHES,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """``docs`` with the text without lines that an earlier document holds.
@@ -120,8 +119,10 @@ def dedup_lines(
 
     A null text stays null when nothing is dropped. Rows with the same doc_id are one document: they keep
     each other's lines. Rows without doc_id lose no line and take none from others. An empty table gives an
-    empty one.
+    empty one. Runs have as many ``buckets`` as the session has shuffle partitions unless told otherwise, so
+    that each task writes one file.
     """
+    buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     cuts = [k / batches for k in range(1, batches)]
     edges = keyed.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or []
