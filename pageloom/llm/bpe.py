@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.shipping import ship
 from pageloom.llm.textops import ragged, slices, span_hashes, text_bytes
 
 # Words a worker remembers, and words in one recursive query.
@@ -64,7 +65,7 @@ FROM id_rows JOIN pieces USING (id) GROUP BY w ORDER BY w
 """
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file: base64 token and rank on each line. Vocabularies have a fixed size."""
     with open(path, "rb") as lines:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
@@ -258,7 +259,8 @@ class _Shared:
     """The broadcast vocabulary and a key for it."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        ranks = read_ranks(spark, path)
+        ship(spark)
+        ranks = read_ranks(path)
         self.key = hashlib.sha1(repr(sorted(ranks.items())[:1000]).encode() + str(len(ranks)).encode()).hexdigest()
         self.ranks = spark.sparkContext.broadcast(ranks)
 
