@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.functions.times import instant
-from pageloom.operators.joins import BROADCAST_ROWS, hot_keys, hottest, lookup, salted_join
+from pageloom.operators.joins import SMALL_ROWS, hot_keys, hottest, lookup, salted_join
 from pageloom.session import cut_lineage
 
 DEFAULT_MAX_DEPTH = 10
@@ -39,36 +39,39 @@ def first_rules(rules: DataFrame, agent: str) -> DataFrame:
     )
 
 
-def host_rules(firsts: DataFrame) -> DataFrame:
-    """One row per host with its rules in file order.
-
-    Repeated prefixes are gone by now, so an array is bounded by what fits in one
-    robots file.
-    """
-    rule = F.struct("named", "seq", "path_prefix", "allow")
-    groups = firsts.groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("all"))
-    named = F.filter("all", lambda r: r["named"])
-    return groups.select(
-        F.col("host").alias("netloc"),
-        F.when(F.size(named) > 0, named).otherwise(F.col("all")).alias("rules"),
-    )
+def active_rules(firsts: DataFrame) -> DataFrame:
+    """The rules that apply on their host: the group that names the agent, else the ``*`` group."""
+    best = firsts.groupBy("host").agg(F.max("named").alias("named"))
+    return firsts.join(best, ["host", "named"]).drop("named")
 
 
 def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Add ``robots_ok``: the first rule whose prefix fits decides, else allowed."""
-    firsts = first_rules(rules, agent)
+    """Add ``robots_ok``: the first rule whose prefix fits decides, else allowed.
+
+    A url is cut to the lengths that its host's prefixes have, and the cuts meet the
+    rules in a join on host and prefix. Work is urls times different lengths, which
+    the longest prefix bounds, however many rules a host has.
+    """
+    active = active_rules(first_rules(rules, agent))
+    sizes = active.groupBy(F.col("host").alias("__host")).agg(
+        F.collect_set(F.length("path_prefix")).alias("__sizes")
+    )
     target = urls.after_netloc(F.col("url"))
-    joined = lookup(
-        rows.withColumn("netloc", urls.netloc(F.col("url"))),
-        host_rules(firsts),
-        firsts.count(),
-        ["netloc"],
-        F.col("url"),
+    cuts = (
+        rows.select("url")
+        .distinct()
+        .select("url", urls.netloc(F.col("url")).alias("__host"), target.alias("__target"))
+        .join(sizes, "__host")
+        .withColumn("__size", F.explode("__sizes"))
+        .where(F.col("__size") <= F.length("__target"))
+        .select("url", "__host", F.expr("substring(__target, 1, __size)").alias("__prefix"))
     )
-    hit = F.get(F.filter("rules", lambda r: F.startswith(target, r["path_prefix"])), F.lit(0))
     # An empty prefix with "disallow" allows everything.
-    allow = hit["allow"] | (hit["path_prefix"] == "")
-    return joined.withColumn("robots_ok", F.coalesce(allow, F.lit(True))).drop("rules", "netloc")
+    allow = F.col("allow") | (F.col("path_prefix") == "")
+    fits = (F.col("__host") == F.col("host")) & (F.col("__prefix") == F.col("path_prefix"))
+    first = cuts.join(active, fits).groupBy("url").agg(F.min_by(allow, "seq").alias("__allow"))
+    joined = rows.join(first, "url", "left").select(rows.columns + ["__allow"])
+    return joined.withColumn("robots_ok", F.coalesce("__allow", F.lit(True))).drop("__allow")
 
 
 def followed(links: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
@@ -77,6 +80,8 @@ def followed(links: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
 
 
 QUEUE_KEY = ["job_id", "normalized_url"]
+# Which of a key's candidates is first; the rest of the row settles equal ``seq``.
+QUEUE_ORDER = ["seq", "url", "parent_url", "depth"]
 
 
 def _checked(
@@ -100,15 +105,15 @@ def enqueue(
 ) -> DataFrame:
     """The candidates (job_id, url, parent_url, depth, seq) that enter the queue.
 
-    Per (job, normalized url) that is the first permitted one, by ``seq``, unless the
-    key is known. It is found by an aggregate, which combines on the map side, and
+    Per (job, normalized url) that is the first permitted one, by ``seq`` (any type
+    with an order), unless the key is known. It is found by an aggregate, which combines on the map side, and
     only the one-per-key result meets the queue: no url is hot in any step.
     """
     rows = _checked(candidates, robots, agent, excluded_patterns)
     firsts = (
         rows.where(F.col("robots_ok") & ~F.col("is_excluded"))
         .groupBy(*QUEUE_KEY)
-        .agg(F.min(F.struct("seq", "url", "parent_url", "depth")).alias("first"))
+        .agg(F.min(F.struct(*QUEUE_ORDER)).alias("first"))
         .select(*QUEUE_KEY, "first.*")
     )
     return firsts.join(known.select(*QUEUE_KEY), QUEUE_KEY, "left_anti")
@@ -130,7 +135,7 @@ def enqueue_outcomes(
     rows = _checked(candidates, robots, agent, excluded_patterns)
     usable = F.col("robots_ok") & ~F.col("is_excluded")
     per_key = rows.groupBy(*QUEUE_KEY).agg(
-        F.min(F.when(usable, F.col("seq"))).alias("queued_seq"), F.count("*").alias("n")
+        F.min(F.when(usable, F.struct(*QUEUE_ORDER))).alias("queued"), F.count("*").alias("n")
     )
     marked = known.select(*QUEUE_KEY).distinct().withColumn("is_known", F.lit(True))
     hot = hottest(per_key, QUEUE_KEY)
@@ -144,11 +149,11 @@ def enqueue_outcomes(
     return decided.withColumn(
         "outcome",
         F.when(F.col("is_known"), "duplicate")
-        .when(F.col("seq") > F.col("queued_seq"), "duplicate")
+        .when(F.struct(*QUEUE_ORDER) > F.col("queued"), "duplicate")
         .when(~F.col("robots_ok"), "robots")
         .when(F.col("is_excluded"), "excluded")
         .otherwise("queued"),
-    ).drop("is_known", "queued_seq", "robots_ok", "is_excluded")
+    ).drop("is_known", "queued", "robots_ok", "is_excluded")
 
 
 def queue_rows(
@@ -190,18 +195,17 @@ def crawl_closure(
 
     One level per round: edges that leave the frontier, reduced to distinct
     targets, less what was reached before. Each level is checkpointed, so neither
-    plan nor recovery grows with depth. Levels are counted, and only a level of
-    limited size is broadcast; a larger frontier meets the edges in a salted join,
-    which splits the edges of a node that has very many.
+    plan nor recovery grows with depth. Levels are counted: a small one is joined as
+    it is, a larger frontier meets the edges in a salted join, which splits the edges
+    of a node that has very many.
     """
     links = edges.select("src", "dst")
     hot = None
     level = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     levels, depth, size = [level], 0, level.count()
-    total = size
     while size and (max_depth is None or depth < max_depth):
         depth += 1
-        if size > BROADCAST_ROWS and hot is None:
+        if size > SMALL_ROWS and hot is None:
             hot = cut_lineage(hot_keys(links, ["src"]))
         sources = level.select(F.col("node").alias("src"))
         targets = (
@@ -210,15 +214,10 @@ def crawl_closure(
             .distinct()
         )
         reached = reduce(DataFrame.unionAll, levels).select("node")
-        new = (
-            targets.join(F.broadcast(reached), "node", "left_anti")
-            if total <= BROADCAST_ROWS
-            else targets.join(reached, "node", "left_anti")
-        )
+        new = targets.join(reached, "node", "left_anti")
         level = cut_lineage(new.withColumn("depth", F.lit(depth)))
         levels.append(level)
         size = level.count()
-        total += size
     return reduce(DataFrame.unionAll, levels)
 
 

@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 # A key with more rows than this is spread over ``SALTS`` tasks.
 HOT_ROWS = 1_000_000
 SALTS = 256
-# Most rows of a table that is sent to every task. Keys are urls, hosts or ids of at
-# most 2 kB, so 100 MB is the worst case.
-BROADCAST_ROWS = 50_000
+# A table of more rows is met in a salted join.
+SMALL_ROWS = 50_000
 
 _N, _HOT, _SALT = "__n", "__hot", "__salt"
 
 
 def hottest(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
-    """The keys to split, from a table of keys and their row counts.
-
-    At most ``BROADCAST_ROWS`` of them, the largest ones: any further key holds less
-    than rows / ``BROADCAST_ROWS`` rows, which one task can take.
-    """
-    hot = counts.where(F.col(n) > HOT_ROWS)
-    return hot.orderBy(F.desc(n)).limit(BROADCAST_ROWS).select(*on)
+    """The keys to split, from a table of keys and their row counts: all above ``HOT_ROWS``."""
+    return counts.where(F.col(n) > HOT_ROWS).select(*on)
 
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -43,9 +37,10 @@ def salted_join(
     Only rows of hot keys get a salt, and only hot keys are copied on the unique
     side, so all others are joined as usual. The salt is a hash of row content, not
     a random number: a task run again after a lost executor sends its rows to the
-    same place.
+    same place. The marks carry no broadcast hint: Spark sends them to every task
+    when their measured bytes allow it, else it splits the skewed mark join itself.
     """
-    marks = F.broadcast(hot.select(*on).withColumn(_HOT, F.lit(True)))
+    marks = hot.select(*on).withColumn(_HOT, F.lit(True))
     salt = F.when(F.col(_HOT), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(0)
     copy = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = rows.join(marks, on, "left").withColumn(_SALT, salt.cast("int")).drop(_HOT)
@@ -64,9 +59,9 @@ def lookup(
 ) -> DataFrame:
     """Join ``rows`` to a one-per-key table of known ``size``.
 
-    A small table goes to every task and ``rows`` stay where they are; a larger one
-    is met in a salted join.
+    A table of few rows is joined as it is, and Spark broadcasts it if its bytes are
+    few too; a larger one is met in a salted join.
     """
-    if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(unique), on, how)
+    if size <= SMALL_ROWS:
+        return rows.join(unique, on, how)
     return salted_join(rows, unique, on, hot_keys(rows, on) if hot is None else hot, spread_by, how)

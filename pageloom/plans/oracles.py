@@ -372,7 +372,7 @@ link AS (
     SELECT *, {SITE} || unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM (
       SELECT *, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM raw)) GROUP BY ALL),
 cand AS (
-  SELECT job_id, href AS url, parent_url, depth, page_id * 1000 + pos AS seq,
+  SELECT job_id, href AS url, parent_url, depth, row_number() OVER (ORDER BY page_id, pos) AS seq,
     {normalize('href')} AS normalized_url FROM link),
 known AS (SELECT DISTINCT job_id, normalized_url FROM cand WHERE depth = 3),
 deeper AS (SELECT * REPLACE (depth + 1 AS depth) FROM cand WHERE depth < 3),
@@ -398,13 +398,16 @@ SELECT job_id, outcome, count(*) AS urls FROM decided GROUP BY 1, 2"""
 ORACLES["seed_urls"] = f"""WITH {QUEUE}
 SELECT job_id, arg_min(url, seq) AS url, normalized_url, 1 AS priority, 0 AS depth FROM queue GROUP BY job_id, normalized_url"""
 
-ORACLES["crawl_closure"] = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
+CLOSURE = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents),
 edge AS (
   SELECT doc_id AS src, unnest([(7 * doc_id + 1) % n, (13 * doc_id + 5) % n]) AS dst FROM documents, n),
 walk AS (
   SELECT unnest([0, 1]) AS node, 0 AS depth
-  UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 10)
+  UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < {levels})
 SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM walk GROUP BY node"""
+# No shortest path has as many edges as there are nodes.
+ORACLES["crawl_closure"] = CLOSURE.format(levels="(SELECT n FROM n)")
+ORACLES["crawl_closure_limited"] = CLOSURE.format(levels=10)
 
 ORACLES["pending_batch"] = f"""WITH {QUEUE}
 SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY priority, discovered_at, normalized_url) AS INTEGER) AS rank,

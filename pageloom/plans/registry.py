@@ -410,7 +410,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
             F.col("href").alias("url"),
             F.col("url").alias("parent_url"),
             "depth",
-            (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
+            F.struct("page_id", "pos").alias("seq"),
         )
     )
 
@@ -464,6 +464,14 @@ def seed_urls(spark, sf):
 
 @register
 def crawl_closure(spark, sf):
+    """All that the seeds reach."""
+    seeds = spark.range(2).withColumnRenamed("id", "node")
+    return frontier.crawl_closure(cut_lineage(inputs.edges(spark, sf)), seeds, max_depth=None)
+
+
+@register
+def crawl_closure_limited(spark, sf):
+    """What the seeds reach within the crawler's depth limit."""
     seeds = spark.range(2).withColumnRenamed("id", "node")
     return frontier.crawl_closure(cut_lineage(inputs.edges(spark, sf)), seeds)
 

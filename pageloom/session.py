@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are designed around. Shuffle partition counts are left to
@@ -31,25 +29,14 @@ def build_session(master: str | None = None, app: str = "pageloom", **conf: str)
     return builder.getOrCreate()
 
 
-# Folders of local sessions that name none, by application.
-_local_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, falls back
-    to a temporary folder.
+    Where that is unset, a folder below the session's warehouse, which executors
+    share too.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="pageloom-")
-    return _local_dirs[sc.applicationId]
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

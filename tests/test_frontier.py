@@ -133,9 +133,9 @@ def reach(edges, seeds, limit):
 @pytest.mark.parametrize("limit", [0, 1, 3, None])
 @pytest.mark.parametrize("broadcast_rows", [0, 50_000])
 def test_closure_against_brute_force(spark, monkeypatch, limit, broadcast_rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "SMALL_ROWS", broadcast_rows)
     monkeypatch.setattr(joins, "HOT_ROWS", 20)
-    monkeypatch.setattr(frontier, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(frontier, "SMALL_ROWS", broadcast_rows)
     rng = random.Random(3)
     # Node 0 has a third of all links out, node 9 a third of all links in.
     edges = [(0, rng.randrange(60)) for _ in range(40)]
@@ -236,14 +236,38 @@ def test_salted_join_equals_plain_join(spark, monkeypatch, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 50_000])
-def test_robots_by_either_join(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(joins, "HOT_ROWS", 3)
-    # With a limit of 0 no key is marked hot, and the join is an ordinary one.
-    rules = spark.createDataFrame(RULES, schemas.ROBOTS_RULES)
-    rows = spark.range(40).select(
-        F.concat(F.lit("http://a.com/"), F.when(F.col("id") % 2 == 0, "shut").otherwise("x"), "id").alias("url")
+def test_robots_with_many_rules_of_one_host(spark):
+    """As many rules as urls on one host: each url meets the rules of its own prefixes only."""
+    n = 20_000
+    rules = spark.range(n).select(
+        F.lit("a.com").alias("host"),
+        F.lit("*").alias("agent"),
+        F.col("id").cast("int").alias("seq"),
+        (F.col("id") % 2 == 0).alias("allow"),
+        F.concat(F.lit("/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path_prefix"),
+    )
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("http://a.com/"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("/x")).alias("url")
     )
-    got = frontier.robots_allowed(rows, rules, "loom").collect()
-    assert all(r.robots_ok != ("shut" in r.url) for r in got) and len(got) == 40
+    got = frontier.robots_allowed(rows, rules, "loom")
+    assert got.where(F.col("robots_ok") != (F.col("id") % 2 == 0)).isEmpty()
+    assert got.count() == n
+
+
+def test_more_links_on_a_page_than_a_thousand_fold_key_holds(spark):
+    """Order is (page, place on it): a later page's link stays later, whatever the number of links."""
+    seq = "struct<page_id:bigint,pos:int>"
+    rows = [("j", f"http://a.com/{k}", "p0", 1, (0, k)) for k in range(5001)]
+    rows += [("j", "http://a.com/dup", "p0", 1, (0, 5001)), ("j", "http://a.com/dup", "p5", 1, (5, 0))]
+    candidates = spark.createDataFrame(
+        rows, f"job_id string, url string, parent_url string, depth int, seq {seq}"
+    )
+    none = spark.createDataFrame([], "job_id string, normalized_url string")
+    outcomes = {
+        r.outcome: r["count"]
+        for r in frontier.enqueue_outcomes(candidates, none).groupBy("outcome").count().collect()
+    }
+    assert outcomes == {"queued": 5002, "duplicate": 1}
+    entering = frontier.enqueue(candidates, none)
+    assert entering.count() == 5002
+    assert entering.where("url like '%dup'").first().parent_url == "p0"
