@@ -58,7 +58,7 @@ def token_fertility(spark: SparkSession, sf: str) -> DataFrame:
 
 def warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
     """A revisit carries no payload; its length is what the metadata record says and its digest the header's."""
-    found = warc.captures(table(spark, sf, "pages"), Scratch(spark, "warc").path("archives"))
+    found = warc.captures(table(spark, sf, "pages"), Scratch(spark, "warc"), payloads=False)
     revisit = F.col("capture.kind") == "revisit"
     size = F.when(revisit, F.col("metadata.fields")["payload-bytes"].cast("long")).otherwise(F.col("capture.n_bytes"))
     sha = F.when(revisit, F.col("capture.payload_digest")).otherwise(F.col("capture.computed_digest"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.storage import Scratch
+
 CRLF = "\r\n"
 # Digits of base 32 in the two alphabets.
 BASE32_CONV, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -234,12 +236,19 @@ def assemble(found: DataFrame) -> DataFrame:
     return rows.select(capture.alias("capture"), "request", "metadata")
 
 
-def captures(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
-    """Write ``pages`` as archives at ``path``, read them back, and return assembled captures.
+def captures(pages: DataFrame, scratch: Scratch, least: int = 0, payloads: bool = True) -> DataFrame:
+    """Write ``pages`` as archives, read them back once, and return assembled captures.
+
+    The records that were read are stored as a table, from which the assembly takes its three sides;
+    without ``payloads`` those of responses are left out of it (lengths and digests stay).
 
     Null html is an empty payload; a null url leaves out the target field; a null page_id is not written and
     comes back null. Repeated rows are captures of their own, the equal ones all response or all revisit.
     Long texts stream through. An empty table gives no archive rows. Other columns are not looked at.
     """
+    path = scratch.path("archives")
     write_archives(pages, path, least)
-    return assemble(read_records(pages.sparkSession, path))
+    found = read_records(pages.sparkSession, path)
+    if not payloads:
+        found = found.withColumn("payload", F.when(F.col("kind") == "metadata", F.col("payload")))
+    return assemble(scratch.save(found, "records"))
