@@ -4,7 +4,7 @@ The model reads words as characters: n-grams of ``ORDER`` characters inside a wo
 Counts, continuation counts, discounts and back-off weights are tables, joined by n-gram and by context.
 
 Scoring joins counts to shards of documents, never n-grams to single documents: a task packs its texts into
-shards of a few MB and lists each shard's distinct n-grams. Those lists meet the tables, each n-gram gets
+shards of at most some tens of MB and lists each shard's distinct n-grams. Those lists meet the tables, each n-gram gets
 its log probability, and the answers go back to the shard. What is shuffled grows with the shards; texts
 are written once, bucketed by shard, and read back without a shuffle.
 
@@ -30,7 +30,7 @@ from pageloom.llm.textops import mix, slices, span_hashes, text_bytes, word_span
 
 ORDER = 5
 FOLDS = 5
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 BUCKETS = 48
 # Share of held-out trusted texts that the threshold lets pass, and what is added for chance.
 QUANTILE = 0.99
