@@ -321,8 +321,12 @@ def round_trip(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_i
                 pairs = list(zip(begin[:-1], begin[1:], where[:-1], where[1:], strict=True))
                 out = {c: part.column(c) for c in keep}
                 out["n_tokens"] = pa.array(np.diff(begin))
-                out["ids_sha256"] = pa.array([hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b, _, _ in pairs])
-                out["decoded_sha256"] = pa.array([hashlib.sha256(text[c:d]).hexdigest() for _, _, c, d in pairs])
+                out["ids_sha256"] = pa.array(
+                    [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b, _, _ in pairs], pa.string()
+                )
+                out["decoded_sha256"] = pa.array(
+                    [hashlib.sha256(text[c:d]).hexdigest() for _, _, c, d in pairs], pa.string()
+                )
                 if ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found))
                 yield pa.record_batch(out)

@@ -87,9 +87,9 @@ def repeated_lines(raw: np.ndarray, offs: np.ndarray, words_at: np.ndarray, doc_
     n = len(offs) - 1
     ends = np.flatnonzero(raw == 0x0A)
     first = np.unique(np.concatenate((offs[:-1], ends + 1)))
-    first = first[first < len(raw)]
-    stops = np.unique(np.concatenate((ends, offs[1:])))
-    last = stops[np.searchsorted(stops, first)] if len(first) else first
+    first = first[first < len(raw)]  # what starts at the end is empty
+    closed = np.append(ends, len(raw))
+    last = np.minimum(closed[np.searchsorted(ends, first)], offs[np.searchsorted(offs, first, side="right")])
     line = np.searchsorted(first, words_at, side="right") - 1
     full = np.unique(line)
     first, last = first[full], last[full]

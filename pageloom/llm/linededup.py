@@ -92,9 +92,10 @@ class Runs:
     def rows(self) -> DataFrame:
         """All runs as one plain table; the catalog forgets their names."""
         names = [name for level in self.levels for name in level]
-        frames = [self.scratch.spark.read.parquet(self.scratch.path(name)) for name in names]
+        spark = self.scratch.spark  # a run without rows has no file, so schemas are given
+        frames = [spark.read.schema(spark.table(name).schema).parquet(self.scratch.path(name)) for name in names]
         for name in names:
-            self.scratch.spark.sql(f"DROP TABLE {name}")  # external: the files stay
+            spark.sql(f"DROP TABLE {name}")  # external: the files stay
         rows = frames[0]
         for frame in frames[1:]:
             rows = rows.union(frame)

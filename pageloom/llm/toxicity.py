@@ -311,7 +311,8 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             scores = [matcher.score(t.as_py()) for t in batch.column("text")]
             flags = pa.array([int(s >= 0.5) for s in scores], pa.int32())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": scores, "predicted": flags})
+            score = pa.array(scores, pa.float64())
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": score, "predicted": flags})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(work, "doc_id long, score double, predicted int")
