@@ -105,7 +105,7 @@ def entropies(ids: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     owner = key >> 32
     total = np.bincount(doc, minlength=n).astype(np.float64)
     share = counts / total[owner]
-    return np.bincount(owner, -share * np.log2(share), minlength=n)
+    return np.bincount(owner, -share * np.log2(share), minlength=n).astype(np.float64)
 
 
 def measures(docs: DataFrame, model: bytes) -> DataFrame:
