@@ -156,14 +156,18 @@ def signatures(docs: DataFrame, size: int, ratio: float) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id`` and its sorted shingle hashes as bytes."""
+    """``doc_id`` and its shingle hashes, six bytes each.
+
+    Two different shingles of a pair of texts are taken for one with a chance of 1 in 2 ** 48.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, count = shingle_sets(*text_bytes(part.column("text")), size)
                 ends = np.cumsum(count)
-                sets = [value[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
+                raw = value.view(np.uint8).reshape(-1, 8)[:, :6]
+                sets = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, shingles binary")
@@ -178,12 +182,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x = np.frombuffer(left.as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(right.as_buffer(), dtype=np.uint64)
-                both = np.concatenate((x, y))
+                x, y = len(left.as_buffer()) // 6, len(right.as_buffer()) // 6
+                both = np.zeros((x + y, 8), dtype=np.uint8)
+                both[:x, :6] = np.frombuffer(left.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+                both[x:, :6] = np.frombuffer(right.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+                both = both.view(np.uint64).ravel()
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (x + y - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
@@ -249,9 +255,10 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     """
     ratio = percent / 100
     base = docs.select("doc_id", "text")
-    sigs = scratch.save(signatures(base, size, ratio), "signatures")
-    full = sigs.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    wide = scratch.save(signatures(base, size, ratio), "signatures")
+    sigs = scratch.save(wide.select("doc_id", "n", "d1", "d2"), "sizes")
+    full = wide.where("n > 0 and doc_id is not null")
+    classes = scratch.save(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
     reps = full.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     heads = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     trees = (
@@ -259,7 +266,11 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
         .where("low <> high")
     )
+    # Written one after the other, so that the keys of all classes are in only one shuffle at a time.
+    trees = scratch.save(trees, "trees")
     members = scratch.save(heads.join(trees, "key"), "members")
+    shape = scratch.save(reps.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"]), "shapes")
+    scratch.drop("signatures", "trees")
 
     needed = members.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.save(whole_sets(base.join(needed, "doc_id", "left_semi"), size), "sets")
@@ -285,7 +296,6 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     still = span.where("one <> two").select("key", F.col("one").alias("main"))
     open_ = scratch.save(placed.join(still, "key"), "open")
     if not open_.isEmpty():
-        shape = reps.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"])
         candidates = scratch.save(tree_pairs(open_.join(shape, "id"), percent), "candidates")
         more = verified(candidates, sets, percent)
         found = _joined(found, scratch.save(more, "links-3"), scratch, 3)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.shipping import ship
 from pageloom.session import shared_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """A folder of one run below ``spark.checkpoint.dir``, removed when the session's process ends.
@@ -29,8 +31,17 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table as it is read back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` and return the table as it is read back.
+
+        Shuffle files of the write are of no use to anything later, so Spark is told to remove them when it
+        ends instead of when the driver happens to collect garbage.
+        """
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
