@@ -195,6 +195,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def spare_bits() -> Column:
+    """Shingles of a set that share a bit of its bitmap with others."""
+    return F.col("n") - sum(F.bit_count(F.col("bits")[k]) for k in range(BITMAP))
+
+
+def fits(low: str, high: str, percent: int) -> Column:
+    """Whether the largest possible overlap of a and b reaches the threshold.
+
+    Shingles in common set bits in common, except those that share a bit with others of their set.
+    """
+    shared = sum(F.bit_count(F.col("a.bits")[k].bitwiseAND(F.col("b.bits")[k])) for k in range(BITMAP))
+    most = F.least(f"a.{high}", f"b.{high}", shared + F.least("a.spare", "b.spare"))
+    return (100 + percent) * most >= percent * (F.col(f"a.{low}") + F.col(f"b.{low}"))
+
+
+def possible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not rule out."""
+    rows = shapes.select("id", "n", "bits", spare_bits().alias("spare"))
+    met = pairs.alias("p").join(rows.alias("a"), F.col("p.a") == F.col("a.id"))
+    met = met.join(rows.alias("b"), F.col("p.b") == F.col("b.id"))
+    return met.where(fits("n", "n", percent)).select("p.a", "p.b")
+
+
+def open_pairs(members: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of the open trees. ``members``: key, main, id, comp.
+
+    A tree that is one node needs no traversal: its classes of like size meet at once, without bitmaps, as
+    the same pair meets in many trees. Larger trees are traversed.
+    """
+    sized = members.join(shapes.select("id", "n"), "id")
+    total = sized.groupBy("key").agg(F.count("*").alias("total"))
+    sized = sized.join(total, "key")
+    small = sized.where(F.col("total") <= NODE).select("key", "id", "comp", "n")
+    a, b = small.alias("a"), small.alias("b")
+    like = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    apart = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.id") < F.col("b.id"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & like)
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    large = sized.where(F.col("total") > NODE).select("key", "main", "id", "comp", "n")
+    large = large.join(shapes.select("id", "bits"), "id")
+    return possible(met, shapes, percent).union(tree_pairs(large, percent)).distinct()
+
+
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components in the open trees, by dual traversal.
 
@@ -206,7 +249,7 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     rows = members.select("key", "id", "n", "bits", "comp", F.struct(fine.alias("size"), main.alias("main")).alias("kind"))
     parts = rows.groupBy("key", "kind").agg(F.ceil(F.count("*") / NODE).alias("parts"))
     node = F.struct("kind", F.pmod(F.xxhash64("id"), "parts")).alias("node")
-    spare = F.col("n") - sum(F.bit_count(F.col("bits")[k]) for k in range(BITMAP))
+    spare = spare_bits()
     rows = rows.join(parts, ["key", "kind"]).select("key", "id", "n", "bits", "comp", node, spare.alias("spare"))
     nodes = rows.groupBy("key", "node").agg(
         F.min("n").alias("low"),
@@ -217,27 +260,18 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         F.array(*(F.bit_or(F.col("bits")[k]) for k in range(BITMAP))).alias("bits"),
     )
 
-    def fits(low: str, high: str) -> Column:
-        """Whether the largest possible overlap of a and b reaches the threshold.
-
-        Shingles in common set bits in common, except those that share a bit with others of their set.
-        """
-        shared = sum(F.bit_count(F.col("a.bits")[k].bitwiseAND(F.col("b.bits")[k])) for k in range(BITMAP))
-        most = F.least(f"a.{high}", f"b.{high}", shared + F.least("a.spare", "b.spare"))
-        return (100 + percent) * most >= percent * (F.col(f"a.{low}") + F.col(f"b.{low}"))
-
     a, b = nodes.alias("a"), nodes.alias("b")
     one = (F.col("a.first") == F.col("a.last")) & (F.col("b.first") == F.col("b.last"))
     pairs = (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") <= F.col("b.node")))
-        .where(~(one & (F.col("a.first") == F.col("b.first"))) & fits("low", "high"))
+        .where(~(one & (F.col("a.first") == F.col("b.first"))) & fits("low", "high", percent))
         .select(F.col("a.key").alias("key"), F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
     )
     a = rows.alias("a")
     b = rows.alias("b")
     left = a.join(pairs.alias("p"), (F.col("a.key") == F.col("p.key")) & (F.col("a.node") == F.col("p.na")))
     both = left.join(b, (F.col("p.key") == F.col("b.key")) & (F.col("p.nb") == F.col("b.node")))
-    found = both.where((F.col("a.comp") != F.col("b.comp")) & fits("n", "n"))
+    found = both.where((F.col("a.comp") != F.col("b.comp")) & fits("n", "n", percent))
     return _ordered(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
 
 
@@ -276,7 +310,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     sets = scratch.save(whole_sets(base.join(needed, "doc_id", "left_semi"), size), "sets")
     ends = members.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = ends.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    links = scratch.save(verified(_ordered(pairs), sets, percent), "links-1")
+    pairs = scratch.save(possible(_ordered(pairs), shape, percent), "pairs-1")
+    links = scratch.save(verified(pairs, sets, percent), "links-1")
     found = scratch.save(components(links, scratch, "stars-1"), "components-1")
 
     # Second pass: in trees still open, each class with the ends of the tree that are in other components.
@@ -287,7 +322,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     open_ = placed.join(span.where("one.comp <> two.comp"), "key")
     pairs = open_.select("id", "comp", F.explode(F.array("one", "two")).alias("end")).where("comp <> end.comp")
     pairs = pairs.groupBy("id", F.col("end.comp").alias("to")).agg(F.min("end.id").alias("b"))
-    more = verified(_ordered(pairs.select(F.col("id").alias("a"), "b")), sets, percent)
+    pairs = possible(_ordered(pairs.select(F.col("id").alias("a"), "b")), shape, percent)
+    more = verified(scratch.save(pairs, "pairs-2"), sets, percent)
     found = _joined(found, scratch.save(more, "links-2"), scratch, 2)
 
     # Third pass: what is still open goes through the trees.
@@ -296,7 +332,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     still = span.where("one <> two").select("key", F.col("one").alias("main"))
     open_ = scratch.save(placed.join(still, "key"), "open")
     if not open_.isEmpty():
-        candidates = scratch.save(tree_pairs(open_.join(shape, "id"), percent), "candidates")
+        candidates = scratch.save(open_pairs(open_, shape, percent), "candidates")
         more = verified(candidates, sets, percent)
         found = _joined(found, scratch.save(more, "links-3"), scratch, 3)
 
