@@ -323,7 +323,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     pairs = open_.select("id", "comp", F.explode(F.array("one", "two")).alias("end")).where("comp <> end.comp")
     pairs = pairs.groupBy("id", F.col("end.comp").alias("to")).agg(F.min("end.id").alias("b"))
     pairs = possible(_ordered(pairs.select(F.col("id").alias("a"), "b")), shape, percent)
-    more = verified(scratch.save(pairs, "pairs-2"), sets, percent)
+    pairs = scratch.save(pairs, "pairs-2")
+    more = verified(pairs, _of(sets, pairs, scratch, "ids-2"), percent)
     found = _joined(found, scratch.save(more, "links-2"), scratch, 2)
 
     # Third pass: what is still open goes through the trees.
@@ -333,7 +334,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     open_ = scratch.save(placed.join(still, "key"), "open")
     if not open_.isEmpty():
         candidates = scratch.save(open_pairs(open_, shape, percent), "candidates")
-        more = verified(candidates, sets, percent)
+        more = verified(candidates, _of(sets, candidates, scratch, "ids-3"), percent)
         found = _joined(found, scratch.save(more, "links-3"), scratch, 3)
 
     rooted = classes.join(found, classes.id == found.node, "left").select(
@@ -348,6 +349,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _of(sets: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The sets of the documents in ``pairs``; their ids are written first, so Spark knows how many they are."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return sets.join(scratch.save(ids, name), "doc_id", "left_semi")
+
+
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     comp = found.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     return members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
