@@ -3,9 +3,12 @@
 Every text becomes the set of its distinct word shingles. Equal sets are one class, joined as a whole.
 Between classes, links (Jaccard similarity at or above a threshold) are searched in a forest:
 
-* A *tree* holds the classes that share one part of their sets. Sets are cut into parts by shingle hash;
-  a pair over the threshold differs in fewer shingles than there are parts, so at least one part is equal
-  and the pair meets in a tree. No pair is lost, and a passage shared by unlike texts fills few trees.
+* A shingle is *common* if at least two classes hold it. What two sets share is common, so a class that is
+  linked has the share of the threshold in common shingles; classes that have less are done.
+* A *tree* holds the classes that have one shingle among their first ones. The common shingles of a class
+  are ordered by the number of classes that hold them, then by hash. A linked pair shares so many that its
+  first shared one is early in both: within the first ``common - least overlap + 1``. No pair is lost, and a
+  passage shared by unlike texts fills few trees.
 * The first pass links each class to the two ends of one of its trees and verifies those pairs. Trees
   whose classes are then in one component are closed: nothing in them can change the result.
 * The open trees get *nodes* of bounded size, cut by set size and hash. A node holds the OR of its token
@@ -17,26 +20,26 @@ Between classes, links (Jaccard similarity at or above a threshold) are searched
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.graph import components
 from pageloom.llm.storage import Scratch
-from pageloom.llm.textops import mix, ragged, slices, span_hashes, text_bytes, windows, word_spans
+from pageloom.llm.textops import mix, slices, span_hashes, text_bytes, windows, word_spans
 
 # 64-bit words of a token bitmap.
 BITMAP = 16
 # Classes in a node of a tree, on average.
 NODE = 64
-# A family of parts serves sets whose sizes differ by so many steps of the threshold.
-SPAN = 3
-# Parts beyond those that the differences of a linked pair can spoil; see part_keys.
-SURPLUS = 3
+# Shingles of a shard, on average at most: what one task holds while it counts.
+SHARD = 2_000_000
+# Bytes of a shingle in a stored set. Two different shingles are taken for one with a chance of 1 in 2 ** 48.
+WIDTH = 6
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,116 +64,173 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return value, np.bincount(owner, minlength=n).astype(np.int64)
 
 
-def level(size: np.ndarray, ratio: float) -> np.ndarray:
-    """Step of a set size on a scale on which linked sets are at most one step apart."""
-    return np.floor(np.log(np.maximum(size, 1)) / -math.log(ratio) + 1e-9).astype(np.int64)
+def _packed(value: np.ndarray) -> np.ndarray:
+    """The low bytes of each hash, one row of ``WIDTH`` bytes per shingle."""
+    return np.ascontiguousarray(value).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
 
 
-def parts_of(step: np.ndarray, ratio: float) -> np.ndarray:
-    """Parts that the sets of the family starting at ``step`` are cut into.
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), dtype=np.uint8)
+    out[:, :WIDTH] = data.reshape(-1, WIDTH)
+    return out.view(np.int64).ravel()
 
-    Sets of the family have less than ``ratio ** -(step + SPAN + 1)`` shingles, and linked sets a and b
-    differ in at most (1 - ratio) / (1 + ratio) * (|a| + |b|) of them, so that 1 + SURPLUS parts are equal.
-    """
-    largest = np.ceil(ratio ** -(step + SPAN + 1.0))
-    return (np.floor(2 * largest * (1 - ratio) / (1 + ratio) + 1e-6) + 1 + SURPLUS).astype(np.int64)
-
-
-def part_keys(value: np.ndarray, count: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the trees that each set is in, and how many they are.
 
-    Empty parts would bring unlike sets together. A set with at most SURPLUS empty parts needs none of them:
-    of the 1 + SURPLUS parts equal in a linked pair one holds shingles. Other sets are in those trees too.
-    """
-    keys, owners = [], []
-    step = level(count, ratio)
-    begin = np.cumsum(count) - count
-    for back in (0, 1):  # families start at multiples of SPAN and overlap by one step
-        family = step // SPAN * SPAN - back * SPAN
-        rows = np.flatnonzero((count > 0) & (family >= 0) & (step - family <= SPAN))
-        if not len(rows):
-            continue
-        parts = parts_of(family[rows], ratio)
-        own = np.repeat(np.arange(len(rows)), count[rows])
-        shingle = value[ragged(begin[rows], count[rows])]
-        base = np.cumsum(parts) - parts
-        place = base[own] + (mix(shingle ^ np.uint64(0xA5A5A5A5)) % parts[own].astype(np.uint64)).astype(np.int64)
-        total = int(parts.sum())
-        sums = np.zeros(total, dtype=np.uint64)
-        np.add.at(sums, place, mix(shingle))
-        filled = np.bincount(place, minlength=total) > 0
-        empty = parts - np.add.reduceat(filled.astype(np.int64), base)
-        part = np.arange(total) - np.repeat(base, parts)
-        salt = np.repeat(family[rows], parts).astype(np.uint64) << np.uint64(32) | part.astype(np.uint64)
-        used = filled | np.repeat(empty > SURPLUS, parts)
-        keys.append(mix(sums + mix(salt + np.uint64(1)))[used])
-        owners.append(np.repeat(rows, parts)[used])
-    if not keys:
-        return np.empty(0, np.uint64), np.zeros(len(count), np.int64)
-    key, owner = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return key[order], np.bincount(owner, minlength=len(count)).astype(np.int64)
-
-
-def bitmaps(value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A token bitmap of ``BITMAP`` words per set."""
-    bits = np.zeros((len(count), BITMAP * 64), dtype=np.uint8)
-    bits[np.repeat(np.arange(len(count)), count), (value % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
-def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(count) + 1, dtype=np.int32)
-    np.cumsum(count, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-
-
-def signatures(docs: DataFrame, size: int, ratio: float) -> DataFrame:
-    """Per document: set size, set digest (two words), token bitmap and tree keys."""
+def shingle_table(docs: DataFrame, size: int) -> DataFrame:
+    """Per document: set size, set digest (two words) and the shingles of the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, count = shingle_sets(*text_bytes(part.column("text")), size)
-                begin = np.cumsum(count) - count
+                ends = np.cumsum(count)
                 full = count > 0
                 digest = np.zeros((2, len(count)), dtype=np.uint64)
                 if full.any():
-                    digest[0, full] = np.add.reduceat(mix(value + np.uint64(11)), begin[full])
-                    digest[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), begin[full])
-                key, keys = part_keys(value, count, ratio)
+                    begin = (ends - count)[full]
+                    digest[0, full] = np.add.reduceat(mix(value + np.uint64(11)), begin)
+                    digest[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), begin)
+                raw = _packed(value)
+                sets = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
                         "n": pa.array(count),
                         "d1": pa.array(digest[0].view(np.int64)),
                         "d2": pa.array(digest[1].view(np.int64)),
-                        "bits": _lists(bitmaps(value, count).ravel(), np.full(len(count), BITMAP)),
-                        "keys": _lists(key, keys),
+                        "shingles": pa.array(sets, pa.binary()),
                     }
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, n long, d1 long, d2 long, bits array<long>, keys array<long>"
+        work, "doc_id long, n long, d1 long, d2 long, shingles binary"
     )
 
 
-def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id`` and its shingle hashes, six bytes each.
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``id``, set size and a token bitmap of ``BITMAP`` words per set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "shingles"):
+                raw, offs = text_bytes(part.column("shingles"))
+                own = np.repeat(np.arange(part.num_rows), np.diff(offs) // WIDTH)
+                bits = np.zeros((part.num_rows, BITMAP * 64), dtype=np.uint8)
+                bits[own, _unpacked(raw) % (BITMAP * 64)] = 1
+                words = np.packbits(bits, axis=1).view(np.int64).ravel()
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * BITMAP
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))
+                yield pa.record_batch({"id": part.column("doc_id"), "n": part.column("n"), "bits": lists})
+
+    return sets.select("doc_id", "n", "shingles").mapInArrow(work, "id long, n long, bits array<long>")
+
+
+def asked(sets: DataFrame, shards: int) -> DataFrame:
+    """Blocks of sets, dealt out by shingle: for each shard, shingles and who holds them.
 
-    Two different shingles of a pair of texts are taken for one with a chance of 1 in 2 ** 48.
+    A shingle that several sets of a block hold is known to be common: its holders go to any shard
+    (``known``), and it is told once, with no holder, to the shard that counts it. So one row at most per
+    block asks for a shingle, however frequent it is.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                value, count = shingle_sets(*text_bytes(part.column("text")), size)
-                ends = np.cumsum(count)
-                raw = value.view(np.uint8).reshape(-1, 8)[:, :6]
-                sets = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+            for part in slices(batch, "shingles"):
+                raw, offs = text_bytes(part.column("shingles"))
+                token = _unpacked(raw)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(ids)), np.diff(offs) // WIDTH)
+                order = np.argsort(token, kind="stable")
+                token, own = token[order], own[order]
+                fresh = np.ones(len(token), dtype=bool)
+                fresh[1:] = token[1:] != token[:-1]
+                start = np.flatnonzero(fresh)
+                many = np.diff(np.append(start, len(token)))
+                known = np.repeat(many > 1, many)
+                told = token[start[many > 1]]
+                one = (np.append(token[~known], told), np.append(own[~known], np.full(len(told), len(ids))))
+                yield _dealt(*one, np.append(ids, -1), one[0], shards, False)
+                yield _dealt(token[known], own[known], ids, own[known] * 7919 + token[known], shards, True)
+
+    return sets.select("doc_id", "shingles").mapInArrow(
+        work, "shard int, known boolean, ids binary, counts binary, shingles binary"
+    )
+
+
+def _dealt(
+    token: np.ndarray, own: np.ndarray, ids: np.ndarray, by: np.ndarray, shards: int, known: bool
+) -> pa.RecordBatch:
+    """One row per shard: the holders, how many shingles each has there, and the shingles."""
+    shard = (mix(by.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((own, shard))
+    token, own, shard = token[order], own[order], shard[order]
+    head = np.ones(len(token), dtype=bool)
+    head[1:] = (shard[1:] != shard[:-1]) | (own[1:] != own[:-1])
+    start = np.flatnonzero(head)
+    counts = np.diff(np.append(start, len(token))).astype(np.int32)
+    holder, place = ids[own[start]].astype(np.int64), shard[start]
+    names, first = np.unique(place, return_index=True)
+    last = np.append(first, len(start))[1:]
+    edge = np.append(start, len(token))
+    raw = _packed(token)
+    return pa.record_batch(
+        {
+            "shard": pa.array(names, pa.int32()),
+            "known": pa.array(np.full(len(names), known)),
+            "ids": pa.array([holder[f:l].tobytes() for f, l in zip(first, last, strict=True)], pa.binary()),
+            "counts": pa.array([counts[f:l].tobytes() for f, l in zip(first, last, strict=True)], pa.binary()),
+            "shingles": pa.array(
+                [raw[edge[f] : edge[l]].tobytes() for f, l in zip(first, last, strict=True)], pa.binary()
+            ),
+        }
+    )
+
+
+def common_shingles(sets: DataFrame, shards: int) -> DataFrame:
+    """``id`` and ``key`` for each shingle of a set that another of the sets holds too."""
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        token, holder = _held(table.filter(pc.invert(table.column("known"))))
+        order = np.argsort(token, kind="stable")
+        token, holder = token[order], holder[order]
+        fresh = np.ones(len(token), dtype=bool)
+        fresh[1:] = token[1:] != token[:-1]
+        start = np.flatnonzero(fresh)
+        many = np.diff(np.append(start, len(token)))
+        if len(start):
+            many = many + np.add.reduceat((holder < 0).astype(np.int64), start)  # told: two sets at least
+        keep = np.repeat(many > 1, np.diff(np.append(start, len(token)))) & (holder >= 0)
+        more, owner = _held(table.filter(table.column("known")))
+        return pa.table({"id": np.append(holder[keep], owner), "key": np.append(token[keep], more)})
+
+    return asked(sets, shards).groupBy("shard").applyInArrow(count, "id long, key long")
+
+
+def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and their holders."""
+    ids = b"".join(table.column("ids").to_pylist())
+    counts = b"".join(table.column("counts").to_pylist())
+    raw = b"".join(table.column("shingles").to_pylist())
+    return _unpacked(np.frombuffer(raw, np.uint8)), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32))
+
+
+def first_shingles(rows: DataFrame, percent: int) -> DataFrame:
+    """The trees that each class is in: its first common shingles. ``rows``: id, n, key."""
+    held = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("id")
+    ranked = rows.join(held, "key").select(
+        "id",
+        "key",
+        F.count("*").over(own).alias("common"),
+        F.row_number().over(own.orderBy("held", "key")).alias("place"),
+        least_overlap(percent).alias("least"),
+    )
+    return ranked.where("place <= common - least + 1").select("id", "key")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, shingles binary")
+def least_overlap(percent: int) -> Column:
+    """Shingles that a set of n has to share to be linked at all."""
+    return F.expr(f"(n * {percent} + 99) div 100")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,11 +242,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = len(left.as_buffer()) // 6, len(right.as_buffer()) // 6
-                both = np.zeros((x + y, 8), dtype=np.uint8)
-                both[:x, :6] = np.frombuffer(left.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-                both[x:, :6] = np.frombuffer(right.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-                both = both.view(np.uint64).ravel()
+                x, y = len(left.as_buffer()) // WIDTH, len(right.as_buffer()) // WIDTH
+                both = np.concatenate([_unpacked(np.frombuffer(s.as_buffer(), dtype=np.uint8)) for s in (left, right)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (x + y - common))
@@ -287,27 +344,35 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     of one doc_id with several texts count as one document when links are followed. A row without doc_id
     is compared with nothing and gets no component. An empty table gives an empty one.
     """
-    ratio = percent / 100
-    base = docs.select("doc_id", "text")
-    wide = scratch.save(signatures(base, size, ratio), "signatures")
-    sigs = scratch.save(wide.select("doc_id", "n", "d1", "d2"), "sizes")
+    wide = scratch.save(shingle_table(docs, size), "sets")
+    sigs = wide.select("doc_id", "n", "d1", "d2")
     full = wide.where("n > 0 and doc_id is not null")
-    classes = scratch.save(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    classes = scratch.save(classes, "classes")
     reps = full.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    heads = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    reps = reps.select("doc_id", "n", "shingles")
+    total = sigs.join(classes.select("d1", "d2"), ["d1", "d2"], "left_semi").agg(F.sum("n")).first()[0] or 0
+    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    common = scratch.save(common_shingles(reps, shards), "common")
+
+    # Only classes with enough common shingles can be linked; the rest is not looked at again.
+    count = common.groupBy("id").agg(F.count("*").alias("common"))
+    sizes = sigs.select(F.col("doc_id").alias("id"), "n", "d1", "d2").join(classes, ["id", "d1", "d2"], "left_semi")
+    sizes = sizes.groupBy("id").agg(F.min("n").alias("n"))  # an id with several texts: one bound for all
+    alive = count.join(sizes, "id").where(F.col("common") >= least_overlap(percent))
+    alive = scratch.save(alive.select("id", "n"), "alive")
+    heads = scratch.save(first_shingles(common.join(alive, "id"), percent), "heads")
+    scratch.drop("common")
     trees = (
         heads.groupBy("key")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
         .where("low <> high")
     )
-    # Written one after the other, so that the keys of all classes are in only one shuffle at a time.
-    trees = scratch.save(trees, "trees")
     members = scratch.save(heads.join(trees, "key"), "members")
-    shape = scratch.save(reps.select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"]), "shapes")
-    scratch.drop("signatures", "trees")
+    needed = scratch.save(members.select(F.col("id").alias("doc_id")).distinct(), "needed")
+    sets = scratch.save(reps.join(needed, "doc_id", "left_semi"), "needed-sets")
+    shape = scratch.save(bitmaps(sets), "shapes")
 
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.save(whole_sets(base.join(needed, "doc_id", "left_semi"), size), "sets")
     ends = members.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = ends.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     pairs = scratch.save(possible(_ordered(pairs), shape, percent), "pairs-1")
