@@ -75,8 +75,10 @@ def _unpacked(data: np.ndarray) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: set size, set digest (two words) and the shingles of the set."""
+def shingle_table(docs: DataFrame, size: int, keep: tuple[str, ...] = (), sets: bool = True) -> DataFrame:
+    """Per document: set size, set digest (two words), the columns ``keep`` and, if asked, the set's shingles."""
+    kept = docs.select(*keep).schema.fields
+    columns = ", ".join(["doc_id long, n long, d1 long, d2 long", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,23 +91,37 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
                     begin = (ends - count)[full]
                     digest[0, full] = np.add.reduceat(mix(value + np.uint64(11)), begin)
                     digest[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), begin)
-                raw = _packed(value)
-                sets = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
-                yield pa.record_batch(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n": pa.array(count),
-                        "d1": pa.array(digest[0].view(np.int64)),
-                        "d2": pa.array(digest[1].view(np.int64)),
-                        "shingles": pa.array(sets, pa.binary()),
-                    }
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        work, "doc_id long, n long, d1 long, d2 long, shingles binary"
+                out = {
+                    "doc_id": part.column("doc_id"),
+                    "n": pa.array(count),
+                    "d1": pa.array(digest[0].view(np.int64)),
+                    "d2": pa.array(digest[1].view(np.int64)),
+                    **{name: part.column(name) for name in keep},
+                }
+                if sets:
+                    raw = _packed(value)
+                    found = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
+                    out["shingles"] = pa.array(found, pa.binary())
+                yield pa.record_batch(out)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(
+        work, columns + ", shingles binary" * sets
     )
 
 
+def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``n`` and ``shingles`` of the classes: the sets of the documents that stand for them.
+
+    The sets are made from the texts whenever they are needed and never stored for all documents, as they
+    take more room than the texts. An id with several texts may stand for several classes; each text meets
+    all of these, and its digests tell which is its own.
+    """
+    ids = classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    own = shingle_table(texts, size, keep=("c1", "c2")).where("d1 = c1 and d2 = c2")
+    return own.select("doc_id", "n", "shingles")
+
+
 def bitmaps(sets: DataFrame) -> DataFrame:
     """``id``, set size and a token bitmap of ``BITMAP`` words per set."""
 
@@ -344,21 +360,16 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     of one doc_id with several texts count as one document when links are followed. A row without doc_id
     is compared with nothing and gets no component. An empty table gives an empty one.
     """
-    wide = scratch.save(shingle_table(docs, size), "sets")
-    sigs = wide.select("doc_id", "n", "d1", "d2")
-    full = wide.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    classes = scratch.save(classes, "classes")
-    reps = full.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    reps = reps.select("doc_id", "n", "shingles")
-    total = sigs.join(classes.select("d1", "d2"), ["d1", "d2"], "left_semi").agg(F.sum("n")).first()[0] or 0
+    sigs = scratch.save(shingle_table(docs, size, sets=False), "digests")
+    classes = sigs.where("n > 0 and doc_id is not null").groupBy("d1", "d2")
+    classes = scratch.save(classes.agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    common = scratch.save(common_shingles(reps, shards), "common")
+    common = scratch.save(common_shingles(sets_of(docs, classes, size), shards), "common")
 
     # Only classes with enough common shingles can be linked; the rest is not looked at again.
     count = common.groupBy("id").agg(F.count("*").alias("common"))
-    sizes = sigs.select(F.col("doc_id").alias("id"), "n", "d1", "d2").join(classes, ["id", "d1", "d2"], "left_semi")
-    sizes = sizes.groupBy("id").agg(F.min("n").alias("n"))  # an id with several texts: one bound for all
+    sizes = classes.groupBy("id").agg(F.min("n").alias("n"))  # an id with several texts: one bound for all
     alive = count.join(sizes, "id").where(F.col("common") >= least_overlap(percent))
     alive = scratch.save(alive.select("id", "n"), "alive")
     heads = scratch.save(first_shingles(common.join(alive, "id"), percent), "heads")
@@ -369,8 +380,8 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
         .where("low <> high")
     )
     members = scratch.save(heads.join(trees, "key"), "members")
-    needed = scratch.save(members.select(F.col("id").alias("doc_id")).distinct(), "needed")
-    sets = scratch.save(reps.join(needed, "doc_id", "left_semi"), "needed-sets")
+    needed = scratch.save(classes.join(members.select("id").distinct(), "id", "left_semi"), "needed")
+    sets = scratch.save(sets_of(docs, needed, size), "needed-sets")
     shape = scratch.save(bitmaps(sets), "shapes")
 
     ends = members.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
