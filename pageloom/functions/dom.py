@@ -117,12 +117,11 @@ def code_blocks() -> Column:
 
 
 def _caption(img: str) -> str:
-    """Caption of the nearest figure around an image, else a caption right after it."""
-    around = f"f -> f.tag = 'figure' AND f.pos < {img}.pos AND f.last >= {img}.pos"
-    figure = f"try_element_at(filter(nodes, {around}), -1)"
-    figcaption = _bind(figure, "f", _first(_tagged(_inside("f"), "figcaption")))
-    beside = f"o.parent = {img}.parent AND o.pos > {img}.pos"
-    sibling = _first(f"filter({_tagged('nodes', 'p', 'div', 'span')}, o -> {beside})")
+    """Caption of the nearest figure around an image, else a caption right after it.
+
+    The tokenizer has noted where both are, so an image costs its own caption only.
+    """
+    figcaption, sibling = f"get(nodes, {img}.figcaption)", f"get(nodes, {img}.beside)"
     from_figure = _bind(figcaption, "c", f"CASE WHEN c IS NOT NULL THEN {_text('c')} END")
     is_caption = f"array_contains({_classes('c')}, 'caption')"
     from_sibling = _bind(sibling, "c", f"CASE WHEN {is_caption} THEN {_text('c')} END")

@@ -19,6 +19,7 @@ BYTES_PER_MB = 1024 * 1024
 class CrawlConfig:
     """Settings of a crawl beyond its start urls and allowed domains."""
 
+    # The defaults that stored job documents carry.
     max_depth: int = 10
     delay_between_requests: float = 1.0
     concurrent_requests: int = 16

@@ -36,6 +36,8 @@ VOID = frozenset(
 HIDDEN_TEXT = frozenset(("script", "style", "template", "rt", "rp"))
 # Elements that keep runs of white space.
 PREFORMATTED = frozenset(("pre", "textarea"))
+# Elements that may hold the caption of an image before them.
+CAPTION_TAGS = frozenset(("p", "div", "span"))
 # Attributes read by the extraction expressions; others are left behind.
 KEPT_ATTRIBUTES = frozenset(
     "id class href src alt title name property content rel data-filename aria-label lang".split()
@@ -53,6 +55,8 @@ NODE = T.StructType(
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("url", T.StringType()),
         T.StructField("text", T.StringType()),
+        T.StructField("figcaption", T.IntegerType()),
+        T.StructField("beside", T.IntegerType()),
     ]
 )
 HREF = T.StructType([T.StructField("raw", T.StringType()), T.StructField("url", T.StringType())])
@@ -97,6 +101,11 @@ class NodeCollector(HTMLParser):
         self.dropping = self.hiding = self.preformatted = 0
         self.ended_void: Counter = Counter()
         self.pending: list[str] = []
+        self.figures: list[int] = []  # open figures, outermost first
+        self.figure_caption: dict[int, int] = {}
+        self.figure_of: dict[int, int] = {}  # images inside a figure
+        self.beside: dict[int, int] = {}
+        self.waiting: dict[int, list[int]] = {}  # images by parent, until a caption tag follows
 
     def updatepos(self, i, j):
         return j  # line numbers are not used
@@ -133,8 +142,39 @@ class NodeCollector(HTMLParser):
         self._count_open(name, -1)
         if pos >= 0:
             self.last[pos] = len(self.last) - 1
+            if name == "figure":
+                self.figures.pop()
         return name
 
+    def _note_captions(self, tag: str, pos: int) -> None:
+        """What an image needs to find its caption, noted while the page is read once."""
+        parent = self.nodes[pos][0]
+        if tag == "img":
+            if self.figures:
+                self.figure_of[pos] = self.figures[-1]
+            self.waiting.setdefault(parent, []).append(pos)
+        elif tag == "figure":
+            self.figures.append(pos)
+        elif tag == "figcaption":
+            # A caption counts for every figure around it, so those outside of one that has one have one too.
+            for figure in reversed(self.figures):
+                if figure in self.figure_caption:
+                    break
+                self.figure_caption[figure] = pos
+        elif tag in CAPTION_TAGS:
+            for image in self.waiting.pop(parent, ()):
+                self.beside[image] = pos
+
+    def caption_positions(self) -> tuple[list[int | None], list[int | None]]:
+        """Per node, for images only: the caption of its figure, and the caption tag that follows it."""
+        figcaption: list[int | None] = [None] * len(self.last)
+        beside: list[int | None] = [None] * len(self.last)
+        for image, figure in self.figure_of.items():
+            figcaption[image] = self.figure_caption.get(figure)
+        for image, pos in self.beside.items():
+            beside[image] = pos
+        return figcaption, beside
+
     def _start(self, tag: str, attrs: list) -> None:
         self._end_text()
         values = {k: v or "" for k, v in attrs} if attrs else {}
@@ -150,6 +190,7 @@ class NodeCollector(HTMLParser):
         if not self.dropping and tag not in BOILERPLATE:
             kept = [(k, v) for k, v in values.items() if k in KEPT_ATTRIBUTES]
             pos = self._add(tag, kept, url)
+            self._note_captions(tag, pos)
         self.open.append((tag, pos))
         self._count_open(tag, 1)
 
@@ -231,6 +272,7 @@ def _node_array(pages: list[NodeCollector]) -> pa.Array:
     sizes = [len(page.last) for page in pages]
     nodes = list(chain.from_iterable(page.nodes for page in pages))
     parent, depth, tag, attrs, url, text = zip(*nodes, strict=True) if nodes else [()] * 6
+    captions = [page.caption_positions() for page in pages]
     fields = [
         pa.array(chain.from_iterable(range(n) for n in sizes), pa.int32()),
         pa.array(chain.from_iterable(page.last for page in pages), pa.int32()),
@@ -240,6 +282,8 @@ def _node_array(pages: list[NodeCollector]) -> pa.Array:
         pa.array(attrs, _ATTRS),
         pa.array(url, pa.string()),
         pa.array(text, pa.string()),
+        pa.array(chain.from_iterable(figcaption for figcaption, _ in captions), pa.int32()),
+        pa.array(chain.from_iterable(beside for _, beside in captions), pa.int32()),
     ]
     offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=NODE.names))

@@ -131,6 +131,11 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "url", page.alias("html"))
 
 
+def rich_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rich pages as fetched responses."""
+    return lift_raw_pages(rich_pages(spark, sf_dir).withColumnRenamed("doc_id", "page_id"))
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return documents_table(spark, sf_dir).join(labels, "doc_id", "left")
@@ -313,6 +318,19 @@ def scraping_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job document for every hundred events, its failures in the ``errors`` array."""
+    failed = F.when(
+        F.col("kind") == "failed", F.struct(F.col("ts").alias("timestamp"), "seq", "error_message")
+    )
+    return (
+        crawl_events(spark, sf_dir)
+        .groupBy(F.floor(F.col("seq") / 100).alias("batch"))
+        .agg(F.sort_array(F.collect_list(failed)).alias("errors"))
+        .select(F.concat(F.lit("job-"), F.col("batch").cast("string")).alias("_id"), "errors")
+    )
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two links per document, to (7d + 1) and (13d + 5) modulo the document count."""
     docs = _table(spark, sf_dir, "documents").select("doc_id")

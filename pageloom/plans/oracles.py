@@ -167,11 +167,22 @@ FROM page p FULL JOIN later l ON p.url = l.url"""
 ORACLES["key_violations"] = f"""WITH {QUEUE}
 SELECT normalized_url, job_id, count(*) AS rows FROM queue GROUP BY 1, 2 HAVING count(*) > 1"""
 
+# Documents whose pages were fetched as html.
+GOT = "doc_id % 20 > 1 AND doc_id % 10 <> 3"
 ORACLES["validate_pages"] = f"""
 SELECT {DOC_URL} AS url, array_to_string(list_filter([
-  CASE WHEN quality IS NULL THEN 'quality_score: required' END,
-  CASE WHEN lang = 'es' THEN 'navigation.page_type: unknown' END], lambda v: v IS NOT NULL), '; ') AS violations
-FROM documents LEFT JOIN labels USING (doc_id)"""
+  CASE WHEN lang = 'de' THEN 'metadata.response_time: required' END,
+  CASE WHEN lang = 'fr' THEN 'quality_score: required' END,
+  CASE WHEN lang = 'es' THEN 'navigation.page_type: unknown' END,
+  'images.src: not an http url'], lambda v: v IS NOT NULL), '; ') AS violations
+FROM documents WHERE {GOT}"""
+
+ORACLES["validate_jobs"] = """
+SELECT 'job-' || page_id AS _id, array_to_string(list_filter([
+  CASE WHEN page_id % 13 = 0 THEN 'job_name: required' END,
+  CASE WHEN page_id % 11 = 0 THEN 'configuration: required' END,
+  CASE WHEN page_id % 7 = 0 THEN 'status: unknown' END], lambda v: v IS NOT NULL), '; ') AS violations
+FROM pages WHERE page_id % 13 = 0 OR page_id % 11 = 0 OR page_id % 7 = 0"""
 
 # URL functions
 
@@ -433,6 +444,12 @@ ORACLES["validate_links"] = f"""WITH {RICH_LINKS}
 SELECT url, CAST(pos AS INTEGER) AS pos, href, CASE WHEN len(href) % 5 = 0 THEN 'pending' WHEN len(href) % 3 = 0 THEN 'broken'
   ELSE 'valid' END AS status FROM hrefs WHERE pos >= 0"""
 
+ORACLES["validated_page_links"] = f"""WITH {RICH_LINKS}
+SELECT url, string_agg(href || '|' || label || '|' || CASE WHEN label = 'Top' THEN 'Up' ELSE '' END || '|'
+  || CASE WHEN label = 'Paper' THEN 'external' ELSE 'internal' END || '|'
+  || CASE WHEN len(href) % 5 = 0 THEN 'pending' WHEN len(href) % 3 = 0 THEN 'broken' ELSE 'valid' END,
+  chr(10) ORDER BY pos) AS links FROM hrefs WHERE pos >= 0 GROUP BY url"""
+
 ORACLES["open_job"] = f"""
 SELECT 'job-' || page_id AS _id, 'site_scrape_20240201_000000' AS job_name, 'full_crawl' AS job_type,
   '2024-02-01 00:00:00' AS start_time, 'running' AS status, url AS start_urls, {part('url', 2)} AS allowed_domains,
@@ -508,6 +525,23 @@ ORDER BY quality_score DESC, seen DESC, url LIMIT 100 OFFSET 20"""
 ORACLES["page_by_id"] = f"""WITH {PAGES}
 SELECT _id, url, content_hash, 1 AS version FROM page WHERE _id = (SELECT min(_id) FROM page)"""
 ORACLES["page_summary"] = f"WITH {PAGES} SELECT {SUMMARY} FROM page"
+ORACLES["page_detail"] = f"""WITH {RICH}, c AS (
+  SELECT *, array_to_string(list_filter(flatten([
+    [source || ' ' || doc, 'Home', '/', lang, '/', source, source, lang, doc],
+    list_transform(lines, lambda x: {strip('x')}), [{strip('text')}],
+    ['Figure', doc, 'In ' || lang, 'Lines', 'line', 'chars'], {LINE_CELLS},
+    ['one', lang, doc], {LINK_TEXTS}]), lambda s: s <> ''), ' ') AS clean FROM rich WHERE {GOT}),
+{_keywords('c', 'doc_id', 'clean')},
+named AS (SELECT k, string_agg(w, '|' ORDER BY rank) AS keywords FROM kw GROUP BY k)
+SELECT sha256({normalize('url')}) AS _id, url, source || ' ' || doc AS title, md5(clean) AS content_hash,
+  {words('clean')} AS word_count, 2 AS headings,
+  CAST(len(list_filter(lines, lambda x: length({strip('x')}) > 10)) + 1 AS INTEGER) AS paragraphs, 2 AS code_blocks,
+  2 AS images, 6 AS links, 1 AS tables, 2 AS lists,
+  {stamp("TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE")} AS scraped_at,
+  'job-' || (doc_id % 5) AS scraping_job_id, lang AS html_lang, 'Home|' || lang || '|' || source AS breadcrumb,
+  host || '/' || lang || '/next/' || doc AS next_page, 'About ' || source AS meta_description, url AS canonical_url,
+  coalesce(keywords, '') AS keywords, 'processed' AS status, 1 AS version, true AS has_headings
+FROM c LEFT JOIN named ON k = doc_id"""
 
 ORACLES["list_jobs"] = f"WITH {JOBS} SELECT {JOB_ROW} FROM jobs ORDER BY jobs.start_time DESC, _id LIMIT 5"
 ORACLES["job_by_id"] = f"WITH {JOBS} SELECT {JOB_ROW} FROM jobs WHERE _id = 'job-3'"
@@ -586,11 +620,15 @@ ORACLES["retention_queue"] = f"""WITH {QUEUE}
 SELECT seq, status, {stamp('discovered_at')} AS discovered_at FROM queue WHERE NOT ({EXPIRED})"""
 ORACLES["retention_errors"] = f"""WITH {ERRORS}
 SELECT job_id, url, {stamp('ts')} AS timestamp, retry_count FROM err WHERE ts >= TIMESTAMP '2024-01-18'"""
-ORACLES["retention_report"] = f"""WITH {QUEUE}
+ORACLES["pruned_job_errors"] = """
+SELECT 'job-' || (event_id // 100) AS _id, coalesce(string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY ts, event_id)
+  FILTER (event_type = 'error' AND ts >= TIMESTAMP '2024-01-18'), '') AS errors FROM events GROUP BY event_id // 100"""
+ORACLES["retention_report"] =f"""WITH {QUEUE}
 SELECT count(*) FILTER ({EXPIRED}) AS deleted_queue_entries, '2024-01-18T00:00:00' AS cutoff_date FROM queue"""
 
 # Streaming
 
+ORACLES["stream_frontier_watermark"] = f"WITH {QUEUE} SELECT DISTINCT job_id, normalized_url FROM queue"
 ORACLES["stream_frontier"] = f"""WITH {QUEUE}
 SELECT job_id, normalized_url, arg_min(url, row(discovered_at, url)) AS url,
   {stamp('min(discovered_at)')} AS discovered_at FROM queue GROUP BY job_id, normalized_url"""

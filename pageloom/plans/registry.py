@@ -104,24 +104,34 @@ def key_violations(spark, sf):
 
 @register
 def validate_pages(spark, sf):
-    docs = inputs.labelled_documents(spark, sf)
-    pages = docs.select(
-        inputs.doc_url(F.col("lang"), F.col("source"), F.col("doc_id")).alias("url"),
-        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
-        F.when(F.col("lang") == "es", "story").otherwise("article").alias("page_type"),
-        F.col("label").cast("double").alias("quality_score"),
-    ).select(
-        "url",
-        "title",
-        F.struct("page_type").alias("navigation"),
-        "quality_score",
+    """All violations of whole page documents, some of them spoiled by language."""
+    pages = extract.extract_pages(inputs.rich_responses(spark, sf))
+    lang, kind = F.col("metadata.html_lang"), F.col("navigation.page_type")
+    took = F.when(lang != "de", F.col("metadata.response_time"))
+    pages = (
+        pages.withColumn("quality_score", F.when(lang != "fr", F.col("quality_score")))
+        .withColumn(
+            "navigation",
+            F.col("navigation").withField("page_type", F.when(lang == "es", "story").otherwise(kind)),
+        )
+        .withColumn("metadata", F.col("metadata").withField("response_time", took))
     )
-    present = ("url: ", "title: ", "navigation.page_type: ", "quality_score: ")
     checked = validate.validate_pages(pages)
-    about = F.filter(
-        "violations", lambda v: F.exists(F.array(*map(F.lit, present)), lambda p: v.startswith(p))
+    return checked.select("url", F.array_join("violations", "; ").alias("violations"))
+
+
+@register
+def validate_jobs(spark, sf):
+    """Violations of the jobs opened for the pages, some of them spoiled by number."""
+    number = F.substring("_id", 5, 20).cast("long")
+    opened = (
+        _opened_jobs(spark, sf)
+        .withColumn("status", F.when(number % 7 == 0, "stopped").otherwise(F.col("status")))
+        .withColumn("job_name", F.when(number % 13 != 0, F.col("job_name")))
+        .withColumn("configuration", F.when(number % 11 != 0, F.col("configuration")))
     )
-    return checked.select("url", F.array_join(about, "; ").alias("violations"))
+    checked = validate.rejected_rows(validate.validate_jobs(opened))
+    return checked.select("_id", F.array_join("violations", "; ").alias("violations"))
 
 
 # URL functions
@@ -527,7 +537,16 @@ def validate_links(spark, sf):
 
 
 @register
-def open_job(spark, sf):
+def validated_page_links(spark, sf):
+    """The link array of every page with the answers of the checks in it."""
+    found = cut_lineage(extract.links(inputs.rich_pages(spark, sf)))
+    pages = links.collect_links(links.validate_links(found, inputs.link_checks(found)))
+    fields = ("href", "text", "title", "type", "status")
+    line = F.transform("links", lambda i: F.concat_ws("|", *[i[f] for f in fields]))
+    return pages.select("url", F.array_join(line, "\n").alias("links"))
+
+
+def _opened_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """A job for every crawled page's site, started at the page."""
     url = F.col("url")
     starts = inputs.pages_table(spark, sf).select(
@@ -535,7 +554,12 @@ def open_job(spark, sf):
         F.array(url).alias("start_urls"),
         F.array(urls.netloc(url)).alias("allowed_domains"),
     )
-    return jobs.open_jobs(starts, jobs.CrawlConfig(), NOW, "site").select(
+    return jobs.open_jobs(starts, jobs.CrawlConfig(), NOW, "site")
+
+
+@register
+def open_job(spark, sf):
+    return _opened_jobs(spark, sf).select(
         "_id",
         "job_name",
         "job_type",
@@ -651,6 +675,32 @@ def page_by_id(spark, sf):
     )
 
 
+@register
+def page_detail(spark, sf):
+    """The detail document of every page, arrays joined or counted."""
+    pages = catalog.page_detail(extract.extract_pages(inputs.rich_responses(spark, sf)))
+    parts = ("headings", "paragraphs", "code_blocks", "images", "links", "tables", "lists")
+    return pages.select(
+        "_id",
+        "url",
+        "title",
+        "content.content_hash",
+        "content.word_count",
+        *[F.size(f"content.structured_data.{p}").alias(p) for p in parts],
+        when_text("metadata.scraped_at"),
+        "metadata.scraping_job_id",
+        "metadata.html_lang",
+        F.array_join("navigation.breadcrumb", "|").alias("breadcrumb"),
+        "navigation.next_page",
+        "seo.meta_description",
+        "seo.canonical_url",
+        F.array_join("search_fields.keywords", "|").alias("keywords"),
+        "status",
+        "version",
+        "accessibility.has_headings",
+    )
+
+
 @register
 def page_summary(spark, sf):
     return _summary(catalog.page_summary(inputs.page_docs(spark, sf)))
@@ -812,6 +862,14 @@ def retention_errors(spark, sf):
     )
 
 
+@register
+def pruned_job_errors(spark, sf):
+    """Job documents with the old entries of their errors array removed."""
+    kept = maintenance.prune_job_errors(inputs.job_documents(spark, sf), LIMIT)
+    numbers = F.transform("errors", lambda e: e["seq"].cast("string"))
+    return kept.select("_id", F.array_join(numbers, "|").alias("errors"))
+
+
 @register
 def retention_report(spark, sf):
     return maintenance.retention_report(inputs.url_queue(spark, sf), LIMIT)
@@ -838,15 +896,30 @@ def stream_ingest(spark, sf):
 @register
 def stream_frontier(spark, sf):
     run = scratch(spark)
-    candidates = _stream(spark, sf, "events").select(
+    candidates = _candidate_stream(spark, sf)
+    streams.ingest_frontier(candidates, f"{run}/queue", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/queue").select(
+        "job_id", "normalized_url", "url", when_text("discovered_at")
+    )
+
+
+def _candidate_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf, "events").select(
         inputs._job_id().alias("job_id"),
         inputs._event_url().alias("url"),
         F.col("ts").cast("timestamp").alias("discovered_at"),
     )
-    streams.ingest_frontier(candidates, f"{run}/queue", f"{run}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{run}/queue").select(
-        "job_id", "normalized_url", "url", when_text("discovered_at")
+
+
+@register
+def stream_frontier_watermark(spark, sf):
+    """Keys of the queue by the watermark form, which remembers a key for a day."""
+    run = scratch(spark)
+    query = streams.ingest_frontier_within(
+        _candidate_stream(spark, sf), f"{run}/queue", f"{run}/checkpoint"
     )
+    query.awaitTermination()
+    return spark.read.parquet(f"{run}/queue").select("job_id", "normalized_url")
 
 
 @register

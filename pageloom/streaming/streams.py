@@ -94,6 +94,21 @@ def frontier_within(candidates: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def ingest_frontier_within(
+    candidates: DataFrame, queue_path: str, checkpoint: str, delay: str = "1 day"
+) -> StreamingQuery:
+    """``frontier_within`` to a folder: state is bounded by the watermark, keys may come again after it."""
+    return (
+        frontier_within(candidates, delay)
+        .writeStream.format("parquet")
+        .option("path", queue_path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_new_urls(candidates: DataFrame, batch_id: int, queue_path: str) -> None:
     """Exact dedup: the first candidate per key that no earlier batch holds."""
     keys = ["job_id", "normalized_url"]

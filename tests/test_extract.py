@@ -160,6 +160,32 @@ def test_images(pages):
     ]
 
 
+def test_captions_of_nested_figures_and_many_images(spark):
+    """Work per image does not grow with the images of its page."""
+    many = "".join(f'<div><img src="/i{k}.png"><span class="caption">c{k}</span></div>' for k in range(4000))
+    shared = "<figure>" + '<img src="/f.png">' * 1000 + "<figcaption>all</figcaption></figure>"
+    nested = (
+        '<figure><img src="/out.png"><figure><img src="/in.png"><figcaption>inner</figcaption></figure>'
+        '<figcaption>outer</figcaption></figure><figure><figure><img src="/bare.png"></figure>'
+        '<figcaption>later</figcaption></figure><img src="/x.png"><img src="/y.png"><p class="caption">two</p>'
+        '<img src="/z.png"><nav><p class="caption">gone</p></nav><p>none</p><p class="caption">late</p>'
+    )
+    rows = [("http://a.com/p", many + shared + nested)]
+    raw = spark.createDataFrame(rows, "url string, html string")
+    found = [(r.src.rsplit("/")[-1], r.caption) for r in extract.images(raw).orderBy("pos").collect()]
+    assert found[:4000] == [(f"i{k}.png", f"c{k}") for k in range(4000)]
+    assert found[4000:5000] == [("f.png", "all")] * 1000
+    # The first caption inside a figure is its own, also when an inner figure holds it.
+    assert found[5000:] == [
+        ("out.png", "inner"),
+        ("in.png", "inner"),
+        ("bare.png", ""),
+        ("x.png", "two"),
+        ("y.png", "two"),
+        ("z.png", ""),
+    ]
+
+
 def test_links(pages):
     page = BASE + "?k=links"
     rows = [tuple(x) for x in parts(pages, "links").links]
