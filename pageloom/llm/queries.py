@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, embeddings, fertility, htmltext, jaccard, kneser, linededup, mixing, toxicity, warc
+from pageloom.llm import bpe, conversations, embeddings, fertility, htmltext, jaccard, kneser, linededup, mixing, toxicity, warc
 from pageloom.llm.storage import Scratch
 
 
@@ -75,6 +75,11 @@ def embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"), Scratch(spark, "embeddings"))
 
 
+def conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf, "conversations"))
+    return conversations.repair(rows, Scratch(spark, "conversations"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_kneser_ney": kneser_ney,
@@ -86,4 +91,5 @@ QUERIES = {
     "op8_warc_transactions": warc_transactions,
     "op9_embedding_duplicates": embedding_duplicates,
     "op10_byte_bpe": byte_bpe,
+    "op11_conversation_repair": conversation_repair,
 }
