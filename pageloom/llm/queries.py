@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, conversations, embeddings, fertility, htmltext, jaccard, kneser, linededup, mixing, toxicity, warc
+from pageloom.llm import (
+    bpe,
+    collocations,
+    conversations,
+    embeddings,
+    fertility,
+    htmltext,
+    jaccard,
+    kneser,
+    linededup,
+    mixing,
+    packing,
+    toxicity,
+    warc,
+)
 from pageloom.llm.storage import Scratch
 
 
@@ -80,6 +94,17 @@ def conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair(rows, Scratch(spark, "conversations"))
 
 
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), Scratch(spark, "collocations"))
+
+
+def lexical_packing(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(table(spark, sf, "documents"), Scratch(spark, "packing"), vocabulary)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_kneser_ney": kneser_ney,
@@ -92,4 +117,6 @@ QUERIES = {
     "op9_embedding_duplicates": embedding_duplicates,
     "op10_byte_bpe": byte_bpe,
     "op11_conversation_repair": conversation_repair,
+    "op12_phrase_collocations": phrase_collocations,
+    "op13_lexical_packing": lexical_packing,
 }
