@@ -110,6 +110,12 @@ later AS (
   SELECT url, md5(body) AS content_hash,
     TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 1000 + 5000) * INTERVAL 1 MINUTE AS seen FROM upcoming)"""
 
+# The pages after the next crawl was saved and its own pages were removed again.
+LAST = PAGES.replace(
+    "SELECT d.*,",
+    "SELECT d.* REPLACE (CASE WHEN lang IN ('en', 'fr') THEN text || ' updated' ELSE text END AS text),",
+)
+
 EVENT_URL = "'https://Site' || (user_id % 10) || '.example.com/p/' || (event_id % 500) || '/?b=1&a=2'"
 QUEUE = f"""queue AS (
   SELECT event_id AS seq, {EVENT_URL} AS url, {normalize(EVENT_URL)} AS normalized_url,
@@ -164,6 +170,39 @@ SELECT coalesce(p.url, l.url) AS url,
   {stamp("CASE WHEN l.url IS NULL OR p.content_hash = l.content_hash THEN p.seen ELSE l.seen END")} AS last_updated
 FROM page p FULL JOIN later l ON p.url = l.url"""
 
+ORACLES["saved_pages"] = ORACLES["upsert_pages"]
+ORACLES["saved_pages_before"] = f"""WITH {PAGES}
+SELECT url, 1 AS version, content_hash, {stamp('seen')} AS scraped_at, {stamp('seen')} AS last_updated FROM page"""
+ORACLES["saved_pages_last"] = f"""WITH {LAST}
+SELECT url, CASE WHEN lang IN ('en', 'fr') THEN 2 ELSE 1 END AS version, content_hash, {stamp('seen')} AS scraped_at,
+  {stamp("CASE WHEN lang IN ('en', 'fr') THEN seen + INTERVAL 5000 MINUTE ELSE seen END")} AS last_updated FROM page"""
+ORACLES["stored_collections"] = """WITH n AS (
+  SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM documents WHERE lang = 'en') AS en,
+    (SELECT count(DISTINCT user_id % 7) FROM events) AS jobs, (SELECT count(*) FROM events) AS queue)
+SELECT version, unnest(['pages', 'scraping_jobs', 'url_queue']) AS collection,
+  unnest([docs + CASE WHEN version = 2 THEN en ELSE 0 END, jobs, queue]) AS rows
+FROM n, (SELECT unnest([1, 2, 3]) AS version)"""
+ORACLES["stored_page"] = f"""WITH {LAST}, {_keywords('docs', 'doc_id', 'text')},
+named AS (SELECT k, string_agg(w, '|' ORDER BY rank) AS keywords FROM kw GROUP BY k),
+added AS (SELECT sha256({normalize("url || '/new'")}) AS _id, url || '/new' AS url, lang, doc_id, text AS body FROM page WHERE lang = 'en'),
+first AS (SELECT * FROM (SELECT _id, doc_id, false AS is_new FROM page UNION ALL SELECT _id, doc_id, true FROM added)
+  ORDER BY _id LIMIT 1),
+old AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, md5(text) AS hash, {words('text')} AS word_count FROM documents),
+{_keywords('documents', 'doc_id', 'text').replace('tok AS', 'old_tok AS').replace('kw AS', 'old_kw AS').replace('FROM tok', 'FROM old_tok')},
+old_named AS (SELECT k, string_agg(w, '|' ORDER BY rank) AS keywords FROM old_kw GROUP BY k)
+SELECT first._id, page.url || CASE WHEN is_new THEN '/new' ELSE '' END AS url,
+  CASE WHEN is_new THEN old.title ELSE page.title END AS title,
+  CASE WHEN is_new THEN old.hash ELSE content_hash END AS content_hash,
+  CASE WHEN is_new THEN old.word_count ELSE page.word_count END AS word_count,
+  {reading('CASE WHEN is_new THEN old.word_count ELSE page.word_count END')} AS reading_time,
+  {stamp("CASE WHEN is_new THEN seen + INTERVAL 5000 MINUTE ELSE seen END")} AS scraped_at,
+  {stamp("CASE WHEN lang IN ('en', 'fr') THEN seen + INTERVAL 5000 MINUTE ELSE seen END")} AS last_updated,
+  'job-' || (page.doc_id % 7) AS scraping_job_id, section, subsection, 'article' AS page_type,
+  coalesce(CASE WHEN is_new THEN old_named.keywords ELSE named.keywords END, '') AS keywords, 'processed' AS status,
+  CASE WHEN lang IN ('en', 'fr') AND NOT is_new THEN 2 ELSE 1 END AS version, quality_score
+FROM first JOIN page USING (doc_id) JOIN old USING (doc_id)
+LEFT JOIN named ON named.k = page.doc_id LEFT JOIN old_named ON old_named.k = page.doc_id"""
+
 ORACLES["key_violations"] = f"""WITH {QUEUE}
 SELECT normalized_url, job_id, count(*) AS rows FROM queue GROUP BY 1, 2 HAVING count(*) > 1"""
 
@@ -475,7 +514,7 @@ SUMMARY = f"""_id, url, title, section, subsection, word_count, {reading('word_c
   {stamp('seen')} AS scraped_at"""
 
 
-def _hits(*terms: str) -> str:
+def _hits(*terms: str, pages: str = PAGES, docs: str = "documents") -> str:
     """Pages with ``score``: occurrences of the terms in text, title and keywords."""
     wanted = ", ".join(f"'{t}'" for t in terms)
 
@@ -485,7 +524,7 @@ def _hits(*terms: str) -> str:
             f"lambda w: w IN ({wanted})))"
         )
 
-    return f"""{PAGES}, {_keywords('documents', 'doc_id', 'text')},
+    return f"""{pages}, {_keywords(docs, 'doc_id', 'text')},
 kw_hits AS (SELECT k, count(*) AS n FROM kw WHERE w IN ({wanted}) GROUP BY k),
 scored AS (
   SELECT p.*, CAST({tf('text')} + {tf('title')} + coalesce(n, 0) AS INTEGER) AS score
@@ -501,6 +540,11 @@ SELECT {SUMMARY}, score FROM hits WHERE section = 'en' AND quality_score >= 20
   AND (contains(lower(text), 'of the') OR contains(lower(title), 'of the'))
   AND NOT regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])license($|[^\\p{{L}}\\p{{N}}_])')
 ORDER BY score DESC, url LIMIT 20 OFFSET 5"""
+ORACLES["search_postings_last"] = f"""WITH {_hits("updated", pages=LAST, docs="docs")}
+SELECT {SUMMARY}, score FROM hits WHERE quality_score >= 10
+  AND (contains(lower(text), 'of the') OR contains(lower(title), 'of the'))
+  AND NOT regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])license($|[^\\p{{L}}\\p{{N}}_])')
+ORDER BY score DESC, url LIMIT 100"""
 ORACLES["search_total"] = f"WITH {ANY} SELECT count(*) AS total_matches FROM hits"
 ORACLES["search_response"] = f"""WITH {ANY}, top AS (
   SELECT * FROM hits WHERE section = 'en' ORDER BY score DESC, url LIMIT 10)
@@ -570,6 +614,8 @@ HAVING grouping(subsection) = 1 OR subsection <> ''"""
 
 
 ORACLES["section_rollup"] = f"WITH {PAGES} {_rollup('page')}"
+ORACLES["kept_structure"] = ORACLES["site_structure"].replace(PAGES, LAST)
+ORACLES["kept_rollup"] = ORACLES["section_rollup"].replace(PAGES, LAST)
 ORACLES["site_rollup"] = f"""WITH crawled AS (
   SELECT coalesce({parts('url')}[1], '') AS section, coalesce({parts('url')}[2], '') AS subsection,
     CAST({words(TITLE)} AS DOUBLE) AS quality_score FROM pages) {_rollup('crawled')}"""
@@ -577,6 +623,7 @@ ORACLES["site_rollup"] = f"""WITH crawled AS (
 TOTALS = """count(*) AS total_pages, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS total_words,
   round(coalesce(avg(quality_score), 0), 6) AS avg_quality_score"""
 ORACLES["content_statistics"] = f"WITH {PAGES} SELECT {TOTALS} FROM page"
+ORACLES["kept_statistics"] = ORACLES["content_statistics"].replace(PAGES, LAST)
 ORACLES["structure_report"] = f"""WITH {PAGES}, r AS (
   SELECT {ROOTED} AS section, subsection, word_count, quality_score FROM page)
 SELECT CASE WHEN grouping(section) = 1 THEN 'site' ELSE 'group' END AS level, coalesce(section, '') AS section,

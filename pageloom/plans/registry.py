@@ -6,6 +6,7 @@ means rounded to six digits.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -21,9 +22,10 @@ from pageloom.operators import (
     jobs,
     links,
     maintenance,
+    rollups,
     validate,
 )
-from pageloom.plans import catalog, inputs, search
+from pageloom.plans import catalog, inputs, prepared, search
 from pageloom.session import cut_lineage, shared_dir
 from pageloom.streaming import streams
 
@@ -31,6 +33,7 @@ NOW = datetime(2024, 2, 1)
 AGENT = "loom/1.0"
 SEARCH = "thing thtion license"
 PHRASE_SEARCH = '"of the" thing -license'
+INDEX_SEARCH = '"of the" updated -license'
 EXCLUDED = ("/t[a-h]", "[?&]utm_", "ing$")
 DOMAINS = ("blog.tionsh.example.com", "tionble.example.org", "blog.ththan.example.net")
 JOB = "job-3"
@@ -95,6 +98,64 @@ def upsert_pages(spark, sf):
     )
 
 
+def _versions(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        "url",
+        "version",
+        F.col("content.content_hash").alias("content_hash"),
+        when_text("metadata.scraped_at"),
+        when_text("metadata.last_updated"),
+    )
+
+
+@register
+def saved_pages(spark, sf):
+    """The stored pages after the second crawl was saved."""
+    return _versions(prepared.crawl_store(spark, sf).pages(prepared.NEXT))
+
+
+@register
+def saved_pages_before(spark, sf):
+    """The stored pages as of the first crawl, read after later commits."""
+    return _versions(prepared.crawl_store(spark, sf).pages(prepared.FIRST))
+
+
+@register
+def saved_pages_last(spark, sf):
+    """The stored pages after some were removed."""
+    return _versions(prepared.crawl_store(spark, sf).pages(prepared.LAST))
+
+
+@register
+def stored_collections(spark, sf):
+    """Rows of every collection in every version of the store."""
+    store = prepared.crawl_store(spark, sf).store
+    names = ("pages", "scraping_jobs", "url_queue")
+    counts = [
+        store.table(name, version).agg(F.count("*").alias("rows")).select(
+            F.lit(version).alias("version"), F.lit(name).alias("collection"), "rows"
+        )
+        for version in (prepared.FIRST, prepared.NEXT, prepared.LAST)
+        for name in names
+    ]
+    return functools.reduce(DataFrame.unionAll, counts)
+
+
+@register
+def stored_page(spark, sf):
+    """One page by its id: one bucket of the store is read."""
+    pages = prepared.crawl_store(spark, sf)
+    wanted = pages.pages(prepared.NEXT).agg(F.min("_id")).first()[0]
+    return pages.store.lookup("pages", [wanted], prepared.NEXT).select(
+        *("_id", "url", "title", "content.content_hash", "content.word_count", "content.reading_time"),
+        when_text("metadata.scraped_at"),
+        when_text("metadata.last_updated"),
+        *("metadata.scraping_job_id", "navigation.section", "navigation.subsection", "navigation.page_type"),
+        F.array_join("search_fields.keywords", "|").alias("keywords"),
+        *("status", "version", "quality_score"),
+    )
+
+
 @register
 def key_violations(spark, sf):
     return validate.key_violations(
@@ -639,8 +700,17 @@ def search_response(spark, sf):
 
 @register
 def search_postings(spark, sf):
-    pages = inputs.page_docs(spark, sf)
-    rows = search.search_postings(search.build_postings(pages), pages, SEARCH, limit=100)
+    """The same search from the stored index, as the first crawl left it."""
+    pages = prepared.crawl_store(spark, sf)
+    rows = pages.index.search(pages.store, SEARCH, limit=100, version=prepared.FIRST)
+    return _summary(rows, "score")
+
+
+@register
+def search_postings_last(spark, sf):
+    """Words, a phrase and an excluded word, after a second crawl and a removal."""
+    pages = prepared.crawl_store(spark, sf)
+    rows = pages.index.search(pages.store, INDEX_SEARCH, min_quality=10, limit=100, version=prepared.LAST)
     return _summary(rows, "score")
 
 
@@ -764,6 +834,32 @@ def _rollup(pages: DataFrame) -> DataFrame:
     return catalog.section_rollup(pages).withColumn("avg_quality", rounded("avg_quality", "q"))
 
 
+def _kept_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return prepared.crawl_store(spark, sf).store.table(rollups.SECTIONS, prepared.LAST)
+
+
+@register
+def kept_structure(spark, sf):
+    """Structure of the site from the roll-up that the store keeps through every commit."""
+    return rollups.site_structure(_kept_sections(spark, sf)).withColumn(
+        "avg_quality", rounded("avg_quality", "q")
+    )
+
+
+@register
+def kept_rollup(spark, sf):
+    return rollups.section_lines(_kept_sections(spark, sf)).withColumn(
+        "avg_quality", rounded("avg_quality", "q")
+    )
+
+
+@register
+def kept_statistics(spark, sf):
+    return rollups.content_statistics(_kept_sections(spark, sf)).withColumn(
+        "avg_quality_score", F.round("avg_quality_score", 6)
+    )
+
+
 @register
 def site_rollup(spark, sf):
     """The roll-up over the crawled pages, scored by the words of their titles."""
