@@ -69,13 +69,13 @@ def maintain(tx: Transaction, changes: DataFrame, buckets: int = 16) -> None:
         tx.replace_buckets(SECTIONS, after, touched)
 
 
-def _mean() -> Column:
-    return (F.col("quality") / F.nullif("scored", F.lit(0))).cast("double").alias("avg_quality")
+def _mean(quality: Column, scored: Column) -> Column:
+    return quality.cast("double") / F.nullif(scored, F.lit(0))
 
 
 def site_structure(sections: DataFrame) -> DataFrame:
     """Pages and mean quality per (section, subsection), from the kept roll-up."""
-    return sections.select(*KEY, F.col("pages").alias("page_count"), _mean())
+    return sections.select(*KEY, F.col("pages").alias("page_count"), _mean(F.col("quality"), F.col("scored")).alias("avg_quality"))
 
 
 def section_lines(sections: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def section_lines(sections: DataFrame) -> DataFrame:
         .groupBy("line.level", "section", F.col("line.name").alias("subsection"))
         .agg(
             F.sum("pages").alias("page_count"),
-            (F.sum("quality") / F.nullif(F.sum("scored"), F.lit(0))).cast("double").alias("avg_quality"),
+            _mean(F.sum("quality"), F.sum("scored")).alias("avg_quality"),
             F.count_if(F.col("named") & (F.col("line.level") == "section")).alias("subsections"),
         )
     )
@@ -97,9 +97,9 @@ def section_lines(sections: DataFrame) -> DataFrame:
 
 def content_statistics(sections: DataFrame) -> DataFrame:
     """Totals of all pages, from the kept roll-up."""
-    mean = F.sum("quality") / F.nullif(F.sum("scored"), F.lit(0))
+    mean = _mean(F.sum("quality"), F.sum("scored"))
     return sections.agg(
         F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"),
         F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"),
-        F.coalesce(mean.cast("double"), F.lit(0.0)).alias("avg_quality_score"),
+        F.coalesce(mean, F.lit(0.0)).alias("avg_quality_score"),
     )
