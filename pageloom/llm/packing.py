@@ -13,12 +13,13 @@ documents; that table has one row per vocabulary entry at most, so it is sent to
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,65 +30,83 @@ from pageloom.llm.storage import Scratch
 from pageloom.llm.textops import ragged, slices
 
 WINDOW = 1024
-UNITS = 1024
+UNITS = 512
 SLICE = 2 << 20
-# Chunks of text an encoder remembers, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 64
 # The usual constants of BM25.
 K1, B = 1.2, 0.75
 # Bits of a number within a task's shards, and of a sequence within a shard.
 SHARD_BITS, SEQUENCE_BITS = 17, 26
 
 
-def _solid(char: str) -> bool:
-    """Whether a character is certainly no white space: a letter, mark, number, punctuation or symbol."""
-    return unicodedata.category(char)[0] in "LMNPS"
+# The pattern by which byte-level files cut texts into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_of_char() -> dict[str, int]:
+    """The characters that byte-level files write bytes with: visible Latin-1 ones stand for themselves."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def ranks_of(specification: str) -> dict[bytes, int] | None:
+    """The vocabulary of a plain byte-level file as ranks; None if merging by rank could give other ids.
+
+    Plain means no rules for texts but the pattern, every byte a token, and merges listed in the order of the
+    ids they make, so that the pair to merge first is the one whose token has the smallest id.
+    """
+    rules = json.loads(specification)
+    cut, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", False)
+    if not plain or rules.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges"):
+        return None
+    vocab, alphabet = model["vocab"], byte_of_char()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    if any(set(t) - alphabet.keys() for t in vocab) or made != sorted(made):
+        return None
+    ranks = {bytes(alphabet[c] for c in token): number for token, number in vocab.items()}
+    return ranks if all(bytes([b]) in ranks for b in range(256)) and len(ranks) == len(pairs) + 256 else None
 
 
 class Encoder:
-    """Texts to ids by a ``tokenizers`` file, with a memo of chunks.
+    """Texts to ids by a ``tokenizers`` file.
 
-    A byte-level pattern never matches over a blank that follows something else than white space, so a text
-    may be cut before each such blank and its chunks encoded one by one.
+    Where the file is a plain byte-level one, its merges are made by the faster of two libraries with the same
+    result; the first text of every call is encoded by both and must be equal.
     """
 
     def __init__(self, specification: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(specification)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-
-    def _chunks(self, chunks: list[str]) -> Iterator[str]:
-        """Chunks joined where one ends in what may be white space."""
-        held = ""
-        for chunk in chunks:
-            chunk = held + chunk
-            if chunk in self.memo or (chunk and _solid(chunk[-1])):
-                held = ""
-                yield chunk
-            else:
-                held = chunk
-        if held:
-            yield held
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        split = []
-        for text in texts:
-            head, *rest = (text or "").split(" ")
-            split.append([head, *[" " + w for w in rest]] if head else [" " + w for w in rest])
-        plain = [list(map(memo.get, chunks)) for chunks in split]
-        rest = {k: list(self._chunks(chunks)) for k, chunks in enumerate(split) if None in plain[k]}
-        new = list(dict.fromkeys(c for chunks in rest.values() for c in chunks if c not in memo))
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        ids = {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(new, found, strict=True)}
-        memo.update((c, i) for c, i in ids.items() if len(c) <= MEMO_CHARS and _solid(c[-1]))
-        for k, chunks in rest.items():
-            plain[k] = [memo[c] if c in memo else ids[c] for c in chunks]
-        return [b"".join(x) for x in plain]
+        ranks = ranks_of(specification)
+        self.fast = ranks and tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _plainly(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a null text has none."""
+        encode = self.fast.encode_ordinary if self.fast else self._plainly
+        found = [encode(text) if text else [] for text in texts]
+        if self.fast:
+            first = next((k for k, text in enumerate(texts) if text), None)
+            if first is not None and self._plainly(texts[first]) != found[first]:
+                raise RuntimeError("two libraries read the vocabulary differently")
+        return [np.array(ids, dtype=np.uint32) for ids in found]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(specification) -> Encoder:
+    """The worker's encoder; loading a file takes longer than encoding a small task's texts."""
+    key = hash(specification.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(specification.value)
+    return _encoders[key]
 
 
 def _units(docs: DataFrame, specification, end: int, window: int, width: str) -> DataFrame:
@@ -99,9 +118,9 @@ def _units(docs: DataFrame, specification, end: int, window: int, width: str) ->
     doc_type = docs.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(specification.value)
+        encoder = _encoder(specification)
         size = encoder.tokenizer.get_vocab_size()
-        last = np.array([end], dtype="<u4").tobytes()
+        last = np.array([end], dtype=np.uint32)
         shard, place, first = TaskContext.get().partitionId() << SHARD_BITS, 0, 0
         held = np.zeros(max(size, end + 1), dtype=np.int64)
         kind = pa.int64()
@@ -110,8 +129,8 @@ def _units(docs: DataFrame, specification, end: int, window: int, width: str) ->
             for part in slices(batch, "text", SLICE):
                 columns: list[list] = [[] for _ in range(6)]
                 for ids in encoder.encode(part.column("text").to_pylist()):
-                    tokens = np.frombuffer(ids + last, dtype="<u4")
-                    held[np.unique(tokens)] += 1
+                    tokens = np.concatenate((ids, last))
+                    held[tokens] += 1  # once for equal ones
                     if place == UNITS:
                         shard, place, first = shard + 1, 0, 0
                     whole = len(tokens) // window * window
