@@ -679,3 +679,6 @@ ORACLES["stream_frontier_watermark"] = f"WITH {QUEUE} SELECT DISTINCT job_id, no
 ORACLES["stream_frontier"] = f"""WITH {QUEUE}
 SELECT job_id, normalized_url, arg_min(url, row(discovered_at, url)) AS url,
   {stamp('min(discovered_at)')} AS discovered_at FROM queue GROUP BY job_id, normalized_url"""
+ORACLES["stream_versions"] = f"""WITH {RAW}
+SELECT url, CASE WHEN page_id % 3 = 0 THEN 3 ELSE 1 END AS version, {stamp('fetched_at')} AS scraped_at,
+  {stamp("CASE WHEN page_id % 3 = 0 THEN fetched_at + INTERVAL 200 DAY ELSE fetched_at END")} AS last_updated FROM fetched"""

@@ -974,37 +974,68 @@ def retention_report(spark, sf):
 # Streaming
 
 
-def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(sf)
+# Arrivals of a stream: so many files, which are so many micro-batches.
+ARRIVALS = 4
+
+
+def _stream(rows: DataFrame, order: str, folder: str) -> DataFrame:
+    """Rows as a stream of several micro-batches, dealt to files by ``order``, earliest first."""
+    shares = [k / ARRIVALS for k in range(1, ARRIVALS)]
+    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), shares)).first()[0] or []
+    part = sum((F.when(F.col(order).cast("double") > b, 1).otherwise(0) for b in bounds), start=F.lit(0))
+    for k in range(ARRIVALS):
+        # Files are read in the order of their times, so each is written by a job of its own.
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    spark = rows.sparkSession
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @register
 def stream_ingest(spark, sf):
     run = scratch(spark)
-    pages = _stream(spark, sf, "pages")
+    pages = _stream(inputs.pages_table(spark, sf), "page_id", f"{run}/in")
     query = streams.ingest_pages(inputs.lift_raw_pages(pages), f"{run}/log", f"{run}/checkpoint")
     query.awaitTermination()
     return page_digest(streams.current_pages(spark, f"{run}/log"))
 
 
+@register
+def stream_versions(spark, sf):
+    """Pages fetched three times, a third of them changed and changed back: versions and first sights."""
+    run = scratch(spark)
+    pages = inputs.pages_table(spark, sf)
+    crawl = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("crawl")
+    changed = (F.col("crawl") == 1) & (F.col("page_id") % 3 == 0)
+    fetched = inputs.lift_raw_pages(pages.select("*", crawl), "crawl", "page_id")
+    fetched = fetched.withColumns(
+        {
+            "html": F.when(changed, F.concat("html", F.lit("<p>changed</p>"))).otherwise(F.col("html")),
+            "fetched_at": F.timestamp_add("DAY", F.col("crawl") * 100, F.col("fetched_at")),
+        }
+    )
+    raw = _stream(fetched, "fetched_at", f"{run}/in")
+    streams.ingest_pages(raw, f"{run}/log", f"{run}/checkpoint").awaitTermination()
+    current = streams.current_pages(spark, f"{run}/log")
+    return current.select("url", "version", when_text("metadata.scraped_at"), when_text("metadata.last_updated"))
+
+
 @register
 def stream_frontier(spark, sf):
     run = scratch(spark)
-    candidates = _candidate_stream(spark, sf)
+    candidates = _candidate_stream(spark, sf, run)
     streams.ingest_frontier(candidates, f"{run}/queue", f"{run}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{run}/queue").select(
         "job_id", "normalized_url", "url", when_text("discovered_at")
     )
 
 
-def _candidate_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _stream(spark, sf, "events").select(
+def _candidate_stream(spark: SparkSession, sf: str, run: str) -> DataFrame:
+    events = inputs.events_table(spark, sf).select(
         inputs._job_id().alias("job_id"),
         inputs._event_url().alias("url"),
         F.col("ts").cast("timestamp").alias("discovered_at"),
     )
+    return _stream(events, "discovered_at", f"{run}/in")
 
 
 @register
@@ -1012,16 +1043,17 @@ def stream_frontier_watermark(spark, sf):
     """Keys of the queue by the watermark form, which remembers a key for a day."""
     run = scratch(spark)
     query = streams.ingest_frontier_within(
-        _candidate_stream(spark, sf), f"{run}/queue", f"{run}/checkpoint"
+        _candidate_stream(spark, sf, run), f"{run}/queue", f"{run}/checkpoint"
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{run}/queue").select("job_id", "normalized_url")
+    return spark.read.parquet(f"{run}/queue").select("job_id", "normalized_url").distinct()
 
 
 @register
 def stream_job_stats(spark, sf):
     run = scratch(spark)
-    events = inputs.lift_crawl_events(_stream(spark, sf, "events"))
+    events = _stream(inputs.events_table(spark, sf), "event_id", f"{run}/in")
+    events = inputs.lift_crawl_events(events)
     streams.live_job_statistics(events, f"{run}/stats", f"{run}/checkpoint").awaitTermination()
     return streams.current_statistics(spark, f"{run}/stats").withColumn(
         "total_size_mb", F.round("total_size_mb", 6)

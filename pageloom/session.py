@@ -16,6 +16,11 @@ DEFAULTS = {
     # Pages are wide rows, so Arrow batches are kept short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.parquet.filterPushdown": "true",
+    # State of streams lies on local disk beside the task and is logged to the checkpoint, not held on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
 }
 

@@ -1,72 +1,99 @@
-"""The crawl loops as Structured Streaming queries."""
+"""The crawl loops as Structured Streaming queries.
+
+What a loop must remember of earlier batches is keyed state in the state store: of a page its hash, version and
+first sight, of a queued url that it is known. So a batch costs what its own keys cost, however long the crawl has
+run, and nothing that earlier batches wrote is read again. Rows travel past the state as JSON, which holds every
+column whatever its type; the state itself is a few numbers.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pageloom.functions import urls
-from pageloom.operators.dedup import latest_per_url
+from pageloom.operators.dedup import HASH
 from pageloom.operators.extract import extract_pages
 from pageloom.operators.jobs import job_statistics
 
 BATCH = "batch_id"
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _write_batches(folder: str, unpack: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Each batch in its own folder; a batch that is replayed overwrites it."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        unpack(rows).write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch_id}")
+
+    return write
 
 
-def _log(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Rows of the log written by earlier batches; None while there are none."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    names = [status.getPath().getName() for status in fs.listStatus(fs_path)]
-    if not any(re.fullmatch(rf"{BATCH}=\d+", n) and int(n.split("=")[1]) < before for n in names):
-        return None
-    return spark.read.parquet(path).where(F.col(BATCH) < before)
+def _started(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    stream = rows.writeStream.outputMode(mode).foreachBatch(write)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_versions(pages: DataFrame, batch_id: int, log_path: str) -> None:
-    """Append what is new or changed in a micro-batch to the page version log.
+def page_versions(pages: DataFrame) -> DataFrame:
+    """New and changed pages of a stream as (url, version, first_seen, page), the page in JSON.
 
-    Only (url, hash, version, first seen) of earlier batches are read, reduced to
-    the newest per url, so a batch costs a narrow scan, not a rewrite of stored
-    pages. A batch that is replayed overwrites its own folder.
+    Of several rows of a url in one batch the newest counts, content hash as tie-break.
     """
-    spark = pages.sparkSession
-    # Persisted because two branches read it; parsing is the costly part of a batch.
-    batch = latest_per_url(pages).persist()
-    try:
-        earlier = _log(spark, log_path, batch_id)
-        new = batch if earlier is None else _changed(batch, earlier)
-        new.select(*pages.columns).write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
-    finally:
-        batch.unpersist()
-
-
-def _changed(batch: DataFrame, log: DataFrame) -> DataFrame:
-    """Pages of a batch that differ from their newest version in the log."""
-    head = F.struct(
-        "version",
-        F.col("content.content_hash").alias("hash"),
-        F.col("metadata.scraped_at").alias("first_seen"),
-    )
-    heads = (
-        log.join(batch.select("url"), "url", "left_semi")
-        .groupBy("url")
-        .agg(F.max(head).alias("head"))
+
+    def next_version(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in frames:
+            for row in zip(frame["seen"], frame["hash"], frame["page"], strict=True):
+                if newest is None or row[:2] > newest[:2]:
+                    newest = row
+        seen, digest, page = newest
+        known, version, first_seen = state.get if state.exists else (None, 0, seen)
+        if digest != known:
+            state.update((digest, version + 1, first_seen))
+            yield pd.DataFrame({"url": [key[0]], "version": [version + 1], "first_seen": [first_seen], "page": [page]})
+
+    packed = pages.select(
+        "url",
+        F.unix_micros("metadata.scraped_at").alias("seen"),
+        F.col(HASH).alias("hash"),
+        F.to_json(F.struct(*pages.columns), _EXACT).alias("page"),
     )
-    joined = batch.join(heads, "url", "left")
-    first_seen = F.coalesce("head.first_seen", "metadata.scraped_at")
-    return (
-        joined.where(F.col("head").isNull() | (F.col("head.hash") != F.col("content.content_hash")))
-        .withColumn("version", F.coalesce(F.col("head.version") + 1, F.col("version")))
-        .withColumn("metadata", F.col("metadata").withField("scraped_at", first_seen))
+    return packed.groupBy("url").applyInPandasWithState(
+        next_version,
+        "url string, version int, first_seen long, page string",
+        "hash string, version int, first_seen long",
+        "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 
+def ingest_pages(raw: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Continuous ingest: responses to pages to the page version log, which only grows by what is new or changed."""
+    pages = extract_pages(raw)
+    schema = pages.schema
+
+    def unpacked(rows: DataFrame) -> DataFrame:
+        page = F.from_json("page", schema, _EXACT)
+        first = F.timestamp_micros("first_seen")
+        return rows.select("version", "first_seen", page.alias("page")).select(
+            *[
+                F.col("version").alias(name)
+                if name == "version"
+                else F.col("page.metadata").withField("scraped_at", first).alias(name)
+                if name == "metadata"
+                else F.col(f"page.{name}").alias(name)
+                for name in schema.names
+            ]
+        )
+
+    return _started(page_versions(pages), _write_batches(log_path, unpacked), checkpoint)
+
+
 def current_pages(spark: SparkSession, log_path: str) -> DataFrame:
     """The stored pages: the newest version of every url in the log."""
     log = spark.read.parquet(log_path)
@@ -74,17 +101,6 @@ def current_pages(spark: SparkSession, log_path: str) -> DataFrame:
     return log.join(newest, ["url", "version"], "left_semi").drop(BATCH)
 
 
-def ingest_pages(raw: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Continuous ingest: responses to pages to the version log."""
-    return (
-        extract_pages(raw)
-        .writeStream.foreachBatch(lambda df, n: append_versions(df, n, log_path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def frontier_within(candidates: DataFrame, delay: str = "1 day") -> DataFrame:
     """First sight of each (job, url) while the watermark remembers it."""
     return (
@@ -109,44 +125,50 @@ def ingest_frontier_within(
     )
 
 
-def append_new_urls(candidates: DataFrame, batch_id: int, queue_path: str) -> None:
-    """Exact dedup: the first candidate per key that no earlier batch holds."""
-    keys = ["job_id", "normalized_url"]
-    rows = candidates.withColumn("normalized_url", urls.normalize_url(F.col("url")))
-    values = [c for c in rows.columns if c not in (*keys, "discovered_at")]
-    first = F.min(F.struct("discovered_at", *values)).alias("first")
-    new = rows.groupBy(*keys).agg(first).select(*keys, "first.*")
-    earlier = _log(rows.sparkSession, queue_path, batch_id)
-    if earlier is not None:
-        new = new.join(earlier.select(*keys), keys, "left_anti")
-    new.write.mode("overwrite").parquet(f"{queue_path}/{BATCH}={batch_id}")
+def first_sights(candidates: DataFrame) -> DataFrame:
+    """Exact dedup of a stream: (job_id, normalized_url, row) of every key that no earlier batch had.
 
+    Within a batch the earliest candidate counts, then the one whose row in JSON is least.
+    """
 
-def ingest_frontier(candidates: DataFrame, queue_path: str, checkpoint: str) -> StreamingQuery:
-    return (
-        candidates.writeStream.foreachBatch(lambda df, n: append_new_urls(df, n, queue_path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def first_sight(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        earliest = min(row for frame in frames for row in zip(frame["seen"], frame["row"], strict=True))
+        if not state.exists:
+            state.update((True,))
+            yield pd.DataFrame({"job_id": [key[0]], "normalized_url": [key[1]], "row": [earliest[1]]})
+
+    packed = candidates.select(
+        "job_id",
+        urls.normalize_url(F.col("url")).alias("normalized_url"),
+        F.unix_micros("discovered_at").alias("seen"),
+        F.to_json(F.struct(*candidates.columns), _EXACT).alias("row"),
+    )
+    return packed.groupBy("job_id", "normalized_url").applyInPandasWithState(
+        first_sight,
+        "job_id string, normalized_url string, row string",
+        "known boolean",
+        "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 
+def ingest_frontier(candidates: DataFrame, queue_path: str, checkpoint: str) -> StreamingQuery:
+    """The first sight of every (job, url) of all time, one folder of the queue per batch."""
+    schema = candidates.schema
+
+    def unpacked(rows: DataFrame) -> DataFrame:
+        whole = rows.select("normalized_url", F.from_json("row", schema, _EXACT).alias("row"))
+        return whole.select("normalized_url", "row.*")
+
+    return _started(first_sights(candidates), _write_batches(queue_path, unpacked), checkpoint)
+
+
 def live_job_statistics(
     events: DataFrame, out_path: str, checkpoint: str
 ) -> StreamingQuery:
     """Job counters kept up to date; each batch writes the counters that changed."""
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out_path}/{BATCH}={batch_id}")
-
-    return (
-        job_statistics(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(job_statistics(events), _write_batches(out_path, lambda rows: rows), checkpoint, "update")
 
 
 def current_statistics(spark: SparkSession, out_path: str) -> DataFrame:

@@ -333,14 +333,78 @@ def test_ingest_stream_equals_batch(spark, tmp_path, fmt):
     assert versions == {"http://a.com/1": 1, "http://a.com/2": 3, "http://a.com/3": 1}
 
 
+def _forget_commit(checkpoint, batch):
+    """As after a crash between a batch's output and its commit: the batch runs again."""
+    for name in (f"{batch}", f".{batch}.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    log = str(tmp_path / "log")
-    one = extract.extract_pages(raw_rows(spark, ("http://a.com/1", "<p>one</p>", 1)))
-    two = extract.extract_pages(raw_rows(spark, ("http://a.com/1", "<p>two</p>", 2)))
-    streams.append_versions(one, 0, log)
+    source, log, checkpoint = str(tmp_path / "in"), str(tmp_path / "log"), tmp_path / "checkpoint"
+
+    def run():
+        stream = raw_source.stream_raw_pages(spark, source, max_files_per_trigger=1)
+        streams.ingest_pages(stream, log, str(checkpoint)).awaitTermination()
+
+    for text, minute in (("one", 1), ("two", 2)):
+        raw_rows(spark, ("http://a.com/1", f"<p>{text}</p>", minute)).coalesce(1).write.mode("append").parquet(source)
+        run()
     for _ in range(2):
-        streams.append_versions(two, 1, log)
-    assert state(streams.current_pages(spark, log)) == {"http://a.com/1": ("two", 2, 1, 2)}
+        _forget_commit(checkpoint, 1)
+        run()
+        assert state(streams.current_pages(spark, log)) == {"http://a.com/1": ("two", 2, 1, 2)}
+
+
+def test_ingest_does_not_read_earlier_batches(spark, tmp_path):
+    """The log of earlier batches may even be gone: what is remembered is keyed state."""
+    import shutil
+
+    source, log = str(tmp_path / "in"), tmp_path / "log"
+    for minute, text in enumerate(["one", "two", "two", "one"]):
+        rows = [("http://a.com/1", f"<p>{text}</p>", minute), (f"http://a.com/new{minute}", "<p>x</p>", minute)]
+        raw_rows(spark, *rows).coalesce(1).write.mode("append").parquet(source)
+        stream = raw_source.stream_raw_pages(spark, source, max_files_per_trigger=1)
+        streams.ingest_pages(stream, str(log), str(tmp_path / "checkpoint")).awaitTermination()
+        written = spark.read.parquet(f"{log}/batch_id={minute}")
+        found = {r.url: (r.version, r.metadata.scraped_at.minute) for r in written.collect()}
+        expected = {f"http://a.com/new{minute}": (1, minute)}
+        if text != (["", "one", "two", "two"][minute]):
+            expected["http://a.com/1"] = ([1, 2, 2, 3][minute], 0)
+        assert found == expected
+        shutil.rmtree(log / f"batch_id={minute}")
+
+
+def test_stream_keeps_every_column_of_a_page(spark, tmp_path):
+    html = (
+        "<html lang='de'><head><title>é \\ \" </title><meta name='keywords' content='a, b,'></head><body><h1 id='x'>H</h1>"
+        "<p>some words long enough</p><pre><code class='language-py'>x\n\t1</code></pre><img src='/i.png' alt='a'>"
+        "<table><tr><th>a</th></tr><tr><td></td></tr></table><ul><li>one</li></ul><a href='/n'>next</a></body></html>"
+    )
+    raw = raw_rows(spark, ("http://a.com/1", html, 1), ("http://a.com/2", "", 2))
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    raw.coalesce(1).write.parquet(source)
+    streams.ingest_pages(raw_source.stream_raw_pages(spark, source), log, str(tmp_path / "c")).awaitTermination()
+    pages = extract.extract_pages(raw)
+    streamed = streams.current_pages(spark, log).select(*pages.columns)
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, pages.collect()))
+
+
+def test_frontier_stream_keeps_first_sights_without_the_queue(spark, tmp_path):
+    import shutil
+
+    source, queue, checkpoint = str(tmp_path / "in"), tmp_path / "queue", tmp_path / "c"
+    minutes = [[("a", 5), ("b", 3), ("a", 4)], [("A", 1), ("c", 9)], [("c", 2), ("b", 1)]]
+    expected = [{("a", 4), ("b", 3)}, {("c", 9)}, set()]
+    for n, rows in enumerate(minutes):
+        made = [("j", f"http://a.com/{u}", AT + timedelta(minutes=m)) for u, m in rows]
+        spark.createDataFrame(made, CANDIDATES).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):
+            stream = spark.readStream.schema(CANDIDATES).option("maxFilesPerTrigger", 1).parquet(source)
+            streams.ingest_frontier(stream, str(queue), str(checkpoint)).awaitTermination()
+            got = spark.read.schema("normalized_url string, discovered_at timestamp").parquet(f"{queue}/batch_id={n}")
+            assert {(r.normalized_url[-1], r.discovered_at.minute) for r in got.collect()} == expected[n]
+            _forget_commit(checkpoint, n)
+        shutil.rmtree(queue / f"batch_id={n}")
 
 
 CANDIDATES = "job_id string, url string, discovered_at timestamp"
