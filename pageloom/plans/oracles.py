@@ -457,6 +457,7 @@ walk AS (
 SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM walk GROUP BY node"""
 # No shortest path has as many edges as there are nodes.
 ORACLES["crawl_closure"] = CLOSURE.format(levels="(SELECT n FROM n)")
+ORACLES["crawl_closure_continued"] = ORACLES["crawl_closure"]
 ORACLES["crawl_closure_limited"] = CLOSURE.format(levels=10)
 
 ORACLES["pending_batch"] = f"""WITH {QUEUE}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import dom, text, urls
 from pageloom.operators import (
+    closure,
     dedup,
     extract,
     frontier,
@@ -540,6 +541,18 @@ def crawl_closure(spark, sf):
     return frontier.crawl_closure(cut_lineage(inputs.edges(spark, sf)), seeds, max_depth=None)
 
 
+@register
+def crawl_closure_continued(spark, sf):
+    """The same walk from a stored closure: first over a part of the links, then on when the rest arrive."""
+    seeds = spark.range(2).withColumnRenamed("id", "node")
+    edges = cut_lineage(inputs.edges(spark, sf))
+    late = F.col("src") % 10 == 3
+    stored = closure.StoredClosure(spark)
+    stored.add(edges.where(~late), seeds)
+    stored.add(edges.where(late))
+    return stored.reached()
+
+
 @register
 def crawl_closure_limited(spark, sf):
     """What the seeds reach within the crawler's depth limit."""
