@@ -22,8 +22,9 @@ FEW = 500
 DEFAULT_BUCKETS = 32
 
 
-def _salt(node: Column) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("string")
+def _key(node: str, slot: Column) -> Column:
+    """Where links of a node lie; what stands before the first colon is a slot, or nothing."""
+    return F.concat(slot, F.lit(":"), F.col(node).cast("string"))
 
 
 class StoredClosure:
@@ -66,8 +67,8 @@ class StoredClosure:
             many = links.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
             self.hot = cut_lineage(many.select(F.col("src").alias("hot_node")))
         marked = links.join(self.hot, F.col("src") == F.col("hot_node"), "left")
-        key = F.concat(F.col("src").cast("string"), F.when(F.col("hot_node").isNotNull(), F.concat(F.lit("#"), _salt(F.col("dst")))).otherwise(""))
-        self._append(marked.select(key.alias("key"), "src", "dst"), "links", "key")
+        slot = F.when(F.col("hot_node").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("string")).otherwise("")
+        self._append(marked.select(_key("src", slot).alias("key"), "src", "dst"), "links", "key")
         candidates = None
         if seeds is not None:
             candidates = seeds.select("node", F.lit(0).alias("depth"))
@@ -104,14 +105,13 @@ class StoredClosure:
     def _targets(self, level: DataFrame, size: int) -> DataFrame:
         """Where the links of a level lead, one deeper."""
         marked = level.join(self.hot, F.col("node") == F.col("hot_node"), "left")
-        salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.concat(F.lit("#"), s.cast("string")))
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<string>")
         slots = F.when(F.col("hot_node").isNotNull(), salts).otherwise(F.array(F.lit("")))
         # Links that came before a node was known to be hot lie under its plain key.
         slots = F.array_union(slots, F.array(F.lit("")))
-        keyed = marked.withColumn("slot", F.explode(slots))
-        keyed = keyed.select("node", "depth", F.concat(F.col("node").cast("string"), "slot").alias("key"))
-        links = self._near("links", "key", keyed, size)
-        joined = links.join(keyed, "key").where(F.col("src") == F.col("node"))
+        keyed = marked.withColumn("slot", F.explode(slots)).select("depth", _key("node", F.col("slot")).alias("key"))
+        # The key is all that is joined on, as the table is bucketed by it.
+        joined = self._near("links", "key", keyed, size).join(keyed, "key")
         return joined.select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
 
     def drop(self) -> None:
