@@ -19,6 +19,8 @@ HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 NEXT_WORDS = "(?i)next|continue|forward"
 PREVIOUS_WORDS = "(?i)previous|back|prev"
 MIN_PARAGRAPH_CHARS = 10
+# Characters of element texts in one row, about.
+RUN_CHARS = 1_000_000
 
 _NO_STRINGS = "cast(array() AS array<string>)"
 
@@ -101,9 +103,29 @@ def headings() -> Column:
     )
 
 
+def _paragraphs() -> str:
+    return f"filter(nodes, n -> n.tag = 'p' AND n.chars > {MIN_PARAGRAPH_CHARS})"
+
+
 def paragraphs() -> Column:
-    texts = f"transform({_tagged('nodes', 'p')}, p -> {_text('p')})"
-    return F.expr(f"filter({texts}, t -> length(t) > {MIN_PARAGRAPH_CHARS})")
+    return F.expr(f"transform({_paragraphs()}, p -> {_text('p')})")
+
+
+def paragraph_runs() -> Column:
+    """Paragraphs in runs of (first, how many) whose texts are short together, or of one.
+
+    Unclosed paragraphs hold all that follow them, so the texts of a page may add up to the square of its size;
+    a run at a time they never lie in one row.
+    """
+    longest = "array_max(transform(ps, p -> p.chars))"
+    run = f"greatest(1, cast({RUN_CHARS} / {longest} AS int))"
+    starts = f"CASE WHEN size(ps) > 0 THEN sequence(0, size(ps) - 1, {run}) ELSE cast(array() AS array<int>) END"
+    return F.expr(_bind(_paragraphs(), "ps", f"transform({starts}, s -> struct(s AS first, {run} AS run))"))
+
+
+def paragraph_run(first: str, run: str) -> Column:
+    """The texts of one run."""
+    return F.expr(f"transform(slice({_paragraphs()}, {first} + 1, {run}), p -> {_text('p')})")
 
 
 def code_blocks() -> Column:

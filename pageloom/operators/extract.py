@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import dom, text, urls
-from pageloom.operators.parse import parse_pages
+from pageloom.operators.parse import MAX_ELEMENT_CHARS, parse_pages
 
 OUTCOMES = ("page", "skipped", "error")
 
@@ -30,12 +30,20 @@ def parsed_ok(raw: DataFrame, keep_html: bool = False) -> DataFrame:
     return parse_pages(raw, keep_html).where(F.col("parse_error").isNull())
 
 
+def whole_documents(parsed: DataFrame) -> DataFrame:
+    """Pages whose element texts fit a document; the others are in ``parse_failures``."""
+    return parsed.where(F.col("element_chars") <= MAX_ELEMENT_CHARS)
+
+
 def parse_failures(raw: DataFrame) -> DataFrame:
-    """Pages the tokenizer rejected, in the shape the error log takes."""
+    """Pages the tokenizer rejected or whose elements repeat too much, in the shape the error log takes."""
+    repeats = F.concat(F.lit("ValueError: element texts add up to "), "element_chars", F.lit(" characters"))
+    message = F.coalesce("parse_error", F.when(F.col("element_chars") > MAX_ELEMENT_CHARS, repeats))
     return (
         parse_pages(fetched_pages(raw).select("url", "html", "job_id", "fetched_at"), False)
-        .where(F.col("parse_error").isNotNull())
-        .select("job_id", "url", F.col("parse_error").alias("error_message"), "fetched_at")
+        .withColumn("error_message", message)
+        .where(F.col("error_message").isNotNull())
+        .select("job_id", "url", "error_message", "fetched_at")
     )
 
 
@@ -52,8 +60,12 @@ def headings(raw: DataFrame, *keep: str) -> DataFrame:
 
 
 def paragraphs(raw: DataFrame, *keep: str) -> DataFrame:
-    parts = page_parts(raw, *keep, item=dom.paragraphs())
-    return parts.select(*dict.fromkeys(["url", *keep]), F.posexplode("item").alias("pos", "text"))
+    """One row per paragraph, whatever paragraphs hold one another: memory is bounded by a page and one run."""
+    ids = dict.fromkeys(["url", *keep])
+    pages = parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep])))
+    runs = pages.select(*ids, "nodes", F.explode(dom.paragraph_runs()).alias("r"))
+    texts = runs.select(*ids, F.col("r.first").alias("first"), F.posexplode(dom.paragraph_run("r.first", "r.run")).alias("nth", "text"))
+    return texts.select(*ids, (F.col("first") + F.col("nth")).alias("pos"), "text")
 
 
 def code_blocks(raw: DataFrame, *keep: str) -> DataFrame:
@@ -243,4 +255,4 @@ def parse_http_date(value: Column) -> Column:
 
 def extract_pages(raw: DataFrame) -> DataFrame:
     """Route, parse and assemble: no shuffle anywhere."""
-    return assemble(parsed_ok(fetched_pages(raw), keep_html=True))
+    return assemble(whole_documents(parsed_ok(fetched_pages(raw), keep_html=True)))

@@ -38,11 +38,21 @@ HIDDEN_TEXT = frozenset(("script", "style", "template", "rt", "rp"))
 PREFORMATTED = frozenset(("pre", "textarea"))
 # Elements that may hold the caption of an image before them.
 CAPTION_TAGS = frozenset(("p", "div", "span"))
+# The code points that count as white space.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Attributes read by the extraction expressions; others are left behind.
 KEPT_ATTRIBUTES = frozenset(
     "id class href src alt title name property content rel data-filename aria-label lang".split()
 )
 
+# A page whose element texts add up to more characters is not put together as one document: its elements hold
+# one another, as unclosed paragraphs do, and each would repeat all that follows it.
+MAX_ELEMENT_CHARS = 64_000_000
+# Elements whose text a page document keeps.
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p code pre a th td li span caption figcaption".split())
+
 TEXT, HIDDEN, OTHER = "#text", "#hidden", "#other"
 
 NODE = T.StructType(
@@ -57,6 +67,7 @@ NODE = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("figcaption", T.IntegerType()),
         T.StructField("beside", T.IntegerType()),
+        T.StructField("chars", T.IntegerType()),
     ]
 )
 HREF = T.StructType([T.StructField("raw", T.StringType()), T.StructField("url", T.StringType())])
@@ -66,6 +77,7 @@ PARSED = T.StructType(
         T.StructField("hrefs", T.ArrayType(HREF)),
         T.StructField("html_lang", T.StringType()),
         T.StructField("parse_error", T.StringType()),
+        T.StructField("element_chars", T.LongType()),
     ]
 )
 
@@ -106,6 +118,8 @@ class NodeCollector(HTMLParser):
         self.figure_of: dict[int, int] = {}  # images inside a figure
         self.beside: dict[int, int] = {}
         self.waiting: dict[int, list[int]] = {}  # images by parent, until a caption tag follows
+        self.chars: list[int] = []  # length of the stripped text inside each node
+        self.read = 0  # length of the stripped text so far
 
     def updatepos(self, i, j):
         return j  # line numbers are not used
@@ -114,6 +128,11 @@ class NodeCollector(HTMLParser):
         pos = len(self.last)
         parent = self.open[-1][1] if self.open else -1
         self.last.append(pos)
+        # Until an element ends this is where its text begins.
+        self.chars.append(self.read)
+        if tag == TEXT:
+            self.chars[pos] = len(text.strip(WHITESPACE))
+            self.read += self.chars[pos]
         self.nodes.append((parent, len(self.open), tag, attrs, url, text))
         return pos
 
@@ -142,6 +161,7 @@ class NodeCollector(HTMLParser):
         self._count_open(name, -1)
         if pos >= 0:
             self.last[pos] = len(self.last) - 1
+            self.chars[pos] = self.read - self.chars[pos]
             if name == "figure":
                 self.figures.pop()
         return name
@@ -249,6 +269,10 @@ class NodeCollector(HTMLParser):
         else:
             self._markup(data)
 
+    def element_chars(self) -> int:
+        """Characters of all element texts that a page document keeps."""
+        return sum(n for n, node in zip(self.chars, self.nodes, strict=True) if node[2] in TEXT_ELEMENTS)
+
     def finish(self) -> None:
         self.close()
         self._end_text()
@@ -284,6 +308,7 @@ def _node_array(pages: list[NodeCollector]) -> pa.Array:
         pa.array(text, pa.string()),
         pa.array(chain.from_iterable(figcaption for figcaption, _ in captions), pa.int32()),
         pa.array(chain.from_iterable(beside for _, beside in captions), pa.int32()),
+        pa.array(chain.from_iterable(page.chars for page in pages), pa.int32()),
     ]
     offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=NODE.names))
@@ -306,13 +331,14 @@ def _parse_batches(
                     pa.array([page.hrefs for page in pages], _HREF),
                     pa.array([page.html_lang for page in pages], pa.string()),
                     pa.array(errors, pa.string()),
+                    pa.array([page.element_chars() for page in pages], pa.int64()),
                 ],
                 names=[*keep, *PARSED.names],
             )
 
 
 def parse_pages(raw: DataFrame, keep_html: bool = True) -> DataFrame:
-    """Add ``nodes``, ``hrefs``, ``html_lang`` and ``parse_error`` to fetched pages.
+    """Add ``nodes``, ``hrefs``, ``html_lang``, ``parse_error`` and ``element_chars`` to fetched pages.
 
     Filters and column pruning do not pass through a Python step, so callers filter
     rows and pick columns before this call, and say when the html is not needed back.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom import schemas
+from pageloom.functions import dom
 from pageloom.operators import extract
 from pageloom.operators.parse import NodeCollector, collect_nodes
 
@@ -362,3 +363,39 @@ def test_invalid_href_is_kept_as_written(spark):
     row = ("http://a.com/x", '<a href="http://[bad">t</a>', 200, "text/html", {}, 0.1, AT, "j", 0, None)
     raw = spark.createDataFrame([row], schemas.RAW_PAGES)
     assert [r.href for r in extract.links(raw).collect()] == ["http://[bad"]
+
+
+def unclosed(n):
+    return "".join(f"<p>paragraph {k:05d} " for k in range(n))
+
+
+def test_white_space_of_the_tokenizer_is_that_of_the_texts():
+    from pageloom.functions import text
+    from pageloom.operators import parse
+
+    assert set(parse.WHITESPACE) == set(text.WHITESPACE)
+
+
+@pytest.mark.parametrize("run", [1, 60, 1_000_000])
+def test_unclosed_paragraphs_come_run_by_run(spark, monkeypatch, run):
+    monkeypatch.setattr(dom, "RUN_CHARS", run)
+    pages = spark.createDataFrame(
+        [("http://a.com/1", unclosed(12)), ("http://a.com/2", "<p>short</p><p>long enough <b>now</b></p>"), ("http://a.com/3", "x"), ("http://a.com/4", None)],
+        "url string, html string",
+    )
+    got = {(r.url[-1], r.pos): r.text for r in extract.paragraphs(pages).collect()}
+    whole = extract.page_parts(pages, item=dom.paragraphs()).collect()
+    assert got == {(r.url[-1], k): t for r in whole for k, t in enumerate(r.item)}
+    assert got["2", 0] == "long enoughnow" and len(got) == 13
+
+
+def test_very_many_unclosed_paragraphs(spark):
+    """Texts that add up to hundreds of megabytes come as rows; as one document the page is an error row."""
+    n = 6000
+    row = ("http://a.com/1", unclosed(n), 200, "text/html", {}, 0.1, datetime(2024, 1, 1), "j", 0, None)
+    raw = spark.createDataFrame([row], schemas.RAW_PAGES)
+    rows = extract.paragraphs(raw.select("url", "html")).agg(F.count("*"), F.sum(F.length("text")), F.max("pos")).first()
+    assert tuple(rows) == (n, 15 * n * (n + 1) // 2, n - 1)
+    assert extract.extract_pages(raw).collect() == []
+    failed = extract.parse_failures(raw).collect()
+    assert [r.url for r in failed] == ["http://a.com/1"] and "add up to" in failed[0].error_message
