@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions import urls
+from pageloom.functions import text, urls
 from pageloom.functions.times import instant
 from pageloom.operators.joins import SMALL_ROWS, hot_keys, hottest, lookup, salted_join
 from pageloom.session import cut_lineage
@@ -17,6 +17,8 @@ from pageloom.session import cut_lineage
 DEFAULT_MAX_DEPTH = 10
 RETRY_ATTEMPTS = 3
 RETRY_STEP_SECONDS = 10
+# A host's robots rules are tried one by one up to so many.
+FEW_RULES = 500
 
 
 def excluded(url: Column, patterns: Sequence[str]) -> Column:
@@ -48,30 +50,47 @@ def active_rules(firsts: DataFrame) -> DataFrame:
 def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """Add ``robots_ok``: the first rule whose prefix fits decides, else allowed.
 
-    A url is cut to the lengths that its host's prefixes have, and the cuts meet the
-    rules in a join on host and prefix. Work is urls times different lengths, which
-    the longest prefix bounds, however many rules a host has.
+    A host with up to ``FEW_RULES`` rules brings them along as one array in rule order, so its urls are decided
+    where they are, without a shuffle of their own. Urls of hosts with more rules are cut to the lengths that
+    the host's prefixes have, and the cuts meet the rules in a join on host and prefix: work is urls times
+    different lengths, which the longest prefix bounds, however many rules a host has.
     """
-    active = active_rules(first_rules(rules, agent))
-    sizes = active.groupBy(F.col("host").alias("__host")).agg(
+    # An empty prefix with "disallow" allows everything.
+    allow = (F.col("allow") | (F.col("path_prefix") == "")).alias("allow")
+    active = cut_lineage(active_rules(first_rules(rules, agent)).select("host", "path_prefix", "seq", allow))
+    counts = active.groupBy("host").agg(F.count("*").alias("__n"))
+    many = counts.where(F.col("__n") > FEW_RULES).select("host")
+    few = active.join(many, "host", "left_anti").groupBy(F.col("host").alias("__host"))
+    few = few.agg(F.sort_array(F.collect_list(F.struct("seq", "path_prefix", "allow"))).alias("__rules"))
+    target = urls.after_netloc(F.col("url"))
+    decided = text.bind(
+        F.struct(target.alias("target"), F.col("__rules").alias("rules")),
+        lambda u: F.get(F.filter(u["rules"], lambda r: F.startswith(u["target"], r["path_prefix"])), F.lit(0))["allow"],
+    )
+    marked = rows.withColumn("__host", urls.netloc(F.col("url"))).join(few, "__host", "left")
+    marked = marked.select(*rows.columns, decided.alias("__allow"))
+    if not many.isEmpty():
+        far = _by_prefix(rows, active.join(many, "host", "left_semi")).withColumnRenamed("__allow", "__far")
+        marked = marked.join(far, "url", "left").withColumn("__allow", F.coalesce("__allow", "__far"))
+    return marked.select(*rows.columns, F.coalesce("__allow", F.lit(True)).alias("robots_ok"))
+
+
+def _by_prefix(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``url`` and what the first fitting rule says, for urls that a rule fits."""
+    sizes = rules.groupBy(F.col("host").alias("__host")).agg(
         F.collect_set(F.length("path_prefix")).alias("__sizes")
     )
-    target = urls.after_netloc(F.col("url"))
     cuts = (
         rows.select("url")
         .distinct()
-        .select("url", urls.netloc(F.col("url")).alias("__host"), target.alias("__target"))
+        .select("url", urls.netloc(F.col("url")).alias("__host"), urls.after_netloc(F.col("url")).alias("__target"))
         .join(sizes, "__host")
         .withColumn("__size", F.explode("__sizes"))
         .where(F.col("__size") <= F.length("__target"))
         .select("url", "__host", F.expr("substring(__target, 1, __size)").alias("__prefix"))
     )
-    # An empty prefix with "disallow" allows everything.
-    allow = F.col("allow") | (F.col("path_prefix") == "")
     fits = (F.col("__host") == F.col("host")) & (F.col("__prefix") == F.col("path_prefix"))
-    first = cuts.join(active, fits).groupBy("url").agg(F.min_by(allow, "seq").alias("__allow"))
-    joined = rows.join(first, "url", "left").select(rows.columns + ["__allow"])
-    return joined.withColumn("robots_ok", F.coalesce("__allow", F.lit(True))).drop("__allow")
+    return cuts.join(rules, fits).groupBy("url").agg(F.min_by("allow", "seq").alias("__allow"))
 
 
 def followed(links: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:

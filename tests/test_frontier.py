@@ -25,7 +25,9 @@ RULES = [
 ]
 
 
-def test_robots(spark):
+@pytest.mark.parametrize("few", [500, 0])
+def test_robots(spark, monkeypatch, few):
+    monkeypatch.setattr(frontier, "FEW_RULES", few)
     rules = spark.createDataFrame(RULES, schemas.ROBOTS_RULES)
     expected = {
         "http://a.com/open/x": True,
@@ -236,7 +238,9 @@ def test_salted_join_equals_plain_join(spark, monkeypatch, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_robots_with_many_rules_of_one_host(spark):
+@pytest.mark.parametrize("few", [100_000, 10])
+def test_robots_with_many_rules_of_one_host(spark, monkeypatch, few):
+    monkeypatch.setattr(frontier, "FEW_RULES", few)
     """As many rules as urls on one host: each url meets the rules of its own prefixes only."""
     n = 20_000
     rules = spark.range(n).select(
