@@ -30,8 +30,13 @@ from pageloom.llm.textops import ragged, slices, span_hashes, text_bytes
 MEMO = 1_500_000
 WORDS = 20_000
 SLICE = 2 << 20
-# Bits of a position; a single word may be 8 MB long.
-BITS = 23
+# A recursion keeps all its steps, so it takes words of up to so many bytes; the steps of a longer word replace
+# one another in a table of live rows.
+LONG = 256
+# Bytes of long words in one table, unless a single one has more.
+LIVE_BYTES = 500_000
+# Bits of a position in the recursion.
+BITS = 9
 
 # The endings that the pattern of these vocabularies splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -59,6 +64,48 @@ SELECT w, list(tok ORDER BY pos)::INT[] AS ids, string_agg(hex(piece), '' ORDER
 FROM fix JOIN pieces ON pieces.id = fix.tok GROUP BY w ORDER BY w
 """
 
+# One step of long words: every word contracts the occurrences of its pair of minimum rank. Occurrences that
+# overlap are taken from the left. Where a new pair would have a smaller rank still, only the leftmost is taken,
+# as that pair would come before the others.
+PLACE = """
+CREATE OR REPLACE TABLE live AS
+SELECT w, pos, tok, nxt, ntok, rank FROM (
+  SELECT w, pos, tok, pos + 1 AS nxt, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS ntok FROM word_rows
+) LEFT JOIN merges ON pair = tok * 65536 + ntok
+"""
+PICK = """
+CREATE OR REPLACE TABLE hit AS
+WITH best AS (SELECT w, min(rank) AS made FROM live GROUP BY w HAVING min(rank) IS NOT NULL),
+found AS (SELECT live.w, pos, nxt, made FROM live JOIN best ON live.w = best.w AND rank = made),
+marked AS (SELECT *, lag(nxt) OVER (PARTITION BY w ORDER BY pos) IS DISTINCT FROM pos AS starts FROM found),
+runs AS (SELECT *, sum(starts::INT) OVER (PARTITION BY w ORDER BY pos) AS run FROM marked),
+odd AS (SELECT w, pos, nxt, made FROM (
+  SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 AS odd FROM runs) WHERE odd = 1),
+ends AS (SELECT odd.w, odd.pos, odd.nxt, made, gone.nxt AS qn, gone.ntok AS qt FROM odd JOIN live gone
+  ON gone.w = odd.w AND gone.pos = odd.nxt),
+around AS (SELECT ends.*, before.tok AS pt FROM ends LEFT JOIN live before ON before.w = ends.w AND before.nxt = ends.pos),
+sooner AS (SELECT DISTINCT w FROM around JOIN merges ON pair IN (made * 65536 + qt, pt * 65536 + made, made * 65536 + made)
+  WHERE rank < made)
+SELECT w, pos, nxt, made, qn, qt FROM around
+WHERE w NOT IN (SELECT w FROM sooner) OR pos = (SELECT min(o.pos) FROM odd o WHERE o.w = around.w)
+"""
+CONTRACT = """
+CREATE OR REPLACE TABLE live AS
+WITH kept AS (SELECT live.*, hit.made, hit.qn, hit.qt FROM live LEFT JOIN hit ON hit.w = live.w AND hit.pos = live.pos
+  WHERE NOT EXISTS (SELECT 1 FROM hit gone WHERE gone.w = live.w AND gone.nxt = live.pos)),
+moved AS (SELECT w, pos, coalesce(made, tok) AS tok, CASE WHEN made IS NULL THEN nxt ELSE qn END AS nxt,
+  CASE WHEN made IS NULL THEN ntok ELSE qt END AS ntok, rank, made IS NOT NULL AS own FROM kept),
+met AS (SELECT moved.w, moved.pos, moved.tok, moved.nxt, coalesce(hit.made, moved.ntok) AS ntok, rank,
+  own OR hit.made IS NOT NULL AS fresh FROM moved LEFT JOIN hit ON hit.w = moved.w AND hit.pos = moved.nxt)
+SELECT w, pos, tok, nxt, ntok, rank FROM met WHERE NOT fresh
+UNION ALL
+SELECT w, pos, tok, nxt, ntok, merges.rank FROM met LEFT JOIN merges ON pair = tok * 65536 + ntok WHERE fresh
+"""
+LIVE = """
+SELECT w, list(tok ORDER BY pos)::INT[] AS ids, string_agg(hex(piece), '' ORDER BY pos) AS text
+FROM live JOIN pieces ON pieces.id = live.tok GROUP BY w ORDER BY w
+"""
+
 DECODE = """
 SELECT w, string_agg(hex(piece), '' ORDER BY pos) AS text
 FROM id_rows JOIN pieces USING (id) GROUP BY w ORDER BY w
@@ -181,8 +228,26 @@ class Encoder:
 
     def _contract(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray) -> None:
         """Encode the words at these spans and remember them."""
+        long = last - first > LONG
+        # Long words take their steps together, so many of them cost about what the longest does.
+        groups = np.cumsum((last - first)[long]) // LIVE_BYTES
+        for group in np.unique(groups):
+            some = np.flatnonzero(long)[groups == group]
+            self._contract_some(raw, first[some], last[some], keys[some], self._fixpoint)
+        first, last, keys = first[~long], last[~long], keys[~long]
         for k in range(0, len(first), WORDS):
-            a, b = first[k : k + WORDS], last[k : k + WORDS]
+            part = slice(k, k + WORDS)
+            self._contract_some(raw, first[part], last[part], keys[part], lambda: self.con.execute(ENCODE).fetchnumpy())
+
+    def _fixpoint(self) -> dict:
+        """The words of ``word_rows`` contracted step by step in a table."""
+        self.con.execute(PLACE)
+        while self.con.execute(PICK).fetchone() and self.con.execute("SELECT count(*) FROM hit").fetchone()[0]:
+            self.con.execute(CONTRACT)
+        return self.con.execute(LIVE).fetchnumpy()
+
+    def _contract_some(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray, contract) -> None:
+        if len(a):
             lens = b - a
             place = ragged(np.zeros(len(a), np.int64), lens)
             rows = {
@@ -191,13 +256,13 @@ class Encoder:
                 "tok": pa.array(self.byte_ids[raw[ragged(a, lens)]]),
             }
             self._table("word_rows", pa.table(rows))
-            found = self.con.execute(ENCODE).fetchnumpy()
+            found = contract()
             counts = np.array([len(x) for x in found["ids"]], dtype=np.int64)
             pool = np.concatenate(found["ids"]).astype(np.int32)
             joined = bytes.fromhex("".join(found["text"]))
             sizes = np.array([len(t) // 2 for t in found["text"]], dtype=np.int64)
             spans = np.stack([np.cumsum(counts) - counts, counts, np.cumsum(sizes) - sizes, sizes], axis=1)
-            self._remember(keys[k : k + WORDS], pool, np.frombuffer(joined, dtype=np.uint8), spans)
+            self._remember(keys, pool, np.frombuffer(joined, dtype=np.uint8), spans)
 
     def rows_of(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Row of each word in the memo, after what was missing has been encoded."""

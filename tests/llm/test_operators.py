@@ -376,3 +376,22 @@ def test_pipeline(spark, documents):
     hashes = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in before.collect()}
     final = docs.collect()
     assert len(final) == before.count() and all(r.decoded_sha256 == hashes[r.doc_id] for r in final)
+
+
+def test_long_words_are_encoded_as_the_library_does(spark):
+    """Words far longer than a recursion could hold: repeats that overlap, random letters, unspaced scripts."""
+    rng = random.Random(1)
+    texts = [
+        "a" * 1001 + " " + "ab" * 999 + "!?" * 1000 + "." * 999,
+        "".join(rng.choice("acgt") for _ in range(100_000)),
+        "".join(rng.choice("abcdefgh") for _ in range(600)),
+        "漢字仮名" * 500 + " " + "é" * 700,
+        " ".join("".join(rng.choice("0123456789abcdef") for _ in range(400)) for _ in range(20)),
+    ]
+    ranks = bpe.read_ranks(VOCABULARY)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.round_trip(docs, VOCABULARY, ids=True).collect()}
+    for k, text in enumerate(texts):
+        assert list(got[k].ids) == plain.encode_ordinary(text)
+        assert got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
