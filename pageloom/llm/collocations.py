@@ -6,7 +6,7 @@ proportionally lowered support, level by level (a phrase is only counted where i
 frequent), the phrases frequent in any shard are united, and one last pass counts all of them exactly.
 
 A shard is a key, not a task: its counts are summed by Spark after every task has added up its own. While
-mining, phrases are 64-bit hashes, and what passed a level is a Bloom filter of fixed size (``FILTER_BITS``,
+mining, phrases are hashes, sorted and written as gaps, and what passed a level is a Bloom filter of fixed size (``FILTER_BITS``,
 built by block in tasks). Both can only let too much through, never too little, and the last pass counts the
 phrases themselves, so results are exact whatever the size of the corpus.
 """
@@ -22,17 +22,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.shipping import ship
-from pageloom.llm.storage import Scratch
+from pageloom.llm.storage import ARROW_ROWS, Scratch, settings
 from pageloom.llm.textops import mix, ragged, slices, span_hashes, text_bytes
 
-SHARD_BITS = 2
+SHARD_BITS = 1
 SHARDS = 1 << SHARD_BITS
+# Bits of a phrase's hash; shard and hash have 48 in all.
+KEY_BITS = 48 - SHARD_BITS
 FILTER_BITS = 1 << 27
 BLOCK_BITS = 1 << 19
 BLOCKS = FILTER_BITS // BLOCK_BITS
-SLICE = 2 << 20
-# Hashes a task adds up before it hands counts on.
-HELD = 4_000_000
+SLICE = 1 << 20
+# Documents that go to a Python worker at once.
+BATCH = 1000
+# Hashes a task adds up before it hands counts on, and hashes in one part of a corpus, about.
+HELD, PART = 1_000_000, 2_000_000
+# Counted phrases a task adds up before it hands them on.
+COUNTED = 300_000
 
 # Bytes that end a piece, and bytes between words.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -77,11 +83,11 @@ class Words:
         return np.flatnonzero(self.piece[:n] == self.piece[size - 1 : size - 1 + n])
 
     def keys(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Hash of the phrases of ``size`` words at ``at``, language included, without its last bits."""
+        """Hash of the phrases of ``size`` words at ``at``, language included, of ``KEY_BITS`` bits."""
         value = self.seed[at]
         for k in range(size):
             value = mix(value * _STEP + self.hash[at + k])
-        return value >> np.uint64(SHARD_BITS)
+        return value >> np.uint64(64 - KEY_BITS)
 
     def numbers(self) -> np.ndarray:
         """A number per word: equal for equal words of one language, compared by their bytes."""
@@ -165,21 +171,47 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(shard.alias("shard"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
 
-def _local_counts(rows: DataFrame, size: int, shorter) -> DataFrame:
-    """key (shard and phrase hash) and n: how often each phrase of ``size`` words occurs in each shard.
+def _written(keys: np.ndarray) -> bytes:
+    """Sorted different hashes as the first one and the gaps between them, or as they are where a gap is wide."""
+    gaps = np.diff(keys)
+    if len(gaps) and gaps.max() < 1 << 32:
+        return b"g" + keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    return b"k" + keys.tobytes()
+
+
+def _read(data: bytes) -> np.ndarray:
+    if data[:1] == b"k":
+        return np.frombuffer(data, np.uint64, offset=1)
+    first, gaps = np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, offset=9)
+    return np.cumsum(np.concatenate((first, gaps.astype(np.uint64))), dtype=np.uint64)
+
+
+def _packed(keys: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Hashes a task has met, by range: those met once, and those met more often with their counts."""
+    unique, n = np.unique(np.concatenate(keys), return_counts=True)
+    width = np.uint64(-(-(1 << 48) // parts))
+    ends = np.searchsorted(unique, np.arange(parts + 1, dtype=np.uint64) * width)
+    rows = []
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        key, count = unique[ends[p] : ends[p + 1]], n[ends[p] : ends[p + 1]]
+        once = count == 1
+        rows.append((p, _written(key[once]), _written(key[~once]), count[~once].astype(np.uint32).tobytes()))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["part", "once", "often", "counts"]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _local_counts(rows: DataFrame, size: int, shorter, support: list[int], parts: int) -> DataFrame:
+    """key (shard and phrase hash) and n of the phrases of ``size`` words that reach their shard's support.
 
     ``shorter`` is the broadcast filter of the level below; only phrases whose two longest parts pass it are
-    counted.
+    counted. Hashes travel packed, in ``parts`` parts by hash, each added up by one task.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = None if shorter is None else Filter(shorter.value)
         held, total = [], 0
-
-        def counts() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch({"key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = Words(part.column("text"), part.column("lang").to_pylist())
@@ -189,32 +221,53 @@ def _local_counts(rows: DataFrame, size: int, shorter) -> DataFrame:
                     at = at[fits]
                     at = at[passes(words.keys(at + 1, size - 1))]
                 shard = part.column("shard").to_numpy(zero_copy_only=False).astype(np.uint64)[words.doc[at]]
-                held.append(words.keys(at, size) | shard << np.uint64(64 - SHARD_BITS))
+                held.append(words.keys(at, size) | shard << np.uint64(KEY_BITS))
                 total += len(at)
                 if total >= HELD:
-                    yield counts()
+                    yield _packed(held, parts)
                     held, total = [], 0
         if total:
-            yield counts()
+            yield _packed(held, parts)
+
+    least = np.array(support, dtype=np.int64)
 
-    return rows.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def added_up(table: pa.Table) -> pa.Table:
+        once, often, counts = (table.column(c).to_pylist() for c in ("once", "often", "counts"))
+        keys = np.concatenate([_read(x) for x in (*once, *often)])
+        repeats = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
+        n = np.concatenate((np.ones(len(keys) - len(repeats), np.int64), repeats))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        n, keys = np.add.reduceat(n, first), keys[first]
+        enough = n >= least[(keys >> np.uint64(KEY_BITS)).astype(np.int64)]
+        return pa.table({"key": pa.array(keys[enough].view(np.int64)), "n": pa.array(n[enough])})
+
+    packed = rows.mapInArrow(work, "part int, once binary, often binary, counts binary")
+    return packed.groupBy("part").applyInArrow(added_up, "key long, n long")
 
 
 def _mined(rows: DataFrame, longest: int, least: int, scratch: Scratch) -> list:
     """Broadcast filters of the phrases of 1 to ``longest`` words that are frequent in some shard."""
     spark = rows.sparkSession
-    shard = F.shiftrightunsigned("key", 64 - SHARD_BITS).cast("int")
-    words = scratch.save(_local_counts(rows, 1, None), "words")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.shiftrightunsigned("key", KEY_BITS).cast("int")
+    words = scratch.save(_local_counts(rows, 1, None, [1] * SHARDS, parts), "words", BATCH)
     in_shard = {r["shard"]: r["n"] for r in words.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}
     everything = sum(in_shard.values())
     # The smallest whole number that is no less than least * share.
     support = [-(-least * in_shard.get(s, 0) // everything) if everything else 1 for s in range(SHARDS)]
+    parts = max(parts, everything // PART)
     filters: list = []
     for size in range(1, longest + 1):
-        counts = words if size == 1 else _local_counts(rows, size, filters[-1])
-        frequent = counts.where(F.col("n") >= F.element_at(F.array(*map(F.lit, support)), shard + 1))
-        phrase = F.col("key").bitwiseAND(F.lit((1 << (64 - SHARD_BITS)) - 1))
-        filters.append(spark.sparkContext.broadcast(_filter(frequent.select(phrase.alias("key")))))
+        if size == 1:
+            frequent = words.where(F.col("n") >= F.element_at(F.array(*map(F.lit, support)), shard + 1))
+        else:
+            frequent = _local_counts(rows, size, filters[-1], support, parts)
+        phrase = F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+        with settings(spark, **{ARROW_ROWS: str(BATCH)}):
+            bits = _filter(frequent.select(phrase.alias("key")))
+        filters.append(spark.sparkContext.broadcast(bits))
     scratch.drop("words")
     return filters
 
@@ -230,13 +283,19 @@ def count_phrases(docs: DataFrame, scratch: Scratch, longest: int = 3, least: in
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = [Filter(f.value) for f in filters]
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for part in slices(batch, "text", SLICE):
+                if sum(h.num_rows for h in held) > COUNTED:
+                    held = _added_up(held)
+                    if held[0].num_rows > COUNTED // 2:
+                        yield from held
+                        held = []
                 words = Words(part.column("text"), part.column("lang").to_pylist())
                 langs = pa.array(words.langs, pa.string())
                 every = np.bincount(words.lang, minlength=len(words.langs))
                 blank = pa.array([""] * len(langs), pa.string())
-                yield _rows(langs, 0, blank, every)
+                held.append(_rows(langs, 0, blank, every))
                 number = words.numbers()
                 distinct = int(number.max()) + 1 if len(number) else 0
                 for size in range(1, longest + 1):
@@ -248,7 +307,9 @@ def count_phrases(docs: DataFrame, scratch: Scratch, longest: int = 3, least: in
                         code = code * distinct + number[at + k]
                     _, model, n = np.unique(code, return_index=True, return_counts=True)
                     at = at[model]
-                    yield _rows(langs.take(pa.array(words.lang[at])), size, words.phrases(at, size), n)
+                    held.append(_rows(langs.take(pa.array(words.lang[at])), size, words.phrases(at, size), n))
+        if held:
+            yield from _added_up(held)
 
     counted = rows.mapInArrow(work, "lang string, size int, phrase string, n long")
     summed = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
@@ -260,6 +321,13 @@ def _rows(langs: pa.Array, size: int, phrases: pa.Array, n: np.ndarray) -> pa.Re
     return pa.record_batch({"lang": langs, "size": sizes, "phrase": phrases, "n": pa.array(n.astype(np.int64))})
 
 
+def _added_up(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The same counts with one row per language and phrase, as one batch."""
+    table = pa.Table.from_batches(rows).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    table = table.select(["lang", "size", "phrase", "n_sum"]).rename_columns(["lang", "size", "phrase", "n"])
+    return table.combine_chunks().to_batches() or [rows[0].slice(0, 0)]
+
+
 def _part(words, start, length):
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -281,7 +349,7 @@ def collocations(
     often as they come; columns other than doc_id, text and lang are not looked at. An empty table, or texts
     without such phrases, give an empty one.
     """
-    counts = scratch.save(count_phrases(docs, scratch, longest, least), "phrases")
+    counts = scratch.save(count_phrases(docs, scratch, longest, least), "phrases", BATCH)
     known = counts.where("size > 0").select("lang", "phrase", F.col("n").cast("decimal(19,0)").alias("f"))
     words = F.split("phrase", " ")
     candidates = counts.where("size > 1").select("lang", "size", "phrase", F.col("n").alias("a"), words.alias("words"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,20 @@ from pageloom.llm.shipping import ship
 from pageloom.session import shared_dir
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **changes: str) -> Iterator[None]:
+    """Session settings for the jobs that run inside, as they were before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in changes}
+    for key, value in changes.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 class Scratch:
@@ -30,18 +45,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         """Write ``df`` and return the table as it is read back.
 
         Shuffle files of the write are of no use to anything later, so Spark is told to remove them when it
-        ends instead of when the driver happens to collect garbage.
+        ends instead of when the driver happens to collect garbage. ``batch`` is the number of rows that go to
+        Python workers at once: few where rows hold whole texts, or a batch is a task's whole input.
         """
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        rows = {} if batch is None else {ARROW_ROWS: str(batch)}
+        with settings(self.spark, **{CLEANUP: "true"}, **rows):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -122,3 +122,18 @@ def test_numbers_of_words_do_not_rest_on_hashes(monkeypatch):
     words.seed[:] = 1
     for found in (right, words.numbers()):
         assert found[0] == found[2] and len(set(found.tolist())) == 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500, 70_000])
+def test_hashes_are_read_as_they_were_written(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+    assert np.array_equal(collocations._read(collocations._written(keys)), keys)
+
+
+def test_shares_of_shards_lose_no_phrase(spark, monkeypatch):
+    """All that is frequent is found when a phrase lies in one shard or in all alike, whatever their sizes."""
+    rows = [(k, "x", "solid pair. ") for k in range(10)] + [(77, "x", "other pair . " * 10), (78, "x", "word " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.phrase: r.n for r in collocations.count_phrases(docs, Scratch(spark, "t"), 2, 10).collect()}
+    assert got["solid pair"] == 10 and got["other pair"] == 10 and got["word word"] == 4999
