@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ NOISE = re.compile(
     r"(?=$|[\s_-])",
     re.I,
 )
+# Inside an article only these whole classes or ids mean that a part is not of it.
+NOISE_WITHIN = {
+    "ad", "ads", "advert", "advertisement", "comment-list", "comments", "cookie-banner", "disqus_thread", "newsletter",
+    "popup", "respond", "share", "share-buttons", "sharing", "sponsored", "subscribe",
+}
+# A class on an element of text says what the text is about as often as what it is, so it counts for the others only.
+OF_TEXT = {"a", "b", "blockquote", "code", "dd", "dt", "em", "h1", "h2", "h3", "h4", "h5", "h6", "i", "li", "p", "pre", "span", "strong", "td", "th", "u"}
+# A longer path goes on from its own hash.
+PATH_CHARS = 400
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
 
@@ -49,17 +60,18 @@ class Page:
     """One pass over a page's tags: blocks with the containers they are in."""
 
     def __init__(self, source: str) -> None:
-        # Of each container: path, own depth of text, characters outside and inside links.
-        self.paths: list[str] = []
-        self.parents: list[int] = []
-        self.plain: list[int] = []
-        self.linked: list[int] = []
+        # Of each container: path, the one around it, characters outside and inside links. The first is the page.
+        self.paths: list[str] = [""]
+        self.parents: list[int] = [-1]
+        self.plain: list[int] = [0]
+        self.linked: list[int] = [0]
         self.blocks: list[tuple[int, str]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, str]] = []  # tag, container, skipped, path
-        container, skipped, path, links = -1, False, "", 0
+        open_tags: Counter = Counter()
+        container, skipped, path, links = 0, False, "", 0
         pieces: list[str] = []
         linked, at, raw_end = 0, 0, ""
         low = ""
@@ -68,7 +80,7 @@ class Page:
             nonlocal pieces, linked
             if pieces:
                 text = " ".join(html.unescape("".join(pieces)).split())
-                if text and not skipped and container >= 0:
+                if text and not skipped:
                     self.blocks.append((container, text))
                     self.plain[container] += max(0, len(text) - linked)
                     self.linked[container] += min(linked, len(text))
@@ -78,6 +90,7 @@ class Page:
             nonlocal container, skipped, path, links
             while len(stack) > depth:
                 tag, container, skipped, path = stack.pop()
+                open_tags[tag] -= 1
                 if tag == "a":
                     links = max(0, links - 1)
 
@@ -96,8 +109,9 @@ class Page:
             if not tag:
                 continue
             if match.group(1):
-                if tag == "p" and not any(x[0] == "p" for x in stack):
-                    flush()
+                if not open_tags[tag]:
+                    if tag == "p":
+                        flush()
                     continue
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == tag:
@@ -136,17 +150,21 @@ class Page:
                             break
                         if stack[depth][0] in ("ul", "ol", "dl", "table"):
                             break
+            within = open_tags["article"] + open_tags["main"] > 0
             stack.append((tag, container, skipped, path))
+            open_tags[tag] += 1
             if skipped:
                 continue
             names = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(match.group(3))} if match.group(3) else {}
-            inside = any(x[0] in ("article", "main") for x in stack[:-1])
             noise = f"{names.get('class', '')} {names.get('id', '')}"
+            marked = tag not in OF_TEXT and tag not in ("html", "body", "article", "main")
+            if marked:
+                marked = not NOISE_WITHIN.isdisjoint(noise.lower().split()) if within else NOISE.search(noise)
             if (
                 tag in SKIP
-                or (tag == "header" and not inside)
+                or (tag == "header" and not within)
                 or names.get("role", "").lower() in NOISE_ROLES
-                or (noise != " " and tag not in ("html", "body", "article", "main") and NOISE.search(noise))
+                or marked
                 or "hidden" in match.group(3).lower().split()
             ):
                 skipped = True
@@ -155,6 +173,8 @@ class Page:
                 links += 1
             if tag in CONTAINERS:
                 kind = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in names.get("class", "").split())])
+                if len(path) > PATH_CHARS:
+                    path = f"#{xxhash.xxh3_64_hexdigest(path)}"
                 path = f"{path}/{kind}"
                 self.paths.append(path)
                 self.parents.append(container)
@@ -174,14 +194,14 @@ class Page:
         for k in range(len(worth) - 1, -1, -1):
             if self.parents[k] >= 0:
                 worth[self.parents[k]] += 0.8 * worth[k]
-        if not worth:
+        if not self.blocks:
             return None, 0.0
         scored = [w * bonus.get(p.rsplit("/", 1)[-1].split(".")[0], 1.0) for w, p in zip(worth, self.paths, strict=True)]
         top = max(range(len(scored)), key=lambda k: (scored[k], -k))
         return self.paths[top], max(0.0, scored[top])
 
     def text(self, path: str | None) -> str:
-        """Blocks below the containers on ``path``, in page order."""
+        """Blocks below the containers on ``path``, in page order; the empty path is the whole page."""
         if path is None:
             return ""
         inside: list[bool] = []

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import math
 import random
 import re
@@ -262,6 +263,42 @@ def test_html_text(spark):
         text = f"A & B\nFirst para graph with words enough to count {k}.\nSecond one is longer, and it holds a link too. end\none\ntwo"
         assert got[k] == (text, len(text))
     assert got[10] == got[11] == ("", 0)
+    assert got[12] == ("lone text, no container", 23)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("plain words only", "plain words only"),
+        ("<html><p>x y z</p></html>", "x y z"),
+        ("<table><tr><th>head</th><td>cell</td></tr></table>", "head\ncell"),
+        ("<ul><li>one<li>two</ul><blockquote>three</blockquote>", "one\ntwo\nthree"),
+        (
+            "<body><div class='ad'>buy</div><article><h1>T</h1><p class='notice-period'>a long notice period</p>"
+            "<p class='social'>social text</p><div class='related-work'>related work is part of it</div>"
+            "<div class='comments'>first!</div></article><footer>f</footer></body>",
+            "T\na long notice period\nsocial text\nrelated work is part of it",
+        ),
+        ("<div>" * 20_000 + "deep text" + "</div>" * 20_000, "deep text"),
+        ("</p>" * 3 + "<div>" * 3000 + "<p>a</p>" * 3000, "\n".join("a" * 3000)),
+        ("<p>" + "w " * 300_000, "w " * 299_999 + "w"),
+    ],
+)
+def test_html_text_of_odd_pages(source, text):
+    page = htmltext.Page(source)
+    assert page.text(page.best()[0]) == text
+
+
+def test_html_text_equals_the_article_of_given_pages(spark):
+    """Every given page holds one article; its blocks are told apart here by the pages' own plain markup."""
+    rows = duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()
+    got = {r.page_id: r.text for r in QUERIES["op3_html_text"](spark, SF).collect()}
+    for page_id, source in rows:
+        article = re.search(r"<article>(.*?)</article>", source, re.S).group(1)
+        article = re.sub(r"<(script|style|form|aside|nav|footer|header)\b.*?</\1>|<!--.*?-->", "", article, flags=re.S)
+        found = re.split(r"</?(?:p|h[1-6]|li|ul|ol|div|section|blockquote|table|tr|td|th|pre)\b[^>]*>", article)
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m.group().startswith("<br") else "", x)).split()) for x in found]
+        assert got[page_id] == "\n".join(t for t in texts if t)
 
 
 def test_fertility_counts_against_brute_force(spark, documents):
