@@ -155,18 +155,21 @@ def sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> D
         some = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
     picked = scratch.save(picked, "picked")  # at most 2 * most rows of two numbers
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(picked), "doc_id")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 one, two = least_shingles(*text_bytes(part.column("text")))
-                yield pa.record_batch([*part.columns, pa.array(one), pa.array(two)], names=["text", "toxic", "m1", "m2"])
+                yield pa.record_batch([*part.columns, pa.array(one), pa.array(two)], names=["doc_id", "text", "toxic", "m1", "m2"])
 
     # Copies and near copies count once: else the words of a copied text would look telling.
-    marked = rows.select("text", F.col("toxic").cast("int")).mapInArrow(mark, "text string, toxic int, m1 long, m2 long")
+    # The smallest doc_id stands for them, so the order of rows says nothing.
+    columns = "doc_id long, text string, toxic int, m1 long, m2 long"
+    marked = rows.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(mark, columns)
     for m in ("m1", "m2"):
-        marked = marked.dropDuplicates(["toxic", m])
+        first = F.min(F.struct("doc_id", "text", "m1", "m2")).alias("first")
+        marked = marked.groupBy("toxic", F.col(m).alias("least")).agg(first).select("toxic", "first.*")
     return scratch.save(marked.select("text", "toxic").repartition(24), "sample")
 
 
@@ -293,7 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = SAMP
             found = [matcher.features(t) or none for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"x": pa.array(found, pa.list_(pa.float64())), "toxic": batch.column("toxic")})
 
-    seen = rows.mapInArrow(work, "x array<double>, toxic int").collect()  # at most 2 * most short rows
+    seen = sorted(rows.mapInArrow(work, "x array<double>, toxic int").collect())  # at most 2 * most short rows
     share = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
     x, y = np.array([r.x for r in seen]), np.array([r.toxic for r in seen], dtype=float)
     weights, bias = fit(x, y, float(min(max(share, 0.01), 0.99)))

@@ -324,6 +324,14 @@ def test_toxicity_on_held_out_labels(spark):
     assert hits >= 0.85 * sum(t for _, t in seen) and hits >= 0.9 * sum(p for p, _ in seen)
 
 
+def test_grammar_does_not_depend_on_the_order_of_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = toxicity.learn(docs, labels, Scratch(spark, "t"))
+    two = toxicity.learn(docs.repartition(13, "text"), labels.repartition(5, "quality"), Scratch(spark, "t"))
+    assert (one.stems, one.weights, one.bias) == (two.stems, two.weights, two.bias)
+
+
 def test_grammar_scores_clauses():
     match = toxicity.Matcher(toxicity.Grammar({"idiot": 3.0}))
     at, plain = match.score("You are an idiot, you idiot."), match.score("an idiot")
