@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,46 @@ def paged(rows: DataFrame, order: list[Column], limit: int, skip: int, most: int
     return rows.orderBy(*order).offset(skip).limit(limit)
 
 
+def comes_after(order: Sequence[tuple[str, bool]], values: Sequence[object]) -> Column:
+    """Whether a row sorts behind a given one; ``order`` is (column, descending), as ``asc`` and ``desc`` place nulls.
+
+    The condition on the first column stands alone as well, so that it reaches the files and skips row groups.
+    """
+
+    def behind(name: str, descending: bool, value: object) -> Column:
+        column = F.col(name)
+        if descending:  # nulls last
+            return F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+        return column.isNotNull() if value is None else column > F.lit(value)
+
+    rest = F.lit(False)
+    for (name, descending), value in reversed(list(zip(order, values, strict=True))):
+        rest = behind(name, descending, value) | (F.col(name).eqNullSafe(F.lit(value)) & rest)
+    (name, descending), value = order[0], values[0]
+    bound = F.col(name) <= F.lit(value) if descending else F.col(name) >= F.lit(value)
+    if value is None:
+        return rest
+    return rest & ((bound | F.col(name).isNull()) if descending else bound)
+
+
+def seek(
+    rows: DataFrame, order: Sequence[tuple[str, bool]], limit: int, most: int, after: Sequence[object] | None
+) -> DataFrame:
+    """The next ``limit`` rows behind a cursor: every page of results costs what the first one costs."""
+    if after is not None:
+        rows = rows.where(comes_after(order, after))
+    return paged(rows, [F.desc(c) if descending else F.asc(c) for c, descending in order], limit, 0, most)
+
+
+def cursor(page: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple | None:
+    """Where a page of results (at most as many rows as a page may have) ends; None if it is empty."""
+    last = page.orderBy(*[F.desc(c) if descending else F.asc(c) for c, descending in order]).tail(1)
+    return tuple(last[0][c] for c, _ in order) if last else None
+
+
+LISTING = (("quality_score", True), ("last_updated", True), ("url", False))
+
+
 def filter_pages(
     pages: DataFrame,
     section: str | None = None,
@@ -83,6 +125,19 @@ def list_pages(
     return paged(rows, order, limit, skip, MAX_PAGES)
 
 
+def list_pages_after(
+    pages: DataFrame,
+    after: Sequence[object] | None = None,
+    section: str | None = None,
+    subsection: str | None = None,
+    min_quality: int | None = None,
+    limit: int = DEFAULT_PAGES,
+) -> DataFrame:
+    """As ``list_pages``, but from a cursor: the ``LISTING`` values of the last row seen."""
+    rows = page_summary(filter_pages(pages, section, subsection, min_quality), "metadata.last_updated")
+    return seek(rows, LISTING, limit, MAX_PAGES, after)
+
+
 def page_by_id(pages: DataFrame, page_id: str | Column) -> DataFrame:
     return pages.where(F.col("_id") == page_id)
 

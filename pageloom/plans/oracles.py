@@ -567,6 +567,9 @@ SELECT url, quality_score FROM page WHERE section = 'en' AND subsection = 't3' A
 ORACLES["list_pages"] = f"""WITH {PAGES}
 SELECT {SUMMARY}, {stamp('seen')} AS last_updated FROM page WHERE section = 'en'
 ORDER BY quality_score DESC, seen DESC, url LIMIT 100 OFFSET 20"""
+ORACLES["list_pages_seek"] = f"""WITH {PAGES}
+SELECT {SUMMARY}, {stamp('seen')} AS last_updated FROM page ORDER BY quality_score DESC, seen DESC, url LIMIT 60 OFFSET 120"""
+ORACLES["search_pages_seek"] = f"WITH {ANY} SELECT {SUMMARY}, score FROM hits ORDER BY score DESC, url LIMIT 25 OFFSET 25"
 ORACLES["page_by_id"] = f"""WITH {PAGES}
 SELECT _id, url, content_hash, 1 AS version FROM page WHERE _id = (SELECT min(_id) FROM page)"""
 ORACLES["page_summary"] = f"WITH {PAGES} SELECT {SUMMARY} FROM page"

@@ -749,6 +749,23 @@ def list_pages(spark, sf):
     return _summary(rows, when_text("last_updated"))
 
 
+@register
+def list_pages_seek(spark, sf):
+    """The third page of the list, reached by cursors."""
+    pages, after = inputs.page_docs(spark, sf), None
+    for _ in range(2):
+        after = catalog.cursor(catalog.list_pages_after(pages, after, limit=60), catalog.LISTING)
+    return _summary(catalog.list_pages_after(pages, after, limit=60), when_text("last_updated"))
+
+
+@register
+def search_pages_seek(spark, sf):
+    """The second page of search results, reached by a cursor."""
+    pages = inputs.page_docs(spark, sf)
+    after = catalog.cursor(search.search_pages_after(pages, SEARCH, limit=25), search.RANKING)
+    return _summary(search.search_pages_after(pages, SEARCH, after, limit=25), "score")
+
+
 @register
 def page_by_id(spark, sf):
     pages = inputs.page_docs(spark, sf)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import text
-from pageloom.plans.catalog import filter_pages, page_summary, paged
+from pageloom.plans.catalog import filter_pages, page_summary, paged, seek
 
 MAX_LIMIT = 100
 DEFAULT_LIMIT = 10
@@ -99,6 +100,23 @@ def search_pages(
     return _top(search_matches(pages, q, section, subsection, min_quality), limit, skip)
 
 
+RANKING = (("score", True), ("url", False))
+
+
+def search_pages_after(
+    pages: DataFrame,
+    q: str,
+    after: Sequence[object] | None = None,
+    section: str | None = None,
+    subsection: str | None = None,
+    min_quality: int | None = None,
+    limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """As ``search_pages``, but from a cursor: score and url of the last row seen."""
+    rows = page_summary(search_matches(pages, q, section, subsection, min_quality), "score")
+    return seek(rows, RANKING, limit, MAX_LIMIT, after)
+
+
 def search_total(
     pages: DataFrame,
     q: str,

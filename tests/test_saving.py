@@ -189,6 +189,34 @@ def test_lookup_uses_bloom_filters(spark, store):
     assert files
 
 
+def test_pages_by_cursor_equal_pages_by_offset(spark):
+    """Ties and nulls in every column of the order, up to the end of the list."""
+    rng = random.Random(8)
+    made = [
+        (rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, AT, AT + timedelta(days=1)]), f"u{k:03d}") for k in range(95)
+    ]
+    rows = spark.createDataFrame(made, "quality_score double, last_updated timestamp, url string").repartition(3)
+    order = [F.desc("quality_score"), F.desc("last_updated"), F.asc("url")]
+    after, k = None, 0
+    while True:
+        page = catalog.seek(rows, catalog.LISTING, 10, 100, after)
+        assert page.collect() == catalog.paged(rows, order, 10, k, 100).collect()
+        after, k = catalog.cursor(page, catalog.LISTING), k + 10
+        if after is None:
+            break
+    assert k == 110
+
+
+def test_a_cursor_keeps_no_more_rows_than_a_page_and_skips_files(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("quality_score"), F.lit(AT).alias("last_updated"), F.col("id").cast("string").alias("url"))
+    rows.repartitionByRange(4, "quality_score").write.parquet(str(tmp_path / "t"))
+    deep = catalog.seek(spark.read.parquet(str(tmp_path / "t")), catalog.LISTING, 10, 100, (55.0, AT, "55"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = deep._jdf.queryExecution().explainString(mode)
+    assert "Arguments: 10, [quality_score" in plan and "LessThanOrEqual(quality_score,55.0)" in plan
+    assert [r.quality_score for r in deep.collect()] == [float(k) for k in range(54, 44, -1)]
+
+
 WORDS = ["alpha", "beta", "gamma", "of", "the", "then", "proof", "license", "été", "x_1"]
 
 
