@@ -457,6 +457,9 @@ walk AS (
 SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM walk GROUP BY node"""
 # No shortest path has as many edges as there are nodes.
 ORACLES["crawl_closure"] = CLOSURE.format(levels="(SELECT n FROM n)")
+ORACLES["excluded_by_table"] = """WITH word AS (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM documents),
+pat AS (SELECT DISTINCT '[/.]' || substr(w, 1, 6) || '[a-z]*(?:[/.?]|$)' AS p FROM word WHERE w <> '')
+SELECT url, EXISTS (SELECT 1 FROM pat WHERE regexp_matches(url, p)) AS is_excluded FROM pages"""
 ORACLES["crawl_closure_continued"] = ORACLES["crawl_closure"]
 ORACLES["crawl_closure_limited"] = CLOSURE.format(levels=10)
 

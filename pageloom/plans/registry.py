@@ -23,6 +23,7 @@ from pageloom.operators import (
     jobs,
     links,
     maintenance,
+    patterns as patterns_table,
     rollups,
     validate,
 )
@@ -253,6 +254,17 @@ def excluded_urls(spark, sf):
     )
 
 
+@register
+def excluded_by_table(spark, sf):
+    """Page urls against a table of patterns: one from the first word of every document."""
+    word = F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))
+    patterns = inputs.documents_table(spark, sf).where(word != "").select(
+        F.concat(F.lit("[/.]"), F.substring(word, 1, 6), F.lit("[a-z]*(?:[/.?]|$)")).alias("pattern")
+    )
+    rows = inputs.pages_table(spark, sf).select("url")
+    return patterns_table.excluded_by_table(rows, patterns)
+
+
 @register
 def robots_filter(spark, sf):
     rules = inputs.robots_rules(spark, sf, inputs.section_prefix())
