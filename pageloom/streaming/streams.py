@@ -20,6 +20,7 @@ from pageloom.functions import urls
 from pageloom.operators.dedup import HASH
 from pageloom.operators.extract import extract_pages
 from pageloom.operators.jobs import job_statistics
+from pageloom.sources.files import Folder
 
 BATCH = "batch_id"
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -164,15 +165,53 @@ def ingest_frontier(candidates: DataFrame, queue_path: str, checkpoint: str) ->
 
 
 def live_job_statistics(
-    events: DataFrame, out_path: str, checkpoint: str
+    events: DataFrame, out_path: str, checkpoint: str, every: int = 16
 ) -> StreamingQuery:
-    """Job counters kept up to date; each batch writes the counters that changed."""
+    """Job counters kept up to date: each batch writes the counters that changed.
 
-    return _started(job_statistics(events), _write_batches(out_path, lambda rows: rows), checkpoint, "update")
+    After every so many batches the current counters of all jobs are written as a snapshot, so that a reader
+    never opens more than one snapshot and ``every`` folders of changes, however long the stream has run.
+    """
+    updates = _write_batches(f"{out_path}/{UPDATES}", lambda rows: rows)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        updates(rows, batch_id)
+        if batch_id % every == every - 1:
+            now = current_statistics(rows.sparkSession, out_path, batch_id, batch_id - 1)
+            now.write.mode("overwrite").parquet(f"{out_path}/{SNAPSHOTS}/{UPTO}={batch_id}")
+
+    return _started(job_statistics(events), write, checkpoint, "update")
+
+
+UPDATES, SNAPSHOTS, UPTO = "updates", "snapshots", "upto"
+
+
+def _numbered(files: Folder, below: str, key: str) -> list[int]:
+    """Numbers of the complete folders ``key=<number>``."""
+    names = [n for n in files.names(below) if n.startswith(f"{key}=")]
+    return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in files.names(f"{below}/{n}"))
+
+
+def statistics_folders(spark: SparkSession, out_path: str, last: int | None = None, upto: int | None = None) -> list[str]:
+    """The folders that hold the current counters, newest last: a snapshot and the changes after it.
+
+    ``last`` leaves later batches out, ``upto`` later snapshots.
+    """
+    files = Folder(spark, out_path)
+    snapshots = [n for n in _numbered(files, SNAPSHOTS, UPTO) if upto is None or n <= upto]
+    since = snapshots[-1] if snapshots else -1
+    batches = [n for n in _numbered(files, UPDATES, BATCH) if n > since and (last is None or n <= last)]
+    whole = [f"{out_path}/{SNAPSHOTS}/{UPTO}={since}"] if snapshots else []
+    return whole + [f"{out_path}/{UPDATES}/{BATCH}={n}" for n in batches]
 
 
-def current_statistics(spark: SparkSession, out_path: str) -> DataFrame:
+def current_statistics(spark: SparkSession, out_path: str, last: int | None = None, upto: int | None = None) -> DataFrame:
     """The latest counters per job of the update stream."""
-    updates = spark.read.parquet(out_path)
-    row = F.struct(*[c for c in updates.columns if c not in ("job_id", BATCH)])
-    return updates.groupBy("job_id").agg(F.max_by(row, BATCH).alias("s")).select("job_id", "s.*")
+    found = None
+    for nth, folder in enumerate(statistics_folders(spark, out_path, last, upto)):
+        rows = spark.read.parquet(folder).withColumn(BATCH, F.lit(nth))
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise FileNotFoundError(f"no counters in {out_path}")
+    row = F.struct(*[c for c in found.columns if c not in ("job_id", BATCH)])
+    return found.groupBy("job_id").agg(F.max_by(row, BATCH).alias("s")).select("job_id", "s.*")

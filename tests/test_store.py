@@ -457,6 +457,24 @@ def test_live_counters(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_counters_are_read_from_one_snapshot_and_few_changes(spark, tmp_path):
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "c"
+    seen = []
+    for n in range(7):
+        rows = [(f"j{(n + k) % 4}", "u", "scraped", AT, n * 3 + k, 0, 1024, 0, None) for k in range(3)]
+        seen += rows
+        spark.createDataFrame(rows, schemas.CRAWL_EVENTS).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):
+            events = spark.readStream.schema(schemas.CRAWL_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+            streams.live_job_statistics(events, out, str(checkpoint), every=3).awaitTermination()
+            folders = streams.statistics_folders(spark, out)
+            assert len(folders) <= 3 and ("snapshots" in folders[0]) == (n >= 2)
+            batch = jobs.job_statistics(spark.createDataFrame(seen, schemas.CRAWL_EVENTS))
+            live = streams.current_statistics(spark, out).select(*batch.columns)
+            assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
+            _forget_commit(checkpoint, n)
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rows = [(f"http://a.com/{i}", f"<title>{i}</title><p>some text number {i}</p>", i) for i in range(30)]
     raw = raw_rows(spark, *rows)
