@@ -36,8 +36,11 @@ from pageloom.llm.textops import mix, slices, span_hashes, text_bytes, windows,
 BITMAP = 16
 # Classes in a node of a tree, on average.
 NODE = 64
+# Bytes of text a task turns into sets at once, shingles of a block, and rows that go to a Python worker at once.
+SLICE, BLOCK, BATCH = 1 << 20, 500_000, 1000
 # Shingles of a shard, on average at most: what one task holds while it counts.
-SHARD = 2_000_000
+SHARD = 1_000_000
+LEAST_SHARDS = 24
 # Bytes of a shingle in a stored set. Two different shingles are taken for one with a chance of 1 in 2 ** 48.
 WIDTH = 6
 
@@ -75,51 +78,64 @@ def _unpacked(data: np.ndarray) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def shingle_table(docs: DataFrame, size: int, keep: tuple[str, ...] = (), sets: bool = True) -> DataFrame:
-    """Per document: set size, set digest (two words), the columns ``keep`` and, if asked, the set's shingles."""
-    kept = docs.select(*keep).schema.fields
-    columns = ", ".join(["doc_id long, n long, d1 long, d2 long", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
+def digests(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Two words per set that tell it from others; nothing for an empty one."""
+    out = np.zeros((2, len(count)), dtype=np.uint64)
+    full = count > 0
+    if full.any():
+        begin = (np.cumsum(count) - count)[full]
+        out[0, full] = np.add.reduceat(mix(value + np.uint64(11)), begin)
+        out[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), begin)
+    return out.view(np.int64)
+
+
+def shingle_table(docs: DataFrame, size: int) -> DataFrame:
+    """Per document: set size and set digest (two words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, count = shingle_sets(*text_bytes(part.column("text")), size)
-                ends = np.cumsum(count)
-                full = count > 0
-                digest = np.zeros((2, len(count)), dtype=np.uint64)
-                if full.any():
-                    begin = (ends - count)[full]
-                    digest[0, full] = np.add.reduceat(mix(value + np.uint64(11)), begin)
-                    digest[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D)), begin)
-                out = {
-                    "doc_id": part.column("doc_id"),
-                    "n": pa.array(count),
-                    "d1": pa.array(digest[0].view(np.int64)),
-                    "d2": pa.array(digest[1].view(np.int64)),
-                    **{name: part.column(name) for name in keep},
-                }
-                if sets:
-                    raw = _packed(value)
-                    found = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
-                    out["shingles"] = pa.array(found, pa.binary())
+                one, two = digests(value, count)
+                out = {"doc_id": part.column("doc_id"), "n": pa.array(count), "d1": pa.array(one), "d2": pa.array(two)}
                 yield pa.record_batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(
-        work, columns + ", shingles binary" * sets
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``n`` and ``shingles`` of the classes: the sets of the documents that stand for them.
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the class's digests of the documents that stand for classes.
 
-    The sets are made from the texts whenever they are needed and never stored for all documents, as they
+    Sets are made from the texts whenever they are needed and never stored for all documents, as they
     take more room than the texts. An id with several texts may stand for several classes; each text meets
     all of these, and its digests tell which is its own.
     """
     ids = classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
-    own = shingle_table(texts, size, keep=("c1", "c2")).where("d1 = c1 and d2 = c2")
-    return own.select("doc_id", "n", "shingles")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+
+
+def own_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, shingles and set sizes of the rows of ``texts_of`` that are their class's own text."""
+    for part in slices(batch, "text", SLICE):
+        value, count = shingle_sets(*text_bytes(part.column("text")), size)
+        wanted = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "c2")])
+        own = (digests(value, count) == wanted).all(axis=0)
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        yield ids[own], value[np.repeat(own, count)], count[own]
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``n`` and ``shingles`` of the classes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, value, count in own_sets(batch, size):
+                raw, ends = _packed(value), np.cumsum(count)
+                found = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
+                yield pa.record_batch({"doc_id": pa.array(ids), "n": pa.array(count), "shingles": pa.array(found, pa.binary())})
+
+    return texts_of(docs, classes).mapInArrow(work, "doc_id long, n long, shingles binary")
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -140,7 +156,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "shingles").mapInArrow(work, "id long, n long, bits array<long>")
 
 
-def asked(sets: DataFrame, shards: int) -> DataFrame:
+def asked(texts: DataFrame, size: int, shards: int) -> DataFrame:
     """Blocks of sets, dealt out by shingle: for each shard, shingles and who holds them.
 
     A shingle that several sets of a block hold is known to be common: its holders go to any shard
@@ -150,26 +166,32 @@ def asked(sets: DataFrame, shards: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "shingles"):
-                raw, offs = text_bytes(part.column("shingles"))
-                token = _unpacked(raw)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                own = np.repeat(np.arange(len(ids)), np.diff(offs) // WIDTH)
-                order = np.argsort(token, kind="stable")
-                token, own = token[order], own[order]
-                fresh = np.ones(len(token), dtype=bool)
-                fresh[1:] = token[1:] != token[:-1]
-                start = np.flatnonzero(fresh)
-                many = np.diff(np.append(start, len(token)))
-                known = np.repeat(many > 1, many)
-                told = token[start[many > 1]]
-                one = (np.append(token[~known], told), np.append(own[~known], np.full(len(told), len(ids))))
-                yield _dealt(*one, np.append(ids, -1), one[0], shards, False)
-                yield _dealt(token[known], own[known], ids, own[known] * 7919 + token[known], shards, True)
-
-    return sets.select("doc_id", "shingles").mapInArrow(
-        work, "shard int, known boolean, ids binary, counts binary, shingles binary"
-    )
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for block in own_sets(batch, size):
+                held.append(block)
+                if sum(len(value) for _, value, _ in held) >= BLOCK:
+                    yield from dealt(held)
+                    held = []
+            if held:
+                yield from dealt(held)
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, token, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        token = _unpacked(_packed(token).ravel())
+        own = np.repeat(np.arange(len(ids)), count)
+        order = np.argsort(token, kind="stable")
+        token, own = token[order], own[order]
+        fresh = np.ones(len(token), dtype=bool)
+        fresh[1:] = token[1:] != token[:-1]
+        start = np.flatnonzero(fresh)
+        many = np.diff(np.append(start, len(token)))
+        known = np.repeat(many > 1, many)
+        told = token[start[many > 1]]
+        one = (np.append(token[~known], told), np.append(own[~known], np.full(len(told), len(ids))))
+        yield _dealt(*one, np.append(ids, -1), one[0], shards, False)
+        yield _dealt(token[known], own[known], ids, own[known] * 7919 + token[known], shards, True)
+
+    return texts.mapInArrow(work, "shard int, known boolean, ids binary, counts binary, shingles binary")
 
 
 def _dealt(
@@ -201,8 +223,8 @@ def _dealt(
     )
 
 
-def common_shingles(sets: DataFrame, shards: int) -> DataFrame:
-    """``id`` and ``key`` for each shingle of a set that another of the sets holds too."""
+def common_shingles(texts: DataFrame, size: int, shards: int) -> DataFrame:
+    """``id`` and ``key`` for each shingle of a class's set that another class's holds too."""
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -219,7 +241,7 @@ def common_shingles(sets: DataFrame, shards: int) -> DataFrame:
         more, owner = _held(table.filter(table.column("known")))
         return pa.table({"id": np.append(holder[keep], owner), "key": np.append(token[keep], more)})
 
-    return asked(sets, shards).groupBy("shard").applyInArrow(count, "id long, key long")
+    return asked(texts, size, shards).groupBy("shard").applyInArrow(count, "id long, key long")
 
 
 def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -360,12 +382,12 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     of one doc_id with several texts count as one document when links are followed. A row without doc_id
     is compared with nothing and gets no component. An empty table gives an empty one.
     """
-    sigs = scratch.save(shingle_table(docs, size, sets=False), "digests")
+    sigs = scratch.save(shingle_table(docs, size), "digests", BATCH)
     classes = sigs.where("n > 0 and doc_id is not null").groupBy("d1", "d2")
     classes = scratch.save(classes.agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    common = scratch.save(common_shingles(sets_of(docs, classes, size), shards), "common")
+    shards = max(LEAST_SHARDS, -(-total // SHARD))
+    common = scratch.save(common_shingles(texts_of(docs, classes), size, shards), "common", BATCH)
 
     # Only classes with enough common shingles can be linked; the rest is not looked at again.
     count = common.groupBy("id").agg(F.count("*").alias("common"))
@@ -381,13 +403,13 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     )
     members = scratch.save(heads.join(trees, "key"), "members")
     needed = scratch.save(classes.join(members.select("id").distinct(), "id", "left_semi"), "needed")
-    sets = scratch.save(sets_of(docs, needed, size), "needed-sets")
-    shape = scratch.save(bitmaps(sets), "shapes")
+    sets = scratch.save(sets_of(docs, needed, size), "needed-sets", BATCH)
+    shape = scratch.save(bitmaps(sets), "shapes", BATCH)
 
     ends = members.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = ends.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     pairs = scratch.save(possible(_ordered(pairs), shape, percent), "pairs-1")
-    links = scratch.save(verified(pairs, sets, percent), "links-1")
+    links = scratch.save(verified(pairs, sets, percent), "links-1", BATCH)
     found = scratch.save(components(links, scratch, "stars-1"), "components-1")
 
     # Second pass: in trees still open, each class with the ends of the tree that are in other components.
@@ -401,7 +423,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     pairs = possible(_ordered(pairs.select(F.col("id").alias("a"), "b")), shape, percent)
     pairs = scratch.save(pairs, "pairs-2")
     more = verified(pairs, _of(sets, pairs, scratch, "ids-2"), percent)
-    found = _joined(found, scratch.save(more, "links-2"), scratch, 2)
+    found = _joined(found, scratch.save(more, "links-2", BATCH), scratch, 2)
 
     # Third pass: what is still open goes through the trees.
     placed = _placed(members.select("key", "id"), found)
@@ -411,7 +433,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     if not open_.isEmpty():
         candidates = scratch.save(open_pairs(open_, shape, percent), "candidates")
         more = verified(candidates, _of(sets, candidates, scratch, "ids-3"), percent)
-        found = _joined(found, scratch.save(more, "links-3"), scratch, 3)
+        found = _joined(found, scratch.save(more, "links-3", BATCH), scratch, 3)
 
     rooted = classes.join(found, classes.id == found.node, "left").select(
         "d1", "d2", F.coalesce("component", "id").alias("root")
