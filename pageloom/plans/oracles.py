@@ -672,6 +672,13 @@ SELECT _id, CASE WHEN over THEN 'completed' ELSE status END AS status,
 EXPIRED = "status IN ('completed', 'failed') AND discovered_at < TIMESTAMP '2024-01-18'"
 ORACLES["retention_queue"] = f"""WITH {QUEUE}
 SELECT seq, status, {stamp('discovered_at')} AS discovered_at FROM queue WHERE NOT ({EXPIRED})"""
+TORN = EXPIRED.replace("TIMESTAMP '2024-01-18'", "TIMESTAMP '2024-01-18 09:30:00'")
+ORACLES["retention_queue_days"] = f"""WITH {QUEUE}
+SELECT seq, status, {stamp('discovered_at')} AS discovered_at FROM queue WHERE NOT ({TORN})"""
+ORACLES["retention_counts"] = f"""WITH {QUEUE}, {ERRORS}
+SELECT 'url_queue_days' AS collection, count(*) FILTER ({TORN}) AS dropped, count(*) FILTER (NOT ({TORN})) AS kept FROM queue
+UNION ALL SELECT 'job_error_days', count(*) FILTER (ts < TIMESTAMP '2024-01-18 09:30:00'),
+  count(*) FILTER (ts >= TIMESTAMP '2024-01-18 09:30:00') FROM err"""
 ORACLES["retention_errors"] = f"""WITH {ERRORS}
 SELECT job_id, url, {stamp('ts')} AS timestamp, retry_count FROM err WHERE ts >= TIMESTAMP '2024-01-18'"""
 ORACLES["pruned_job_errors"] = """

@@ -29,6 +29,7 @@ from pageloom.operators import (
 )
 from pageloom.plans import catalog, inputs, prepared, search
 from pageloom.session import cut_lineage, shared_dir
+from pageloom.sources.store import Store
 from pageloom.streaming import streams
 
 NOW = datetime(2024, 2, 1)
@@ -983,6 +984,7 @@ def complete_jobs(spark, sf):
 
 
 LIMIT = maintenance.cutoff(NOW, 14)
+TORN_LIMIT = datetime(2024, 1, 18, 9, 30)
 
 
 @register
@@ -992,6 +994,40 @@ def retention_queue(spark, sf):
     )
 
 
+def _days(spark: SparkSession, sf: str) -> tuple[Store, int, int]:
+    """Queue and errors kept by day, expired days left out; with the number of rows that went of each."""
+    store = Store(spark, scratch(spark))
+    tx = store.begin()
+    maintenance.keep_queue_by_day(tx, inputs.url_queue(spark, sf))
+    errors = jobs.error_log(inputs.crawl_events(spark, sf).where(F.col("kind") == "failed"))
+    maintenance.keep_errors_by_day(tx, errors)
+    tx.commit()
+    tx = store.begin()
+    # A limit within a day, so that this day is read and written again.
+    queued = maintenance.drop_expired(tx, maintenance.QUEUE_DAYS, "discovered_at", TORN_LIMIT)
+    failed = maintenance.drop_expired(tx, maintenance.ERROR_DAYS, "timestamp", TORN_LIMIT)
+    tx.commit()
+    return store, queued, failed
+
+
+@register
+def retention_queue_days(spark, sf):
+    store, _, _ = _days(spark, sf)
+    rows = maintenance.kept_rows(store.table(maintenance.QUEUE_DAYS))
+    return rows.select("seq", "status", when_text("discovered_at"))
+
+
+@register
+def retention_counts(spark, sf):
+    """Rows that went and rows that stay, of queue and errors kept by day."""
+    store, queued, failed = _days(spark, sf)
+    counts = [
+        store.table(name).agg(F.lit(name).alias("collection"), F.lit(gone).alias("dropped"), F.count("*").alias("kept"))
+        for name, gone in ((maintenance.QUEUE_DAYS, queued), (maintenance.ERROR_DAYS, failed))
+    ]
+    return counts[0].unionAll(counts[1]).withColumn("dropped", F.col("dropped").cast("long"))
+
+
 @register
 def retention_errors(spark, sf):
     errors = jobs.error_log(inputs.crawl_events(spark, sf).where(F.col("kind") == "failed"))

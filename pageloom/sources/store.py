@@ -121,13 +121,23 @@ class Store:
         for version in self.versions():
             for name, entry in self.record(version)["tables"].items():
                 files = entry["files"]
-                named |= {(name, f) for f in (files.values() if entry["kind"] == "keyed" else files)}
-        dropped = []
-        for name in self.files.names("data"):
-            for folder in self.files.names(f"data/{name}"):
-                if (name, folder.removeprefix(f"{FOLDER}=")) not in named:
-                    self.files.delete(f"data/{name}/{folder}")
-                    dropped.append(f"{name}/{folder}")
+                for file in files.values() if entry["kind"] == "keyed" else files:
+                    path = f"{name}/{FOLDER}={file}"
+                    named |= {path[:k] for k, c in enumerate(path) if c == "/"} | {path}
+        dropped: list[str] = []
+
+        def clear(folder: str, inside: bool) -> None:
+            """Delete what no record names; below a folder named whole everything stays."""
+            for child in self.files.names(f"data/{folder}" if folder else "data"):
+                path = f"{folder}/{child}" if folder else child
+                if path not in named:
+                    if "=" in child or not inside:
+                        self.files.delete(f"data/{path}")
+                        dropped.append(path)
+                elif any(n.startswith(f"{path}/") for n in named):
+                    clear(path, path.count("/") > 0)
+
+        clear("", False)
         return dropped
 
 
@@ -199,6 +209,21 @@ class Transaction:
         entry["files"].append(folder)
         return folder
 
+    def append_parts(self, name: str, df: DataFrame, by: Sequence[str]) -> list[str]:
+        """One more folder of a grown table, with a part for every value of the ``by`` columns; gives the parts.
+
+        A part can be left out of later versions without a look at its rows.
+        """
+        folder, path = self._folder(name)
+        df.repartition(*by).write.mode("errorifexists").partitionBy(*by).parquet(path)
+        found = [folder]
+        for _ in by:
+            found = [f"{p}/{n}" for p in found for n in self.store.files.names(f"data/{name}/{FOLDER}={p}") if "=" in n]
+        ordered = df.select(*[c for c in df.columns if c not in by], *by)
+        entry = self.tables.setdefault(name, {"kind": "grown", "schema": ordered.schema.jsonValue(), "files": []})
+        entry["files"] += found
+        return found
+
     def forget(self, name: str, folders: Iterable[str]) -> None:
         """Leave some folders of a grown table out of the next version."""
         gone = set(folders)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import text, urls
-from pageloom.operators import dedup, rollups
+from pageloom.operators import dedup, maintenance, rollups
 from pageloom.operators.saving import PageStore
 from pageloom.plans import catalog, search, textindex
 from pageloom.plans.textindex import TextIndex
@@ -287,3 +287,34 @@ def test_segments_of_one_size_are_merged(spark, store):
     assert len(store.record()["tables"]["entries"]["files"]) <= 4
     assert saved.index.search(store, "alpha", limit=100).count() == 70
     assert isinstance(saved.index, TextIndex)
+
+
+QUEUE = "seq long, status string, discovered_at timestamp"
+
+
+@pytest.mark.parametrize("hour", [0, 7])
+def test_expired_days_go_without_a_look_at_kept_ones(spark, store, hour):
+    rng = random.Random(hour)
+    made = [
+        (k, rng.choice(["completed", "failed", "pending", None]), rng.choice([None, AT + timedelta(hours=rng.randrange(96))])) for k in range(200)
+    ]
+    queue = spark.createDataFrame(made, QUEUE)
+    tx = store.begin()
+    maintenance.keep_queue_by_day(tx, queue)
+    tx.commit()
+    before = store.record()["tables"][maintenance.QUEUE_DAYS]["files"]
+    limit = AT + timedelta(days=2, hours=hour)
+    tx = store.begin()
+    dropped = maintenance.drop_expired(tx, maintenance.QUEUE_DAYS, "discovered_at", limit)
+    tx.commit()
+    after = store.record()["tables"][maintenance.QUEUE_DAYS]["files"]
+    kept = maintenance.retain_queue(queue, limit)
+    assert dropped == 200 - kept.count() > 0
+    assert rows(maintenance.kept_rows(store.table(maintenance.QUEUE_DAYS))) == rows(kept)
+    written = set(after) - set(before)
+    assert len(written) == (1 if hour else 0)
+    assert all("__closed=true/__day=2024-01-03" in p for p in written)
+    assert rows(maintenance.kept_rows(store.table(maintenance.QUEUE_DAYS, 1))) == rows(queue)
+    gone = store.vacuum(keep=1)
+    assert sum("__closed=true" in p for p in gone) == (3 if hour else 2)
+    assert rows(maintenance.kept_rows(store.table(maintenance.QUEUE_DAYS))) == rows(kept)
