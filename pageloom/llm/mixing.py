@@ -2,8 +2,9 @@
 
 Each source has a target number of words. It is taken whole as often as it fits; the remaining budget is
 smaller than the source and is filled by choosing *how many documents of each exact length* are taken once
-more: a proportional share of every length first, then a bounded-knapsack dynamic program for the words
-still missing. Documents are chosen by a seeded hash within their length.
+more: a proportional share of every length first, rounded by largest remainder with a seeded hash between equal
+ones, then a bounded-knapsack dynamic program for the few words still missing. Documents are chosen by a seeded
+hash within their length.
 
 Only counts by (source, length) meet in one place, never documents: a histogram has at most as many
 entries as there are different lengths.
@@ -17,14 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.storage import Scratch
+from pageloom.llm.textops import mix
 
 # No document is taken more often.
 MOST = 3
 WEIGHTS = (1, 2, 3)
 # Documents of a (source, length) group are ranked in so many slices by hash.
 SLICES = 64
-# The dynamic program fills budgets up to this many words; beyond it, single documents come first.
-KNAPSACK = 1 << 14
+# The dynamic program takes over when so many words are missing; before, shares are rounded up one by one.
+KNAPSACK = 1 << 12
 
 
 def words_of(text: str) -> Column:
@@ -58,26 +60,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", final.cast("double").alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = KNAPSACK) -> np.ndarray:
+def turns(lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded order of lengths, the same wherever it is worked out."""
+    return mix(mix(lengths.astype(np.uint64)) ^ np.uint64(seed % (1 << 64)))
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 7, limit: int = KNAPSACK) -> np.ndarray:
     """How many documents of each length to take so that the words come as near to ``budget`` as can be.
 
-    Ties are settled by the order of lengths, so the same counts give the same choice.
+    Every length has its proportional share, long and short ones alike: what rounding down leaves is given out
+    by largest remainder, equal remainders (as all lengths that one document has) in a seeded order, until so
+    little is missing that the program can find the best sum. The same counts give the same choice.
     """
     whole = int((lengths * counts).sum())
     if budget >= whole:
         return counts.copy()
-    share = (counts * budget) // max(whole, 1)
+    exact = [int(c) * budget for c in counts]  # whole numbers of any size
+    share = np.array([e // max(whole, 1) for e in exact], dtype=np.int64)
     left = int(budget - (lengths * share).sum())
     spare = counts - share
-    for k in np.argsort(-lengths, kind="stable"):  # long documents first, while the program is too large
-        if left < limit:
+    remainder = np.array([e % max(whole, 1) / max(whole, 1) for e in exact])
+    order = np.lexsort((turns(lengths, seed), -remainder))
+    while left >= limit:
+        before = left
+        for k in order:
+            if left < limit:
+                break
+            if spare[k] and 0 < lengths[k] <= left:
+                share[k] += 1
+                spare[k] -= 1
+                left -= int(lengths[k])
+        if left == before:  # what is spare is longer than what is missing
             break
-        if lengths[k]:
-            more = int(min(spare[k], max(0, left - limit // 2) // lengths[k]))
-            share[k] += more
-            spare[k] -= more
-            left -= more * int(lengths[k])
     usable = np.flatnonzero((spare > 0) & (lengths > 0) & (lengths <= 2 * max(left, 1)))
+    usable = usable[np.argsort(turns(lengths[usable], seed + 1), kind="stable")]
     room = 2 * left  # a sum just over the budget may be nearer than any below
     mask = (1 << (room + 1)) - 1
     reached, steps = 1, []
@@ -129,7 +145,7 @@ def mix_sources(
         total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         whole = min(most, int(target // total)) if total else 1
         left = 0 if whole == most else int(round(target - whole * total))
-        chosen = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), left)
+        chosen = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), left, seed)
         return pdf.assign(base=whole, extra=chosen)[["source", "size", "base", "extra", "source_size", "target"]]
 
     same = F.col("l.source").eqNullSafe(F.col("g.source"))

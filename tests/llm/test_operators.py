@@ -133,6 +133,21 @@ def test_line_dedup_in_any_number_of_batches(spark, batches):
     }
 
 
+@pytest.mark.parametrize("seed", [1, 7])
+def test_long_and_short_documents_are_taken_alike(seed):
+    """At half the budget every tenth of the lengths gives about half of its words, and another seed others."""
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.maximum(1, rng.lognormal(6, 1, 3000).astype(np.int64)), return_counts=True)
+    whole = int((lengths * counts).sum())
+    chosen = mixing.fit(lengths, counts, whole // 2, seed)
+    assert int((lengths * chosen).sum()) == whole // 2 and (chosen <= counts).all() and (chosen >= 0).all()
+    tenth = np.minimum(9, np.cumsum(counts) * 10 // counts.sum())
+    for k in range(10):
+        share = (lengths * chosen)[tenth == k].sum() / (lengths * counts)[tenth == k].sum()
+        assert 0.38 < share < 0.62, (k, share)
+    assert not np.array_equal(chosen, mixing.fit(lengths, counts, whole // 2, seed + 1))
+
+
 def test_mix_meets_its_targets(spark, documents):
     got = QUERIES["op7_source_mix"](spark, SF).collect()
     sizes = Counter()
@@ -209,6 +224,45 @@ def test_embeddings_against_all_pairs(spark, duck):
     assert sum(got.values()) >= 0.98 * sum(truth.values())
 
 
+def test_embeddings_with_thousands_of_links(spark):
+    """Groups of near copies of many sizes and pairs just over and under the threshold, against all pairs."""
+    rng = np.random.default_rng(9)
+    made = []
+    for size in [1] * 300 + [2] * 120 + [5] * 60 + [40] * 6 + [110]:
+        base = rng.normal(size=64)
+        base /= np.linalg.norm(base)
+        for _ in range(size):
+            noise = rng.normal(size=64)
+            noise -= base * (noise @ base)
+            noise /= np.linalg.norm(noise)
+            angle = rng.uniform(0, 0.32)
+            made.append((np.cos(angle) * base + np.sin(angle) * noise) * rng.uniform(0.1, 10))
+    ids = rng.permutation(len(made))
+    frame = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(ids, made, strict=True)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame, Scratch(spark, "t")).collect()}
+    unit = np.array(made)[np.argsort(ids)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    truth = near.sum(axis=1)
+    found = np.array([got[k].n_links for k in range(len(unit))])
+    assert truth.sum() > 6000 and (found <= truth).all() and found.sum() >= 0.99 * truth.sum()
+    root = list(range(len(unit)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    component = [find(k) for k in range(len(unit))]
+    same = sum(got[k].component_id == component[k] for k in range(len(unit)))
+    assert same >= 0.99 * len(unit)
+    assert all(got[k].kept == (got[k].component_id == k) for k in range(len(unit)))
+
+
 def test_embeddings_of_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     given = [(1, v), (2, v), (2, v), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, float("nan"), 0.0]), (6, [1.0, None, 0.0])]
