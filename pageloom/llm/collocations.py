@@ -142,7 +142,7 @@ class Filter:
         return found
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
+def filter_bits(keys: DataFrame) -> np.ndarray:
     """The filter of a table of keys, as bytes: tasks fill its blocks, 16 MB in all whatever the number of keys."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def _mined(rows: DataFrame, longest: int, least: int, scratch: Scratch) -> list:
             frequent = _local_counts(rows, size, filters[-1], support, parts)
         phrase = F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
         with settings(spark, **{ARROW_ROWS: str(BATCH)}):
-            bits = _filter(frequent.select(phrase.alias("key")))
+            bits = filter_bits(frequent.select(phrase.alias("key")))
         filters.append(spark.sparkContext.broadcast(bits))
     scratch.drop("words")
     return filters

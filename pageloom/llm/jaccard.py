@@ -28,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.collocations import Filter, filter_bits
 from pageloom.llm.graph import components
-from pageloom.llm.storage import Scratch
+from pageloom.llm.storage import ARROW_ROWS, Scratch, settings
 from pageloom.llm.textops import mix, slices, span_hashes, text_bytes, windows, word_spans
 
 # 64-bit words of a token bitmap.
@@ -104,38 +105,48 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and the class's digests of the documents that stand for classes.
+def chosen(classes: DataFrame):
+    """A broadcast filter, of fixed size, of the documents that stand for classes.
 
-    Sets are made from the texts whenever they are needed and never stored for all documents, as they
-    take more room than the texts. An id with several texts may stand for several classes; each text meets
-    all of these, and its digests tell which is its own.
+    It says yes to all of them and to a few copies. A copy makes some shingles look common that are not, which
+    costs a comparison later; it is never lost or linked wrongly by that.
     """
-    ids = classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    spark = classes.sparkSession
+    with settings(spark, **{ARROW_ROWS: "10000"}):
+        bits = filter_bits(classes.select(F.col("d1").bitwiseXOR(F.col("id")).alias("key")))
+    return spark.sparkContext.broadcast(bits)
 
 
-def own_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, shingles and set sizes of the rows of ``texts_of`` that are their class's own text."""
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
+
+
+def own_sets(batch: pa.RecordBatch, size: int, stands: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, shingles and set sizes of the documents that stand for a class.
+
+    Sets are made from the texts whenever they are needed and never stored for all documents, as they take
+    more room than the texts, nor are texts moved to find out which are needed.
+    """
     for part in slices(batch, "text", SLICE):
         value, count = shingle_sets(*text_bytes(part.column("text")), size)
-        wanted = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "c2")])
-        own = (digests(value, count) == wanted).all(axis=0)
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        own = (count > 0) & stands((digests(value, count)[0] ^ ids).view(np.uint64))
         yield ids[own], value[np.repeat(own, count)], count[own]
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``n`` and ``shingles`` of the classes."""
+    """``doc_id``, ``n`` and ``shingles`` of the classes, and of a few documents more."""
+    bits = chosen(classes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stands = Filter(bits.value)
         for batch in batches:
-            for ids, value, count in own_sets(batch, size):
+            for ids, value, count in own_sets(batch, size, stands):
                 raw, ends = _packed(value), np.cumsum(count)
                 found = [raw[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
                 yield pa.record_batch({"doc_id": pa.array(ids), "n": pa.array(count), "shingles": pa.array(found, pa.binary())})
 
-    return texts_of(docs, classes).mapInArrow(work, "doc_id long, n long, shingles binary")
+    return texts(docs).mapInArrow(work, "doc_id long, n long, shingles binary")
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -156,18 +167,20 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "shingles").mapInArrow(work, "id long, n long, bits array<long>")
 
 
-def asked(texts: DataFrame, size: int, shards: int) -> DataFrame:
+def asked(docs: DataFrame, classes: DataFrame, size: int, shards: int) -> DataFrame:
     """Blocks of sets, dealt out by shingle: for each shard, shingles and who holds them.
 
     A shingle that several sets of a block hold is known to be common: its holders go to any shard
     (``known``), and it is told once, with no holder, to the shard that counts it. So one row at most per
     block asks for a shingle, however frequent it is.
     """
+    bits = chosen(classes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stands = Filter(bits.value)
         for batch in batches:
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for block in own_sets(batch, size):
+            for block in own_sets(batch, size, stands):
                 held.append(block)
                 if sum(len(value) for _, value, _ in held) >= BLOCK:
                     yield from dealt(held)
@@ -191,7 +204,7 @@ def asked(texts: DataFrame, size: int, shards: int) -> DataFrame:
         yield _dealt(*one, np.append(ids, -1), one[0], shards, False)
         yield _dealt(token[known], own[known], ids, own[known] * 7919 + token[known], shards, True)
 
-    return texts.mapInArrow(work, "shard int, known boolean, ids binary, counts binary, shingles binary")
+    return texts(docs).mapInArrow(work, "shard int, known boolean, ids binary, counts binary, shingles binary")
 
 
 def _dealt(
@@ -223,7 +236,7 @@ def _dealt(
     )
 
 
-def common_shingles(texts: DataFrame, size: int, shards: int) -> DataFrame:
+def common_shingles(docs: DataFrame, classes: DataFrame, size: int, shards: int) -> DataFrame:
     """``id`` and ``key`` for each shingle of a class's set that another class's holds too."""
 
     def count(table: pa.Table) -> pa.Table:
@@ -241,7 +254,7 @@ def common_shingles(texts: DataFrame, size: int, shards: int) -> DataFrame:
         more, owner = _held(table.filter(table.column("known")))
         return pa.table({"id": np.append(holder[keep], owner), "key": np.append(token[keep], more)})
 
-    return asked(texts, size, shards).groupBy("shard").applyInArrow(count, "id long, key long")
+    return asked(docs, classes, size, shards).groupBy("shard").applyInArrow(count, "id long, key long")
 
 
 def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -387,7 +400,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int
     classes = scratch.save(classes.agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD))
-    common = scratch.save(common_shingles(texts_of(docs, classes), size, shards), "common", BATCH)
+    common = scratch.save(common_shingles(docs, classes, size, shards), "common", BATCH)
 
     # Only classes with enough common shingles can be linked; the rest is not looked at again.
     count = common.groupBy("id").agg(F.count("*").alias("common"))

@@ -108,7 +108,7 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
 def test_filter_never_says_no_to_what_it_holds(spark):
     keys = np.random.default_rng(1).integers(0, 2**62, 5000, dtype=np.uint64)
     frame = spark.createDataFrame(pa.table({"key": pa.array(keys.view(np.int64))}).to_pandas())
-    held = collocations.Filter(collocations._filter(frame))
+    held = collocations.Filter(collocations.filter_bits(frame))
     assert held(keys).all()
     others = np.random.default_rng(2).integers(0, 2**62, 5000, dtype=np.uint64)
     assert held(others).mean() < 0.01
