@@ -38,10 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
     Where that is unset, a folder below the session's warehouse, which executors
-    share too.
+    share too; a warehouse on a local disk is refused unless Spark runs on one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set and the warehouse lies on a local disk")
+    return f"{warehouse}/_scratch"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

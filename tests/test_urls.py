@@ -139,3 +139,23 @@ def test_http_url_check(spark):
         "url", urls.is_http_url(F.col("url")).alias("ok")
     )
     assert {r.url for r in rows.collect() if r.ok} == set(good)
+
+
+def plainly_normalized(url):
+    """The rule by the standard library's own splitting, not by a pattern."""
+    parts = urlparse(url.lower().strip())
+    query = "&".join(sorted(parts.query.split("&"))) if parts.query else ""
+    joined = f"{parts.scheme}://{parts.netloc}{parts.path}" + (f"?{query}" if query else "")
+    return joined.rstrip("/") if joined.endswith("/") and joined.count("/") > 3 else joined
+
+
+def test_every_given_url_is_normalized_as_by_the_library(spark):
+    sf = "/root/testdata/sf0.01"
+    from pageloom.plans import inputs
+
+    given = inputs.pages_table(spark, sf).select("url").union(inputs.url_queue(spark, sf).select("url")).distinct()
+    odd = [("HTTP://A.com/x;p=1/y;q?b=2&a=1&&c#f",), (" https://a.com ",), ("https://a.com/a/?",), ("http://a.com//",), ("http://u:p@a.com:80/é/?x=/",)]
+    rows = given.union(spark.createDataFrame(odd, "url string"))
+    got = rows.select("url", urls.normalize_url(F.col("url")).alias("n")).collect()
+    assert len(got) > 100
+    assert {r.url: r.n for r in got} == {r.url: plainly_normalized(r.url) for r in got}
