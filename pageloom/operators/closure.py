@@ -74,7 +74,8 @@ class StoredClosure:
             candidates = seeds.select("node", F.lit(0).alias("depth"))
         if self._has("reached"):
             sources = self.reached().join(links.select("src").distinct(), F.col("node") == F.col("src"), "left_semi")
-            further = self._limited(sources.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
+            onward = sources.join(links, F.col("node") == F.col("src"))
+            further = self._limited(onward.select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
             candidates = further if candidates is None else candidates.unionAll(further)
         rounds = 0
         while candidates is not None:
@@ -99,7 +100,8 @@ class StoredClosure:
         known = self._near("reached", "node", nearest, nearest.count())
         known = known.groupBy(F.col("node").alias("known")).agg(F.min("depth").alias("least"))
         joined = nearest.join(known, F.col("node") == F.col("known"), "left")
-        level = cut_lineage(joined.where(F.col("known").isNull() | (F.col("depth") < F.col("least"))).select("node", "depth"))
+        nearer = F.col("known").isNull() | (F.col("depth") < F.col("least"))
+        level = cut_lineage(joined.where(nearer).select("node", "depth"))
         return level, level.count()
 
     def _targets(self, level: DataFrame, size: int) -> DataFrame:

@@ -64,7 +64,8 @@ def paragraphs(raw: DataFrame, *keep: str) -> DataFrame:
     ids = dict.fromkeys(["url", *keep])
     pages = parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep])))
     runs = pages.select(*ids, "nodes", F.explode(dom.paragraph_runs()).alias("r"))
-    texts = runs.select(*ids, F.col("r.first").alias("first"), F.posexplode(dom.paragraph_run("r.first", "r.run")).alias("nth", "text"))
+    run = F.posexplode(dom.paragraph_run("r.first", "r.run")).alias("nth", "text")
+    texts = runs.select(*ids, F.col("r.first").alias("first"), run)
     return texts.select(*ids, (F.col("first") + F.col("nth")).alias("pos"), "text")
 
 

@@ -102,7 +102,8 @@ def excluded_by_table(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     url = F.col("url")
     cuts = [_grams(url, n) for n in sizes]
     held = rows.select("url").where(url.isNotNull()).distinct()
-    held = held.select("url", F.explode(F.array_distinct(F.concat(*cuts) if cuts else F.array().cast("array<string>"))).alias("gram"))
+    every = F.concat(*cuts) if cuts else F.array().cast("array<string>")
+    held = held.select("url", F.explode(F.array_distinct(every)).alias("gram"))
     held = cut_lineage(held.join(wanted, "gram", "left_semi"))
     count = held.groupBy("gram").agg(F.count("*").alias("n"))
     # A pattern with a gram that no url holds cannot hit.
@@ -114,4 +115,5 @@ def excluded_by_table(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     hits = met.where(F.exists("patterns", lambda p: F.rlike(F.col("url"), p))).select("url").distinct()
     joined = rows.join(hits.withColumn("__hit", F.lit(True)), "url", "left")
     open_hit = urls.matches_any(url, [r["pattern"] for r in needy]) if needy else F.lit(False)
-    return joined.select(*rows.columns, (F.coalesce("__hit", F.lit(False)) | F.coalesce(open_hit, F.lit(False))).alias("is_excluded"))
+    hit = F.coalesce("__hit", F.lit(False)) | F.coalesce(open_hit, F.lit(False))
+    return joined.select(*rows.columns, hit.alias("is_excluded"))

@@ -75,7 +75,8 @@ def _mean(quality: Column, scored: Column) -> Column:
 
 def site_structure(sections: DataFrame) -> DataFrame:
     """Pages and mean quality per (section, subsection), from the kept roll-up."""
-    return sections.select(*KEY, F.col("pages").alias("page_count"), _mean(F.col("quality"), F.col("scored")).alias("avg_quality"))
+    mean = _mean(F.col("quality"), F.col("scored")).alias("avg_quality")
+    return sections.select(*KEY, F.col("pages").alias("page_count"), mean)
 
 
 def section_lines(sections: DataFrame) -> DataFrame:

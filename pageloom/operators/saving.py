@@ -33,8 +33,9 @@ class Saved:
     page_bytes: int
 
 
-def _count(side: str) -> Column:
-    return F.count_if(F.col(side).isNotNull())
+def _nothing(pages: DataFrame) -> Column:
+    """The measures of a page that is not there."""
+    return F.lit(None).cast(pages.select(rollups.measures()).schema[0].dataType)
 
 
 class PageStore:
@@ -57,10 +58,13 @@ class PageStore:
         if tx.has(PAGES):
             changes = self._changes(tx, staged)
         else:
-            old = F.lit(None).cast(staged.select(rollups.measures()).schema[0].dataType)
-            first = F.col("metadata.scraped_at")
-            columns = (old.alias("old"), rollups.measures().alias("new"), F.lit(None).cast("int").alias("stored"), first.alias("first"))
-            changes = staged.select("_id", "url", BUCKET, *columns)
+            changes = staged.select(
+                *("_id", "url", BUCKET),
+                _nothing(staged).alias("old"),
+                rollups.measures().alias("new"),
+                F.lit(None).cast("int").alias("stored"),
+                F.col("metadata.scraped_at").alias("first"),
+            )
         changes = self._stage(tx, changes, "changes")
         self._apply(tx, staged, changes)
         for name, (rows, key) in (collections or {}).items():
@@ -74,9 +78,14 @@ class PageStore:
         wanted = self._stage(tx, wanted, "ids")
         buckets = _numbers(wanted)
         found = tx.rows(PAGES, buckets, marked=True).join(wanted.select("_id"), "_id", "left_semi")
-        new = F.lit(None).cast(found.select(rollups.measures()).schema[0].dataType).alias("new")
-        columns = (rollups.measures().alias("old"), new, F.col("version").alias("stored"), F.lit(None).cast("timestamp").alias("first"))
-        changes = self._stage(tx, found.select("_id", "url", BUCKET, *columns), "changes")
+        changes = found.select(
+            *("_id", "url", BUCKET),
+            rollups.measures().alias("old"),
+            _nothing(found).alias("new"),
+            F.col("version").alias("stored"),
+            F.lit(None).cast("timestamp").alias("first"),
+        )
+        changes = self._stage(tx, changes, "changes")
         self._apply(tx, None, changes)
         return self._commit(tx, changes)
 
@@ -99,12 +108,16 @@ class PageStore:
             F.col("metadata.scraped_at").alias("first"),
             rollups.measures().alias("old"),
         )
-        narrow = staged.select("_id", "url", BUCKET, F.col(HASH).alias("new_hash"), F.col("metadata.scraped_at").alias("seen"), rollups.measures().alias("new"))
+        narrow = staged.select(
+            *("_id", "url", BUCKET),
+            F.col(HASH).alias("new_hash"),
+            F.col("metadata.scraped_at").alias("seen"),
+            rollups.measures().alias("new"),
+        )
         joined = narrow.join(heads, F.col("url") == F.col("u"), "left")
         differs = F.col("u").isNull() | ~F.col("hash").eqNullSafe(F.col("new_hash"))
-        return joined.where(differs).select(
-            "_id", "url", BUCKET, "old", "new", "stored", F.when(F.col("u").isNull(), F.col("seen")).otherwise(F.col("first")).alias("first")
-        )
+        first = F.when(F.col("u").isNull(), F.col("seen")).otherwise(F.col("first")).alias("first")
+        return joined.where(differs).select("_id", "url", BUCKET, "old", "new", "stored", first)
 
     def _apply(self, tx: Transaction, staged: DataFrame | None, changes: DataFrame) -> None:
         touched = _numbers(changes)

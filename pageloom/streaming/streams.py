@@ -35,7 +35,9 @@ def _write_batches(folder: str, unpack: Callable[[DataFrame], DataFrame]) -> Cal
     return write
 
 
-def _started(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+def _started(
+    rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     stream = rows.writeStream.outputMode(mode).foreachBatch(write)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
