@@ -121,6 +121,8 @@ class PageStore:
 
     def _apply(self, tx: Transaction, staged: DataFrame | None, changes: DataFrame) -> None:
         touched = _numbers(changes)
+        if tx.has(PAGES) and not touched:
+            return
         fresh = None
         if staged is not None:
             marks = changes.select("url", "stored", "first")
@@ -132,7 +134,7 @@ class PageStore:
             ).select(*names)
         if not tx.has(PAGES):
             tx.put(PAGES, fresh, KEY, self.buckets)
-        elif touched:
+        else:
             kept = tx.rows(PAGES, touched).join(changes.select("url"), "url", "left_anti")
             kept = kept.select(*tx.rows(PAGES, []).columns)
             tx.replace_buckets(PAGES, kept if fresh is None else kept.unionByName(fresh.select(*kept.columns)), touched)

@@ -82,8 +82,8 @@ class Store:
     def bucket(self, entry: dict, key: Sequence[object]) -> int:
         schema = T.StructType.fromJson(entry["schema"])
         values = [F.lit(v).cast(schema[c].dataType) for c, v in zip(entry["key"], key, strict=True)]
-        # A projection of literals is folded while it is planned, no job runs.
-        one = self.spark.createDataFrame([(0,)], "n int").select(bucket_of(values, entry["buckets"]).alias("b"))
+        # The hash is Spark's, so a row of literals is hashed there.
+        one = self.spark.range(1).select(bucket_of(values, entry["buckets"]).alias("b"))
         return one.first()["b"]
 
     def rows(self, record: dict, name: str, buckets: Iterable[int] | None = None, marked: bool = False) -> DataFrame:
@@ -138,6 +138,9 @@ class Store:
                     clear(path, path.count("/") > 0)
 
         clear("", False)
+        for name in self.files.names():  # what unfinished writers have laid aside
+            if name not in ("commits", "data"):
+                self.files.delete(name)
         return dropped
 
 

@@ -79,6 +79,8 @@ def test_unchanged_batch_writes_no_pages(spark, store):
     saved.save(pages(spark, some(40)))
     again = saved.save(pages(spark, some(40)))
     assert (again.added, again.changed, again.buckets, again.page_bytes) == (0, 0, (), 0)
+    assert store.record(2)["tables"] == store.record(1)["tables"]
+    assert saved.save(pages(spark, [])).version == 3
     assert saved.pages().count() == 40
 
 
