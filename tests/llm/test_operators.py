@@ -434,6 +434,47 @@ def test_odd_documents(spark, odd):
     assert {"n", "key", "lang"} <= set(outputs[0].columns) and {"n", "key"} <= set(outputs[2].columns)
 
 
+def test_odd_documents_have_the_right_values(spark, odd):
+    """Not only the ids: tokens, kept lines, sizes and base counts of every odd row, worked out plainly here."""
+
+    def order(found):
+        return sorted(found, key=repr)
+
+    ranks = bpe.read_ranks(VOCABULARY)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for doc_id, text, *_ in ODD:
+        ids = plain.encode_ordinary(text or "")
+        raw = np.array(ids, "<u4").tobytes()
+        sha = hashlib.sha256((text or "").encode()).hexdigest()
+        expected.append((doc_id, len(ids), hashlib.sha256(raw).hexdigest(), sha))
+    got = bpe.round_trip(odd, VOCABULARY).collect()
+    assert order((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == order(expected)
+
+    keys = {}
+    for doc_id, text, *_ in ODD:
+        for line in (text or "").split("\n"):
+            key = fold(line.strip(" \t\n\x0b\x0c\r"))
+            if doc_id is not None and len(key) >= 10:
+                keys.setdefault(key, set()).add(doc_id)
+    expected = []
+    for doc_id, text, *_ in ODD:
+        lines = (text or "").split("\n")
+        owners = [keys.get(fold(line.strip(" \t\n\x0b\x0c\r")), set()) for line in lines]
+        kept = [x for x, own in zip(lines, owners, strict=True) if doc_id is None or not own or min(own) == doc_id]
+        expected.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    got = linededup.dedup_lines(odd, Scratch(spark, "t")).collect()
+    assert order((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got) == order(expected)
+
+    sizes = [(r[0], r[3], len(WORD.findall(r[1] or ""))) for r in ODD]
+    mixed = mixing.mix_sources(odd, Scratch(spark, "t")).collect()
+    assert order((r.doc_id, r.source, r.size) for r in mixed) == order(sizes)
+    assert all(r.taken == r.size * r.copies and 0 <= r.copies <= 3 for r in mixed)
+    for source in ("a", "b", None):
+        mine = [r for r in mixed if r.source == source]
+        assert {r.source_size for r in mine} == {sum(r.size for r in mine)}
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
