@@ -27,9 +27,9 @@ from pageloom.llm.shipping import ship
 from pageloom.llm.textops import ragged, slices, span_hashes, text_bytes
 
 # Words a worker remembers, and words in one recursive query.
-MEMO = 1_500_000
-WORDS = 20_000
-SLICE = 2 << 20
+MEMO = 500_000
+WORDS = 10_000
+SLICE = 1 << 20
 # A recursion keeps all its steps, so it takes words of up to so many bytes; the steps of a longer word replace
 # one another in a table of live rows.
 LONG = 256
@@ -181,7 +181,7 @@ class Encoder:
     """Words to ids, by DuckDB, remembered as sorted arrays."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         splits = [
             (left * 65536 + right, rank)
             for token, rank in ranks.items()
@@ -395,6 +395,7 @@ def round_trip(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_i
                 if ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found))
                 yield pa.record_batch(out)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(*keep, "text")
     schema = rows.select(
