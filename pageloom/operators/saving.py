@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pageloom.operators import rollups
 from pageloom.operators.dedup import HASH, latest_per_url
 from pageloom.plans.textindex import TextIndex
-from pageloom.sources.store import BUCKET, DEFAULT_BUCKETS, Store, Transaction, bucket_of
+from pageloom.session import shuffles_dropped
+from pageloom.sources.store import BUCKET, CODEC, DEFAULT_BUCKETS, Store, Transaction, bucket_of
 
 PAGES = "pages"
 # Pages lie in buckets by their id, which follows from the url, so both find a page in one bucket.
@@ -53,6 +54,10 @@ class PageStore:
         falls into; rows are read and written again only in buckets that a changed page is in. Whole
         ``collections`` (rows and key, by name) may be saved in the same commit.
         """
+        with shuffles_dropped(self.store.spark):
+            return self._save(batch, collections or {})
+
+    def _save(self, batch: DataFrame, collections: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> Saved:
         tx = self.store.begin()
         staged = self._staged(tx, latest_per_url(batch))
         if tx.has(PAGES):
@@ -67,12 +72,16 @@ class PageStore:
             )
         changes = self._stage(tx, changes, "changes")
         self._apply(tx, staged, changes)
-        for name, (rows, key) in (collections or {}).items():
+        for name, (rows, key) in collections.items():
             tx.put(name, rows, key)
         return self._commit(tx, changes)
 
     def delete(self, ids: DataFrame) -> Saved:
         """Remove the pages whose ``_id`` is in ``ids``."""
+        with shuffles_dropped(self.store.spark):
+            return self._delete(ids)
+
+    def _delete(self, ids: DataFrame) -> Saved:
         tx = self.store.begin()
         wanted = ids.select("_id").distinct().withColumn(BUCKET, bucket_of(KEY, tx.buckets_of(PAGES)))
         wanted = self._stage(tx, wanted, "ids")
@@ -92,7 +101,7 @@ class PageStore:
     def _stage(self, tx: Transaction, df: DataFrame, name: str) -> DataFrame:
         """Rows written aside for the time of the commit, so that several steps read and none computes them again."""
         path = f"{self.store.root}/{STAGE}/{tx.version:08d}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", CODEC).parquet(path)
         return tx.spark.read.schema(df.schema).parquet(path)
 
     def _staged(self, tx: Transaction, rows: DataFrame) -> DataFrame:
@@ -125,23 +134,44 @@ class PageStore:
             return
         fresh = None
         if staged is not None:
-            marks = changes.select("url", "stored", "first")
-            version = F.coalesce(F.col("stored") + 1, F.col("version"))
-            fresh = staged.drop(BUCKET).join(marks, "url")
-            names = [c for c in staged.columns if c != BUCKET]
-            fresh = fresh.withColumns(
-                {"version": version.cast("int"), "metadata": F.col("metadata").withField("scraped_at", F.col("first"))}
-            ).select(*names)
+            fresh = self._fresh(tx, staged, changes)
         if not tx.has(PAGES):
             tx.put(PAGES, fresh, KEY, self.buckets)
         else:
-            kept = tx.rows(PAGES, touched).join(changes.select("url"), "url", "left_anti")
-            kept = kept.select(*tx.rows(PAGES, []).columns)
-            tx.replace_buckets(PAGES, kept if fresh is None else kept.unionByName(fresh.select(*kept.columns)), touched)
+            tx.replace_buckets(PAGES, self._merged(tx, fresh, changes, touched), touched, placed=True)
         rollups.maintain(tx, changes)
         if self.index is not None:
             self.index.change(tx, fresh, changes.where(F.col("old").isNotNull()).select("_id"))
 
+    def _fresh(self, tx: Transaction, staged: DataFrame, changes: DataFrame) -> DataFrame:
+        """The changed rows of the batch with their version and first sight; written aside, as three tables read them."""
+        names = [c for c in staged.columns if c != BUCKET]
+        if not tx.has(PAGES):
+            # All pages are new and have no earlier version to take over.
+            known = staged.where(F.col("url").isNotNull())
+            return known.withColumn("version", F.col("version").cast("int")).select(*names)
+        marks = changes.select("url", "stored", "first")
+        version = F.coalesce(F.col("stored") + 1, F.col("version"))
+        fresh = staged.drop(BUCKET).join(marks, "url")
+        fresh = fresh.withColumns(
+            {"version": version.cast("int"), "metadata": F.col("metadata").withField("scraped_at", F.col("first"))}
+        )
+        return self._stage(tx, fresh.select(*names), "fresh")
+
+    def _merged(self, tx: Transaction, fresh: DataFrame | None, changes: DataFrame, touched: list[int]) -> DataFrame:
+        """All rows of the touched buckets after the change, moved once, to their bucket: the later row of a url stays."""
+        stored = tx.rows(PAGES, touched, marked=True)
+        names = [c for c in stored.columns if c != BUCKET]
+        before = stored.select(BUCKET, "url", F.lit(0).alias("turn"), F.struct(*names).alias("row"))
+        if fresh is None:
+            gone = F.lit(None).cast(before.schema["row"].dataType)
+            after = changes.select(BUCKET, "url", F.lit(1).alias("turn"), gone.alias("row"))
+        else:
+            placed = fresh.withColumn(BUCKET, bucket_of(KEY, tx.buckets_of(PAGES)))
+            after = placed.select(BUCKET, "url", F.lit(1).alias("turn"), F.struct(*names).alias("row"))
+        last = before.unionAll(after).repartition(BUCKET).groupBy(BUCKET, "url").agg(F.max_by("row", "turn").alias("row"))
+        return last.where(F.col("row").isNotNull()).select("row.*")
+
     def _commit(self, tx: Transaction, changes: DataFrame) -> Saved:
         counts = changes.agg(
             F.count_if(F.col("old").isNull()).alias("added"),

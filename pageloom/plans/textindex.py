@@ -4,6 +4,9 @@ Every commit adds one segment with the pages it added or changed, and tombstones
 removed: a tombstone hides a page in all earlier segments. When ``FAN`` segments of about one size have gathered
 they are merged into one without what is hidden, so their number grows with the logarithm of the index.
 
+A segment is dealt by page: a file holds all postings of its pages, sorted by word. So texts move, which are a
+fraction of their postings, and a search reads the few row groups of each file that may hold its words.
+
 A posting is one row per (word, page) with the places of the word. Places are numbered through a field; the
 last bits of a place say in which field it is and whether exactly one blank lies before the word. So a phrase of
 words with single blanks between them is found from places alone.
@@ -28,6 +31,8 @@ TEXT, TITLE, KEYWORDS = 0, 1, 2
 # A place is the word's number, then one bit for the blank before it, then two for its field.
 JOINED, FIELD_BITS = 4, 2
 PLACE_BITS = 3
+# Bytes of text whose postings are one file of a segment, at most and (on few cores) at least, about.
+SHARD_BYTES, LEAST_BYTES = 32_000_000, 1_000_000
 # So many words are named in a filter that reaches the files; more are met in a join.
 NAMED = 500
 
@@ -58,10 +63,9 @@ def _by_word(pairs: Column) -> Column:
         def cut(starts: Column) -> Column:
             def run(start: Column, nth: Column) -> Column:
                 after = F.coalesce(F.get(starts, nth + 1), F.size(rows))
-                return F.struct(
-                    F.get(rows, start)["word"].alias("term"),
-                    F.slice(rows, start + 1, after - start)["place"].alias("places"),
-                )
+                # By position: ``slice`` inside a lambda goes through all rows, once for every word.
+                places = F.transform(F.sequence(start, after - 1), lambda i: F.get(rows, i)["place"])
+                return F.struct(F.get(rows, start)["word"].alias("term"), places.alias("places"))
 
             return F.transform(starts, run)
 
@@ -79,6 +83,13 @@ def positional_postings(pages: DataFrame) -> DataFrame:
     return pages.select("_id", F.inline(_by_word(pairs))).select("term", "_id", "places")
 
 
+def _shards(pages: DataFrame) -> int:
+    """Over how many tasks pages are dealt, so that the postings of one are sorted in memory."""
+    size = pages.agg(F.sum(F.octet_length("content.clean_text"))).first()[0] or 0
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(size / SHARD_BYTES), min(cores, math.ceil(size / LEAST_BYTES)))
+
+
 class TextIndex:
     """The index tables of a store. Writing goes through the transaction that changes the pages."""
 
@@ -88,7 +99,8 @@ class TextIndex:
             tx.append(DEAD, replaced.select("_id"))
         if fresh is not None:
             tx.append(ENTRIES, page_summary(fresh), ["_id"])
-            tx.append(POSTINGS, positional_postings(fresh), ["term", "_id"])
+            dealt = fresh.repartition(_shards(fresh), "_id")
+            tx.append(POSTINGS, positional_postings(dealt), ["term", "_id"], in_place=True)
             self.merge(tx)
 
     def merge(self, tx: Transaction, fan: int = FAN) -> None:

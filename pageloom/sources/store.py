@@ -27,6 +27,7 @@ from pageloom.sources.files import Folder
 
 BUCKET, FOLDER = "__bucket", "__folder"
 DEFAULT_BUCKETS = 64
+CODEC = "zstd"
 
 
 class Conflict(RuntimeError):
@@ -171,10 +172,15 @@ class Transaction:
         self.written.setdefault(name, []).append(folder)
         return folder, f"{self.store.root}/data/{name}/{FOLDER}={folder}"
 
-    def _write_buckets(self, name: str, df: DataFrame, key: Sequence[str], buckets: int) -> dict[str, str]:
+    def _write_buckets(
+        self, name: str, df: DataFrame, key: Sequence[str], buckets: int, placed: bool = False
+    ) -> dict[str, str]:
         folder, path = self._folder(name)
         rows = df.withColumn(BUCKET, bucket_of(list(key), buckets))
-        writer = rows.repartition(BUCKET).sortWithinPartitions(BUCKET, *key).write.partitionBy(BUCKET)
+        rows = rows if placed else rows.repartition(BUCKET)
+        writer = rows.sortWithinPartitions(BUCKET, *key).write.partitionBy(BUCKET).option("compression", CODEC)
+        # Filters as large as their keys need, not a megabyte each.
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         for column in key:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.mode("errorifexists").parquet(path)
@@ -192,22 +198,36 @@ class Transaction:
             "files": files,
         }
 
-    def replace_buckets(self, name: str, df: DataFrame, buckets: Iterable[int]) -> None:
-        """The rows of some buckets of a keyed table, which must all lie in those buckets."""
+    def replace_buckets(self, name: str, df: DataFrame, buckets: Iterable[int], placed: bool = False) -> None:
+        """The rows of some buckets of a keyed table, which must all lie in those buckets.
+
+        ``placed`` rows already lie together by bucket and do not move again.
+        """
         entry = self.tables[name]
         touched = {str(b) for b in buckets}
-        files = self._write_buckets(name, df, entry["key"], entry["buckets"])
+        files = self._write_buckets(name, df, entry["key"], entry["buckets"], placed)
         if stray := set(files) - touched:
             raise ValueError(f"rows of {name} outside the buckets to replace: {sorted(stray)}")
         entry["files"] = {b: f for b, f in entry["files"].items() if b not in touched} | files
 
-    def append(self, name: str, df: DataFrame, clustered: Sequence[str] = (), files: int | None = None) -> str:
-        """One more folder of a grown table, range-clustered by some columns; gives the folder's name."""
+    def append(
+        self,
+        name: str,
+        df: DataFrame,
+        clustered: Sequence[str] = (),
+        files: int | None = None,
+        in_place: bool = False,
+    ) -> str:
+        """One more folder of a grown table, range-clustered by some columns; gives the folder's name.
+
+        Rows ``in_place`` are only sorted by those columns in the partitions they are in.
+        """
         folder, path = self._folder(name)
         if clustered:
             spread = [files] if files else []
-            df = df.repartitionByRange(*spread, *clustered).sortWithinPartitions(*clustered)
-        df.write.mode("errorifexists").parquet(path)
+            df = df if in_place else df.repartitionByRange(*spread, *clustered)
+            df = df.sortWithinPartitions(*clustered)
+        df.write.mode("errorifexists").option("compression", CODEC).parquet(path)
         entry = self.tables.setdefault(name, {"kind": "grown", "schema": df.schema.jsonValue(), "files": []})
         entry["files"].append(folder)
         return folder

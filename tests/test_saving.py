@@ -1,6 +1,7 @@
 """The page store: commits, copy-on-write by bucket, kept roll-ups and the stored index."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -320,3 +321,42 @@ def test_expired_days_go_without_a_look_at_kept_ones(spark, store, hour):
     gone = store.vacuum(keep=1)
     assert sum("__closed=true" in p for p in gone) == (3 if hour else 2)
     assert rows(maintenance.kept_rows(store.table(maintenance.QUEUE_DAYS))) == rows(kept)
+
+
+def _blocks(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_a_commit_leaves_no_shuffles_and_small_filters(spark, store):
+    saved = PageStore(store, buckets=16)
+    before = _blocks(spark)
+    saved.save(pages(spark, some(200)))
+    saved.save(pages(spark, some(100, words="other words")))
+    for _ in range(50):  # files go in the background
+        if _blocks(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert _blocks(spark) <= before
+    # Twice 16 buckets with a filter of a megabyte each would be 32 MB.
+    assert store.files.bytes("data") < 8_000_000
+
+
+def test_postings_move_as_texts(spark, store, monkeypatch):
+    monkeypatch.setattr(textindex, "LEAST_BYTES", 1000)
+    saved = PageStore(store, buckets=2)
+    saved.save(pages(spark, some(300)))
+    files = spark.read.parquet(*store.table("postings").inputFiles()).select("_id", "term", F.input_file_name().alias("f"))
+    # All words of a page are in one file, and a file is sorted by word.
+    assert files.groupBy("_id").agg(F.count_distinct("f").alias("n")).where("n > 1").count() == 0
+    assert files.select("f").distinct().count() > 1
+    one = spark.read.parquet(store.table("postings").inputFiles()[0]).coalesce(1)
+    terms = [r["term"] for r in one.select("term").collect()]
+    assert terms == sorted(terms)
+
+
+def test_words_of_a_long_text_cost_linear_time(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    began = time.time()
+    found = textindex.positional_postings(pages(spark, [("http://a.com/1", "T", long, 1, "s", "", 1.0)]))
+    assert found.select(F.sum(F.size("places"))).first()[0] >= 60_000
+    assert time.time() - began < 20
