@@ -1,6 +1,9 @@
 """Golden pages: one rule each, expected rows written by hand from the rules."""
 
+import random
+import time
 from datetime import datetime
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -399,3 +402,55 @@ def test_very_many_unclosed_paragraphs(spark):
     assert extract.extract_pages(raw).collect() == []
     failed = extract.parse_failures(raw).collect()
     assert [r.url for r in failed] == ["http://a.com/1"] and "add up to" in failed[0].error_message
+
+
+def test_a_page_of_many_elements_costs_linear_time(spark):
+    page = "".join(f"<p>paragraph number {k}</p><h2>h{k}</h2>" for k in range(40_000))
+    began = time.time()
+    found = extract.page_parts(frame_of(spark, page), p=dom.paragraphs(), h=dom.headings())
+    row = found.select(F.size("p"), F.size("h"), F.col("h")[39_999]["text"]).first()
+    assert tuple(row) == (40_000, 40_000, "h39999")
+    assert time.time() - began < 20
+
+
+def frame_of(spark, page):
+    return spark.createDataFrame([(BASE, page)], "url string, html string")
+
+
+class Plainly(NodeCollector):
+    """The collector with the tokenizer alone."""
+
+    goahead = HTMLParser.goahead
+
+
+MARKUP = (
+    "< & > \" ' </p> <!-- --> <?x <!x <![CDATA[ ]]> &amp &amp; &#x41; &#12a; &#; <script> </script\t> </\tstyle> <style> "
+    "<a\thref=x> <a\thref='a&amp;b'> <IMG\tSRC=\"/é\"\tALT=\"a<b>c\"> <br/> <p\n> </P> <td/\t> &nosuch; <é> \x00 = / "
+    "<b\ta=\"1\"b=\"2\"> <b\ta=\"1\"\ta=\"2\"> </b\tx> <!DOCTYPE\thtml> <p\tx=\" <figure> <figcaption> <div\tclass=\"caption\"> x"
+).split(" ")
+
+
+def test_plain_tokens_are_read_as_the_tokenizer_reads_them():
+    rng = random.Random(3)
+    samples = ["".join(rng.choice(MARKUP) for _ in range(rng.randrange(14))).replace("\t", " ") for _ in range(3000)]
+    for page in [*PAGES.values(), *samples]:
+        collector, error = collect_nodes(BASE, page)
+        plain = Plainly(BASE)
+        try:
+            plain.feed(page)
+            plain.finish()
+        except (AssertionError, ValueError):
+            assert error
+            continue
+        for found, expected in zip(collector.nodes, plain.nodes, strict=True):
+            assert tuple(map(str, found)) == tuple(map(str, expected)) or list(found[3]) == list(expected[3]), page
+        assert (collector.last, collector.hrefs, collector.chars) == (plain.last, plain.hrefs, plain.chars), page
+
+
+def test_plain_tags_do_without_the_tokenizer(monkeypatch):
+    def refuse(*_):
+        raise ValueError("not needed")
+
+    monkeypatch.setattr(HTMLParser, "parse_starttag", refuse)
+    collector, error = collect_nodes(BASE, '<div class="a b"><P id="x">one &amp; two</P><style>p {}</style></div>')
+    assert error is None and collector.chars[0] == len("one & two")
