@@ -20,6 +20,8 @@ PAGES = "pages"
 # Pages lie in buckets by their id, which follows from the url, so both find a page in one bucket.
 KEY = ("_id",)
 STAGE = "staged"
+# A bucket of more layers is written again as one, so readers meet a few and a page is written again now and then.
+LAYERS = 4
 
 
 @dataclass(frozen=True)
@@ -51,33 +53,30 @@ class PageStore:
         """Add new pages and replace changed ones, as ``dedup.upsert_pages`` does to a table.
 
         Of stored pages, only hash, version, first sight and measures are read, in the buckets that the batch
-        falls into; rows are read and written again only in buckets that a changed page is in. Whole
-        ``collections`` (rows and key, by name) may be saved in the same commit.
+        falls into; of the batch only new and changed pages are written, as a layer over those buckets. Texts
+        move once, to their bucket. Whole ``collections`` (rows and key, by name) may be saved in the same commit.
         """
         with shuffles_dropped(self.store.spark):
             return self._save(batch, collections or {})
 
     def _save(self, batch: DataFrame, collections: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> Saved:
         tx = self.store.begin()
-        staged = self._staged(tx, latest_per_url(batch))
+        batch = batch.withColumn(BUCKET, bucket_of(KEY, tx.buckets_of(PAGES) if tx.has(PAGES) else self.buckets))
         if tx.has(PAGES):
-            changes = self._changes(tx, staged)
+            stored = self._heads(tx, _numbers(batch))
+            fresh = self._lay(tx, batch, stored)
         else:
-            changes = staged.select(
-                *("_id", "url", BUCKET),
-                _nothing(staged).alias("old"),
-                rollups.measures().alias("new"),
-                F.lit(None).cast("int").alias("stored"),
-                F.col("metadata.scraped_at").alias("first"),
-            )
-        changes = self._stage(tx, changes, "changes")
-        self._apply(tx, staged, changes)
+            stored = None
+            tx.put(PAGES, self._newest(batch, None).drop(BUCKET), KEY, self.buckets, row=("url",), placed=True)
+            fresh = tx.laid(PAGES)
+        changes = self._stage(tx, self._changes(batch, fresh, stored), "changes")
+        self._keep(tx, fresh, changes)
         for name, (rows, key) in collections.items():
             tx.put(name, rows, key)
         return self._commit(tx, changes)
 
     def delete(self, ids: DataFrame) -> Saved:
-        """Remove the pages whose ``_id`` is in ``ids``."""
+        """Remove the pages whose ``_id`` is in ``ids``; only their names are written."""
         with shuffles_dropped(self.store.spark):
             return self._delete(ids)
 
@@ -92,86 +91,98 @@ class PageStore:
             rollups.measures().alias("old"),
             _nothing(found).alias("new"),
             F.col("version").alias("stored"),
-            F.lit(None).cast("timestamp").alias("first"),
         )
         changes = self._stage(tx, changes, "changes")
-        self._apply(tx, None, changes)
+        if touched := _numbers(changes):
+            tx.lay(PAGES, changes)
+            self._fold(tx, touched)
+        self._keep(tx, None, changes)
         return self._commit(tx, changes)
 
     def _stage(self, tx: Transaction, df: DataFrame, name: str) -> DataFrame:
-        """Rows written aside for the time of the commit, so that several steps read and none computes them again."""
+        """Narrow rows written aside for the time of the commit, so that several steps read and none computes them again."""
         path = f"{self.store.root}/{STAGE}/{tx.version:08d}/{name}"
         df.write.mode("overwrite").option("compression", CODEC).parquet(path)
         return tx.spark.read.schema(df.schema).parquet(path)
 
-    def _staged(self, tx: Transaction, rows: DataFrame) -> DataFrame:
-        buckets = tx.buckets_of(PAGES) if tx.has(PAGES) else self.buckets
-        return self._stage(tx, rows.withColumn(BUCKET, bucket_of(KEY, buckets)), "batch")
+    def _heads(self, tx: Transaction, buckets: list[int]) -> DataFrame:
+        """What a save needs to know of stored pages."""
+        return tx.rows(PAGES, buckets, marked=True).select(
+            F.col(BUCKET),
+            "url",
+            F.struct(
+                F.col(HASH).alias("hash"),
+                F.col("version").alias("version"),
+                F.col("metadata.scraped_at").alias("first"),
+                rollups.measures().alias("old"),
+            ).alias("head"),
+        )
 
-    def _changes(self, tx: Transaction, staged: DataFrame) -> DataFrame:
-        """Pages of the batch that are new or differ, with their measures before and after."""
-        heads = tx.rows(PAGES, _numbers(staged)).select(
-            F.col("url").alias("u"),
-            F.col(HASH).alias("hash"),
-            F.col("version").alias("stored"),
-            F.col("metadata.scraped_at").alias("first"),
-            rollups.measures().alias("old"),
+    def _newest(self, batch: DataFrame, heads: DataFrame | None) -> DataFrame:
+        """The newest row of every url of the batch with the head stored for it, moved once, to their bucket."""
+        names = [c for c in batch.columns if c not in ("url", BUCKET)]
+        rows = batch.where(F.col("url").isNotNull()).select(BUCKET, "url", F.struct(*names).alias("row"))
+        newest = F.max_by("row", F.struct("row.metadata.scraped_at", f"row.{HASH}"))
+        version = F.col("version").cast("int")
+        if heads is None:
+            found = rows.repartition(BUCKET).groupBy(BUCKET, "url").agg(newest.alias("row"))
+            return found.select("url", "row.*", BUCKET).withColumn("version", version)
+        none = F.lit(None)
+        both = rows.withColumn("head", none.cast(heads.schema["head"].dataType)).unionAll(
+            heads.select(BUCKET, "url", none.cast(rows.schema["row"].dataType).alias("row"), "head")
         )
-        narrow = staged.select(
-            *("_id", "url", BUCKET),
-            F.col(HASH).alias("new_hash"),
-            F.col("metadata.scraped_at").alias("seen"),
-            rollups.measures().alias("new"),
+        newest = F.max_by("row", F.when(F.col("row").isNotNull(), F.struct("row.metadata.scraped_at", f"row.{HASH}")))
+        found = both.repartition(BUCKET).groupBy(BUCKET, "url").agg(
+            newest.alias("row"), F.max_by("head", F.when(F.col("head").isNotNull(), 1)).alias("head")
         )
-        joined = narrow.join(heads, F.col("url") == F.col("u"), "left")
-        differs = F.col("u").isNull() | ~F.col("hash").eqNullSafe(F.col("new_hash"))
-        first = F.when(F.col("u").isNull(), F.col("seen")).otherwise(F.col("first")).alias("first")
-        return joined.where(differs).select("_id", "url", BUCKET, "old", "new", "stored", first)
-
-    def _apply(self, tx: Transaction, staged: DataFrame | None, changes: DataFrame) -> None:
-        touched = _numbers(changes)
-        if tx.has(PAGES) and not touched:
+        return found.where(F.col("row").isNotNull()).select("url", "row.*", "head", BUCKET)
+
+    def _lay(self, tx: Transaction, batch: DataFrame, heads: DataFrame) -> DataFrame:
+        """Writes the new and changed pages of the batch, with their version and first sight, over the stored ones."""
+        found = self._newest(batch, heads)
+        known = F.col("head").isNotNull()
+        differs = ~known | ~F.col("head.hash").eqNullSafe(F.col(HASH))
+        seen = F.when(known, F.col("head.first")).otherwise(F.col("metadata.scraped_at"))
+        found = found.where(differs).withColumns(
+            {
+                "version": F.coalesce(F.col("head.version") + 1, F.col("version")).cast("int"),
+                "metadata": F.col("metadata").withField("scraped_at", seen),
+            }
+        )
+        if touched := tx.lay(PAGES, found, placed=True):
+            fresh = tx.laid(PAGES)
+            self._fold(tx, touched)
+            return fresh
+        return tx.rows(PAGES, [], marked=True)
+
+    def _fold(self, tx: Transaction, touched: list[int]) -> None:
+        """Buckets of many layers are written again as one."""
+        high = [b for b, n in tx.layers(PAGES).items() if b in touched and n > LAYERS]
+        if high:
+            tx.replace_buckets(PAGES, tx.rows(PAGES, high), high)
+
+    def _changes(self, batch: DataFrame, fresh: DataFrame, heads: DataFrame | None) -> DataFrame:
+        """Pages of the batch that are new or differ, with their measures before and after.
+
+        A page without a url is not stored, but counts as it always did.
+        """
+        new = rollups.measures().alias("new")
+        nameless = latest_per_url(batch.where(F.col("url").isNull())).select("_id", "url", BUCKET, new)
+        rows = fresh.select("_id", "url", BUCKET, new).unionAll(nameless)
+        if heads is None:
+            return rows.select("_id", "url", BUCKET, _nothing(fresh).alias("old"), "new")
+        before = heads.select(F.col(BUCKET).alias("b"), F.col("url").alias("u"), F.col("head.old").alias("old"))
+        joined = rows.join(before, (F.col(BUCKET) == F.col("b")) & (F.col("url") == F.col("u")), "left")
+        return joined.select("_id", "url", BUCKET, "old", "new")
+
+    def _keep(self, tx: Transaction, fresh: DataFrame | None, changes: DataFrame) -> None:
+        """Brings roll-up and index to the state after the changes."""
+        if PAGES in tx.base["tables"] and not _numbers(changes):
             return
-        fresh = None
-        if staged is not None:
-            fresh = self._fresh(tx, staged, changes)
-        if not tx.has(PAGES):
-            tx.put(PAGES, fresh, KEY, self.buckets)
-        else:
-            tx.replace_buckets(PAGES, self._merged(tx, fresh, changes, touched), touched, placed=True)
         rollups.maintain(tx, changes)
         if self.index is not None:
             self.index.change(tx, fresh, changes.where(F.col("old").isNotNull()).select("_id"))
 
-    def _fresh(self, tx: Transaction, staged: DataFrame, changes: DataFrame) -> DataFrame:
-        """The changed rows of the batch with their version and first sight; written aside, as three tables read them."""
-        names = [c for c in staged.columns if c != BUCKET]
-        if not tx.has(PAGES):
-            # All pages are new and have no earlier version to take over.
-            known = staged.where(F.col("url").isNotNull())
-            return known.withColumn("version", F.col("version").cast("int")).select(*names)
-        marks = changes.select("url", "stored", "first")
-        version = F.coalesce(F.col("stored") + 1, F.col("version"))
-        fresh = staged.drop(BUCKET).join(marks, "url")
-        fresh = fresh.withColumns(
-            {"version": version.cast("int"), "metadata": F.col("metadata").withField("scraped_at", F.col("first"))}
-        )
-        return self._stage(tx, fresh.select(*names), "fresh")
-
-    def _merged(self, tx: Transaction, fresh: DataFrame | None, changes: DataFrame, touched: list[int]) -> DataFrame:
-        """All rows of the touched buckets after the change, moved once, to their bucket: the later row of a url stays."""
-        stored = tx.rows(PAGES, touched, marked=True)
-        names = [c for c in stored.columns if c != BUCKET]
-        before = stored.select(BUCKET, "url", F.lit(0).alias("turn"), F.struct(*names).alias("row"))
-        if fresh is None:
-            gone = F.lit(None).cast(before.schema["row"].dataType)
-            after = changes.select(BUCKET, "url", F.lit(1).alias("turn"), gone.alias("row"))
-        else:
-            placed = fresh.withColumn(BUCKET, bucket_of(KEY, tx.buckets_of(PAGES)))
-            after = placed.select(BUCKET, "url", F.lit(1).alias("turn"), F.struct(*names).alias("row"))
-        last = before.unionAll(after).repartition(BUCKET).groupBy(BUCKET, "url").agg(F.max_by("row", "turn").alias("row"))
-        return last.where(F.col("row").isNotNull()).select("row.*")
-
     def _commit(self, tx: Transaction, changes: DataFrame) -> Saved:
         counts = changes.agg(
             F.count_if(F.col("old").isNull()).alias("added"),

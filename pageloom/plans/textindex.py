@@ -4,8 +4,9 @@ Every commit adds one segment with the pages it added or changed, and tombstones
 removed: a tombstone hides a page in all earlier segments. When ``FAN`` segments of about one size have gathered
 they are merged into one without what is hidden, so their number grows with the logarithm of the index.
 
-A segment is dealt by page: a file holds all postings of its pages, sorted by word. So texts move, which are a
-fraction of their postings, and a search reads the few row groups of each file that may hold its words.
+A file of a segment holds all postings of its pages, sorted by word, and is made where the pages lie, bucket by
+bucket: neither texts nor postings move, unless buckets are too large to be sorted. A search reads the few row
+groups of each file that may hold its words.
 
 A posting is one row per (word, page) with the places of the word. Places are numbered through a field; the
 last bits of a place say in which field it is and whether exactly one blank lies before the word. So a phrase of
@@ -14,6 +15,7 @@ words with single blanks between them is found from places alone.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text
 from pageloom.plans.catalog import page_summary, paged
 from pageloom.plans.search import DEFAULT_LIMIT, MAX_LIMIT, search_terms
+from pageloom.session import conf_set
 from pageloom.sources.store import FOLDER, Store, Transaction, commit_of
 
 POSTINGS, ENTRIES, DEAD = "postings", "entries", "tombstones"
@@ -33,6 +36,8 @@ JOINED, FIELD_BITS = 4, 2
 PLACE_BITS = 3
 # Bytes of text whose postings are one file of a segment, at most and (on few cores) at least, about.
 SHARD_BYTES, LEAST_BYTES = 32_000_000, 1_000_000
+# Bytes of stored pages that one task indexes where they lie, about.
+TASK_BYTES = 16_000_000
 # So many words are named in a filter that reaches the files; more are met in a join.
 NAMED = 500
 
@@ -83,11 +88,14 @@ def positional_postings(pages: DataFrame) -> DataFrame:
     return pages.select("_id", F.inline(_by_word(pairs))).select("term", "_id", "places")
 
 
-def _shards(pages: DataFrame) -> int:
-    """Over how many tasks pages are dealt, so that the postings of one are sorted in memory."""
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Pages over so many tasks that the postings of one are sorted in memory; where they lie, if their files allow it."""
     size = pages.agg(F.sum(F.octet_length("content.clean_text"))).first()[0] or 0
+    if size <= 2 * SHARD_BYTES * len(pages.inputFiles()):
+        return pages
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(size / SHARD_BYTES), min(cores, math.ceil(size / LEAST_BYTES)))
+    shards = max(1, math.ceil(size / SHARD_BYTES), min(cores, math.ceil(size / LEAST_BYTES)))
+    return pages.repartition(shards, "_id")
 
 
 class TextIndex:
@@ -99,8 +107,8 @@ class TextIndex:
             tx.append(DEAD, replaced.select("_id"))
         if fresh is not None:
             tx.append(ENTRIES, page_summary(fresh), ["_id"])
-            dealt = fresh.repartition(_shards(fresh), "_id")
-            tx.append(POSTINGS, positional_postings(dealt), ["term", "_id"], in_place=True)
+            with conf_set(tx.spark, "spark.sql.files.maxPartitionBytes", str(TASK_BYTES)):
+                tx.append(POSTINGS, positional_postings(_dealt(fresh)), ["term", "_id"], in_place=True)
             self.merge(tx)
 
     def merge(self, tx: Transaction, fan: int = FAN) -> None:
@@ -203,20 +211,28 @@ def phrase_pages(postings: DataFrame, words: list[str]) -> DataFrame:
             rows = postings.where(F.startswith(term, F.lit(word)))
         else:
             rows = postings.where(term == word)
-        place = F.col("place")
-        field = place.bitwiseAND((1 << FIELD_BITS) - 1)
-        rows = rows.select("_id", "commit", F.explode("places").alias("place")).where(field != KEYWORDS)
-        if nth:
-            rows = rows.where(place.bitwiseAND(JOINED) != 0)
-        begin = F.shiftright("place", PLACE_BITS) - nth
-        parts.append(rows.select("_id", "commit", field.alias("field"), begin.alias("begin"), F.lit(nth).alias("nth")))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionAll(part)
-    if len(words) > 1:
-        whole = F.count_distinct("nth") == len(words)
-        both = both.groupBy("_id", "commit", "field", "begin").agg(whole.alias("whole")).where("whole")
-    return both.select("_id", "commit").distinct()
+        parts.append(rows.select("_id", "commit", F.lit(nth).alias("nth"), _begins(nth).alias("begins")).where(F.size("begins") > 0))
+    if len(words) == 1:
+        return parts[0].select("_id", "commit").distinct()
+    # A page's places stay arrays and meet in one group per page: single places would each move with their page's id.
+    all_parts = functools.reduce(DataFrame.unionAll, parts)
+    begins = [F.flatten(F.collect_list(F.when(F.col("nth") == n, F.col("begins")))) for n in range(len(words))]
+    whole = F.size(functools.reduce(F.array_intersect, begins)) > 0
+    return all_parts.groupBy("_id", "commit").agg(whole.alias("whole")).where("whole").select("_id", "commit")
+
+
+def _begins(nth: int) -> Column:
+    """Where the phrase would begin, field included, of all places of its nth word in text or title."""
+
+    def fits(place: Column) -> Column:
+        named = place.bitwiseAND((1 << FIELD_BITS) - 1) != KEYWORDS
+        return named & (place.bitwiseAND(JOINED) != 0) if nth else named
+
+    def begin(place: Column) -> Column:
+        first = F.shiftright(place, PLACE_BITS) - nth
+        return F.shiftleft(first, FIELD_BITS) + place.bitwiseAND((1 << FIELD_BITS) - 1)
+
+    return F.transform(F.filter("places", fits), begin)
 
 
 def _with_words(postings: DataFrame, holds: Column) -> DataFrame:

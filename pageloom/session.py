@@ -61,14 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job go when it ends.
-
-    Otherwise they stay until the driver collects garbage, so a run of many writes holds those of all of them.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def conf_set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a step."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -76,3 +72,13 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job go when it ends.
+
+    Otherwise they stay until the driver collects garbage, so a run of many writes holds those of all of them.
+    """
+    with conf_set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield

@@ -65,3 +65,7 @@ class Folder:
 
     def delete(self, below: str) -> None:
         self._fs.delete(self._at(f"{self.path}/{below}"), True)
+
+    def delete_at_exit(self) -> None:
+        """The folder goes when the driver ends."""
+        self._fs.deleteOnExit(self._at(self.path))

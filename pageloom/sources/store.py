@@ -6,9 +6,10 @@ change together, readers of a version always see the same rows, and a second wri
 version is refused.
 
 Tables come in two kinds. A *keyed* table has one row per key in a fixed number of hash buckets; a commit
-replaces whole buckets. Rows are sorted by key within a bucket and the key columns carry Bloom filters, so a
-lookup reads one bucket and few row groups of it. A *grown* table is a list of folders; a commit adds some or
-replaces several by one.
+replaces whole buckets or lays a layer over them: rows that stand for earlier ones, or only the names of rows
+that are gone. Readers leave out what a later layer hides, by the few columns that name a row. Rows are sorted by
+key within a layer and the key columns carry Bloom filters, so a lookup reads one bucket and few row groups of
+it. A *grown* table is a list of folders; a commit adds some or replaces several by one.
 
 The record has one entry per bucket or folder, never one per row: it is small whatever the tables hold.
 """
@@ -98,12 +99,9 @@ class Store:
         schema = T.StructType.fromJson(entry["schema"])
         base = f"{self.root}/data/{name}"
         if entry["kind"] == "keyed":
-            chosen = entry["files"] if buckets is None else {str(b): entry["files"].get(str(b)) for b in buckets}
-            paths = [f"{base}/{FOLDER}={f}/{BUCKET}={b}" for b, f in sorted(chosen.items()) if f]
-            mark = T.StructField(BUCKET, T.IntegerType())
-        else:
-            paths = [f"{base}/{FOLDER}={f}" for f in entry["files"]]
-            mark = T.StructField(FOLDER, T.StringType())
+            return self._keyed(base, entry, schema, buckets, marked)
+        paths = [f"{base}/{FOLDER}={f}" for f in entry["files"]]
+        mark = T.StructField(FOLDER, T.StringType())
         if not paths:
             empty = T.StructType([*schema.fields, mark]) if marked else schema
             return self.spark.createDataFrame([], empty)
@@ -111,6 +109,41 @@ class Store:
         found = self.spark.read.schema(full).option("basePath", base).parquet(*paths)
         return found.select(*schema.names, *([mark.name] if marked else []))
 
+    def _keyed(
+        self, base: str, entry: dict, schema: T.StructType, buckets: Iterable[int] | None, marked: bool
+    ) -> DataFrame:
+        """Rows of some buckets of a keyed table without those that a later layer of their bucket hides."""
+        chosen = sorted(entry["files"]) if buckets is None else [str(b) for b in buckets]
+        layers = {b: folders for b in chosen if (folders := entry["files"].get(b))}
+        bucket, folder = T.StructField(BUCKET, T.IntegerType()), T.StructField(FOLDER, T.StringType())
+        names = [*schema.names, *([BUCKET] if marked else [])]
+
+        def read(placed: dict[str, list[str]], fields: Iterable[T.StructField], *marks: T.StructField) -> DataFrame:
+            paths = [f"{base}/{FOLDER}={f}/{BUCKET}={b}" for b, folders in sorted(placed.items()) for f in folders]
+            full = T.StructType([*fields, *marks])
+            if not paths:
+                return self.spark.createDataFrame([], full)
+            return self.spark.read.schema(full).option("basePath", base).parquet(*paths).select(*full.names)
+
+        gone = set(entry.get("gone", []))
+        plain = {b: f for b, f in layers.items() if len(f) == 1}
+        parts = [read(plain, schema.fields, bucket).select(*names)] if plain or not layers else []
+        if laid := {b: f for b, f in layers.items() if len(f) > 1}:
+            rows = read({b: [x for x in f if x not in gone] for b, f in laid.items()}, schema.fields, bucket, folder)
+            above = {b: f[1:] for b, f in laid.items()}
+            row = [schema[c] for c in entry["row"]]
+            named = read(above, row, bucket, folder).select(
+                F.col(BUCKET).alias("in"),
+                *[F.col(c).alias(f"row_{i}") for i, c in enumerate(entry["row"])],
+                commit_of(F.col(FOLDER)).alias("by"),
+            )
+            last = named.groupBy(*[c for c in named.columns if c != "by"]).agg(F.max("by").alias("by"))
+            hides = (F.col(BUCKET) == F.col("in")) & (F.col("by") > commit_of(F.col(FOLDER)))
+            for i, c in enumerate(entry["row"]):
+                hides = hides & F.col(c).eqNullSafe(F.col(f"row_{i}"))
+            parts.append(rows.join(last, hides, "left_anti").select(*names))
+        return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete records before the last ``keep`` and the folders that no kept record names; gives those folders.
 
@@ -122,7 +155,7 @@ class Store:
         for version in self.versions():
             for name, entry in self.record(version)["tables"].items():
                 files = entry["files"]
-                for file in files.values() if entry["kind"] == "keyed" else files:
+                for file in {f for layers in files.values() for f in layers} if entry["kind"] == "keyed" else files:
                     path = f"{name}/{FOLDER}={file}"
                     named |= {path[:k] for k, c in enumerate(path) if c == "/"} | {path}
         dropped: list[str] = []
@@ -174,7 +207,7 @@ class Transaction:
 
     def _write_buckets(
         self, name: str, df: DataFrame, key: Sequence[str], buckets: int, placed: bool = False
-    ) -> dict[str, str]:
+    ) -> dict[str, list[str]]:
         folder, path = self._folder(name)
         rows = df.withColumn(BUCKET, bucket_of(list(key), buckets))
         rows = rows if placed else rows.repartition(BUCKET)
@@ -185,19 +218,61 @@ class Transaction:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.mode("errorifexists").parquet(path)
         found = self.store.files.names(f"data/{name}/{FOLDER}={folder}")
-        return {n.split("=")[1]: folder for n in found if n.startswith(f"{BUCKET}=")}
+        return {n.split("=")[1]: [folder] for n in found if n.startswith(f"{BUCKET}=")}
+
+    def put(
+        self,
+        name: str,
+        df: DataFrame,
+        key: Sequence[str],
+        buckets: int = DEFAULT_BUCKETS,
+        row: Sequence[str] = (),
+        placed: bool = False,
+    ) -> None:
+        """A keyed table, new or replaced whole; layers name its rows by the columns ``row``, else by the key.
 
-    def put(self, name: str, df: DataFrame, key: Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
-        """A keyed table, new or replaced whole."""
-        files = self._write_buckets(name, df, key, buckets)
+        ``placed`` rows already lie together by bucket and do not move again.
+        """
+        files = self._write_buckets(name, df, key, buckets, placed)
         self.tables[name] = {
             "kind": "keyed",
             "key": list(key),
+            "row": list(row or key),
             "buckets": buckets,
             "schema": df.schema.jsonValue(),
             "files": files,
         }
 
+    def lay(self, name: str, df: DataFrame, placed: bool = False) -> list[int]:
+        """Rows that stand for the rows of the same name in a keyed table; gives the buckets they are in.
+
+        ``df`` has all columns of the table, or those of the key and of a row's name only: then the rows go.
+        """
+        entry = self.tables[name]
+        schema = T.StructType.fromJson(entry["schema"])
+        whole = set(schema.names) <= set(df.columns)
+        columns = schema.names if whole else list(dict.fromkeys([*entry["key"], *entry["row"]]))
+        rows = df.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in columns])
+        files = self._write_buckets(name, rows, entry["key"], entry["buckets"], placed)
+        if not files:  # nothing was written, so no folder is named
+            self.store.files.delete(f"data/{name}/{FOLDER}={self.written[name].pop()}")
+            return []
+        if not whole:
+            files = {b: f for b, f in files.items() if b in entry["files"]}
+            entry["gone"] = [*entry.get("gone", []), self.written[name][-1]]
+        entry["files"] = entry["files"] | {b: [*entry["files"].get(b, []), *f] for b, f in files.items()}
+        return sorted(int(b) for b in files)
+
+    def layers(self, name: str) -> dict[int, int]:
+        """How many layers the buckets of a keyed table have."""
+        return {int(b): len(f) for b, f in self.tables[name]["files"].items()}
+
+    def laid(self, name: str) -> DataFrame:
+        """The rows this transaction has last written to a keyed table, with their bucket."""
+        entry, folder = self.tables[name], self.written[name][-1]
+        files = {b: [folder] for b, f in entry["files"].items() if f[-1] == folder}
+        return self.store.rows({"version": self.version, "tables": {name: entry | {"files": files}}}, name, marked=True)
+
     def replace_buckets(self, name: str, df: DataFrame, buckets: Iterable[int], placed: bool = False) -> None:
         """The rows of some buckets of a keyed table, which must all lie in those buckets.
 
@@ -209,6 +284,9 @@ class Transaction:
         if stray := set(files) - touched:
             raise ValueError(f"rows of {name} outside the buckets to replace: {sorted(stray)}")
         entry["files"] = {b: f for b, f in entry["files"].items() if b not in touched} | files
+        named = {f for layers in entry["files"].values() for f in layers}
+        if "gone" in entry:
+            entry["gone"] = [f for f in entry["gone"] if f in named]
 
     def append(
         self,

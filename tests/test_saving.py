@@ -360,3 +360,40 @@ def test_words_of_a_long_text_cost_linear_time(spark):
     found = textindex.positional_postings(pages(spark, [("http://a.com/1", "T", long, 1, "s", "", 1.0)]))
     assert found.select(F.sum(F.size("places"))).first()[0] >= 60_000
     assert time.time() - began < 20
+
+
+def test_changed_and_removed_pages_are_laid_over_the_stored_ones(spark, store):
+    """A commit writes what changed, not the buckets it is in; buckets of many layers become one again."""
+    saved = PageStore(store, buckets=2, indexed=False)
+    saved.save(pages(spark, some(400)))
+    expected = {f"http://a.com/{k}": 1 for k in range(400)}
+    for step in range(1, 7):
+        if step % 3 == 0:
+            done = saved.delete(saved.pages().where(F.col("url").endswith(f"{step}0")))
+            expected = {u: v for u, v in expected.items() if not u.endswith(f"{step}0")}
+            assert done.removed
+        else:
+            changed = some(20, step * 20, f"words of {step}")
+            batch = changed + changed[:3] + [(None, "", "no url", 1, "s", "", 1.0)]
+            done = saved.save(pages(spark, batch))
+            for url, *_ in changed:
+                expected[url] = expected.get(url, 0) + 1
+        assert {r.url: r.version for r in saved.pages().collect()} == expected
+        assert max(len(f) for f in store.record()["tables"]["pages"]["files"].values()) <= 4
+        if step == 1:
+            layers = store.record()["tables"]["pages"]["files"]
+            written = {f"{store.root}/data/pages/{FOLDER}={f[-1]}" for f in layers.values()}
+            assert spark.read.parquet(*written).count() == 20
+    assert {r.url for r in saved.pages(1).collect()} == {f"http://a.com/{k}" for k in range(400)}
+    store.vacuum(keep=1)
+    assert {r.url: r.version for r in saved.pages().collect()} == expected
+
+
+def test_a_phrase_moves_no_single_places(spark, store):
+    saved = PageStore(store, buckets=2)
+    saved.save(pages(spark, [("http://a.com/1", "", "of the " * 500, 1, "s", "", 1.0), ("http://a.com/2", "of", "the of", 1, "s", "", 1.0)]))
+    postings = store.rows(store.record(), "postings", marked=True).withColumn("commit", F.lit(1))
+    found = textindex.phrase_pages(postings, ["of", "the"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    assert [r["_id"] for r in found.collect()] == [pages(spark, some(1, 1)).first()._id]
