@@ -43,15 +43,20 @@ def _first(array: str) -> str:
     return f"get({array}, 0)"
 
 
-def _inside(element: str) -> str:
-    """Descendants of an element, in document order.
+def _each_inside(element: str, body: str) -> str:
+    """``body`` for every place ``j`` of an element's descendants, in document order.
 
     Taken by position: ``slice`` inside a lambda goes through the whole array, so that a page would cost the
     square of its nodes.
     """
     places = f"sequence({element}.pos + 1, {element}.last)"
     none = f"CASE WHEN {element}.pos IS NOT NULL THEN cast(array() AS array<int>) END"
-    return f"transform(CASE WHEN {element}.last > {element}.pos THEN {places} ELSE {none} END, j -> get(nodes, j))"
+    return f"transform(CASE WHEN {element}.last > {element}.pos THEN {places} ELSE {none} END, j -> {body})"
+
+
+def _inside(element: str) -> str:
+    """Descendants of an element, in document order."""
+    return _each_inside(element, "get(nodes, j)")
 
 
 def _attr(element: str, name: str) -> str:
@@ -62,14 +67,14 @@ def _classes(element: str) -> str:
     return f"split({_strip(_attr(element, 'class'))}, '[{WHITESPACE}]+')"
 
 
-def _strings(nodes: str) -> str:
-    stripped = f"transform({_tagged(nodes, '#text')}, n -> {_strip('n.text')})"
-    return f"filter({stripped}, s -> s <> '')"
+def _string(node: str) -> str:
+    """The stripped string of a text node; null for any other, as ``array_join`` leaves nulls out."""
+    return f"CASE WHEN {node}.tag = '#text' THEN {_strip(f'{node}.text')} END"
 
 
 def _text(element: str) -> str:
     """Stripped strings of an element joined without a separator."""
-    return f"array_join({_strings(_inside(element))}, '')"
+    return f"array_join({_each_inside(element, _string('get(nodes, j)'))}, '')"
 
 
 def _text_or_empty(element: str) -> str:
@@ -92,7 +97,8 @@ def raw_text() -> Column:
 
 
 def clean_text() -> Column:
-    return F.expr(f"array_join({_strings('nodes')}, ' ')")
+    strings = f"transform(nodes, n -> {_string('n')})"
+    return F.expr(f"array_join(filter({strings}, s -> s <> ''), ' ')")
 
 
 def title() -> Column:
@@ -221,13 +227,18 @@ def lists() -> Column:
 
 
 def breadcrumb() -> Column:
-    """Labels of the first match of five selectors, tried in this order."""
+    """Labels of the first match of five selectors, tried in this order.
+
+    Nodes that no selector can match go first, so classes are split for few of them.
+    """
+    named = f"contains({_attr('b', 'class')}, 'breadcrumb')"
+    marked = f"filter(nodes, b -> {named} OR b.attrs['aria-label'] = 'breadcrumb' OR b.attrs['id'] = 'breadcrumb')"
 
     def with_class(name: str) -> str:
-        return _first(f"filter(nodes, b -> array_contains({_classes('b')}, '{name}'))")
+        return _first(f"filter(marks, b -> array_contains({_classes('b')}, '{name}'))")
 
     def with_value(key: str) -> str:
-        return _first(f"filter(nodes, b -> b.attrs['{key}'] = 'breadcrumb')")
+        return _first(f"filter(marks, b -> b.attrs['{key}'] = 'breadcrumb')")
 
     trail = ", ".join(
         (
@@ -240,7 +251,7 @@ def breadcrumb() -> Column:
     )
     labels = f"transform({_tagged(_inside('e'), 'a', 'span')}, a -> {_text('a')})"
     kept = f"coalesce(filter({labels}, s -> s <> ''), {_NO_STRINGS})"
-    return F.expr(_bind(f"coalesce({trail})", "e", kept))
+    return F.expr(_bind(_bind(marked, "marks", f"coalesce({trail})"), "e", kept))
 
 
 def step_link(words: str) -> Column:
@@ -264,6 +275,7 @@ def seo() -> Column:
     keywords = f"CASE WHEN m IS NULL THEN {_NO_STRINGS} ELSE {keywords} END"
     is_canonical = f"array_contains(split({_attr('l', 'rel')}, '[{WHITESPACE}]+'), 'canonical')"
     canonical = _first(f"filter({_tagged('nodes', 'link')}, l -> {is_canonical})")
+    # A bare struct: Spark then leaves out the fields that nobody reads.
     return F.expr(
         f"""struct(
             {_content('name', 'description')} AS meta_description,

@@ -126,9 +126,10 @@ def readability(text: Column) -> Column:
     """100 less two points per word of average sentence length, at least 0."""
 
     def score(t: Column) -> Column:
-        mean = word_count(t) / sentence_count(t)
-        return F.when(word_count(t) > 0, F.greatest(F.lit(0.0), F.lit(100.0) - mean * 2)).otherwise(
-            F.lit(0.0)
-        )
+        def of(words: Column) -> Column:
+            mean = words / sentence_count(t)
+            return F.when(words > 0, F.greatest(F.lit(0.0), F.lit(100.0) - mean * 2)).otherwise(F.lit(0.0))
+
+        return bind(word_count(t), of)
 
     return bind(text, score)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom import schemas
-from pageloom.functions import dom
+from pageloom.functions import dom, text
 from pageloom.operators import extract
 from pageloom.operators.parse import NodeCollector, collect_nodes
 
@@ -454,3 +454,17 @@ def test_plain_tags_do_without_the_tokenizer(monkeypatch):
     monkeypatch.setattr(HTMLParser, "parse_starttag", refuse)
     collector, error = collect_nodes(BASE, '<div class="a b"><P id="x">one &amp; two</P><style>p {}</style></div>')
     assert error is None and collector.chars[0] == len("one & two")
+
+
+def test_parts_go_over_the_nodes_few_times(spark):
+    """Nodes are looked through once for a breadcrumb, words of a text counted once for its readability."""
+    html = '<p class="x breadcrumbs-like">a</p><div class="a breadcrumbs"><a>One</a> <span> </span><span>Two</span></div>'
+    raw = spark.createDataFrame([("http://a.com/1", html)], "url string, html string")
+    parts = extract.page_parts(raw, crumbs=dom.breadcrumb(), clean=dom.clean_text())
+    found = parts.first()
+    assert (found.crumbs, found.clean) == (["One", "Two"], "a One Two")
+    plan = parts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(nodes#") <= 1, plan
+    scored = spark.createDataFrame([("one two. three",), ("",), (None,)], "t string").select(text.readability(F.col("t")).alias("r"))
+    assert scored._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [r.r for r in scored.collect()] == [97.0, 0.0, 0.0]
