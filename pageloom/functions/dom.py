@@ -68,8 +68,12 @@ def _classes(element: str) -> str:
 
 
 def _string(node: str) -> str:
-    """The stripped string of a text node; null for any other, as ``array_join`` leaves nulls out."""
-    return f"CASE WHEN {node}.tag = '#text' THEN {_strip(f'{node}.text')} END"
+    """The stripped string of a text node; null for any other, as ``array_join`` leaves nulls out.
+
+    The tokenizer has counted the characters that are left, so most strings are taken as they are.
+    """
+    whole = f"CASE WHEN {node}.chars = length({node}.text) THEN {node}.text ELSE {_strip(f'{node}.text')} END"
+    return f"CASE WHEN {node}.tag = '#text' THEN {whole} END"
 
 
 def _text(element: str) -> str:

@@ -16,6 +16,11 @@ WHITESPACE = (
 WHITESPACE_RE = (
     "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 )
+# The same, written so that two looks tell a letter: a set of small code points, and a range around all others.
+GAP_RE = (
+    "[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0"
+    "[\\u1680-\\u3000&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]]+"
+)
 
 # English stop words left out of keywords and of search terms.
 STOP_WORDS = (
@@ -46,9 +51,14 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = strip(text)
-    empty = F.when(trimmed == "", 1).otherwise(0)
-    return (F.size(F.split(trimmed, WHITESPACE_RE)) - empty).cast("long")
+    """Words between white space: white space at an end leaves an empty part there, which is not one."""
+
+    def of(parts: Column) -> Column:
+        first = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
+        return (F.size(parts) - first - last).cast("long")
+
+    return bind(F.split(text, GAP_RE), of)
 
 
 def reading_time(words: Column) -> Column:

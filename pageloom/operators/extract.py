@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import dom, text, urls
-from pageloom.operators.parse import MAX_ELEMENT_CHARS, parse_pages
+from pageloom.operators.parse import MAX_ELEMENT_CHARS, PARSED, parse_pages
 
 OUTCOMES = ("page", "skipped", "error")
 
@@ -26,8 +28,8 @@ def fetched_pages(raw: DataFrame) -> DataFrame:
     return route_responses(raw).where(F.col("outcome") == "page").drop("outcome")
 
 
-def parsed_ok(raw: DataFrame, keep_html: bool = False) -> DataFrame:
-    return parse_pages(raw, keep_html).where(F.col("parse_error").isNull())
+def parsed_ok(raw: DataFrame, keep_html: bool = False, found: Collection[str] = PARSED.names) -> DataFrame:
+    return parse_pages(raw, keep_html, {*found, "parse_error"}).where(F.col("parse_error").isNull())
 
 
 def whole_documents(parsed: DataFrame) -> DataFrame:
@@ -40,7 +42,9 @@ def parse_failures(raw: DataFrame) -> DataFrame:
     repeats = F.concat(F.lit("ValueError: element texts add up to "), "element_chars", F.lit(" characters"))
     message = F.coalesce("parse_error", F.when(F.col("element_chars") > MAX_ELEMENT_CHARS, repeats))
     return (
-        parse_pages(fetched_pages(raw).select("url", "html", "job_id", "fetched_at"), False)
+        parse_pages(
+            fetched_pages(raw).select("url", "html", "job_id", "fetched_at"), False, ("parse_error", "element_chars")
+        )
         .withColumn("error_message", message)
         .where(F.col("error_message").isNotNull())
         .select("job_id", "url", "error_message", "fetched_at")
@@ -50,7 +54,7 @@ def parse_failures(raw: DataFrame) -> DataFrame:
 def page_parts(raw: DataFrame, *keep: str, **parts: Column) -> DataFrame:
     """Parse only ``url`` and ``html`` (plus ``keep``) and select some parts."""
     columns = dict.fromkeys(["url", "html", *keep])
-    return parsed_ok(raw.select(*columns)).select(
+    return parsed_ok(raw.select(*columns), found=["nodes"]).select(
         *dict.fromkeys(["url", *keep]), *[expr.alias(name) for name, expr in parts.items()]
     )
 
@@ -62,7 +66,7 @@ def headings(raw: DataFrame, *keep: str) -> DataFrame:
 def paragraphs(raw: DataFrame, *keep: str) -> DataFrame:
     """One row per paragraph, whatever paragraphs hold one another: memory is bounded by a page and one run."""
     ids = dict.fromkeys(["url", *keep])
-    pages = parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep])))
+    pages = parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep])), found=["nodes"])
     runs = pages.select(*ids, "nodes", F.explode(dom.paragraph_runs()).alias("r"))
     run = F.posexplode(dom.paragraph_run("r.first", "r.run")).alias("nth", "text")
     texts = runs.select(*ids, F.col("r.first").alias("first"), run)
@@ -109,7 +113,7 @@ def _rows(parts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def discovered_hrefs(raw: DataFrame, *keep: str) -> DataFrame:
     """Every ``a[href]`` of the page as fetched, boilerplate included."""
-    return hrefs(parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep]))), *keep)
+    return hrefs(parsed_ok(raw.select(*dict.fromkeys(["url", "html", *keep])), found=["hrefs"]), *keep)
 
 
 def hrefs(parsed: DataFrame, *keep: str) -> DataFrame:
