@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import duckdb
@@ -181,7 +182,7 @@ class Encoder:
     """Words to ids, by DuckDB, remembered as sorted arrays."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self._con: duckdb.DuckDBPyConnection | None = None
         splits = [
             (left * 65536 + right, rank)
             for token, rank in ranks.items()
@@ -189,8 +190,10 @@ class Encoder:
             if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
         ]
         pair, rank = zip(*splits, strict=True) if splits else ((), ())
-        self._table("merges", pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64())}))
-        self._table("pieces", pa.table({"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array(ranks, pa.binary())}))
+        self.fixed = {
+            "merges": pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64())}),
+            "pieces": pa.table({"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array(ranks, pa.binary())}),
+        }
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         whole = list(ranks)
         raw = np.frombuffer(b"".join(whole), dtype=np.uint8)
@@ -199,6 +202,23 @@ class Encoder:
         self.base = (span_hashes(raw, starts, ends), np.array([ranks[t] for t in whole], np.int32), starts, ends, raw)
         self._forget()
 
+    @property
+    def con(self) -> duckdb.DuckDBPyConnection:
+        """The worker's own database in memory, with the vocabulary in it."""
+        if self._con is None:
+            self._con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+            for name, rows in self.fixed.items():
+                self._table(name, rows)
+        return self._con
+
+    def rest(self) -> None:
+        """Close the database at the end of a task: it keeps the memory of its largest query, ten times what is
+        remembered here, while the worker goes on to other steps. The next word not yet met opens it again."""
+        if self._con is not None:
+            self._con.close()
+            self._con = None
+        pa.default_memory_pool().release_unused()
+
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("incoming", rows)
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
@@ -312,12 +332,16 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    """The worker's encoder: tasks of one worker share what it remembers."""
+@contextmanager
+def _encoder(shared) -> Iterator[Encoder]:
+    """The worker's encoder for a task: tasks of one worker share what it remembers, not its database."""
     if shared.key not in _encoders:
         _encoders.clear()
         _encoders[shared.key] = Encoder(shared.ranks.value)
-    return _encoders[shared.key]
+    try:
+        yield _encoders[shared.key]
+    finally:
+        _encoders[shared.key].rest()
 
 
 class _Shared:
@@ -341,12 +365,12 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                ids, begin, _, _ = encoder.encode(*text_bytes(part.column("text")))
-                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))
-                yield pa.record_batch([*part.columns, lists], names=[*names, column])
+        with _encoder(shared) as encoder:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    ids, begin, _, _ = encoder.encode(*text_bytes(part.column("text")))
+                    lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))
+                    yield pa.record_batch([*part.columns, lists], names=[*names, column])
 
     fields = docs.withColumn(column, F.array(F.lit(1))).schema
     return docs.mapInArrow(work, fields)
@@ -359,12 +383,12 @@ def decode(rows: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
     names = rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = encoder.decode([x or [] for x in part.column(column).to_pylist()])
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
+        with _encoder(shared) as encoder:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    texts = encoder.decode([x or [] for x in part.column(column).to_pylist()])
+                    yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 
     return rows.mapInArrow(work, rows.withColumn("decoded", F.lit(b"")).schema)
 
@@ -378,24 +402,24 @@ def round_trip(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_i
     shared = _Shared(docs.sparkSession, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                found, begin, text, where = encoder.encode(*text_bytes(part.column("text")))
-                raw, text = found.astype("<u4"), text.tobytes()
-                pairs = list(zip(begin[:-1], begin[1:], where[:-1], where[1:], strict=True))
-                out = {c: part.column(c) for c in keep}
-                out["n_tokens"] = pa.array(np.diff(begin))
-                out["ids_sha256"] = pa.array(
-                    [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b, _, _ in pairs], pa.string()
-                )
-                out["decoded_sha256"] = pa.array(
-                    [hashlib.sha256(text[c:d]).hexdigest() for _, _, c, d in pairs], pa.string()
-                )
-                if ids:
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found))
-                yield pa.record_batch(out)
-            pa.default_memory_pool().release_unused()
+        with _encoder(shared) as encoder:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    found, begin, text, where = encoder.encode(*text_bytes(part.column("text")))
+                    raw, text = found.astype("<u4"), text.tobytes()
+                    pairs = list(zip(begin[:-1], begin[1:], where[:-1], where[1:], strict=True))
+                    out = {c: part.column(c) for c in keep}
+                    out["n_tokens"] = pa.array(np.diff(begin))
+                    out["ids_sha256"] = pa.array(
+                        [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b, _, _ in pairs], pa.string()
+                    )
+                    out["decoded_sha256"] = pa.array(
+                        [hashlib.sha256(text[c:d]).hexdigest() for _, _, c, d in pairs], pa.string()
+                    )
+                    if ids:
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found))
+                    yield pa.record_batch(out)
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(*keep, "text")
     schema = rows.select(

@@ -535,3 +535,27 @@ def test_long_words_are_encoded_as_the_library_does(spark):
     for k, text in enumerate(texts):
         assert list(got[k].ids) == plain.encode_ordinary(text)
         assert got[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_byte_bpe_keeps_no_database_between_tasks():
+    """What a worker holds while it goes on to other steps are the words it met, not DuckDB's memory."""
+    ranks = bpe.read_ranks(VOCABULARY)
+
+    class Shared:
+        key = "test"
+
+        class ranks:
+            value = ranks
+
+    words = b" zqxvkj wpfthq " + b"qzx" * 200
+    raw, offs = np.frombuffer(words, np.uint8), np.array([0, len(words)])
+    with bpe._encoder(Shared) as encoder:
+        first = [part.tolist() for part in encoder.encode(raw, offs)]
+        assert encoder._con is not None
+    assert encoder._con is None
+    with bpe._encoder(Shared) as again:
+        assert again is encoder and [part.tolist() for part in again.encode(raw, offs)] == first
+        assert again._con is None  # every word is remembered
+        more = np.frombuffer(b"jqvzwk", np.uint8)
+        assert again.decode([again.encode(more, np.array([0, 6]))[0].tolist()]) == [b"jqvzwk"]
+    bpe._encoders.clear()
