@@ -4,9 +4,11 @@ The model reads words as characters: n-grams of ``ORDER`` characters inside a wo
 Counts, continuation counts, discounts and back-off weights are tables, joined by n-gram and by context.
 
 Scoring joins counts to shards of documents, never n-grams to single documents: a task packs its texts into
-shards of at most some tens of MB and lists each shard's distinct n-grams. Those lists meet the tables, each n-gram gets
-its log probability, and the answers go back to the shard. What is shuffled grows with the shards; texts
-are written once, bucketed by shard, and read back without a shuffle.
+shards of at most some tens of MB and lists each shard's distinct n-grams in sorted, compressed blocks, cut by a hash.
+The blocks of a hash meet in one group, which names each n-gram once; the named ones meet the tables and get their
+log probability, and a block's answers go back to its shard in the block's order, without the n-grams. Texts
+are written once, bucketed by shard, and read back without a shuffle, for training (the shard learns which of its
+documents are trusted) as for scoring. What is shuffled grows with the shards and is a small part of the texts.
 
 Documents of trusted text in the held-out fold are not trained on; the quantiles of their perplexity, by
 language, are the thresholds.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,16 @@ ORDER = 5
 FOLDS = 5
 SHARD_BYTES = 32 << 20
 BUCKETS = 48
+# Blocks of n-grams are dealt to so many groups, or to as many as the session shuffles to, if that is more.
+PARTS = 64
 # Share of held-out trusted texts that the threshold lets pass, and what is added for chance.
 QUANTILE = 0.99
 SLACK = 1.1
 # A language with fewer held-out trusted texts takes the threshold of all.
 LEAST = 30
 BEGIN, END = "\x02", "\x03"
+BLOCKS = pa.list_(pa.struct([("part", pa.int32()), ("grams", pa.binary())]))
+SHARDS_AT_ONCE = 1
 
 
 def word_grams(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +74,64 @@ def gram_keys(grams: np.ndarray) -> np.ndarray:
     return key
 
 
+def gram_blocks(grams: np.ndarray, keys: np.ndarray, parts: int) -> list[dict]:
+    """The n-grams cut by key; a block is sorted and keeps its code points column by column, compressed."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*(grams[:, k] for k in reversed(range(ORDER))), part))
+    part, grams = part[order], grams[order]
+    squeeze = zstandard.ZstdCompressor(level=3)
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+    return [
+        {"part": int(part[a]), "grams": squeeze.compress(np.ascontiguousarray(grams[a:b].T).tobytes())}
+        for a, b in pairwise(cuts)
+    ]
+
+
+def block_grams(block: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint32).reshape(ORDER, -1).T)
+
+
+def gram_strings(grams: np.ndarray) -> list[str]:
+    text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
+    return [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+
+
+def _unpacked(packed: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard."""
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_buffer())) as stream:
+        yield from stream
+
+
 def _clean(texts: Column) -> Column:
     """Without the two control characters that mark begin and end of words."""
     return F.translate(texts, BEGIN + END, "\x1a\x1a")
 
 
-def trusted_words(docs: DataFrame) -> DataFrame:
-    """Words of the texts and their counts, combined in the task first."""
+def trusted_words(shards: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Words of the texts of ``trusted(doc_id)`` and their counts, combined in the task first.
+
+    Only numbers of documents are shuffled: each shard learns which of its own are trusted.
+    """
+    held = shards.select("shard", F.explode("ids").alias("doc_id"))
+    marks = held.join(trusted.select("doc_id"), "doc_id", "left_semi")
+    # Written first: Spark would keep an aggregate's partitions, if they are more, and shuffle the shards to them.
+    marks = scratch.save(marks.groupBy("shard").agg(F.collect_set("doc_id").alias("marked")), "marks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                raw, offs = text_bytes(part.column("text"))
-                first, last, _ = word_spans(raw, offs)
-                _, index, counts = np.unique(span_hashes(raw, first, last), return_index=True, return_counts=True)
-                data = raw.tobytes()
-                words = [data[a:b].decode("utf-8", "replace") for a, b in zip(first[index], last[index], strict=True)]
-                yield pa.record_batch({"word": pa.array(words, pa.string()), "n": counts.astype(np.int64)})
-
-    found = docs.select(_clean(F.col("text")).alias("text")).mapInArrow(work, "word string, n long")
+            for packed, marked in zip(batch.column("packed"), batch.column("marked"), strict=True):
+                for part in _unpacked(packed):
+                    texts = part.column("text").filter(pc.is_in(part.column("doc_id"), marked.values))
+                    raw, offs = text_bytes(texts)
+                    first, last, _ = word_spans(raw, offs)
+                    _, index, counts = np.unique(span_hashes(raw, first, last), return_index=True, return_counts=True)
+                    data = raw.tobytes()
+                    spans = zip(first[index], last[index], strict=True)
+                    words = [data[a:b].decode("utf-8", "replace") for a, b in spans]
+                    yield pa.record_batch({"word": pa.array(words, pa.string()), "n": counts.astype(np.int64)})
+
+    found = shards.join(marks, "shard").select("packed", "marked").mapInArrow(work, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -134,7 +180,7 @@ def train(words: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[Dat
 
 
 def log_probabilities(grams: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float]) -> DataFrame:
-    """``gram`` and ``lp`` for distinct n-grams of full order, seen or not.
+    """The rows of distinct n-grams of full order (``gram``), seen or not, with ``lp``.
 
     p = p_k of the longest end that was seen, times the weights of the contexts it was not seen after.
     """
@@ -149,11 +195,11 @@ def log_probabilities(grams: DataFrame, model: tuple[list[DataFrame], list[DataF
     p = F.lit(base)
     for k in range(1, ORDER + 1):
         p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(1.0)) * p)
-    return rows.select("gram", F.log(p).alias("lp"))
+    return rows.select(*grams.columns, F.log(p).alias("lp"))
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Shards of documents: number, distinct n-grams, and the rows themselves, compressed."""
+def pack(docs: DataFrame, parts: int) -> DataFrame:
+    """Shards of documents: number, doc_ids, blocks of distinct n-grams, and the rows themselves, compressed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -177,7 +223,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 key, index = np.unique(key, return_index=True)
                 fresh = ~np.isin(key, seen, assume_unique=True)
                 seen, grams = np.concatenate((seen, key[fresh])), np.concatenate((grams, own[index[fresh]]))
-            text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
+            ids = pa.chunked_array([part.column("doc_id") for part in held], pa.int64()).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema) as stream:
                 for part in held:
@@ -185,7 +231,8 @@ def pack(docs: DataFrame) -> DataFrame:
             out = pa.record_batch(
                 {
                     "shard": pa.array([(task << 24) + number], pa.int64()),
-                    "grams": pa.array([[text[k : k + ORDER] for k in range(0, len(text), ORDER)]], pa.list_(pa.string())),
+                    "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    "grams": pa.array([gram_blocks(grams, seen, parts)], BLOCKS),
                     "packed": pa.array([squeeze.compress(sink.getvalue())], pa.binary()),
                 }
             )
@@ -201,7 +248,43 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield shard()
 
-    return docs.mapInArrow(work, "shard long, grams array<string>, packed binary")
+    return docs.mapInArrow(
+        work, "shard long, ids array<long>, grams array<struct<part: int, grams: binary>>, packed binary"
+    )
+
+
+def asked_grams(blocks: DataFrame) -> DataFrame:
+    """part and gram, once each, of all n-grams of the blocks."""
+
+    def work(asked: pa.Table) -> pa.Table:
+        seen, grams = np.empty(0, np.uint64), np.empty((0, ORDER), np.uint32)
+        for block in asked.column("grams"):
+            own = block_grams(block.as_py())
+            key, index = np.unique(gram_keys(own), return_index=True)
+            fresh = ~np.isin(key, seen, assume_unique=True)
+            seen, grams = np.concatenate((seen, key[fresh])), np.concatenate((grams, own[index[fresh]]))
+        part = np.full(len(grams), asked.column("part")[0].as_py(), np.int32)
+        return pa.table({"part": part, "gram": pa.array(gram_strings(grams), pa.string())})
+
+    return blocks.groupBy("part").applyInArrow(work, "part int, gram string")
+
+
+def answered(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """shard, part and the log probabilities of a block's n-grams, in its order, as bytes."""
+
+    def work(asked: pa.Table, known: pa.Table) -> pa.Table:
+        text = "".join(known.column("gram").to_pylist())
+        keys = gram_keys(np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+        order = np.argsort(keys)
+        keys, lp = keys[order], known.column("lp").to_numpy()[order]
+        found = [
+            lp[np.searchsorted(keys, gram_keys(block_grams(b.as_py())))].tobytes() for b in asked.column("grams")
+        ]
+        return pa.table(
+            {"shard": asked.column("shard"), "part": asked.column("part"), "lps": pa.array(found, pa.binary())}
+        )
+
+    return blocks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(work, "shard long, part int, lps binary")
 
 
 def perplexities(shards: DataFrame, answers: DataFrame) -> DataFrame:
@@ -210,14 +293,13 @@ def perplexities(shards: DataFrame, answers: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, grams, lps in zip(*(batch.column(c) for c in ("packed", "grams", "lps")), strict=True):
-                text = "".join(grams.values.to_pylist()) if grams.is_valid else ""
-                keys = gram_keys(np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+                found = {x["part"]: x["lps"] for x in lps.as_py() or ()}
+                keys = [np.empty(0, np.uint64)] + [gram_keys(block_grams(x["grams"])) for x in grams.as_py()]
+                values = [np.empty(0)] + [np.frombuffer(found[x["part"]]) for x in grams.as_py()]
+                keys, lp = np.concatenate(keys), np.concatenate(values)
                 order = np.argsort(keys)
-                keys, lp = keys[order], np.asarray(lps.values if lps.is_valid else [], dtype=np.float64)[order]
-                raw = zstandard.ZstdDecompressor().decompress(packed.as_buffer())
-                with pa.ipc.open_stream(raw) as stream:
-                    for part in stream:
-                        yield _scored(part, keys, lp)
+                for part in _unpacked(packed):
+                    yield _scored(part, keys[order], lp[order])
 
     return shards.join(answers, "shard", "left").select("packed", "grams", "lps").mapInArrow(
         work, "doc_id long, lang string, n_words long, perplexity double"
@@ -261,20 +343,25 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     # Written first, so that its size is known and Spark decides between broadcast and shuffle on it.
     trusted = scratch.save(good.select("doc_id", fold.alias("fold")), "trusted")
-    words = trusted_words(rows.join(trusted.where("fold <> 0"), "doc_id", "left_semi"))
-    model = train(scratch.save(words, "words"), scratch)
-
+    parts = max(PARTS, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"shards_{uuid.uuid4().hex}"
-    writer = pack(rows).write.format("parquet").bucketBy(BUCKETS, "shard").option("path", scratch.path("shards"))
+    writer = pack(rows, parts).write.format("parquet").bucketBy(BUCKETS, "shard").option("path", scratch.path("shards"))
     writer.saveAsTable(name)
     shards = scratch.spark.table(name)
-    asked = shards.select("shard", F.explode("grams").alias("gram"))
-    known = scratch.save(log_probabilities(asked.select("gram").distinct(), model), "known")
-    answers = asked.join(known, "gram").groupBy("shard").agg(F.collect_list(F.struct("gram", "lp")).alias("a"))
-    answers = answers.select("shard", F.col("a.gram").alias("grams"), F.col("a.lp").alias("lps"))
-    scored = scratch.save(perplexities(shards.select("shard", "packed"), answers), "scored")
+    # A row holds a whole shard, so few of them go to a Python worker at once.
+    words = scratch.save(trusted_words(shards, trusted.where("fold <> 0"), scratch), "words", batch=SHARDS_AT_ONCE)
+    model = train(words, scratch)
+    blocks = shards.select("shard", F.explode("grams").alias("b")).select("shard", "b.part", "b.grams")
+    asked = scratch.save(asked_grams(blocks), "asked")
+    known = scratch.save(log_probabilities(asked, model), "known")
+    model_tables = (f"{kind}-{k}" for kind in ("count", "weight", "prob") for k in range(1, ORDER + 1))
+    scratch.drop("words", "marks", "asked", *model_tables)
+    answers = answered(blocks, known).groupBy("shard").agg(F.collect_list(F.struct("part", "lps")).alias("lps"))
+    answers = scratch.save(answers, "answers")
+    found = perplexities(shards.select("shard", "grams", "packed"), answers)
+    scored = scratch.save(found, "scored", batch=SHARDS_AT_ONCE)
     scratch.spark.sql(f"DROP TABLE {name}")  # external: its files go here
-    scratch.drop("shards")
+    scratch.drop("shards", "known", "answers")
 
     apart = scored.join(trusted.where("fold = 0"), "doc_id", "left_semi").where("perplexity is not null")
     own = apart.groupBy("lang").agg(

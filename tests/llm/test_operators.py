@@ -19,7 +19,7 @@ import corpus_pipeline
 from pageloom.llm import bpe, embeddings, fertility, htmltext, jaccard, kneser, linededup, mixing, toxicity, warc
 from pageloom.llm.oracles import ORACLES
 from pageloom.llm.queries import QUERIES
-from pageloom.llm.storage import Scratch
+from pageloom.llm.storage import Scratch, settings
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -413,6 +413,40 @@ def test_kneser_ney_keeps_trusted_text(spark, duck):
     assert sum(got[d] for d in good) >= 0.9 * len(good)
 
 
+def test_kneser_ney_moves_no_texts(spark, monkeypatch):
+    """No exchange of any step carries texts, packed or not, or rows of n-grams by shard; all rows get their score."""
+    plans, save = [], Scratch.save
+
+    def noted(self, df, *args, **kwargs):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return save(self, df, *args, **kwargs)
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    texts = ["one two three two", "two three", "é 漢字 one", "", None, "\x02 \x03x one"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (5, 1)], "doc_id long, quality int")
+    many = str(kneser.BUCKETS + 12)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": many}):
+        got = {r.doc_id: r.perplexity for r in kneser.classify(docs, labels, Scratch(spark, "t")).collect()}
+    assert sorted(k for k, p in got.items() if p is not None) == [0, 1, 2, 5] and len(got) == 6
+    moved = [
+        set(re.findall(r"(\w+)#", node.split("Input", 1)[1].split("\n")[0]))
+        for plan in plans
+        for node in re.split(r"\n(?=\(\d+\) )", plan)
+        if re.match(r"\(\d+\) Exchange", node)
+    ]
+    assert moved and not any(m & {"text", "packed"} or {"shard", "gram"} <= m for m in moved)
+
+
+def test_kneser_ney_blocks_hold_each_gram_once():
+    grams = np.array([[ord(c) for c in g] for g in ("\x02\x02\x02\x02a", "abcde", "漢字🙂é\x03", "abcdf")], np.uint32)
+    blocks = kneser.gram_blocks(grams, kneser.gram_keys(grams), 3)
+    assert kneser.gram_blocks(grams[:0], np.empty(0, np.uint64), 3) == []
+    assert sorted(b["part"] for b in blocks) == sorted({int(k % 3) for k in kneser.gram_keys(grams)})
+    back = [g for b in blocks for g in kneser.gram_strings(kneser.block_grams(b["grams"]))]
+    assert sorted(back) == sorted(kneser.gram_strings(grams))
+
+
 def test_odd_documents(spark, odd):
     ids = [r[0] for r in ODD]
     scratch = Scratch(spark, "t")
