@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions import text, urls
+from pageloom.functions import text, urls, words
 from pageloom.sources.raw import spread
 
 EPOCH = "2024-01-01 00:00:00"
@@ -176,16 +176,17 @@ def _as_pages(docs: DataFrame, delay: int = 0) -> DataFrame:
         at.alias("at"),
         F.concat("text", F.col("added.text")).alias("clean_text"),
     )
-    clean, words = F.col("clean_text"), text.word_count(F.col("clean_text"))
+    clean, found = F.col("clean_text"), words.counted(docs.sparkSession, F.col("clean_text"))
+    n_words = found["words"]
     return base.select(
         urls.page_id(F.col("url")).alias("_id"),
         "url",
-        F.get(F.split(clean, "\n"), F.lit(0)).alias("title"),
+        F.substring_index(clean, "\n", 1).alias("title"),
         F.struct(
             clean.alias("clean_text"),
             text.content_hash(clean).alias("content_hash"),
-            words.alias("word_count"),
-            text.reading_time(words).alias("reading_time"),
+            n_words.alias("word_count"),
+            text.reading_time(n_words).alias("reading_time"),
         ).alias("content"),
         F.struct(
             F.col("at").alias("scraped_at"),
@@ -199,7 +200,7 @@ def _as_pages(docs: DataFrame, delay: int = 0) -> DataFrame:
             .alias("subsection"),
             F.lit("article").alias("page_type"),
         ).alias("navigation"),
-        F.struct(text.keywords(clean).alias("keywords")).alias("search_fields"),
+        F.struct(found["keywords"].alias("keywords")).alias("search_fields"),
         F.lit("processed").alias("status"),
         F.lit(1).alias("version"),
         (F.coalesce("label", F.lit(0)) * 60 + F.col("n_chars") % 40)

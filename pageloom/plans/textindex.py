@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions import text
+from pageloom.functions import words
 from pageloom.plans.catalog import page_summary, paged
 from pageloom.plans.search import DEFAULT_LIMIT, MAX_LIMIT, search_terms
 from pageloom.session import conf_set
@@ -38,54 +38,16 @@ PLACE_BITS = 3
 SHARD_BYTES, LEAST_BYTES = 32_000_000, 1_000_000
 # Bytes of stored pages that one task indexes where they lie, about.
 TASK_BYTES = 16_000_000
+# Pages that go to Python at a time.
+TASK_ROWS = 1000
 # So many words are named in a filter that reaches the files; more are met in a join.
 NAMED = 500
 
 
-def _places(field: Column, number: int) -> Column:
-    """(word, place) of every word of a field, in order."""
-    lowered = F.lower(F.coalesce(field, F.lit("")))
-    words = F.regexp_extract_all(lowered, F.lit(text.TERM_RE), F.lit(0))
-    gaps = F.split(lowered, text.TERM_RE)
-
-    def numbered(pair: Column) -> Column:
-        def place(word: Column, i: Column) -> Column:
-            joined = F.when(F.get(pair["gaps"], i) == " ", JOINED).otherwise(0)
-            return F.struct(word.alias("word"), (F.shiftleft(i, PLACE_BITS) + joined + number).alias("place"))
-
-        return F.transform(pair["words"], place)
-
-    return text.bind(F.struct(words.alias("words"), gaps.alias("gaps")), numbered)
-
-
-def _by_word(pairs: Column) -> Column:
-    """(word, places) of an array of (word, place): sorted, then cut where the word changes."""
-
-    def runs(rows: Column) -> Column:
-        def starts_run(i: Column) -> Column:
-            return (i == 0) | (F.get(rows, i)["word"] != F.get(rows, i - 1)["word"])
-
-        def cut(starts: Column) -> Column:
-            def run(start: Column, nth: Column) -> Column:
-                after = F.coalesce(F.get(starts, nth + 1), F.size(rows))
-                # By position: ``slice`` inside a lambda goes through all rows, once for every word.
-                places = F.transform(F.sequence(start, after - 1), lambda i: F.get(rows, i)["place"])
-                return F.struct(F.get(rows, start)["word"].alias("term"), places.alias("places"))
-
-            return F.transform(starts, run)
-
-        numbers = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
-        return text.bind(F.filter(numbers, starts_run), cut)
-
-    return text.bind(F.sort_array(pairs), runs)
-
-
 def positional_postings(pages: DataFrame) -> DataFrame:
-    """(term, _id, places) of all words of text, title and keywords; grouped within the row, without a shuffle."""
-    keywords = F.array_join("search_fields.keywords", " ")
-    fields = ((F.col("content.clean_text"), TEXT), (F.col("title"), TITLE), (keywords, KEYWORDS))
-    pairs = F.concat(*[_places(column, number) for column, number in fields])
-    return pages.select("_id", F.inline(_by_word(pairs))).select("term", "_id", "places")
+    """(term, _id, places) of all words of text, title and keywords; grouped where the page is, without a shuffle."""
+    fields = {TEXT: F.col("content.clean_text"), TITLE: F.col("title"), KEYWORDS: F.array_join("search_fields.keywords", " ")}
+    return words.places(pages, [fields[number] for number in sorted(fields)], JOINED, PLACE_BITS)
 
 
 def _dealt(pages: DataFrame) -> DataFrame:
@@ -107,7 +69,8 @@ class TextIndex:
             tx.append(DEAD, replaced.select("_id"))
         if fresh is not None:
             tx.append(ENTRIES, page_summary(fresh), ["_id"])
-            with conf_set(tx.spark, "spark.sql.files.maxPartitionBytes", str(TASK_BYTES)):
+            short = conf_set(tx.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TASK_ROWS))
+            with short, conf_set(tx.spark, "spark.sql.files.maxPartitionBytes", str(TASK_BYTES)):
                 tx.append(POSTINGS, positional_postings(_dealt(fresh)), ["term", "_id"], in_place=True)
             self.merge(tx)
 
