@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.operators import rollups
 from pageloom.operators.dedup import HASH, latest_per_url
 from pageloom.plans.textindex import TextIndex
-from pageloom.session import shuffles_dropped
+from pageloom.session import short_batches, shuffles_dropped
 from pageloom.sources.store import BUCKET, CODEC, DEFAULT_BUCKETS, Store, Transaction, bucket_of
 
 PAGES = "pages"
@@ -56,7 +56,7 @@ class PageStore:
         falls into; of the batch only new and changed pages are written, as a layer over those buckets. Texts
         move once, to their bucket. Whole ``collections`` (rows and key, by name) may be saved in the same commit.
         """
-        with shuffles_dropped(self.store.spark):
+        with shuffles_dropped(self.store.spark), short_batches(self.store.spark):
             return self._save(batch, collections or {})
 
     def _save(self, batch: DataFrame, collections: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> Saved:

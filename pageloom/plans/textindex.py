@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import words
 from pageloom.plans.catalog import page_summary, paged
 from pageloom.plans.search import DEFAULT_LIMIT, MAX_LIMIT, search_terms
-from pageloom.session import conf_set
+from pageloom.session import conf_set, short_batches
 from pageloom.sources.store import FOLDER, Store, Transaction, commit_of
 
 POSTINGS, ENTRIES, DEAD = "postings", "entries", "tombstones"
@@ -38,8 +38,6 @@ PLACE_BITS = 3
 SHARD_BYTES, LEAST_BYTES = 32_000_000, 1_000_000
 # Bytes of stored pages that one task indexes where they lie, about.
 TASK_BYTES = 16_000_000
-# Pages that go to Python at a time.
-TASK_ROWS = 1000
 # So many words are named in a filter that reaches the files; more are met in a join.
 NAMED = 500
 
@@ -69,8 +67,7 @@ class TextIndex:
             tx.append(DEAD, replaced.select("_id"))
         if fresh is not None:
             tx.append(ENTRIES, page_summary(fresh), ["_id"])
-            short = conf_set(tx.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TASK_ROWS))
-            with short, conf_set(tx.spark, "spark.sql.files.maxPartitionBytes", str(TASK_BYTES)):
+            with short_batches(tx.spark), conf_set(tx.spark, "spark.sql.files.maxPartitionBytes", str(TASK_BYTES)):
                 tx.append(POSTINGS, positional_postings(_dealt(fresh)), ["term", "_id"], in_place=True)
             self.merge(tx)
 

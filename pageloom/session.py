@@ -82,3 +82,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """
     with conf_set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         yield
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Python steps get as few rows at a time as in a session of our own, whatever the session says."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with conf_set(spark, key, DEFAULTS[key]):
+        yield
