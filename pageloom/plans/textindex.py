@@ -171,9 +171,10 @@ def phrase_pages(postings: DataFrame, words: list[str]) -> DataFrame:
             rows = postings.where(F.startswith(term, F.lit(word)))
         else:
             rows = postings.where(term == word)
-        parts.append(rows.select("_id", "commit", F.lit(nth).alias("nth"), _begins(nth).alias("begins")).where(F.size("begins") > 0))
+        parts.append(rows.select("_id", "commit", F.lit(nth).alias("nth"), _begins(nth).alias("begins")))
     if len(words) == 1:
-        return parts[0].select("_id", "commit").distinct()
+        return parts[0].where(F.size("begins") > 0).select("_id", "commit").distinct()
+    # Rows without a place come along: a condition on the places would compute all of them a second time.
     # A page's places stay arrays and meet in one group per page: single places would each move with their page's id.
     all_parts = functools.reduce(DataFrame.unionAll, parts)
     begins = [F.flatten(F.collect_list(F.when(F.col("nth") == n, F.col("begins")))) for n in range(len(words))]
